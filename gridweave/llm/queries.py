@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytecnn, exact, mixing, simhash
+from . import bpe, bytecnn, exact, mixing, simhash, substrings
 from .common import table
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,5 +37,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_language, op5_simhash, op7_exact_dedup, op9_bpe, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op3_quality, op4_language, op5_simhash, op7_exact_dedup, op9_bpe, op10_mix_sources)}
 ORACLES = {"op7_exact_dedup": exact.SQL}
