@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytecnn, exact, mixing, simhash, substrings
+from . import bpe, bytecnn, chat, exact, mixing, simhash, substrings
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversation_digests(chat.with_extra(table(spark, sf_dir, "conversations")))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,5 +41,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op3_quality, op4_language, op5_simhash, op7_exact_dedup, op9_bpe, op10_mix_sources)}
-ORACLES = {"op7_exact_dedup": exact.SQL}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_chat_format, op3_quality, op4_language, op5_simhash, op7_exact_dedup, op9_bpe, op10_mix_sources)}
+ORACLES = {"op2_chat_format": chat.SQL, "op7_exact_dedup": exact.SQL}
