@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytecnn, chat, exact, mixing, simhash, substrings
+from . import bpe, bytecnn, chat, embeddings, exact, mixing, simhash, substrings
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.vector_links(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_chat_format, op3_quality, op4_language, op5_simhash, op7_exact_dedup, op9_bpe, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_chat_format, op3_quality, op4_language, op5_simhash, op7_exact_dedup, op8_embeddings, op9_bpe, op10_mix_sources)}
 ORACLES = {"op2_chat_format": chat.SQL, "op7_exact_dedup": exact.SQL}
