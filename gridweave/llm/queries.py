@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, bytecnn, chat, embeddings, exact, mixing, simhash, substrings
+from . import bpe, bytecnn, chat, embeddings, exact, licenses, mixing, simhash, substrings
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_chat_format, op3_quality, op4_language, op5_simhash, op7_exact_dedup, op8_embeddings, op9_bpe, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_chat_format, op3_quality, op4_language, op5_simhash, op6_licenses, op7_exact_dedup, op8_embeddings, op9_bpe, op10_mix_sources)}
 ORACLES = {"op2_chat_format": chat.SQL, "op7_exact_dedup": exact.SQL}
