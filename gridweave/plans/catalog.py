@@ -1,4 +1,8 @@
-"""Named queries over the driver tables and the SQL that checks them."""
+"""All named queries and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from . import topology_queries  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
