@@ -206,8 +206,8 @@ def _weighted(samples: DataFrame, threshold: float, group: Sequence[str], order:
     """Samples front to back with transmittance before (``_T``) and weight (``_w``), up to the one that crosses the threshold."""
     before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     depth = F.coalesce(F.sum(F.col("sigma") * F.col("dt")).over(before), F.lit(0.0))
-    s = samples.withColumn("_T", F.exp(-depth))
-    s = s.where((F.col("_T") > threshold) | (depth == 0))
+    s = samples.withColumn("_d", depth).withColumn("_T", F.exp(-F.col("_d")))
+    s = s.where((F.col("_T") > threshold) | (F.col("_d") == 0))
     return s.withColumn("_w", (1 - F.exp(-F.col("sigma") * F.col("dt"))) * F.col("_T"))
 
 

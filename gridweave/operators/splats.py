@@ -18,24 +18,40 @@ Camera = tuple[Sequence[Sequence[float]], Sequence[Sequence[float]]]
 
 
 def cameras_frame(spark, cameras: Mapping[int, Camera]) -> DataFrame:
-    """``cam, fx, fy, cx, cy`` and the rows of the view matrix, from a bounded driver-side mapping."""
+    """``cam, fx, fy, cx, cy`` and the view matrix as ``v00`` to ``v23``, from a bounded driver-side mapping."""
     if len(cameras) > MAX_LISTED:
         raise ValueError(f"at most {MAX_LISTED} cameras")
     rows = []
     for c, (k, view) in cameras.items():
         k, view = np.asarray(k, float), np.asarray(view, float)
-        rows.append((int(c), float(k[0, 0]), float(k[1, 1]), float(k[0, 2]), float(k[1, 2]), view[:3].ravel().tolist()))
-    return spark.createDataFrame(rows, "cam int, fx double, fy double, cx double, cy double, view array<double>")
+        rows.append((int(c), *map(float, (k[0, 0], k[1, 1], k[0, 2], k[1, 2])), *view[:3].ravel().tolist()))
+    names = [f"v{r}{c} double" for r in range(3) for c in range(4)]
+    return spark.createDataFrame(rows, "cam int, fx double, fy double, cx double, cy double, " + ", ".join(names))
+
+
+def _parts(gaussians: DataFrame, rest: Sequence[str]) -> DataFrame:
+    """Each Gaussian as plain columns: its mean ``m0..m2`` and the matrix ``s00..s22`` of rotation times scale."""
+    g = unit_quaternions(check_columns(gaussians, "id", "mean", "quat", "log_scale"))
+    g = g.select(
+        *rest, *[F.col("mean")[n].alias(f"m{n}") for n in range(3)], *[F.col("quat")[n].alias(f"q{n}") for n in range(4)],
+        *[F.exp(F.col("log_scale")[n]).alias(f"e{n}") for n in range(3)],
+    )
+    rot = rotation("q0", "q1", "q2", "q3")
+    return g.withColumns({f"s{r}{c}": F.expr(f"({rot[r][c]}) * e{c}") for r in range(3) for c in range(3)}).drop("q0", "q1", "q2", "q3", "e0", "e1", "e2")
+
+
+def rotation(w: str, x: str, y: str, z: str) -> list[list[str]]:
+    """SQL for the rotation matrix of a unit quaternion."""
+    return [
+        [f"1 - 2 * ({y} * {y} + {z} * {z})", f"2 * ({x} * {y} - {w} * {z})", f"2 * ({x} * {z} + {w} * {y})"],
+        [f"2 * ({x} * {y} + {w} * {z})", f"1 - 2 * ({x} * {x} + {z} * {z})", f"2 * ({y} * {z} - {w} * {x})"],
+        [f"2 * ({x} * {z} - {w} * {y})", f"2 * ({y} * {z} + {w} * {x})", f"1 - 2 * ({x} * {x} + {y} * {y})"],
+    ]
 
 
 def covariance(quat: str = "quat", scale: str = "log_scale") -> dict[str, str]:
     """SQL for the six parts of R S S R^T, from a unit quaternion (w, x, y, z) and log scales."""
-    w, x, y, z = (f"{quat}[{n}]" for n in range(4))
-    r = [
-        [f"(1 - 2 * ({y} * {y} + {z} * {z}))", f"(2 * ({x} * {y} - {w} * {z}))", f"(2 * ({x} * {z} + {w} * {y}))"],
-        [f"(2 * ({x} * {y} + {w} * {z}))", f"(1 - 2 * ({x} * {x} + {z} * {z}))", f"(2 * ({y} * {z} - {w} * {x}))"],
-        [f"(2 * ({x} * {z} - {w} * {y}))", f"(2 * ({y} * {z} + {w} * {x}))", f"(1 - 2 * ({x} * {x} + {y} * {y}))"],
-    ]
+    r = [[f"({x})" for x in row] for row in rotation(*(f"{quat}[{n}]" for n in range(4)))]
     out = {}
     for a in range(3):
         for b in range(a, 3):
@@ -60,22 +76,14 @@ def project(
     both sides' scene ids, a camera sees the Gaussians of its own scene only.
     Cameras are a bounded list, exploded onto the rows.
     """
-    g = unit_quaternions(check_columns(gaussians, "id", "mean", "quat", "log_scale"))
     cams = cameras_frame(gaussians.sparkSession, cameras)
-    g = g.withColumns({f"c{n}": F.expr(e) for n, e in covariance().items()})
     rest = [c for c in gaussians.columns if c not in ("mean", "quat", "log_scale")]
+    g = _parts(gaussians, rest)
     if scene:
         j = g.join(F.broadcast(cams), g[scene] == cams["cam"])
     else:
         j = g.crossJoin(F.broadcast(cams))
-    v = lambda r, c: f"view[{4 * r + c}]"
-    j = j.withColumns({f"t{r}": F.expr(f"{v(r, 0)} * mean[0] + {v(r, 1)} * mean[1] + {v(r, 2)} * mean[2] + {v(r, 3)}") for r in range(3)})
-    sym = lambda a, b: f"c{min(a, b)}{max(a, b)}"
-    turned = {}
-    for a in range(3):
-        for b in range(a, 3):
-            turned[f"w{a}{b}"] = F.expr(" + ".join(f"{v(a, m)} * {sym(m, n)} * {v(b, n)}" for m in range(3) for n in range(3)))
-    j = j.withColumns(turned)
+    j = j.withColumns({f"t{r}": F.expr(f"v{r}0 * m0 + v{r}1 * m1 + v{r}2 * m2 + v{r}3") for r in range(3)})
     seen = F.col("t2").between(near, far)
     j = j if keep_culled else j.where(seen)
     if orthographic:
@@ -88,19 +96,20 @@ def project(
         j = j.withColumns({n: F.expr(f"t2 * least({lim[a][1]}, greatest(-{lim[a][0]}, {t} / t2))") for n, a, t in (("l0", "x", "t0"), ("l1", "y", "t1"))})
         jac = {"a0": F.expr("fx / t2"), "a2": F.expr("-fx * l0 / (t2 * t2)"), "b1": F.expr("fy / t2"), "b2": F.expr("-fy * l1 / (t2 * t2)")}
         at = {"mx": F.expr("fx * t0 / t2 + cx"), "my": F.expr("fy * t1 / t2 + cy")}
+    # the covariance in the image is T T^T with T = J V R S, two rows of three
     j = j.withColumns(jac | at)
-    j = j.withColumns({
-        "p": F.expr("a0 * a0 * w00 + 2 * a0 * a2 * w02 + a2 * a2 * w22"),
-        "q": F.expr("a0 * b1 * w01 + a0 * b2 * w02 + a2 * b1 * w12 + a2 * b2 * w22"),
-        "r": F.expr("b1 * b1 * w11 + 2 * b1 * b2 * w12 + b2 * b2 * w22"),
-    })
+    j = j.withColumns({f"x{c}": F.expr(f"a0 * v0{c} + a2 * v2{c}") for c in range(3)} | {f"y{c}": F.expr(f"b1 * v1{c} + b2 * v2{c}") for c in range(3)})
+    j = j.withColumns({f"{o}{c}": F.expr(" + ".join(f"{n}{r} * s{r}{c}" for r in range(3))) for n, o in (("x", "g"), ("y", "h")) for c in range(3)})
+    dot = lambda a, b: F.expr(" + ".join(f"{a}{c} * {b}{c}" for c in range(3)))
+    j = j.withColumns({"p": dot("g", "g"), "q": dot("g", "h"), "r": dot("h", "h")})
     j = j.withColumns({"det0": F.expr("p * r - q * q"), "p": F.col("p") + blur, "r": F.col("r") + blur})
     j = j.withColumn("det", F.expr("p * r - q * q"))
     j = j.withColumns({"radius_x": F.ceil(EXTENT * F.sqrt("p")).cast("int"), "radius_y": F.ceil(EXTENT * F.sqrt("r")).cast("int")})
     good = seen & (F.col("det") > 0) & ~((F.col("radius_x") <= radius_clip) & (F.col("radius_y") <= radius_clip))
     for m, r, n in (("mx", "radius_x", size[0]), ("my", "radius_y", size[1])):
         good = good & (F.col(m) + F.col(r) > 0) & (F.col(m) - F.col(r) < n)
-    good = F.coalesce(good, F.lit(False))
+    j = _settled(j.withColumn("good", F.coalesce(good, F.lit(False))))
+    good = F.col("good")
     if keep_culled:
         j = j.withColumns({r: F.when(good, F.col(r)).otherwise(0) for r in ("radius_x", "radius_y")})
     else:
@@ -122,24 +131,17 @@ def project_unscented(
     """
     lam = alpha * alpha * (3 + kappa) - 3
     spread = math.sqrt(3 + lam)
-    g = unit_quaternions(check_columns(gaussians, "id", "mean", "quat", "log_scale"))
     rest = [c for c in gaussians.columns if c not in ("mean", "quat", "log_scale")]
-    w, x, y, z = (f"quat[{n}]" for n in range(4))
-    rot = [
-        [f"1 - 2 * ({y} * {y} + {z} * {z})", f"2 * ({x} * {y} - {w} * {z})", f"2 * ({x} * {z} + {w} * {y})"],
-        [f"2 * ({x} * {y} + {w} * {z})", f"1 - 2 * ({x} * {x} + {z} * {z})", f"2 * ({y} * {z} - {w} * {x})"],
-        [f"2 * ({x} * {z} - {w} * {y})", f"2 * ({y} * {z} + {w} * {x})", f"1 - 2 * ({x} * {x} + {y} * {y})"],
-    ]
+    g = _parts(gaussians, rest)
     points = []
     for axis, sign in [(None, 0), *[(n, s) for n in range(3) for s in (1, -1)]]:
-        xyz = [f"mean[{r}]" + (f" + {sign * spread!r}D * exp(log_scale[{axis}]) * ({rot[r][axis]})" if sign else "") for r in range(3)]
+        xyz = [f"m{r}" + (f" + {sign * spread!r}D * s{r}{axis}" if sign else "") for r in range(3)]
         wm = lam / (3 + lam) if not sign else 0.5 / (3 + lam)
         wc = wm + (1 - alpha * alpha + beta if not sign else 0.0)
         points.append(f"named_struct('x', {xyz[0]}, 'y', {xyz[1]}, 'z', {xyz[2]}, 'wm', {wm!r}D, 'wc', {wc!r}D)")
     s = g.select(*rest, F.expr(f"inline(array({', '.join(points)}))"))
     s = s.crossJoin(F.broadcast(cameras_frame(gaussians.sparkSession, cameras)))
-    v = lambda r, c: f"view[{4 * r + c}]"
-    s = s.withColumns({f"t{r}": F.expr(f"{v(r, 0)} * x + {v(r, 1)} * y + {v(r, 2)} * z + {v(r, 3)}") for r in range(3)})
+    s = s.withColumns({f"t{r}": F.expr(f"v{r}0 * x + v{r}1 * y + v{r}2 * z + v{r}3") for r in range(3)})
     s = s.withColumns({"u": F.expr("IF(t2 > 0, fx * t0 / t2 + cx, NULL)"), "v": F.expr("IF(t2 > 0, fy * t1 / t2 + cy, NULL)")})
     ok = F.coalesce(
         F.col("t2").between(near, far) & F.col("u").between(-margin * size[0], size[0] * (1 + margin)) & F.col("v").between(-margin * size[1], size[1] * (1 + margin)),
@@ -160,6 +162,15 @@ def project_unscented(
     )
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The same rows, their columns computed before any later filter.
+
+    Filters are pushed below projections by writing out what columns stand for;
+    for long chains of arithmetic that grows without bound, and a generator stops it.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def harmonics(x: Column, y: Column, z: Column, degree: int) -> list[Column]:
     """Real spherical harmonics up to a degree (4 at most), by order, of a unit direction; odd orders are negative.
 
