@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut
-from .simhash import _hook
 
 COSINE = 0.95
 #: Trees, vectors aimed at per leaf, half width of the zone around a split that goes to both sides.
@@ -96,36 +95,52 @@ def compare_leaf(leaf: int, ids, mult, block, x: np.ndarray, leaves: list[list[i
     vectors, however many pairs link.
     """
     n = len(ids)
-    counts, labels = np.zeros(n, np.int64), np.arange(n)
     norms = np.linalg.norm(x, axis=1)
-    width = max(map(len, leaves), default=0)
-    earlier = np.full((n, width), -1, np.int64)
-    for i, own in enumerate(leaves):
-        less = [v for v in own if v < leaf]
-        earlier[i, : len(less)] = less
+    # leaves of smaller numbers that some vector here is in too, as rows of ones
+    own = [[v for v in some if v < leaf] for some in leaves]
+    names = {v: c for c, v in enumerate(sorted({v for some in own for v in some}))}
+    member = np.zeros((n, len(names)), np.float32)
+    for i, some in enumerate(own):
+        member[i, [names[v] for v in some]] = 1
     two = len(set(block.tolist())) > 1
-    for a in range(0, n, 1024):
-        cos = (x[a : a + 1024] @ x[a:].T) / (norms[a : a + 1024, None] * norms[None, a:])
-        i, j = np.nonzero(cos >= least)
-        i, j = i + a, j + a
-        ok = i < j
+    linked = np.zeros((n, n), bool)
+    counts = np.zeros(n, np.int64)
+    for a in range(0, n, 512):
+        part = slice(a, a + 512)
+        near = (x[part] @ x.T) / (norms[part, None] * norms[None]) >= least
         if two:
-            ok &= block[i] != block[j]
-        i, j = i[ok], j[ok]
-        _hook(labels, i, j)
-        for z in range(0, len(i), 1 << 16):
-            p, q = i[z : z + (1 << 16)], j[z : z + (1 << 16)]
-            seen = np.zeros(len(p), bool)
-            for c in range(width):
-                own = earlier[p, c]
-                seen |= ((earlier[q] == own[:, None]) & (own >= 0)[:, None]).any(1)
-            p, q = p[~seen], q[~seen]
-            counts += np.bincount(p, weights=mult[q], minlength=n).astype(np.int64)
-            counts += np.bincount(q, weights=mult[p], minlength=n).astype(np.int64)
+            near &= block[part, None] != block[None]
+        near[np.arange(len(near)), np.arange(a, a + len(near))] = False
+        linked[part] = near
+        if near.any():
+            counts[part] = (near & (member[part] @ member.T == 0)) @ mult
+    labels = _least_reached(linked)
     told = np.flatnonzero((counts > 0) | (labels != np.arange(n)))
     return ids[told], counts[told], ids[labels[told]]
 
 
+def _least_reached(linked: np.ndarray) -> np.ndarray:
+    """The least index reachable from each one by a symmetric relation."""
+    labels = np.arange(len(linked))
+    rows = np.flatnonzero(linked.any(1))
+    if not len(rows):
+        return labels
+    inner = linked[np.ix_(rows, rows)]
+    own = np.arange(len(rows))
+    while True:
+        new = own.copy()
+        for a in range(0, len(rows), 512):
+            part = slice(a, a + 512)
+            new[part] = np.minimum(own[part], np.where(inner[part], own[None], len(rows)).min(1))
+        while (up := new[new]).tobytes() != new.tobytes():
+            new = up
+        if (new == own).all():
+            break
+        own = new
+    labels[rows] = rows[own]
+    return labels
+
+
 def vector_links(vectors: DataFrame, least: float = COSINE, trees: int = TREES, spill: float = SPILL) -> DataFrame:
     """Links of cosine at least ``least`` among all vectors, and the groups they make.
 
