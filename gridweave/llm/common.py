@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +26,29 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder all executors share.
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for cuts of lineage, shared by all executors: what the session names in ``spark.checkpoint.dir``.
 
-    The folder is what the session names in ``spark.checkpoint.dir``; one is set
-    here only where the context has none, as in tests.
+    One is set here only where the context has none, as in tests.
     """
-    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    return spark.sparkContext.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder; for many rows, smaller than a checkpoint.
+
+    The table lies in the context's own checkpoint folder and goes with it.
+    """
+    path = f"{_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as a checkpoint in the shared folder."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

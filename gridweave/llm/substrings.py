@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import later_windows
-from .common import cut, id_text
+from .common import id_text, written
 from .windows import segments
 
 #: Bytes of a repeated string.
@@ -212,7 +212,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     claims = "h long, c long, doc_id long, tag int, at long"
     told = "doc_id long, tag int, start long, size long, h long, kind int"
     segs = rows.mapInArrow(_cut_documents(length), claims)
-    first = cut(segs.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(False), told))
+    first = written(segs.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(False), told))
 
     def fetched(kind: int, schema: str) -> DataFrame:
         ask = first.where(F.col("kind") == kind).groupBy("doc_id", "tag")
