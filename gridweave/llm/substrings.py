@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from .bwt import later_windows
 from .common import id_text, written
-from .windows import segments
+from .windows import segments, shared_runs
 
 #: Bytes of a repeated string.
 LENGTH = 100
 #: Bytes cut into segments at once; bytes indexed at once; contents under one anchor beyond which its windows are
 #: grouped one by one.
-PIECE, INDEX_BYTES, HOT_CONTENTS = 1 << 23, 1 << 20, 20_000
+PIECE, INDEX_BYTES, HOT_CONTENTS = 1 << 23, 1 << 21, 20_000
 MARK, INDEX, SPLIT = 0, 1, 2
 
 
@@ -154,9 +154,13 @@ def _index(length: int):
     """Index the segments of whole anchors together and mark what stands earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(batches, "h", INDEX_BYTES // (length + 34)):
-            doc, tag, start = (t.column(n).to_numpy() for n in ("doc_id", "tag", "start"))
-            runs = later_windows(t.column("seg").to_pylist(), doc, start, length)
+        for t in _by_key(batches, "h", INDEX_BYTES // length):
+            h, doc, tag, start = (t.column(n).to_numpy() for n in ("h", "doc_id", "tag", "start"))
+            segs = t.column("seg").to_pylist()
+            of, a, z = shared_runs(segs, h.view(np.uint64), length).T
+            doc, tag, start = doc[of], tag[of], start[of] + a
+            parts = [segs[i][x:y] for i, x, y in zip(of.tolist(), a.tolist(), z.tolist())]
+            runs = later_windows(parts, doc, start, length)
             of, a, z = runs[:, 0], runs[:, 1], runs[:, 2]
             cols = [doc[of], tag[of], start[of] + a, z - a + length - 1]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["doc_id", "tag", "start", "size"])
@@ -196,8 +200,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     equal anchors (see ``windows``).  Equal segments are one entry of a
     dictionary, told by 128 bits of hashes; all but the earliest occurrence of an
     entry are repeats.  Entries that share their anchor with another entry may
-    share strings with it: their texts are fetched and suffix-sorted together, in
-    blocks of whole anchors, and the intervals of at least ``length`` common bytes
+    share strings with it: their texts are fetched, windows whose core around the
+    anchor no other entry has are left out, and the rest is suffix-sorted, in
+    blocks of whole anchors; the intervals of at least ``length`` common bytes
     give the remaining repeats.  An anchor with more than ``HOT_CONTENTS`` entries
     has its windows grouped by their own digests instead, with the same result.
 

@@ -77,3 +77,56 @@ def segments(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: in
         whole = (whole ^ hashes[np.minimum(begin + j, begin + size - GRAM)]) * np.uint64(0x9E3779B97F4A7C15)
         whole ^= whole >> np.uint64(32)
     return of, begin, size, hashes[at], whole
+
+
+#: Classes of windows by where the anchor stands in them.
+CLASSES = 6
+
+
+def shared_runs(segs: list[bytes], anchors: np.ndarray, length: int) -> np.ndarray:
+    """Runs of windows that may occur in two segments of one anchor.
+
+    All windows in which the anchor stands ``lo`` to ``hi`` bytes from the start hold
+    the same core around it.  Equal windows have equal cores, so a window whose
+    core (by its hash) no other segment of the anchor has occurs nowhere else.
+    Returns rows of segment, first byte and end: what is left, each run by itself.
+    """
+    sizes = np.fromiter(map(len, segs), np.int64, len(segs))
+    if not len(segs):
+        return np.empty((0, 3), np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    data = np.frombuffer(b"".join([*segs, bytes(32)]), np.uint8)
+    hashes = gram_hashes(data)
+    of = np.repeat(np.arange(len(segs)), sizes)
+    hits = np.flatnonzero(hashes == anchors[of])
+    inside = hits - starts[of[hits]] + GRAM <= sizes[of[hits]]
+    anchor = np.zeros(len(segs), np.int64)
+    # a segment begins with a window in which its anchor is the first of equal grams
+    hits = hits[inside][::-1]
+    anchor[of[hits]] = hits
+    local, last = anchor - starts, sizes - length
+    span = length - GRAM + 1
+    found = []
+    for q in range(CLASSES):
+        lo, hi = span * q // CLASSES, span * (q + 1) // CLASSES - 1
+        a, z = np.maximum(0, local - hi), np.minimum(last, local - lo)
+        own = np.flatnonzero(a <= z)
+        core, end = anchor[own] - lo, anchor[own] + length - hi - GRAM
+        key = anchors[own] + np.uint64(q)
+        for step in range(0, length - hi + lo, GRAM):
+            key = (key ^ hashes[np.minimum(core + step, end)]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(32)
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        many = np.zeros(len(own), bool)
+        many[order[1:]] |= same
+        many[order[:-1]] |= same
+        found.append(np.stack([own[many], a[own[many]], z[own[many]]], 1))
+    rows = np.concatenate(found)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    if not len(rows):
+        return rows
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 2] + 1)
+    begin = np.flatnonzero(new)
+    return np.stack([rows[begin, 0], rows[begin, 1], rows[np.append(begin[1:], len(rows)) - 1, 2] + length], 1)

@@ -218,3 +218,23 @@ def test_vector_links(spark, monkeypatch, block):
     for i in range(1000, 1005):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert embeddings.vector_links(df.limit(0)).count() == 0
+
+
+def test_shared_runs_lose_no_shared_window():
+    rng = random.Random(5)
+    gram = bytes(rng.choice(b"abcd") for _ in range(windows.GRAM))
+    segs = []
+    for _ in range(60):
+        left = bytes(rng.choice(b"xy") for _ in range(80)) if rng.random() < 0.5 or not segs else rng.choice(segs)[:80]
+        right = bytes(rng.choice(b"xy") for _ in range(80)) if rng.random() < 0.5 or not segs else rng.choice(segs)[-80:]
+        segs.append((left + gram + right)[rng.randrange(80) : 100 + rng.randrange(80)])
+    segs = [s for s in segs if len(s) >= 100]
+    data = np.frombuffer(gram + bytes(32), np.uint8)
+    anchors = np.full(len(segs), windows.gram_hashes(data)[0])
+    seen = {}
+    for i, s in enumerate(segs):
+        for o in range(len(s) - 99):
+            seen.setdefault((s[o : o + 100], s.find(gram) - o), set()).add((i, o))
+    shared = {x for v in seen.values() if len(v) > 1 for x in v}
+    got = {(i, o) for i, a, z in windows.shared_runs(segs, anchors, 100).tolist() for o in range(a, z - 99)}
+    assert shared <= got and len(got) < sum(len(s) - 99 for s in segs)
