@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.spatial import IJK, KEY
 
+from gridweave.sources.shared import shared_folder
+
 from .grids import Grids, check_columns
 from .pool import inject
 from .topology import dilated_grid, pruned_grid
@@ -95,9 +97,7 @@ def _by_blocks(state: DataFrame, halo: int, solve) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    shared_folder(df.sparkSession, "")  # sets a checkpoint folder where there is none
     return df.checkpoint()
 
 

@@ -292,6 +292,37 @@ def top_contributors(footprints: DataFrame, pixels: DataFrame, size, k: int, til
     return c.withColumn("n", n).where(F.col("n") <= k).select("cam", "u", "v", "n", "id", "weight")
 
 
+def rasterize_world(
+    gaussians: DataFrame, footprints: DataFrame, rays: DataFrame, size: tuple[int, int], channels: Sequence[str], tile: int = 16
+) -> DataFrame:
+    """Blending by each pixel's own ray ``cam, u, v, ox, oy, oz, dx, dy, dz`` instead of a projected ellipse.
+
+    The ray is taken into the space where the Gaussian is a unit ball; its
+    response is that of the ray's point nearest to the centre.  ``footprints``
+    (projected, with ``opacity``) only say which tiles a Gaussian may touch.
+    """
+    rest = ["id"]
+    g = _parts(gaussians, rest)
+    g = g.withColumns({f"_n{c}": F.expr(" + ".join(f"s{r}{c} * s{r}{c}" for r in range(3))) for c in range(3)})
+    t = intersect_tiles(footprints, size, tile).select("cam", "id", "tile_x", "tile_y", "depth", "opacity", *channels).join(g, "id")
+    p = rays.withColumns({"tile_x": F.floor(F.col("u") / tile).cast("int"), "tile_y": F.floor(F.col("v") / tile).cast("int")})
+    j = p.join(t, ["cam", "tile_x", "tile_y"])
+    # rows of the inverse of R S are columns of R S over their squared length
+    j = j.withColumns({f"o{c}": F.expr(" + ".join(f"s{r}{c} * (o{a} - m{r})" for r, a in enumerate("xyz")) ) / F.col(f"_n{c}") for c in range(3)})
+    j = j.withColumns({f"d{c}": F.expr(" + ".join(f"s{r}{c} * d{a}" for r, a in enumerate("xyz"))) / F.col(f"_n{c}") for c in range(3)})
+    j = _settled(j.select("cam", "u", "v", "id", "depth", "opacity", *channels, "o0", "o1", "o2", "d0", "d1", "d2"))
+    j = j.withColumns({"_oo": F.expr("o0 * o0 + o1 * o1 + o2 * o2"), "_od": F.expr("o0 * d0 + o1 * d1 + o2 * d2"), "_dd": F.expr("d0 * d0 + d1 * d1 + d2 * d2")})
+    far = F.greatest(F.lit(0.0), F.expr("_oo - _od * _od / _dd"))
+    j = _settled(j.withColumn("alpha", F.least(F.lit(MAX_ALPHA), F.col("opacity") * F.exp(-0.5 * far)))).where(F.col("alpha") >= MIN_ALPHA)
+    w = Window.partitionBy("cam", "u", "v").orderBy("depth", "id")
+    j = j.withColumn("_l", F.log1p(-F.col("alpha")))
+    j = j.withColumn("_a", F.sum("_l").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.exp("_a") > DONE)
+    j = j.withColumn("_w", F.col("alpha") * F.exp(F.col("_a") - F.col("_l")))
+    got = j.groupBy("cam", "u", "v").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in channels], F.sum("_w").alias("opacity"))
+    out = rays.select("cam", "u", "v").join(got, ["cam", "u", "v"], "left")
+    return out.select("cam", "u", "v", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in (*channels, "opacity")])
+
+
 # -- upkeep ---------------------------------------------------------------------------------
 
 
