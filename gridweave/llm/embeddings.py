@@ -74,7 +74,7 @@ class Forest:
 
 def _matrix(vectors: pa.ListArray, dim: int) -> np.ndarray:
     sizes = vectors.value_lengths().to_numpy()
-    flat = vectors.flatten().to_numpy()
+    flat = vectors.flatten().to_numpy().astype(np.float64)
     if (sizes == dim).all():
         return flat.reshape(-1, dim)
     out = np.zeros((len(sizes), dim))
@@ -157,9 +157,9 @@ def vector_links(vectors: DataFrame, least: float = COSINE, trees: int = TREES,
     own that link with each other; rows with one ``vec_id`` share a component.
     Other columns are ignored; an empty table gives no rows.
     """
-    rows = vectors.select(
-        vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("v")
-    )
+    # single precision stays as it is on the way, and widens without loss where it is used
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast(f"array<{kind}>").alias("v"))
     fine = F.expr("v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(v, x -> x <> 0)")
     fine = F.coalesce(fine, F.lit(False))
     good = rows.where(fine)
@@ -176,7 +176,7 @@ def vector_links(vectors: DataFrame, least: float = COSINE, trees: int = TREES,
             cols = [b.column("rep"), b.column("mult"), b.column("v"), pa.array(leaves, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["rep", "mult", "v", "leaves"])
 
-    routed = cut(distinct.select("rep", "mult", "v").mapInArrow(route, "rep long, mult long, v array<double>, leaves array<long>"))
+    routed = cut(distinct.select("rep", "mult", "v").mapInArrow(route, f"rep long, mult long, v array<{kind}>, leaves array<long>"))
     placed = routed.select("rep", "mult", "v", "leaves", F.explode("leaves").alias("leaf"))
     large = placed.groupBy("leaf").count().where(F.col("count") > BLOCK)
     large = large.select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
