@@ -50,4 +50,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_chat_format, op3_quality, op4_language, op5_simhash, op6_licenses, op7_exact_dedup, op8_embeddings, op9_bpe, op10_mix_sources)}
-ORACLES = {"op2_chat_format": chat.SQL, "op7_exact_dedup": exact.SQL}
+ORACLES = {
+    "op1_suffix_array": substrings.SQL,
+    "op2_chat_format": chat.SQL,
+    "op7_exact_dedup": exact.SQL,
+    "op8_embeddings": embeddings.SQL,
+    "op10_mix_sources": mixing.SQL,
+}

@@ -236,3 +236,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out.mapInArrow(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
     )
+
+
+#: All windows of all documents, each byte by itself: the definition, for small tables.
+SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+p AS (SELECT doc_id, h, octet_length(h) AS n, unnest(range(octet_length(h))) AS pos FROM b),
+w AS (SELECT doc_id, pos, hex(array_slice(h, pos + 1, pos + 1)) AS byte, CASE WHEN pos + 100 <= n THEN array_slice(h, pos + 1, pos + 100) END AS win FROM p),
+f AS (SELECT win, min(doc_id) AS doc FROM w WHERE win IS NOT NULL GROUP BY win HAVING count(*) > 1),
+g AS (SELECT w.win, f.doc, min(w.pos) AS pos FROM w JOIN f ON w.win = f.win AND w.doc_id = f.doc GROUP BY 1, 2),
+m AS (SELECT w.doc_id, w.pos, w.byte, CASE WHEN g.win IS NOT NULL AND (w.doc_id <> g.doc OR w.pos <> g.pos) THEN 1 ELSE 0 END AS later
+      FROM w LEFT JOIN g ON g.win = w.win),
+c AS (SELECT doc_id, pos, byte, max(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM m),
+s AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS before FROM c),
+r AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed,
+             CAST(sum(CASE WHEN gone = 1 AND before = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_spans,
+             string_agg(CASE WHEN gone = 0 THEN byte END, '' ORDER BY pos) AS kept FROM s GROUP BY doc_id)
+SELECT b.doc_id, octet_length(b.h) AS n_bytes, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256
+FROM b LEFT JOIN r USING (doc_id)
+"""

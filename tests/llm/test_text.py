@@ -263,7 +263,7 @@ def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice("aaaabbz") if i % 9 else None if i % 2 else "other", 1, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, w int, mix_slot long")
-    out = mixing.mix_sources(df, weights, block=4, parts=8)
+    out = mixing.mix_sources(df, weights, block=4, digits=1)
     got = out.orderBy("mix_slot", "mix_pos").collect()
     assert sorted(r.doc_id for r in got) == list(range(3000))
     blocks = Counter()
@@ -281,7 +281,7 @@ def test_mixing(spark):
     for n, q in enumerate(order[:lasting], 1):
         seen[q] += 1
         assert all(abs(seen[x] - weights[x] * n / 14) < 1 for x in queues)
-    again = mixing.mix_sources(df.repartition(7), weights, block=4, parts=8).collect()
+    again = mixing.mix_sources(df.repartition(7), weights, block=4, digits=1).collect()
     assert {(r.doc_id, r.mix_slot, r.mix_pos) for r in again} == {(r.doc_id, r.mix_slot, r.mix_pos) for r in got}
     assert mixing.mix_sources(df.limit(0), weights).count() == 0
     assert mixing.mixed(df, weights).columns == df.columns
