@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ LENGTH = 100
 #: Bytes cut into segments at once; bytes indexed at once; contents under one anchor beyond which its windows are
 #: grouped one by one.
 PIECE, INDEX_BYTES, HOT_CONTENTS = 1 << 23, 1 << 21, 20_000
+#: Rows of segments compared at once; an anchor with more is taken in pieces.
+COMPARE_ROWS = 1 << 18
 MARK, INDEX, SPLIT = 0, 1, 2
 
 
@@ -93,29 +96,69 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
+def _told(t: pa.Table, windows: bool, large: bool, before: tuple | None) -> tuple[pa.RecordBatch, tuple]:
+    """What rows sorted by anchor, content, document and place say, and the last content's earliest row.
+
+    ``large``: all rows are of one anchor, which goes on; ``before`` is the content
+    that its rows so far ended with.
+    """
+    h, c, doc, tag, at = (t.column(n).to_numpy() for n in ("h", "c", "doc_id", "tag", "at"))
+    start, size, sure = at >> 9, (at >> 1) & 255, (at & 1).astype(bool)
+    new_h = np.ones(len(h), bool)
+    new_h[1:] = h[1:] != h[:-1]
+    # rows known to be later have no part in their group
+    ask = np.flatnonzero(~sure)
+    new = np.zeros(len(h), bool)
+    new[ask] = np.concatenate([[True], (h[ask][1:] != h[ask][:-1]) | (c[ask][1:] != c[ask][:-1])])[: len(ask)]
+    head = np.zeros(len(h), np.int64)
+    head[ask] = np.maximum.accumulate(np.where(new[ask], ask, 0))
+    later = sure | (doc != doc[head]) | (start != start[head])
+    if before is not None and len(ask) and before[0] == c[ask[0]]:
+        first = ask[head[ask] == ask[0]]
+        later[first] = (doc[first] != before[1]) | (start[first] != before[2])
+        new[ask[0]] = False
+        last = before if head[ask[-1]] == ask[0] else (c[ask[-1]], doc[head[ask[-1]]], start[head[ask[-1]]])
+    else:
+        last = (c[ask[-1]], doc[head[ask[-1]]], start[head[ask[-1]]]) if len(ask) else before
+    contents = np.bincount(np.cumsum(new_h) - 1, weights=new)[np.cumsum(new_h) - 1]
+    kind = np.where(later, MARK, np.where((contents > HOT_CONTENTS) | large, SPLIT, INDEX))
+    emit = later | (new & ((contents > 1) | large) & (not windows))
+    cols = [doc, tag, start, size, h, kind.astype(np.int32)]
+    names = ["doc_id", "tag", "start", "size", "h", "kind"]
+    return pa.RecordBatch.from_arrays([pa.array(x[emit]) for x in cols], names), last
+
+
 def _compare(windows: bool):
-    """Tell segments that stand earlier elsewhere from those whose anchor has other contents too."""
+    """Tell segments that stand earlier elsewhere from those whose anchor has other contents too.
+
+    Rows come sorted.  An anchor with more than ``COMPARE_ROWS`` rows is taken as it
+    comes, in pieces, and counts as one with too many contents to be indexed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_key(batches, "h", 1 << 18):
-            h, c, doc, tag, at = (t.column(n).to_numpy() for n in ("h", "c", "doc_id", "tag", "at"))
-            start, size, sure = at >> 9, (at >> 1) & 255, (at & 1).astype(bool)
-            o = np.lexsort((start, doc, c, sure, h))
-            h, c, doc, tag, start, size, sure = (x[o] for x in (h, c, doc, tag, start, size, sure))
-            n = np.arange(len(h))
-            new_h = np.ones(len(h), bool)
-            new_h[1:] = h[1:] != h[:-1]
-            new = new_h.copy()
-            new[1:] |= (c[1:] != c[:-1]) | (sure[1:] != sure[:-1])
-            head = np.maximum.accumulate(np.where(new, n, 0))
-            later = sure | (doc != doc[head]) | (start != start[head])
-            group = np.cumsum(new_h) - 1
-            contents = np.bincount(group, weights=new & ~sure)[group]
-            kind = np.where(later, MARK, np.where(contents > HOT_CONTENTS, SPLIT, INDEX))
-            emit = later | (new & ~sure & (contents > 1) & (not windows))
-            cols = [doc, tag, start, size, h, kind.astype(np.int32)]
-            cols = [pa.array(x[emit]) for x in cols]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tag", "start", "size", "h", "kind"])
+        held: list[pa.RecordBatch] = []
+        rows, open_h, before = 0, None, None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held.append(b)
+                rows += b.num_rows
+            if not rows or (b is not None and rows < COMPARE_ROWS):
+                continue
+            t = pa.Table.from_batches(held)
+            h = t.column("h").to_numpy()
+            a = int(np.searchsorted(h, h[0], side="right")) if h[0] == open_h else 0
+            if a:
+                out, before = _told(t.slice(0, a), windows, True, before)
+                yield out
+            z = len(h) if b is None else int(np.searchsorted(h, h[-1]))
+            if z > a:
+                yield _told(t.slice(a, z - a), windows, False, None)[0]
+            a = max(a, z)
+            if len(h) - a >= COMPARE_ROWS:
+                out, before = _told(t.slice(a), windows, True, None)
+                yield out
+                open_h, a = h[-1], len(h)
+            held, rows = t.slice(a).to_batches(), len(h) - a
 
     return run
 
@@ -203,8 +246,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     share strings with it: their texts are fetched, windows whose core around the
     anchor no other entry has are left out, and the rest is suffix-sorted, in
     blocks of whole anchors; the intervals of at least ``length`` common bytes
-    give the remaining repeats.  An anchor with more than ``HOT_CONTENTS`` entries
-    has its windows grouped by their own digests instead, with the same result.
+    give the remaining repeats.  An anchor with more than ``HOT_CONTENTS`` entries,
+    or more rows than are compared at once, has its windows grouped by their own digests instead, with the same result.
 
     Earlier means a smaller (``doc_id``, start); rows that share a ``doc_id`` don't
     precede each other, so repeated rows both keep what is first in them.
@@ -216,8 +259,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = rows.select("doc_id", F.hash("text").alias("tag"), "text")
     claims = "h long, c long, doc_id long, tag int, at long"
     told = "doc_id long, tag int, start long, size long, h long, kind int"
+    order = ("h", "c", "doc_id", "at")
     segs = rows.mapInArrow(_cut_documents(length), claims)
-    first = written(segs.repartition("h").sortWithinPartitions("h").mapInArrow(_compare(False), told))
+    first = written(segs.repartition("h").sortWithinPartitions(*order).mapInArrow(_compare(False), told))
 
     def fetched(kind: int, schema: str) -> DataFrame:
         ask = first.where(F.col("kind") == kind).groupBy("doc_id", "tag")
@@ -229,7 +273,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = parts.repartition("h").sortWithinPartitions("h")
     marks = marks.union(parts.mapInArrow(_index(length), "doc_id long, tag int, start long, size long"))
     if first.where(F.col("kind") == SPLIT).limit(1).count():
-        wins = fetched(SPLIT, claims).repartition("h").sortWithinPartitions("h")
+        wins = fetched(SPLIT, claims).repartition("h").sortWithinPartitions(*order)
         marks = marks.union(wins.mapInArrow(_compare(True), told).select("doc_id", "tag", "start", "size"))
     by_doc = marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size")).alias("segs"))
     out = rows.join(by_doc, ["doc_id", "tag"], "left").select("doc_id", "text", "segs")

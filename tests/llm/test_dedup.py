@@ -76,6 +76,27 @@ def test_trie_links(n, width):
     assert simhash.trie_links(f, np.array([0]), 0, 4, width).tolist() == want
 
 
+def test_dense_buckets(monkeypatch):
+    rng = np.random.default_rng(11)
+    f = np.full(1500, rng.integers(0, 1 << 62), np.uint64)
+    for i in range(1500):
+        for b in rng.choice(64, rng.integers(0, 7), replace=False):
+            f[i] ^= np.uint64(1) << np.uint64(b)
+    f = np.unique(f)
+    near = np.bitwise_count(f[:, None] ^ f[None, :]) <= 4
+    want = simhash.trie_links(f, np.array([0]), 0, 4).tolist()
+    part = np.arange(len(f))
+    while True:
+        new = np.where(near, part[None], len(f)).min(1)
+        if (new == part).all():
+            break
+        part = new
+    assert want == part.tolist()
+    monkeypatch.setattr(simhash, "DENSE", 50)
+    monkeypatch.setattr(simhash, "DENSE_WIDTH", 300)
+    assert simhash.trie_links(f, np.array([0]), 0, 4).tolist() == want
+
+
 @pytest.mark.parametrize("split", [50_000, 2])
 def test_near_links_across_buckets(spark, monkeypatch, split):
     """All pairs within four bits connect, whether or not buckets are dealt again."""
@@ -174,8 +195,9 @@ def brute_removed(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot,piece", [(20_000, 1 << 23), (1, 1 << 23), (20_000, 500)])
-def test_repeated_spans(spark, monkeypatch, hot, piece):
+@pytest.mark.parametrize("hot,piece,rows", [(20_000, 1 << 23, 1 << 18), (1, 1 << 23, 1 << 18), (20_000, 500, 1 << 18), (20_000, 1 << 23, 5), (3, 800, 2)])
+def test_repeated_spans(spark, monkeypatch, hot, piece, rows):
+    monkeypatch.setattr(substrings, "COMPARE_ROWS", rows)
     monkeypatch.setattr(substrings, "HOT_CONTENTS", hot)
     monkeypatch.setattr(substrings, "PIECE", piece)
     rng = random.Random(3)
@@ -184,9 +206,9 @@ def test_repeated_spans(spark, monkeypatch, hot, piece):
     texts[5:10] = [None, "", "a" * 1500, "a" * 1500, "xy" * 300]
     df = documents(spark, texts)
     df = df.union(df.where("doc_id = 3")).union(df.where("doc_id = 4").withColumn("text", df["lang"]))
-    rows = [(r.doc_id, r.text) for r in df.collect()]
+    want = brute_removed([(r.doc_id, r.text) for r in df.collect()], 100)
     got = substrings.repeated_spans(df).collect()
-    assert sorted(tuple(r)[:5] for r in got) == brute_removed(rows, 100)
+    assert sorted(tuple(r)[:5] for r in got) == want
     assert all(sum(r.spans[1::2]) - sum(r.spans[::2]) == r.n_removed for r in got)
     assert substrings.repeated_spans(df.limit(0)).count() == 0
 
@@ -238,3 +260,24 @@ def test_shared_runs_lose_no_shared_window():
     shared = {x for v in seen.values() if len(v) > 1 for x in v}
     got = {(i, o) for i, a, z in windows.shared_runs(segs, anchors, 100).tolist() for o in range(a, z - 99)}
     assert shared <= got and len(got) < sum(len(s) - 99 for s in segs)
+
+
+def test_an_anchor_compared_in_pieces(monkeypatch):
+    """However rows are dealt into batches, the same rows are later and each other content is asked for once."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = sorted((rng.choice([1, 2, 2, 2, 2, 3]), rng.randrange(4), rng.randrange(6), rng.randrange(5) * 512 + 240 + rng.choice([0, 0, 1])) for _ in range(200))
+    def told(size, limit):
+        monkeypatch.setattr(substrings, "COMPARE_ROWS", limit)
+        names = ["h", "c", "doc_id", "tag", "at"]
+        cut = [rows[a : a + size] for a in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in x]), pa.array([r[1] for r in x]), pa.array([r[2] for r in x]), pa.array([0] * len(x), pa.int32()), pa.array([r[3] for r in x])], names) for x in cut]
+        out = pa.Table.from_batches(substrings._compare(False)(iter(batches))).to_pylist()
+        marks = sorted((r["h"], r["doc_id"], r["start"]) for r in out if r["kind"] == substrings.MARK)
+        return marks, sorted((r["h"], r["doc_id"], r["start"]) for r in out if r["kind"] != substrings.MARK)
+
+    want = told(1000, 1000)
+    assert want[0] and want[1]
+    for size, limit in ((7, 1000), (7, 10), (3, 3), (50, 20), (200, 2)):
+        assert told(size, limit) == want
