@@ -18,6 +18,8 @@ SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 CHUNK, JOIN_ROWS = 1 << 15, 1 << 20
 #: Of 64 bits, the first bit of each of five blocks: fingerprints that differ in at most four bits agree in one.
 BLOCKS = (0, 13, 26, 39, 52)
+#: Prints of a bucket from which it counts as dense, and node pairs taken at once then.
+DENSE, DENSE_WIDTH = 4096, 1 << 16
 #: Within a bucket larger than this, the other 51 bits are dealt into five blocks again.
 SPLIT_ABOVE, SUB_BLOCKS = 50_000, ((13, 11), (24, 10), (34, 10), (44, 10), (54, 10))
 
@@ -76,7 +78,10 @@ def trie_links(prints: np.ndarray, starts: np.ndarray, depth: int, budget: int,
     the next bit; a pair whose prefixes differ in more bits than the budget is
     dropped with all below it.  Pairs of single leaves end in one comparison.
     Wide frontiers are taken in parts of ``width`` pairs, depth first, so memory
-    doesn't grow with the bucket.  The result has one label (the least index)
+    doesn't grow with the bucket.  In a bucket of more than ``DENSE`` prints, those
+    that differ in one bit are joined first, and a pair of nodes whose prints are
+    all joined already is dropped too: a large group of near copies is not
+    compared pair by pair.  The result has one label (the least index)
     per linked group: linear in the input, however many pairs link.
     """
     n = len(prints)
@@ -90,9 +95,17 @@ def trie_links(prints: np.ndarray, starts: np.ndarray, depth: int, budget: int,
             zeros[bit] = np.concatenate([[0], np.cumsum(clear)])
         return lo + zeros[bit][hi] - zeros[bit][lo]
 
+    dense = np.flatnonzero(ends - starts > DENSE)
+    for d in dense:
+        _link_flips(prints, slice(int(starts[d]), int(ends[d])), labels)
+    width = min(width, DENSE_WIDTH) if len(dense) else width
     stack = [(depth, starts, ends, starts, ends, np.zeros(len(starts), np.int8))]
     while stack:
         bit, al, ah, bl, bh, off = stack.pop()
+        if len(dense):
+            turns = np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])
+            joined = (turns[ah - 1] == turns[al]) & (turns[bh - 1] == turns[bl]) & (labels[al] == labels[bl])
+            al, ah, bl, bh, off = (x[~joined] for x in (al, ah, bl, bh, off))
         if len(al) > width:
             half = len(al) // 2
             stack.append((bit, al[half:], ah[half:], bl[half:], bh[half:], off[half:]))
@@ -125,6 +138,16 @@ def trie_links(prints: np.ndarray, starts: np.ndarray, depth: int, budget: int,
     return labels
 
 
+def _link_flips(prints: np.ndarray, rows: slice, labels: np.ndarray) -> None:
+    """Join prints that differ in one bit: with that bit cleared they are neighbours in order."""
+    own = prints[rows]
+    for bit in range(64):
+        clear = own & ~(np.uint64(1) << np.uint64(bit))
+        order = np.argsort(clear, kind="stable")
+        same = np.flatnonzero(clear[order][1:] == clear[order][:-1])
+        _hook(labels, rows.start + order[same], rows.start + order[same + 1])
+
+
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of a spanning forest for each bucket; rows come sorted by bucket and turned print."""
     held: list[pa.RecordBatch] = []
