@@ -6,6 +6,7 @@ import functools
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,10 +29,24 @@ LATIN_WORDS = re.compile(
     rf"{SUFFIXES}|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ɏ0-9²³¹¼-¾]+"
 )
 BEYOND_LATIN = re.compile("[^\x00-\x7fß-öø-ɏ\x80-\xbf×÷]")
-WORDS = regex.compile(rf"{SUFFIXES}|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 BREAK = re.compile(rf"[{SPACE}]")
 
 
+@functools.cache
+def any_words() -> regex.Pattern:
+    """The words of any script: letters and numbers as Python's Unicode tables have them, which are the library's."""
+    ranges = {"L": [], "N": []}
+    for c in range(sys.maxunicode + 1):
+        kind = ranges.get(unicodedata.category(chr(c))[0])
+        if kind is not None:
+            if kind and kind[-1][1] == c - 1:
+                kind[-1][1] = c
+            else:
+                kind.append([c, c])
+    letters, numbers = ("".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in ranges[k]) for k in "LN")
+    return regex.compile(rf"{SUFFIXES}|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -74,7 +89,7 @@ class WordBpe:
             else:
                 # lower-case letter by letter: a final sigma has no form of its own here
                 low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += (WORDS if BEYOND_LATIN.search(low) else LATIN_WORDS).findall(low)
+                out += (any_words() if BEYOND_LATIN.search(low) else LATIN_WORDS).findall(low)
         return out
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
