@@ -129,6 +129,11 @@ def unbind(spark, sf):
     return u.select(*jagged.LIST, F.size("v").alias("n"), F.col("v")[0].alias("first"), F.element_at("v", -1).alias("last"))
 
 
+@query(f"WITH {JAG} SELECT outer_idx, inner_idx, row_idx, 1.0::DOUBLE AS v FROM jag")
+def jagged_ones(spark, sf):
+    return jagged.filled(shape(spark, sf), "ones")
+
+
 @query(f"WITH {JAG} SELECT outer_idx, inner_idx, row_idx, v + v * v AS v FROM jag")
 def jagged_add(spark, sf):
     j = jag(spark, sf)
@@ -500,6 +505,16 @@ def rasterize(spark, sf):
     return _rounded(out, "red", "opacity")
 
 
+@query(
+    f"WITH {BLEND}, s AS (SELECT u, v, sum(weight * red) AS red, sum(weight) AS o FROM bl GROUP BY 1, 2) SELECT p.cam, p.u, p.v, {settled('coalesce(s.red, 0)', 5)} AS red, {settled('coalesce(s.o, 0)', 5)} AS opacity "
+    "FROM px p LEFT JOIN s USING (u, v) WHERE (p.u * 5 + p.v * 3) % 7 = 0"
+)
+def rasterize_sparse(spark, sf):
+    """Blending at requested pixels alone."""
+    px = splats.all_pixels(spark, [0], SIZE).where("(u * 5 + v * 3) % 7 = 0")
+    return _rounded(splats.rasterize(footprints(spark, sf), px, SIZE, ("red",)), "red", "opacity").select("cam", "u", "v", "red", "opacity")
+
+
 @query(f"WITH {BLEND} SELECT p.cam, p.u, p.v, count(b.id) AS n, {settled('coalesce(sum(b.weight), 0)', 5)} AS opacity FROM px p LEFT JOIN bl b USING (u, v) GROUP BY 1, 2, 3")
 def count_contributing_gaussians(spark, sf):
     return _rounded(splats.count_contributing(footprints(spark, sf), splats.all_pixels(spark, [0], SIZE), SIZE), "opacity")
@@ -534,6 +549,13 @@ def gaussian_nan_mask(spark, sf):
     return splats.finite_mask(g)
 
 
+@query()
+def project_gaussians_by_scene(spark, sf):
+    """Each camera sees the Gaussians of its own scene."""
+    g = gaussians(spark, sf).select("id", "mean", "quat", "log_scale", (F.col("id") % 2).cast("int").alias("scene"))
+    return _rounded(splats.project(g, CAMS, SIZE, scene="scene", orthographic=True), "mx", "my", "depth", "ca", "cb", "cc", "compensation")
+
+
 @query()
 def relocate_gaussians(spark, sf):
     out = splats.relocate(gaussians(spark, sf))

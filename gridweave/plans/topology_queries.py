@@ -297,6 +297,11 @@ def dual_grid_inner(spark, sf):
     return topology.dual_grid(line_grid(spark, sf), exclude_border=True).voxels
 
 
+@query(f"WITH {VOX_L} SELECT DISTINCT grid_id, i + di AS i, j + dj AS j, k + dk AS k FROM vox, {box_sql(-1, 2)} b")
+def padded_grid(spark, sf):
+    return topology.padded_grid(line_grid(spark, sf), -1, 2).voxels
+
+
 @query(f"WITH {VOX_E} SELECT DISTINCT grid_id, CAST(floor(i / 2.0) AS INTEGER) AS i, CAST(floor(j / 3.0) AS INTEGER) AS j, CAST(floor(k / 2.0) AS INTEGER) AS k FROM vox")
 def coarsened_grid(spark, sf):
     return topology.coarsened_grid(emb_grid(spark, sf), (2, 3, 2)).voxels
@@ -361,6 +366,12 @@ def morton(spark, sf):
     return topology.curve_codes(emb_grid(spark, sf), "morton")
 
 
+@query(f"WITH {VOX_E}, s AS (SELECT *, CAST(i + 64 AS BIGINT) AS ci, CAST(j + 64 AS BIGINT) AS cj, CAST(k + 64 AS BIGINT) AS ck FROM vox) SELECT grid_id, i, j, k, {morton_sql('ci', 'cj', 'ck')} AS code FROM s")
+def morton_from_ijk(spark, sf):
+    """Codes of coordinates moved by a given offset."""
+    return topology.curve_codes(emb_grid(spark, sf), "morton", (64, 64, 64))
+
+
 @query(f"WITH {LOW} SELECT grid_id, i, j, k, {morton_sql('ck', 'cj', 'ci')} AS code FROM s")
 def morton_zyx(spark, sf):
     return topology.curve_codes(emb_grid(spark, sf), "morton_zyx")
