@@ -166,7 +166,7 @@ def fitting_sample(docs: DataFrame, labels: DataFrame, rows: int, most: int) ->
     sees ``rows`` texts of at most ``most`` bytes, whatever the size of the corpus.
     """
     pick = labels.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    pick = pick.select(F.col("doc_id").alias("_id"), "y").dropDuplicates(["_id"])
+    pick = pick.groupBy(F.col("doc_id").alias("_id")).agg(F.min("y").alias("y"))
     pick = pick.orderBy(F.xxhash64(F.col("_id"), F.lit(11)), "_id").limit(rows)
     texts = id_text(docs).where(F.octet_length("text") <= most)
     got = texts.join(F.broadcast(pick), texts["doc_id"] == pick["_id"]).select("doc_id", "text", "y")
