@@ -103,7 +103,7 @@ TEXTS = [
 ]
 LEVELS = (1, 2, 3, 4)
 #: What a text must contain for any rule to be tried.
-GATE = r"licen[cs]|copyright|spdx|public domain|reserved|hereby|redistribut|creative|warranty|proprietary|altered source"
+GATE = r"licen[cs]|copyright|spdx|public +domain|reserved|hereby|redistribut|creative|warranty|proprietary|altered +source"
 
 
 def rules() -> list[tuple[int, int, float, str, str, str]]:
