@@ -386,12 +386,17 @@ def depth_images(spark):
     return p, {0: (k, eye), 1: (k, eye)}
 
 
-@query(
-    f"WITH px AS (SELECT CAST(g AS INTEGER) AS grid_id, CAST(u AS INTEGER) AS u, CAST(v AS INTEGER) AS v, {DEPTH_SQL} AS depth, CAST((u + v) % 3 AS DOUBLE) AS weight FROM (SELECT unnest(range(2)) AS g), (SELECT unnest(range(16)) AS u), (SELECT unnest(range(12)) AS v)), "
+FUSED = (
+    f"px AS (SELECT CAST(g AS INTEGER) AS grid_id, CAST(u AS INTEGER) AS u, CAST(v AS INTEGER) AS v, {DEPTH_SQL} AS depth, CAST((u + v) % 3 AS DOUBLE) AS weight FROM (SELECT unnest(range(2)) AS g), (SELECT unnest(range(16)) AS u), (SELECT unnest(range(12)) AS v)), "
     "p AS (SELECT grid_id, depth * (u - 8) / 16 AS x, depth * (v - 6) / 16 AS y, depth AS z FROM px), "
     f"b AS (SELECT DISTINCT grid_id, CAST(floor(x / 0.125::DOUBLE + 0.5) AS INTEGER) + di AS i, CAST(floor(y / 0.125::DOUBLE + 0.5) AS INTEGER) + dj AS j, CAST(floor(z / 0.125::DOUBLE + 0.5) AS INTEGER) + dk AS k FROM p, {box_sql(-2, 2)} o), "
     "c AS (SELECT *, i * 0.125::DOUBLE AS x, j * 0.125::DOUBLE AS y, k * 0.125::DOUBLE AS z FROM b), s AS (SELECT *, CAST(trunc((16 * x + 8 * z) / z) AS INTEGER) AS pu, CAST(trunc((16 * y + 6 * z) / z) AS INTEGER) AS pv FROM c), "
-    "m AS (SELECT s.*, px.depth - s.z AS gap, px.weight FROM s LEFT JOIN px ON px.grid_id = s.grid_id AND px.u = s.pu AND px.v = s.pv AND s.z > 0) "
+    "m AS (SELECT s.*, px.depth - s.z AS gap, px.weight, px.u AS red FROM s LEFT JOIN px ON px.grid_id = s.grid_id AND px.u = s.pu AND px.v = s.pv AND s.z > 0)"
+)
+
+
+@query(
+    f"WITH {FUSED} "
     f"SELECT grid_id, i, j, k, {settled('CASE WHEN gap > -0.25 AND weight > 0 THEN least(1.0::DOUBLE, gap / 0.25::DOUBLE) ELSE 0 END')} AS tsdf, CAST(CASE WHEN gap > -0.25 AND weight > 0 THEN weight ELSE 0 END AS DOUBLE) AS weight FROM m"
 )
 def integrate_tsdf(spark, sf):
@@ -402,13 +407,18 @@ def integrate_tsdf(spark, sf):
     return out.withColumn("tsdf", settle(F.col("tsdf")))
 
 
-@query()
+@query(
+    f"WITH {FUSED} SELECT grid_id, i, j, k, {settled('CASE WHEN gap > -0.25 AND weight > 0 THEN least(1.0::DOUBLE, gap / 0.25::DOUBLE) ELSE 0 END')} AS tsdf, "
+    f"CAST(CASE WHEN gap > -0.25 AND weight > 0 THEN 2 * weight ELSE 0 END AS DOUBLE) AS weight, CAST(CASE WHEN gap > -0.25 AND weight > 0 THEN red ELSE 0 END AS DOUBLE) AS red FROM m"
+)
 def integrate_tsdf_with_features(spark, sf):
+    """The same images twice: values stay, weights double."""
     p, cams = depth_images(spark)
     g = Grids(build.shared_meta(spark.range(2).selectExpr("cast(id AS int) AS grid_id"), 0.125, 0.0), spark.createDataFrame([], "grid_id int, i int, j int, k int"), ((0.125,) * 3, (0.0,) * 3))
     state = spark.createDataFrame([], "grid_id int, i int, j int, k int, tsdf double, weight double, red double")
     g, state = tsdf.integrate_tsdf(g, state, p, cams, (16, 12), 0.25, ("red",))
-    return tsdf.integrate_tsdf(g, state, p, cams, (16, 12), 0.25, ("red",))[1]
+    out = tsdf.integrate_tsdf(g, state, p, cams, (16, 12), 0.25, ("red",))[1]
+    return _rounded(out, "tsdf", "red", digits=6)
 
 
 @query()
@@ -445,7 +455,45 @@ def _rounded(df, *names, digits=5):
     return df.withColumns({n: settle(F.col(n), digits) for n in names})
 
 
-@query()
+def gauss_sql(limit: int = 300) -> str:
+    """The Gaussians and the parts of their rotation times scale, step by step."""
+    x = lambda n: f"CAST(embedding[{n + 1}] AS DOUBLE)"
+    rot = splats.rotation("q0", "q1", "q2", "q3")
+    cells = ", ".join(f"({rot[r][c]}) * e{c} AS s{r}{c}" for r in range(3) for c in range(3))
+    return (
+        f"ga AS (SELECT vec_id AS id, {x(0)} * 3 AS m0, {x(1)} * 3 AS m1, {x(2)} + 2.5 AS m2, {x(3)} + 1 AS w0, {x(4)} AS w1, {x(5)} AS w2, {x(6)} AS w3, {x(7)} - 2 AS l0, {x(8)} - 2 AS l1, {x(9)} - 2 AS l2, "
+        f"{x(10)} * 4 AS logit, 0.5 + {x(10)} AS opacity, vec_id % 5 + 1 AS ratio FROM embeddings WHERE vec_id < {limit}), "
+        "gb AS (SELECT *, sqrt(w0 * w0 + w1 * w1 + w2 * w2 + w3 * w3) AS wn, exp(l0) AS e0, exp(l1) AS e1, exp(l2) AS e2 FROM ga), gc AS (SELECT *, w0 / wn AS q0, w1 / wn AS q1, w2 / wn AS q2, w3 / wn AS q3 FROM gb), "
+        f"gd AS (SELECT *, {cells} FROM gc)"
+    )
+
+
+def cams_sql() -> str:
+    rows = []
+    for c, (k, view) in CAMS.items():
+        flat = [float(v) for row in view[:3] for v in row]
+        rows.append(f"({c}, " + ", ".join(f"{float(v)!r}::DOUBLE" for v in (k[0][0], k[1][1], k[0][2], k[1][2], *flat)) + ")")
+    names = ", ".join(f"v{r}{c}" for r in range(3) for c in range(4))
+    return f"cams(cam, fx, fy, cx, cy, {names}) AS (VALUES {', '.join(rows)})"
+
+
+PROJECTED = (
+    f"{gauss_sql()}, {cams_sql()}, t AS (SELECT *, " + ", ".join(f"v{r}0 * m0 + v{r}1 * m1 + v{r}2 * m2 + v{r}3 AS t{r}" for r in range(3)) + " FROM gd, cams), "
+    "l AS (SELECT *, t2 * least((64 - cx) / fx + 0.15 * 64 / fx, greatest(-(cx / fx + 0.15 * 64 / fx), t0 / t2)) AS c0, t2 * least((48 - cy) / fy + 0.15 * 48 / fy, greatest(-(cy / fy + 0.15 * 48 / fy), t1 / t2)) AS c1 FROM t WHERE t2 BETWEEN 0.01 AND 1e10), "
+    "j AS (SELECT *, fx / t2 AS a0, -fx * c0 / (t2 * t2) AS a2, fy / t2 AS b1, -fy * c1 / (t2 * t2) AS b2, fx * t0 / t2 + cx AS mx, fy * t1 / t2 + cy AS my FROM l), "
+    "v AS (SELECT *, " + ", ".join(f"a0 * v0{c} + a2 * v2{c} AS x{c}, b1 * v1{c} + b2 * v2{c} AS y{c}" for c in range(3)) + " FROM j), "
+    "u AS (SELECT *, " + ", ".join(f"x0 * s0{c} + x1 * s1{c} + x2 * s2{c} AS g{c}, y0 * s0{c} + y1 * s1{c} + y2 * s2{c} AS h{c}" for c in range(3)) + " FROM v), "
+    "k AS (SELECT *, g0 * g0 + g1 * g1 + g2 * g2 AS p0, g0 * h0 + g1 * h1 + g2 * h2 AS q, h0 * h0 + h1 * h1 + h2 * h2 AS r0 FROM u), "
+    "d AS (SELECT *, p0 + 0.3 AS p, r0 + 0.3 AS r, (p0 + 0.3) * (r0 + 0.3) - q * q AS det, CAST(ceil(3.33 * sqrt(p0 + 0.3)) AS INTEGER) AS radius_x, CAST(ceil(3.33 * sqrt(r0 + 0.3)) AS INTEGER) AS radius_y FROM k), "
+    "shown AS (SELECT * FROM d WHERE det > 0 AND mx + radius_x > 0 AND mx - radius_x < 64 AND my + radius_y > 0 AND my - radius_y < 48)"
+)
+
+
+@query(
+    f"WITH {PROJECTED} SELECT id, cam, radius_x, radius_y, "
+    + ", ".join(f"{settled(f'({e})', 5)} AS {n}" for n, e in {"mx": "mx", "my": "my", "depth": "t2", "ca": "r / det", "cb": "-q / det", "cc": "p / det", "compensation": "sqrt(greatest(0.0::DOUBLE, (p0 * r0 - q * q) / det))", "opacity": "opacity", "logit_opacity": "logit"}.items())
+    + " FROM shown"
+)
 def project_gaussians(spark, sf):
     return _rounded(splats.project(gaussians(spark, sf).drop("ratio", "red"), CAMS, SIZE), "mx", "my", "depth", "ca", "cb", "cc", "compensation", "opacity", "logit_opacity")
 
@@ -556,13 +604,21 @@ def project_gaussians_by_scene(spark, sf):
     return _rounded(splats.project(g, CAMS, SIZE, scene="scene", orthographic=True), "mx", "my", "depth", "ca", "cb", "cc", "compensation")
 
 
-@query()
+@query(
+    f"WITH {gauss_sql()}, o AS (SELECT *, 1 / (1 + exp(-logit)) AS o FROM gd), n AS (SELECT *, greatest(0.005::DOUBLE, least(1 - 2.220446049250313e-16::DOUBLE, 1 - pow(1 - o, 1.0::DOUBLE / ratio))) AS p FROM o), "
+    "i AS (SELECT *, unnest(range(1, ratio + 1)) AS i FROM n), k AS (SELECT *, unnest(range(i)) AS k FROM i), "
+    "c AS (SELECT id, sum(CAST(factorial(CAST(i - 1 AS INTEGER)) / (factorial(CAST(k AS INTEGER)) * factorial(CAST(i - 1 - k AS INTEGER))) AS DOUBLE) * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * pow(p, k + 1) / sqrt(k + 1)) AS total FROM k GROUP BY 1) "
+    f"SELECT n.id, {settled('ln(p / (1 - p))', 5)} AS logit_opacity, {settled('ln(o / total) + l0', 5)} AS s0 FROM n JOIN c USING (id)"
+)
 def relocate_gaussians(spark, sf):
     out = splats.relocate(gaussians(spark, sf))
     return out.select("id", settle(F.col("logit_opacity"), 5).alias("logit_opacity"), settle(F.col("log_scale")[0], 5).alias("s0"))
 
 
-@query()
+@query(
+    f"WITH {gauss_sql()}, f AS (SELECT *, 10.0 / (1 + exp(100 * (1 / (1 + exp(-logit)) - 0.005))) AS f FROM gd), z AS (SELECT *, s00 - s10 + 0.5 * s20 AS z0, s01 - s11 + 0.5 * s21 AS z1, s02 - s12 + 0.5 * s22 AS z2 FROM f) "
+    "SELECT id, " + ", ".join(f"{settled(f'(m{r} + f * (s{r}0 * z0 + s{r}1 * z1 + s{r}2 * z2))', 5)} AS {a}" for r, a in enumerate("xyz")) + " FROM z"
+)
 def noisy_gaussian_means(spark, sf):
     g = gaussians(spark, sf).withColumn("noise", F.array(F.lit(1.0), F.lit(-1.0), F.lit(0.5)))
     out = splats.add_noise(g, 10.0, noise="noise")
