@@ -19,7 +19,7 @@ from .windows import segments, shared_runs
 LENGTH = 100
 #: Bytes cut into segments at once; bytes indexed at once; contents under one anchor beyond which its windows are
 #: grouped one by one.
-PIECE, INDEX_BYTES, HOT_CONTENTS = 1 << 23, 1 << 21, 20_000
+PIECE, INDEX_BYTES, HOT_CONTENTS = 1 << 21, 1 << 20, 20_000
 #: Rows of segments compared at once; an anchor with more is taken in pieces.
 COMPARE_ROWS = 1 << 18
 MARK, INDEX, SPLIT = 0, 1, 2
