@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete what finished jobs shuffled.
+
+    Shuffle files go when the driver's JVM collects the plans they belong to, which a
+    driver with memory to spare does late.  Plans are still held by listeners for a
+    moment after a job, so events are waited for first.
+    """
+    gc.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a checkpoint in the shared folder."""
     _checkpoint_dir(df.sparkSession)

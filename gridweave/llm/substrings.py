@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import later_windows
-from .common import id_text, written
+from .common import id_text, release, written
 from .windows import segments, shared_runs
 
 #: Bytes of a repeated string.
@@ -272,7 +272,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = fetched(INDEX, "h long, doc_id long, tag int, start long, seg binary")
     parts = parts.repartition("h").sortWithinPartitions("h")
     marks = marks.union(parts.mapInArrow(_index(length), "doc_id long, tag int, start long, size long"))
-    if first.where(F.col("kind") == SPLIT).limit(1).count():
+    split = first.where(F.col("kind") == SPLIT).limit(1).count()
+    release(rows.sparkSession)  # the segments' shuffle, the largest
+    if split:
         wins = fetched(SPLIT, claims).repartition("h").sortWithinPartitions(*order)
         marks = marks.union(wins.mapInArrow(_compare(True), told).select("doc_id", "tag", "start", "size"))
     by_doc = marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size")).alias("segs"))
