@@ -20,8 +20,9 @@ CHUNK, JOIN_ROWS = 1 << 15, 1 << 20
 BLOCKS = (0, 13, 26, 39, 52)
 #: Prints of a bucket from which it counts as dense, and node pairs taken at once then.
 DENSE, DENSE_WIDTH = 4096, 1 << 16
-#: Within a bucket larger than this, the other 51 bits are dealt into five blocks again.
+#: Within a bucket larger than this, the other bits (51, or 52 for the last block) are dealt into five blocks again.
 SPLIT_ABOVE, SUB_BLOCKS = 50_000, ((13, 11), (24, 10), (34, 10), (44, 10), (54, 10))
+LAST_SUB_BLOCKS = ((12, 11), (23, 11), (34, 10), (44, 10), (54, 10))
 
 
 def simhash(text: str | None, size: int = SHINGLE_WORDS) -> int:
@@ -179,8 +180,9 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def near_links(prints: DataFrame) -> DataFrame:
     """Pairs ``a``, ``b`` of the distinct fingerprints in column ``fp`` that connect all within four bits.
 
-    Each print goes to five buckets, one per block of its bits; prints within four
-    bits share a bucket.  The 40,960 possible buckets are counted, and in those of
+    Each print goes to five buckets, one per block of its bits (13 bits each, the
+    last 12, so no bit is in two blocks); prints within four bits share a bucket.
+    The 36,864 possible buckets are counted, and in those of
     more than ``SPLIT_ABOVE`` prints the remaining bits are dealt into blocks once
     more by the same argument, so large corpora don't meet in large buckets.
     """
@@ -191,17 +193,23 @@ def near_links(prints: DataFrame) -> DataFrame:
         + ")"
         for i, b in enumerate(BLOCKS)
     )
+    last = len(BLOCKS) - 1
     keyed = prints.select("fp", F.expr(f"inline(array({turn}))")).selectExpr(
-        "fp", "turned", "block * 8192 + cast(shiftrightunsigned(turned, 51) AS int) AS main"
+        "fp", "turned", f"block * 8192 + cast(shiftrightunsigned(turned, IF(block = {last}, 52, 51)) AS int) AS main"
     )
     large = keyed.groupBy("main").count().where(F.col("count") > SPLIT_ABOVE).select("main", F.lit(True).alias("big"))
-    subs = ", ".join(
-        f"{i * 2048 + 2048}L + (shiftrightunsigned(turned, {64 - at - n}) & {(1 << n) - 1}L)"
-        for i, (at, n) in enumerate(SUB_BLOCKS)
-    )
-    # at most 40,960 rows, whatever the input: the number of main buckets
+
+    def subs(blocks: tuple[tuple[int, int], ...]) -> str:
+        keys = ", ".join(
+            f"{i * 2048 + 2048}L + (shiftrightunsigned(turned, {64 - at - n}) & {(1 << n) - 1}L)"
+            for i, (at, n) in enumerate(blocks)
+        )
+        return f"array({keys})"
+
+    again = f"IF(main >= {last * 8192}, {subs(LAST_SUB_BLOCKS)}, {subs(SUB_BLOCKS)})"
+    # at most 36,864 rows, whatever the input: the number of main buckets
     dealt = keyed.join(F.broadcast(large), "main", "left").selectExpr(
-        "fp", "turned", "main", f"explode(IF(big, array({subs}), array(0L))) AS sub"
+        "fp", "turned", "main", f"explode(IF(big, {again}, array(0L))) AS sub"
     )
     buckets = dealt.selectExpr("main * 16384L + sub AS bucket", f"turned ^ {flip} AS turned", "fp")
     ordered = buckets.repartition("bucket").sortWithinPartitions("bucket", "turned")

@@ -119,6 +119,26 @@ def test_near_links_across_buckets(spark, monkeypatch, split):
     assert got == components(len(prints), want)
 
 
+@pytest.mark.parametrize("split", [50_000, 1])
+def test_one_bit_of_each_block_but_one(spark, monkeypatch, split):
+    """Prints that agree in a single block, bit 0 and the ends of the blocks among the flipped bits."""
+    monkeypatch.setattr(simhash, "SPLIT_ABOVE", split)
+    rng = random.Random(12)
+    ends = [*simhash.BLOCKS, 64]
+    flips = [(0, 15, 30, 45), (0, 13, 26, 39), (12, 25, 38, 51)]
+    for free in range(5):
+        for _ in range(30):
+            flips.append(tuple(rng.choice([ends[b], ends[b + 1] - 1, rng.randrange(ends[b], ends[b + 1])]) for b in range(5) if b != free))
+    pairs = []
+    for bits in flips:
+        p = rng.getrandbits(64)
+        pairs.append((p, p ^ sum(1 << (63 - b) for b in bits)))
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    df = spark.createDataFrame([(signed(p),) for pair in pairs for p in pair], "fp long")
+    got = {frozenset((e.a, e.b)) for e in simhash.near_links(df).collect()}
+    assert got == {frozenset(map(signed, pair)) for pair in pairs}
+
+
 def test_near_groups(spark):
     df = documents(spark)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_groups(df.union(df)).collect()}
