@@ -104,6 +104,8 @@ TEXTS = [
 LEVELS = (1, 2, 3, 4)
 #: What a text must contain for any rule to be tried.
 GATE = r"licen[cs]|copyright|spdx|public +domain|reserved|hereby|redistribut|creative|warranty|proprietary|altered +source"
+#: Keywords that a version may follow within the word ("gplv3"): for these the word need only begin with the keyword.
+GLUED = ("agpl", "gpl", "lgpl")
 
 
 def rules() -> list[tuple[int, int, float, str, str, str]]:
@@ -122,8 +124,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """License phrases, labels and a score for every whole text.
 
     Base places: the phrases of ``BASE`` as consecutive words.  Rules: a text that
-    passes ``GATE`` is tried with the rules whose keyword it holds as a word, and
-    every match is a detection.  A detection is suppressed if it lies within one of
+    passes ``GATE`` is tried with the rules whose keyword it holds as a word (or, of
+    ``GLUED``, at the start of a word), and every match is a detection.  Each rule's
+    regex implies its keyword, so no match is lost to it.  A detection is suppressed if it lies within one of
     smaller or equal priority number that starts earlier, or at the same word and
     is longer, or, for the same words, comes first in the rules.  Labels are the
     base labels and those of the detections left.  ``score`` is the largest score
@@ -167,7 +170,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     keywords = F.array(*[F.lit(k) for k in sorted({r[4] for r in table})])
     gated = rows.where(F.col("w").rlike(GATE)).select("doc_id", "h", F.regexp_replace("w", " +", " ").alias("w"))
     tried = gated.withColumn(
-        "keyword", F.explode(F.filter(keywords, lambda k: F.contains(F.col("w"), F.concat(F.lit(" "), k, F.lit(" ")))))
+        "keyword", F.explode(F.filter(keywords, lambda k: F.contains(F.col("w"), F.concat(F.lit(" "), k, F.when(k.isin(*GLUED), "").otherwise(" ")))))
     ).join(F.broadcast(rule_table(docs.sparkSession)), "keyword")
     hits = tried.withColumn("found", F.expr("regexp_extract_all(w, regex, 0)")).where("size(found) > 0")
     parts = hits.select(

@@ -244,6 +244,57 @@ def test_licenses(spark):
     assert len(licenses.rules()) > 200
 
 
+def every_rule(text):
+    """Labels and score by all rules, each tried on every text."""
+    t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    joined = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)) + " "
+    found = [(m.start(), m.end(), p, n, label, s) for n, p, s, label, _, regex in licenses.rules() for m in re.finditer(regex, joined)]
+    left = [
+        d for d in found
+        if not any(e[0] <= d[0] and e[1] >= d[1] and e[2] <= d[2] and (e[0], -e[1], *e[2:4]) < (d[0], -d[1], *d[2:4]) for e in found)
+    ]
+    base = {name for p, name in licenses.BASE.items() if f" {p} " in joined}
+    return ",".join(sorted(base | {d[4] for d in left})), max([d[5] for d in left] + [0.5 if base else 0.0])
+
+
+def spellings(regex, most, nth):
+    """A text of the rule: with all or no optional parts, and the nth of its alternatives."""
+
+    def write(parsed):
+        for op, arg in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                yield chr(arg)
+            elif op == "IN":
+                kind, first = arg[0]
+                yield chr(first if str(kind) == "LITERAL" else first[0])
+            elif op == "MAX_REPEAT":
+                yield "".join("".join(write(arg[2])) for _ in range(arg[1] if most else arg[0]))
+            elif op == "SUBPATTERN":
+                yield from write(arg[3])
+            elif op == "BRANCH":
+                yield from write(arg[1][nth % len(arg[1])])
+
+    return "".join(write(re._parser.parse(regex))).strip()
+
+
+def every_spelling():
+    return sorted({spellings(r[5], most, nth) for r in licenses.rules() for most in (True, False) for nth in range(6)})
+
+
+def held_against_every_rule(spark, texts):
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(documents(spark, texts)).collect()}
+    want = {i: every_rule(t) for i, t in enumerate(texts)}
+    assert {texts[i]: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+    return [want[i] for i in range(len(texts))]
+
+
+def test_versions_glued_to_the_name(spark):
+    texts = ["This program is licensed under GPLv3.", "License: GPLv3", "License: LGPLv2.1", "licensed under the AGPL3", "SPDX-License-Identifier: LGPLv3 license"]
+    told = held_against_every_rule(spark, [*texts, *(t for t in every_spelling() if re.search(licenses.GATE, t))])
+    assert [t[0] for t in told[:5]] == ["gpl-3.0", "gpl-3.0", "lgpl-2.1", "agpl-3.0", "lgpl-3.0"]
+
+
 # -- mixing ----------------------------------------------------------------------------------------------
 
 
