@@ -103,7 +103,10 @@ TEXTS = [
 ]
 LEVELS = (1, 2, 3, 4)
 #: What a text must contain for any rule to be tried.
-GATE = r"licen[cs]|copyright|spdx|public +domain|reserved|hereby|redistribut|creative|warranty|proprietary|altered +source"
+GATE = (
+    r"licen[cs]|copyright|spdx|public +domain|reserved|hereby|redistribut|creative|warranty|proprietary|altered +source"
+    r"|(?:released|distributed|published|available|provided) +under"
+)
 #: Keywords that a version may follow within the word ("gplv3"): for these the word need only begin with the keyword.
 GLUED = ("agpl", "gpl", "lgpl")
 
@@ -126,9 +129,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Base places: the phrases of ``BASE`` as consecutive words.  Rules: a text that
     passes ``GATE`` is tried with the rules whose keyword it holds as a word (or, of
     ``GLUED``, at the start of a word), and every match is a detection.  Each rule's
-    regex implies its keyword, so no match is lost to it.  A detection is suppressed if it lies within one of
-    smaller or equal priority number that starts earlier, or at the same word and
-    is longer, or, for the same words, comes first in the rules.  Labels are the
+    regex implies both, so no match is lost to them.  A detection is suppressed if it
+    lies within one of smaller or equal priority number that starts earlier, or at the
+    same word and is longer, or, for the same words, comes first in the rules.  Labels are the
     base labels and those of the detections left.  ``score`` is the largest score
     of these, 0.5 for base places alone, else 0.
 

@@ -295,6 +295,12 @@ def test_versions_glued_to_the_name(spark):
     assert [t[0] for t in told[:5]] == ["gpl-3.0", "gpl-3.0", "lgpl-2.1", "agpl-3.0", "lgpl-3.0"]
 
 
+def test_no_rule_is_narrowed_by_the_gate(spark):
+    texts = ["Released under the MIT", "Distributed under the BSD 3-Clause", "available   under GPL 3", "published\nunder zlib.", "provided under the ISC"]
+    told = held_against_every_rule(spark, [*texts, *every_spelling()])
+    assert told[:5] == [("mit", 0.9), ("bsd-3-clause", 0.9), ("gpl-3.0", 0.9), ("zlib", 0.9), ("isc", 0.9)]
+
+
 # -- mixing ----------------------------------------------------------------------------------------------
 
 
