@@ -225,9 +225,15 @@ RAYS = "rays AS (SELECT grid_id, point_id AS ray_id, -6.0::DOUBLE AS ox, y AS oy
 
 
 def some_rays(spark, sf):
+    """The rays that the SQL casts."""
+    return every_ray(spark, sf).where("ray_id < 64")
+
+
+def every_ray(spark, sf):
+    """A ray through each point."""
     from .base import emb_points
 
-    p = emb_points(spark, sf).where("point_id < 64")
+    p = emb_points(spark, sf)
     return p.select("grid_id", F.col("point_id").alias("ray_id"), F.lit(-6.0).alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.lit(1.0).alias("dx"), F.lit(0.01).alias("dy"), F.lit(-0.02).alias("dz"))
 
 
@@ -285,7 +291,7 @@ def uniform_ray_samples_ends(spark, sf):
 
 @query()
 def cone_ray_samples(spark, sf):
-    s = rays.uniform_ray_samples(some_rays(spark, sf), emb_grid(spark, sf), 0.01, cone_angle=0.005)
+    s = rays.uniform_ray_samples(every_ray(spark, sf), emb_grid(spark, sf), 0.01, cone_angle=0.005)
     return s.withColumns({"t0": settle(F.col("t0")), "t1": settle(F.col("t1"))})
 
 
