@@ -11,7 +11,7 @@ from gridweave.sources.shared import shared_folder
 from gridweave.streaming import merge
 
 from .base import FEAT_E, emb_grid, feature, query, settled, table
-from .list_queries import CAMS, SIZE, gaussians
+from .list_queries import CAMS, SIZE, every_gaussian
 
 
 @query(f"WITH {FEAT_E} SELECT CASE grid_id WHEN 4 THEN 0 ELSE 1 END AS grid_id, i, j, k, CAST(f AS DOUBLE) AS f FROM feat WHERE grid_id IN (4, 1)")
@@ -71,7 +71,7 @@ def windowed_voxel_moments(spark, sf):
 
 @query()
 def rasterize_world_space(spark, sf):
-    g = gaussians(spark, sf).drop("ratio", "logit_opacity")
+    g = every_gaussian(spark, sf).drop("ratio", "logit_opacity")
     foot = splats.project(g, {0: CAMS[0]}, SIZE).select("cam", "id", "mx", "my", "depth", "radius_x", "radius_y", "opacity", "red")
     px = splats.all_pixels(spark, [0], SIZE)
     eye = px.selectExpr("cam", "u", "v", "0.0D AS ox", "0.0D AS oy", "0.0D AS oz", "(u + 0.5D - 32) / 50 AS dx", "(v + 0.5D - 24) / 50 AS dy", "1.0D AS dz")

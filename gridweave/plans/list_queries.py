@@ -444,9 +444,14 @@ def retopologize_sdf(spark, sf):
 SIZE = (64, 48)
 
 
-def gaussians(spark, sf, n: int = 300):
-    """Gaussians in front of a camera, from the vectors."""
-    e = table(spark, sf, "embeddings").where(F.col("vec_id") < n)
+def gaussians(spark, sf):
+    """The Gaussians that the SQL makes."""
+    return every_gaussian(spark, sf).where("id < 300")
+
+
+def every_gaussian(spark, sf):
+    """Gaussians in front of a camera, one from each vector."""
+    e = table(spark, sf, "embeddings")
     x = lambda i: F.col("embedding")[i].cast("double")
     return e.select(
         F.col("vec_id").alias("id"), F.array(x(0) * 3, x(1) * 3, x(2) + 2.5).alias("mean"), F.array(x(3) + 1, x(4), x(5), x(6)).alias("quat"),
@@ -506,7 +511,7 @@ def project_gaussians(spark, sf):
 
 @query()
 def project_gaussians_unscented(spark, sf):
-    return _rounded(splats.project_unscented(gaussians(spark, sf).select("id", "mean", "quat", "log_scale"), CAMS, SIZE), "mx", "my", "depth", "ca", "cb", "cc", digits=3)
+    return _rounded(splats.project_unscented(every_gaussian(spark, sf).select("id", "mean", "quat", "log_scale"), CAMS, SIZE), "mx", "my", "depth", "ca", "cb", "cc", digits=3)
 
 
 #: Footprints with exact values, for what comes after projection: SQL makes the same ones.
@@ -606,7 +611,7 @@ def gaussian_nan_mask(spark, sf):
 @query()
 def project_gaussians_by_scene(spark, sf):
     """Each camera sees the Gaussians of its own scene."""
-    g = gaussians(spark, sf).select("id", "mean", "quat", "log_scale", (F.col("id") % 2).cast("int").alias("scene"))
+    g = every_gaussian(spark, sf).select("id", "mean", "quat", "log_scale", (F.col("id") % 2).cast("int").alias("scene"))
     return _rounded(splats.project(g, CAMS, SIZE, scene="scene", orthographic=True), "mx", "my", "depth", "ca", "cb", "cc", "compensation")
 
 

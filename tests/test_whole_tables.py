@@ -59,3 +59,83 @@ def test_a_cone_for_every_point(spark, vectors):
     assert max(i for _, i in want) > len(vectors) - 20  # tilted rays may miss, but not all of the last
     assert all(abs(got[k][1] - want[k][1]) < 1e-4 for k in want)
     assert np.mean([got[k][0] == want[k][0] for k in want]) > 0.98  # a step may end on an edge
+
+
+# -- Gaussians -----------------------------------------------------------------------------
+
+CAMERAS = {0: (50.0, np.eye(4)), 1: (40.0, np.array([[0.8, 0, 0.6, 0], [0, 1, 0, 0], [-0.6, 0, 0.8, 0.5], [0, 0, 0, 1]]))}
+
+
+def shaped(v):
+    """Mean, and rotation times scale, of a vector's Gaussian."""
+    w, x, y, z = (q := np.array([v[3] + 1, v[4], v[5], v[6]])) / np.linalg.norm(q)
+    rot = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]])
+    return np.array([v[0] * 3, v[1] * 3, v[2] + 2.5]), rot @ np.diag(np.exp(v[7:10] - 2))
+
+
+def footprint(v, cam, flat):
+    """Position, depth and radii of a Gaussian in a camera, or None where it is culled."""
+    f, view = CAMERAS[cam]
+    mean, m = shaped(v)
+    t = view[:3, :3] @ mean + view[:3, 3]
+    if t[2] < 0.01:
+        return None
+    if flat:
+        jac, at = np.array([[f, 0, 0], [0, f, 0]]), f * t[:2] + [32, 24]
+    else:
+        a = [t[2] * min((n - c) / f + 0.15 * n / f, max(-(c / f + 0.15 * n / f), x / t[2])) for x, c, n in ((t[0], 32, 64), (t[1], 24, 48))]
+        jac, at = np.array([[f / t[2], 0, -f * a[0] / t[2] ** 2], [0, f / t[2], -f * a[1] / t[2] ** 2]]), f * t[:2] / t[2] + [32, 24]
+    cov = jac @ view[:3, :3] @ m
+    cov = cov @ cov.T + 0.3 * np.eye(2)
+    radii = np.ceil(3.33 * np.sqrt(np.diag(cov)))
+    if np.linalg.det(cov) <= 0 or (at + radii <= 0).any() or (at - radii >= [64, 48]).any():
+        return None
+    return at, t[2], radii
+
+
+def same_places(rows, want):
+    got = {(r.id, r.cam): (r.mx, r.my, r.depth) for r in rows}
+    assert set(got) ^ set(want) == set()
+    assert max(i for i, _ in want) > 480
+    assert all(np.allclose(got[k], want[k], atol=2e-3) for k in want)
+
+
+def test_every_gaussian_in_its_scene(spark, vectors):
+    want = {(i, i % 2): (*f[0], f[1]) for i, (_, v) in vectors.items() if (f := footprint(v, i % 2, True))}
+    same_places(catalog.QUERIES["project_gaussians_by_scene"](spark, SF).collect(), want)
+
+
+def test_every_gaussian_unscented(spark, vectors):
+    lam, want = 0.01 * 3 - 3, {}
+    for i, (_, v) in vectors.items():
+        mean, m = shaped(v)
+        sigma = np.array([mean, *[mean + s * math.sqrt(3 + lam) * m[:, n] for n in range(3) for s in (1, -1)]])
+        wm = np.array([lam / (3 + lam), *[0.5 / (3 + lam)] * 6])
+        for cam, (f, view) in CAMERAS.items():
+            t = sigma @ view[:3, :3].T + view[:3, 3]
+            uv = f * t[:, :2] / t[:, 2:] + [32, 24]
+            if (t[:, 2] >= 0.01).all() and (uv >= [-6.4, -4.8]).all() and (uv <= [64 * 1.1, 48 * 1.1]).all():
+                want[i, cam] = (*(wm @ uv), wm @ t[:, 2])
+    same_places(catalog.QUERIES["project_gaussians_unscented"](spark, SF).collect(), want)
+
+
+def test_every_gaussian_in_world_space(spark, vectors):
+    u, v = np.meshgrid(np.arange(64), np.arange(48))
+    d = np.stack([(u + 0.5 - 32) / 50, (v + 0.5 - 24) / 50, np.ones_like(u, float)], -1)
+    through, opacity, red = np.zeros(u.shape), np.zeros(u.shape), np.zeros(u.shape)
+    prints = sorted((f[1], i, f) for i, (_, x) in vectors.items() if (f := footprint(x, 0, False)))
+    for _, i, (at, _, radii) in prints:
+        x = vectors[i][1]
+        mean, m = shaped(x)
+        inverse = np.linalg.inv(m)
+        o, e = inverse @ -mean, d @ inverse.T
+        far = np.maximum(0, o @ o - (e @ o) ** 2 / (e * e).sum(-1))
+        alpha = np.minimum(0.99, (0.5 + x[10]) * np.exp(-0.5 * far))
+        low, high = np.floor((at - radii) / 16), np.ceil((at + radii) / 16)
+        on = (u // 16 >= low[0]) & (u // 16 < high[0]) & (v // 16 >= low[1]) & (v // 16 < high[1]) & (alpha >= 1 / 255)
+        after = through + np.where(on, np.log1p(-np.where(on, alpha, 0)), 0)
+        weight = np.where(on & (np.exp(after) > 1e-4), alpha * np.exp(through), 0)
+        through, opacity, red = after, opacity + weight, red + weight * x[11]
+    rows = catalog.QUERIES["rasterize_world_space"](spark, SF).collect()
+    assert len(rows) == 64 * 48
+    assert all(abs(r.opacity - opacity[r.v, r.u]) < 2e-4 and abs(r.red - red[r.v, r.u]) < 2e-4 for r in rows)
