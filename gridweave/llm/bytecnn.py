@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, rows_of, text_digest
 
 #: Bounds of the fitting sample, the only rows a model is learned from: documents, and bytes of each.
 FIT_ROWS, FIT_BYTES = 1500, 32_768
@@ -239,6 +239,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, mos
     counts as empty; a null ``doc_id`` is not held out; empty tables give no rows;
     without labels every score is one half.
     """
+    scored = _quality(docs, labels, id_text(docs), "doc_id long, score double", rows, most)
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def _quality(docs: DataFrame, labels: DataFrame, texts: DataFrame, schema: str, rows: int, most: int) -> DataFrame:
+    """Scores of ``texts`` (``doc_id``, ``text`` and what else stays), learned from ``docs`` and ``labels``."""
     y = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("y"))
     model = fit_quality(fitting_sample(docs, y.where("y IN (0, 1)"), rows, most))
     net, mix = model.net, model.mix
@@ -251,24 +262,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, mos
             texts, score = _bytes(b.column(1)), [np.empty(0)]
             for a, z in _batches(texts):
                 score.append(m.scores(texts[a:z]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(score))], ["doc_id", "score"])
+            rest = b.schema.names[2:]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(score)), *b.columns[2:]], ["doc_id", "score", *rest])
 
-    scored = id_text(docs).mapInArrow(run, "doc_id long, score double")
-    return scored.select(
-        "doc_id",
-        F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
-        "score",
-        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
-    )
+    return texts.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` whose text is predicted to be of quality 1, columns unchanged.
 
-    Rows that share a ``doc_id`` stay if one of them is good.
+    Rows are told by ``doc_id`` (which may be null) and their text's digest.
     """
-    good = quality_scores(docs, labels, rows).where("predicted = 1").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, docs["doc_id"].cast("long") == good["_good"], "left_semi")
+    texts = id_text(docs).withColumn("digest", text_digest(F.col("text")))
+    scored = _quality(docs, labels, texts, "doc_id long, score double, digest string", rows, FIT_BYTES)
+    return rows_of(docs, scored.where("score >= 0.5").select("doc_id", "digest"), text_digest(docs["text"]))
 
 
 # -- language ---------------------------------------------------------------------------

@@ -27,6 +27,25 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def text_digest(text):
+    """256 bits of a text, in hex; null counts as empty."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+def rows_of(docs: DataFrame, keep: DataFrame, digest, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` and ``digest`` are in ``keep`` (``doc_id``, ``digest``), columns unchanged.
+
+    A null id equals a null id.  With ``once``, one row of those that share both stays.
+    """
+    # plain equalities, so that repeated rows are found in the join's own partitions
+    keys = lambda i, d: {"_none": F.isnull(i), "_id": F.coalesce(i, F.lit(0)), "_digest": d}
+    names = ["_none", "_id", "_digest"]
+    keep = keep.withColumns(keys(keep["doc_id"], keep["digest"])).select(names).distinct()
+    named = docs.withColumns(keys(docs["doc_id"].cast("long"), digest))
+    kept = named.join(keep, [named[n] == keep[n] for n in names], "left_semi")
+    return (kept.dropDuplicates(names) if once else kept).drop(*names)
+
+
 def _checkpoint_dir(spark: SparkSession) -> str:
     """The folder for cuts of lineage, shared by all executors: what the session names in ``spark.checkpoint.dir``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_text
+from .common import ascii_lower, id_text, rows_of, text_digest
 
 
 def exact_groups(docs: DataFrame, salts: int = 16) -> DataFrame:
@@ -47,11 +47,11 @@ def exact_groups(docs: DataFrame, salts: int = 16) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged; one row per group.
 
-    Of repeated rows with one ``doc_id`` a single one stays.
+    Rows are told by ``doc_id`` (null where a group has no other) and digest, so
+    different texts under one ``doc_id`` each stay.
     """
-    keep = exact_groups(docs, salts).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    keep = exact_groups(docs, salts).where("doc_id <=> keep_id").select("doc_id", F.col("text_sha256").alias("digest"))
+    return rows_of(docs, keep, text_digest(ascii_lower(docs["text"].cast("string"))), once=True)
 
 
 SQL = """

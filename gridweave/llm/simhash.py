@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, id_text
+from .common import connected_components, cut, id_text, rows_of, text_digest
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 #: Shingles hashed at once, and fingerprints joined at once.
@@ -51,7 +51,8 @@ def simhash(text: str | None, size: int = SHINGLE_WORDS) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = np.fromiter((simhash(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        rest = b.schema.names[2:]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *rest])
 
 
 def _hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -225,19 +226,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
     wordless texts have fingerprint zero and link like any other; repeated rows
     each get their row; an empty table gives none; other columns are ignored.
     """
-    rows = cut(id_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long"))
+    rows, leaf = _grouped(id_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long"))
+    out = rows.join(leaf, "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of fingerprints ``fp``, materialised, and each distinct one's ``component`` and ``component_id``."""
+    rows = cut(rows)
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     groups = connected_components(near_links(distinct))
     named = distinct.join(groups, distinct["fp"] == groups["id"], "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("component")
     )
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    leaf = named.select("fp", "component").join(least, "component").select("fp", "component_id")
-    out = rows.join(leaf, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows, named.select("fp", "component").join(least, "component").select("fp", "component", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its group, columns unchanged."""
-    keep = near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi")
+    """The rows of ``docs`` whose document has the smallest id of its group, columns unchanged.
+
+    A null id comes last; of different texts under the smallest id, that of the least digest stays.
+    """
+    texts = id_text(docs).withColumn("digest", text_digest(F.col("text")))
+    rows, leaf = _grouped(texts.mapInArrow(_fingerprints, "doc_id long, fp long, digest string"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "digest")).alias("first")
+    keep = rows.join(leaf, "fp").groupBy("component").agg(first).select("first.doc_id", "first.digest")
+    return rows_of(docs, keep, text_digest(docs["text"]))

@@ -3,7 +3,7 @@ import hashlib
 import corpus_pipeline
 from tokenizers import Tokenizer
 
-from gridweave.llm import bpe, bytecnn, simhash
+from gridweave.llm import bpe, bytecnn, exact, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +40,18 @@ def test_stage_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """A text is dropped for its quality or its copies, never for its id."""
+    said = ["the cat sat on the mat", "green hills lie beyond the old river town", "she counted seven boats in the harbour", "snow fell all night upon the silent road"]
+    rows = [(None, said[0]), (None, said[0].upper()), (None, said[1]), (7, said[2]), (7, said[3]), (8, said[3]), (9, said[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert sorted(map(str, bytecnn.keep_good(df, labels).collect())) == sorted(map(str, df.collect()))  # all score one half
+    kept = [(r.doc_id, (r.text or "").lower()) for r in exact.drop_exact_copies(df).collect()]
+    assert sorted(kept, key=str) == sorted([(None, said[0]), (None, said[1]), (7, said[2]), (9, said[3])], key=str)
+    kept = [(r.doc_id, r.text.lower()) for r in simhash.drop_near_copies(df.where("text <> upper(text)")).collect()]
+    assert sorted(kept, key=str) == sorted([(None, said[0]), (None, said[1]), (7, said[2]), (7, said[3])], key=str)
+    twice = spark.createDataFrame([(5, said[0]), (5, said[1])], "doc_id long, text string")
+    assert exact.drop_exact_copies(twice).count() == 2
