@@ -71,65 +71,195 @@ NAMES = [
     ("wtfpl", "wtfpl", r"wtfpl"),
     ("zlib", "zlib", r"zlib"),
 ]
-#: Hand-written ways a license is named: priority (smaller wins), score, and the wording around the name.
+#: Hand-written ways a license is named: priority (smaller wins), score, second keyword, and the wording around the name.
 FORMS = [
-    (1, 1.0, "spdx license identifier {}"),
-    (2, 0.9, "(?:licensed|released|distributed|published|available|provided) under (?:the )?(?:terms of )?(?:the )?{}(?: licen[cs]e)?"),
-    (3, 0.8, "licen[cs]e (?:is )?(?:the )?{}(?: licen[cs]e)?"),
-    (4, 0.6, "{} licen[cs](?:e|ed|ing)"),
+    (1, 1.0, "spdx", "spdx license identifier {}"),
+    (2, 0.9, " under ", "(?:licensed|released|distributed|published|available|provided) under (?:the )?(?:terms of )?(?:the )?{}(?: licen[cs]e)?"),
+    (3, 0.8, "licen", "licen[cs]e (?:is )?(?:the )?{}(?: licen[cs]e)?"),
+    (4, 0.6, "licen", "{} licen[cs](?:e|ed|ing)"),
 ]
 #: Hand-written signatures of license texts and notices: priority, score, label, keyword, regex.
 TEXTS = [
+    # grants, conditions and disclaimers as the licenses word them
     (1, 1.0, "mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    (1, 1.0, "mit", "substantial", r"this permission notice shall be included in all copies or substantial portions of the software"),
+    (1, 1.0, "mit", "restriction", r"deal in the software without restriction including without limitation the rights to use"),
+    (1, 1.0, "x11", "consortium", r"name of the x consortium shall not be used in advertising"),
     (1, 1.0, "isc", "hereby", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    (1, 1.0, "isc", "sublicense", r"permission to use copy modify sublicense and or distribute this software for any purpose"),
+    (1, 1.0, "hpnd", "hereby", r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted"),
     (1, 1.0, "bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    (1, 1.0, "bsd", "redistributions", r"redistributions of source code must retain the (?:above )?copyright notice"),
+    (1, 1.0, "bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    (1, 1.0, "bsd-3-clause", "endorse", r"nor the names of (?:its|the) contributors may be used to endorse or promote products"),
+    (1, 1.0, "bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     (1, 1.0, "apache-2.0", "apache", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    (1, 1.0, "apache-2.0", "apache", r"apache license version 2 0 january 2004"),
+    (1, 1.0, "apache-2.0", "applicable", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    (1, 1.0, "apache-1.1", "apache", r"this product includes software developed by the apache software foundation"),
     (1, 1.0, "gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
-    (1, 1.0, "lgpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu lesser general public licen[cs]e"),
+    (1, 1.0, "lgpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
+    (1, 1.0, "agpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu affero general public licen[cs]e"),
+    (1, 1.0, "gpl", "received", r"you should have received a copy of the gnu general public licen[cs]e"),
+    (1, 1.0, "lgpl", "received", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e"),
+    (1, 1.0, "agpl", "received", r"you should have received a copy of the gnu affero general public licen[cs]e"),
+    (1, 1.0, "gpl-2.0-or-later", "either", r"general public licen[cs]e as published by the free software foundation either version 2 of the licen[cs]e or at your option any later version"),
+    (1, 1.0, "gpl-3.0-or-later", "either", r"general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e or at your option any later version"),
+    (1, 1.0, "lgpl-2.1-or-later", "either", r"general public licen[cs]e as published by the free software foundation either version 2 1 of the licen[cs]e or at your option any later version"),
+    (1, 1.0, "gpl", "copyleft", r"the gnu general public licen[cs]e is a free copyleft licen[cs]e"),
+    (1, 1.0, "gpl", "everyone", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document"),
+    (1, 1.0, "classpath-exception", "statically", r"linking this library statically or dynamically with other modules"),
+    (1, 1.0, "gfdl", "invariant", r"with no invariant sections"),
+    (1, 1.0, "mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
+    (1, 1.0, "mpl-1.1", "mozilla", r"contents of this file are subject to the mozilla public licen[cs]e version 1 1"),
+    (1, 1.0, "npl-1.1", "netscape", r"contents of this file are subject to the netscape public licen[cs]e"),
+    (1, 1.0, "epl", "eclipse", r"accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    (1, 1.0, "cddl", "distribution", r"subject to the terms of the common development and distribution licen[cs]e"),
     (1, 1.0, "zlib", "altered", r"altered source versions must be plainly marked as such"),
+    (1, 1.0, "zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    (1, 1.0, "bsl-1.0", "boost", r"boost software licen[cs]e version 1 0 august 17(?:th)? 2003"),
     (1, 1.0, "unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    (1, 1.0, "wtfpl", "fuck", r"do what the fuck you want to public licen[cs]e"),
+    (1, 1.0, "json", "evil", r"the software shall be used for good not evil"),
+    (1, 1.0, "beerware", "beer", r"the beer ?ware licen[cs]e"),
+    (1, 1.0, "perl", "perl", r"(?:under the )?same terms as perl itself"),
+    (1, 1.0, "ruby", "ruby", r"same terms as ruby(?: itself)?"),
+    (1, 1.0, "ofl-1.1", "font", r"this font software is licensed under the sil open font licen[cs]e"),
+    (1, 1.0, "openssl", "openssl", r"this product includes software developed by the openssl project"),
+    (1, 1.0, "busl-1.1", "licensor", r"(?:the )?licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
+    (1, 1.0, "commons-clause", "clause", r"commons clause licen[cs]e condition"),
+    # names in full
     (2, 0.9, "gpl", "gnu", r"gnu general public licen[cs]e"),
-    (2, 0.9, "lgpl", "gnu", r"gnu lesser general public licen[cs]e"),
+    (2, 0.9, "lgpl", "gnu", r"gnu (?:lesser|library) general public licen[cs]e"),
+    (2, 0.9, "agpl", "gnu", r"gnu affero general public licen[cs]e"),
+    (2, 0.9, "gfdl", "gnu", r"gnu free documentation licen[cs]e"),
+    (2, 0.9, "cc", "creative", r"creative commons licen[cs]e"),
+    (2, 0.9, "cc0-1.0", "creative", r"creative commons zero"),
     (2, 0.9, "cc-by", "creative", r"creative commons attribution"),
+    (2, 0.9, "cc-by-sa", "creative", r"creative commons attribution share ?alike"),
+    (2, 0.9, "cc-by-nc", "creative", r"creative commons attribution non ?commercial"),
+    (2, 0.9, "cc-by-nd", "creative", r"creative commons attribution no ?deriv(?:s|atives|ative works)"),
+    (2, 0.9, "cc-by-nc-sa", "creative", r"creative commons attribution non ?commercial share ?alike"),
+    (2, 0.9, "cc-by-nc-nd", "creative", r"creative commons attribution non ?commercial no ?deriv(?:s|atives|ative works)"),
     (2, 0.9, "cc-by", "creativecommons", r"creativecommons org licenses by"),
+    (2, 0.9, "cc-by-sa", "creativecommons", r"creativecommons org licenses by sa"),
+    (2, 0.9, "cc-by-nc", "creativecommons", r"creativecommons org licenses by nc"),
+    (2, 0.9, "cc-by-nd", "creativecommons", r"creativecommons org licenses by nd"),
+    (2, 0.9, "cc-by-nc-sa", "creativecommons", r"creativecommons org licenses by nc sa"),
+    (2, 0.9, "cc-by-nc-nd", "creativecommons", r"creativecommons org licenses by nc nd"),
     (2, 0.9, "cc0-1.0", "creativecommons", r"creativecommons org publicdomain zero"),
+    (2, 0.9, "public-domain", "creativecommons", r"creativecommons org publicdomain mark"),
+    (2, 0.9, "apache-2.0", "apache", r"apache org licenses license 2 0"),
+    (2, 0.9, "mit", "opensource", r"opensource org licenses mit"),
+    (2, 0.9, "bsd", "opensource", r"opensource org licenses bsd"),
+    (2, 0.9, "gpl", "gnu", r"gnu org licenses gpl"),
+    (2, 0.9, "lgpl", "gnu", r"gnu org licenses lgpl"),
+    (2, 0.9, "agpl", "gnu", r"gnu org licenses agpl"),
+    (2, 0.9, "gfdl", "gnu", r"gnu org licenses fdl"),
+    (2, 0.9, "mpl-2.0", "mozilla", r"mozilla org (?:en us )?mpl 2 0"),
+    (2, 0.9, "epl", "eclipse", r"eclipse org legal epl"),
+    (2, 0.9, "edl", "eclipse", r"eclipse distribution licen[cs]e"),
+    (2, 0.9, "bsl-1.0", "boost", r"boost org licen[cs]e 1 0"),
+    (2, 0.9, "unlicense", "unlicense", r"unlicense org"),
+    (2, 0.9, "cddl", "distribution", r"common development and distribution licen[cs]e"),
+    (2, 0.9, "cpl-1.0", "common", r"common public licen[cs]e(?: version)? 1 0"),
+    (2, 0.9, "cpal-1.0", "common", r"common public attribution licen[cs]e"),
+    (2, 0.9, "ipl-1.0", "ibm", r"ibm public licen[cs]e"),
+    (2, 0.9, "npl", "netscape", r"netscape public licen[cs]e"),
+    (2, 0.9, "spl", "sun", r"sun public licen[cs]e"),
+    (2, 0.9, "apsl", "apple", r"apple public source licen[cs]e"),
+    (2, 0.9, "ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e"),
+    (2, 0.9, "osl", "open", r"open software licen[cs]e(?: version| v)? 3 0"),
+    (2, 0.9, "afl", "academic", r"academic free licen[cs]e"),
+    (2, 0.9, "artistic", "artistic", r"(?:perl|clarified) artistic licen[cs]e"),
+    (2, 0.9, "php", "php", r"php licen[cs]e(?: version| v)? 3"),
+    (2, 0.9, "psf", "psf", r"psf licen[cs]e"),
+    (2, 0.9, "ncsa", "ncsa", r"(?:university of illinois )?ncsa open source licen[cs]e"),
+    (2, 0.9, "openldap", "openldap", r"openldap public licen[cs]e"),
+    (2, 0.9, "qpl", "q", r"q public licen[cs]e"),
+    (2, 0.9, "zpl", "zope", r"zope public licen[cs]e"),
+    (2, 0.9, "sleepycat", "sleepycat", r"sleepycat (?:public )?licen[cs]e"),
+    (2, 0.9, "vim", "vim", r"vim licen[cs]e"),
+    (2, 0.9, "w3c", "w3c", r"w3c software (?:notice and|and document) licen[cs]e"),
+    (2, 0.9, "libpng", "libpng", r"libpng licen[cs]e"),
+    (2, 0.9, "ftl", "freetype", r"freetype (?:project )?licen[cs]e"),
+    (2, 0.9, "curl", "curl", r"curl licen[cs]e"),
+    (2, 0.9, "unicode", "unicode", r"unicode (?:terms of use|licen[cs]e)"),
+    (2, 0.9, "upl-1.0", "universal", r"universal permissive licen[cs]e"),
+    (2, 0.9, "mulan", "mulan", r"mulan (?:permissive software|psl|public) licen[cs]e"),
+    (2, 0.9, "blueoak", "oak", r"blue oak model licen[cs]e"),
+    (2, 0.9, "rpl", "reciprocal", r"reciprocal public licen[cs]e"),
+    (2, 0.9, "eupl", "european", r"european union public licen[cs]e"),
+    (2, 0.9, "cecill", "cecill", r"cecill (?:b |c )?(?:free software )?licen[cs]e"),
+    (2, 0.9, "sspl-1.0", "server", r"server side public licen[cs]e"),
+    (2, 0.9, "elastic-2.0", "elastic", r"elastic licen[cs]e(?: version)? 2 0"),
+    (2, 0.9, "polyform", "polyform", r"polyform (?:noncommercial|small business|strict|shield) licen[cs]e"),
+    (2, 0.9, "hippocratic", "hippocratic", r"hippocratic licen[cs]e"),
+    (2, 0.9, "openrail", "openrail", r"openrail(?: m)? licen[cs]e"),
+    (2, 0.9, "nasa-1.3", "nasa", r"nasa open source agreement"),
+    (2, 0.9, "ofl-1.1", "font", r"sil open font licen[cs]e"),
+    (2, 0.9, "ufl", "font", r"ubuntu font licen[cs]e"),
+    (2, 0.9, "odc-by", "commons", r"open data commons attribution licen[cs]e"),
+    (2, 0.9, "odbl-1.0", "database", r"open database licen[cs]e"),
+    (2, 0.9, "pddl-1.0", "dedication", r"public domain dedication and licen[cs]e"),
+    (2, 0.9, "cdla-permissive", "community", r"community data licen[cs]e agreement permissive"),
+    (2, 0.9, "cdla-sharing", "community", r"community data licen[cs]e agreement sharing"),
+    (2, 0.9, "ogl", "government", r"open government licen[cs]e"),
+    (2, 0.9, "etalab-2.0", "etalab", r"etalab (?:open )?licen[cs]e"),
     (2, 0.9, "public-domain", "domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
+    # notices
     (3, 0.7, "public-domain", "domain", r"public domain"),
     (3, 0.7, "reserved", "reserved", r"all rights reserved"),
+    (3, 0.7, "some-reserved", "reserved", r"some rights reserved"),
+    (3, 0.7, "public-domain", "reserved", r"no rights reserved"),
     (3, 0.7, "copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"),
+    (3, 0.7, "crown-copyright", "crown", r"crown copyright"),
+    (3, 0.7, "reserved", "reproduced", r"no part of this (?:publication|book|document|work) may be reproduced"),
+    (3, 0.7, "reserved", "prohibited", r"unauthori[sz]ed (?:copying|use|reproduction|distribution) (?:of this file )?(?:is )?(?:strictly )?prohibited"),
+    (3, 0.7, "non-commercial", "only", r"for (?:personal|non ?commercial|educational|research) use only"),
+    (3, 0.7, "eula", "end", r"end user licen[cs]e agreement"),
+    (3, 0.7, "dual", "dual", r"dual licen[cs]ed"),
+    (3, 0.7, "open-source", "source", r"(?:under|with) an open source licen[cs]e"),
     (4, 0.5, "copyright", "copyright", r"copyright"),
+    (4, 0.5, "copyright", "copyrighted", r"copyrighted (?:material|work|by)"),
+    (4, 0.5, "permission", "permission", r"(?:used|reproduced|reprinted) (?:by|with) permission"),
     (4, 0.5, "proprietary", "proprietary", r"proprietary and confidential"),
-    (4, 0.4, "warranty", "warranty", r"without warranty of any kind"),
+    (4, 0.5, "proprietary", "proprietary", r"confidential and proprietary"),
+    (4, 0.5, "proprietary", "trade", r"(?:contains|constitutes) trade secrets"),
+    (4, 0.5, "proprietary", "internal", r"for internal use only"),
+    (4, 0.4, "warranty", "warranty", r"without (?:any )?warranty of any kind"),
+    (4, 0.4, "warranty", "warranty", r"without (?:even the|any) implied warranty"),
+    (4, 0.4, "warranty", "warranties", r"without warranties or conditions of any kind"),
+    (4, 0.4, "warranty", "liable", r"in no event (?:shall|will) the (?:authors?|copyright holders?)(?: or copyright holders?)? be (?:held )?liable"),
 ]
 LEVELS = (1, 2, 3, 4)
-#: What a text must contain for any rule to be tried.
-GATE = (
-    r"licen[cs]|copyright|spdx|public +domain|reserved|hereby|redistribut|creative|warranty|proprietary|altered +source"
-    r"|(?:released|distributed|published|available|provided) +under"
-)
-#: Keywords that a version may follow within the word ("gplv3"): for these the word need only begin with the keyword.
-GLUED = ("agpl", "gpl", "lgpl")
 
 
-def rules() -> list[tuple[int, int, float, str, str, str]]:
-    """All rules in order: number, priority, score, label, keyword, regex over words with single spaces."""
-    named = [(p, s, label, word, form.format(name)) for (label, word, name), (p, s, form) in product(NAMES, FORMS)]
-    ordered = sorted([*TEXTS, *named], key=lambda r: r[0])
-    return [(i, p, s, label, word, f"(?<= ){regex}(?= )") for i, (p, s, label, word, regex) in enumerate(ordered)]
+def rules() -> list[tuple[int, int, float, str, str, str, str]]:
+    """All rules in order: number, priority, score, label, keyword, second keyword, regex over words with single spaces.
+
+    A rule's matches all hold its keyword at the start of a word, and the second anywhere.
+    """
+    named = [(p, s, label, word, more, form.format(name)) for (label, word, name), (p, s, more, form) in product(NAMES, FORMS)]
+    # what is left of a regex without its groups is in every match
+    sure = lambda regex: "licen" if "licen" in re.sub(r"\((?:[^()]|\([^()]*\))*\)\??", "", regex) else ""
+    texts = [(p, s, label, word, sure(regex), regex) for p, s, label, word, regex in TEXTS]
+    ordered = sorted([*texts, *named], key=lambda r: r[0])
+    return [(i, p, s, label, word, more, f"(?<= ){regex}(?= )") for i, (p, s, label, word, more, regex) in enumerate(ordered)]
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    schema = "rule int, priority int, weight double, label string, keyword string, regex string"
+    schema = "rule int, priority int, weight double, label string, keyword string, more string, regex string"
     return spark.createDataFrame(rules(), schema)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """License phrases, labels and a score for every whole text.
 
-    Base places: the phrases of ``BASE`` as consecutive words.  Rules: a text that
-    passes ``GATE`` is tried with the rules whose keyword it holds as a word (or, of
-    ``GLUED``, at the start of a word), and every match is a detection.  Each rule's
-    regex implies both, so no match is lost to them.  A detection is suppressed if it
+    Base places: the phrases of ``BASE`` as consecutive words.  Rules: a text is
+    tried with the rules whose keyword begins one of its words and whose second
+    keyword it holds, and every match is a detection.  Each rule's regex implies
+    both, so no match is lost to them.  A detection is suppressed if it
     lies within one of smaller or equal priority number that starts earlier, or at the
     same word and is longer, or, for the same words, comes first in the rules.  Labels are the
     base labels and those of the detections left.  ``score`` is the largest score
@@ -138,7 +268,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     The rules (a few hundred, whatever the input) are broadcast; texts go through
     no shuffle, detections do, as single rows.  Returns one row per input row:
     ``doc_id``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``,
-    ``labels``, ``score``.  Null counts as empty.  An empty table gives no rows;
+    ``labels``, ``score``.  A null text counts as empty; rows with a null ``doc_id`` keep
+    their own results; repeated rows each get theirs.  An empty table gives no rows;
     other columns are ignored.
     """
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
@@ -170,11 +301,17 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     )
 
     table = rules()
-    keywords = F.array(*[F.lit(k) for k in sorted({r[4] for r in table})])
-    gated = rows.where(F.col("w").rlike(GATE)).select("doc_id", "h", F.regexp_replace("w", " +", " ").alias("w"))
-    tried = gated.withColumn(
-        "keyword", F.explode(F.filter(keywords, lambda k: F.contains(F.col("w"), F.concat(F.lit(" "), k, F.when(k.isin(*GLUED), "").otherwise(" ")))))
-    ).join(F.broadcast(rule_table(docs.sparkSession)), "keyword")
+    held = lambda words: F.array(*[F.lit(k) for k in sorted(words)])
+    first = F.filter(held({r[4] for r in table}), lambda k: F.contains(F.col("w"), F.concat(F.lit(" "), k)))
+    second = F.filter(held({r[5] for r in table}), lambda k: F.contains(F.col("w"), k))
+    tried = (
+        rows.withColumn("keywords", first)
+        .where(F.size("keywords") > 0)
+        .select("doc_id", "h", "keywords", second.alias("mores"), F.regexp_replace("w", " +", " ").alias("w"))
+        .withColumn("keyword", F.explode("keywords"))
+        .join(F.broadcast(rule_table(docs.sparkSession)), "keyword")
+        .where(F.expr("array_contains(mores, more)"))
+    )
     hits = tried.withColumn("found", F.expr("regexp_extract_all(w, regex, 0)")).where("size(found) > 0")
     parts = hits.select(
         "doc_id", "h", "rule", "priority", "weight", "label",
@@ -197,7 +334,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     left = spans.withColumns(reach).where(~covered)
     told = left.groupBy("doc_id", "h").agg(F.collect_set("label").alias("more"), F.max("weight").alias("weight"))
 
-    out = base.join(told, ["doc_id", "h"], "left")
+    same = base["doc_id"].eqNullSafe(told["doc_id"]) & (base["h"] == told["h"])
+    out = base.join(told, same, "left").select(base["*"], "more", "weight")
     none = F.array().cast("array<string>")
     join = lambda a: F.concat_ws(",", F.sort_array(a))
     return out.select(
