@@ -14,6 +14,8 @@ META_SCHEMA = "grid_id int, sx double, sy double, sz double, ox double, oy doubl
 VOXEL_SCHEMA = "grid_id int, i int, j int, k int"
 #: Grids whose table of transforms is small enough to broadcast: it is made of a driver-side list of at most this many.
 MAX_LISTED = 1024
+#: Neighbouring ids that are summed together in running sums.
+SLAB_BITS = 12
 
 
 def check_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -38,6 +40,28 @@ def numbered(df: DataFrame, slab: str, order: Sequence[str], name: str) -> DataF
     return out.withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).select(*df.columns, name)
 
 
+def running_sums(df: DataFrame, key: str, order: Sequence[str], value: str, before: str, nth: str | None = None) -> DataFrame:
+    """Rows with the sum of ``value`` over all rows that come before, by ``key`` (an int) and then ``order``.
+
+    With ``nth``, also how many come before.  Sums of slabs of 2 ** ``SLAB_BITS``
+    neighbouring keys give where each slab begins, and rows are summed slab by slab.
+    An int has at most 2 ** (32 - ``SLAB_BITS``) slabs: what meets in one task, and is
+    broadcast, is bounded by the type of the key, whatever the input.
+    """
+    rows = df.withColumn("_slab", F.shiftright(F.col(key).cast("int"), SLAB_BITS))
+    slabs = rows.groupBy("_slab").agg(F.sum(value).alias("_n"), F.count("*").alias("_c"))
+    earlier = Window.orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    begin = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c + "0") for c in ("_n", "_c")]
+    slabs = slabs.select(F.col("_slab"), *begin)
+    within = Window.partitionBy("_slab").orderBy(*order)
+    here = F.coalesce(F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"_n1": here, "_c1": F.row_number().over(within) - 1}).join(F.broadcast(slabs), "_slab")
+    added = {before: (F.col("_n0") + F.col("_n1")).cast("long")}
+    if nth:
+        added[nth] = (F.col("_c0") + F.col("_c1")).cast("long")
+    return rows.withColumns(added).select(*df.columns, *added)
+
+
 @dataclass(frozen=True)
 class Grids:
     """A batch of grids: ``meta`` with each grid's voxel size and origin, ``voxels`` with its distinct active voxels.
@@ -101,10 +125,8 @@ class Grids:
 
     def offsets(self) -> DataFrame:
         """For each grid its voxels, how many grids up to it have (``cum_voxels``), and where its own begin (``joffset``)."""
-        # one row a grid: as many rows as the batch has grids meet in one task
-        w = Window.orderBy("grid_id").rowsBetween(Window.unboundedPreceding, 0)
-        n = self.num_voxels().withColumn("cum_voxels", F.sum("num_voxels").over(w))
-        return n.withColumn("joffset", F.col("cum_voxels") - F.col("num_voxels"))
+        n = running_sums(self.num_voxels(), "grid_id", ["grid_id"], "num_voxels", "joffset")
+        return n.select("grid_id", "num_voxels", (F.col("joffset") + F.col("num_voxels")).alias("cum_voxels"), "joffset")
 
     def total_voxels(self) -> DataFrame:
         return self.voxels.agg(F.count("*").alias("total_voxels"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .grids import check_columns
+from .grids import MAX_LISTED, check_columns, running_sums
 
 #: Outer list, list in it, position in that list.
 LIST = ["outer_idx", "inner_idx"]
@@ -49,12 +49,19 @@ def from_offsets(data: DataFrame, offsets: Sequence[int], order: str = "pos", li
     if any(b < a for a, b in zip(offsets, offsets[1:])) or not offsets or offsets[0] != 0:
         raise ValueError("offsets must start at 0 and not fall")
     ids = list_ids or [(n, 0) for n in range(len(offsets) - 1)]
-    spans = data.sparkSession.createDataFrame(
-        [(o, n, a, b) for (o, n), a, b in zip(ids, offsets, offsets[1:])], "outer_idx int, inner_idx int, _a long, _b long"
-    )
+    # a row finds its list by an equi-join on a bucket of positions; lists and buckets are about as many
+    width = max(1, offsets[-1] // max(1, len(ids)))
+    spans = [
+        (bucket, o, n, a, b)
+        for (o, n), a, b in zip(ids, offsets, offsets[1:])
+        if a < b
+        for bucket in range(a // width, (b - 1) // width + 1)
+    ]
+    listed = data.sparkSession.createDataFrame(spans, "_bucket long, outer_idx int, inner_idx int, _a long, _b long")
+    hint = F.broadcast if len(spans) <= MAX_LISTED else (lambda d: d)
     rest = [c for c in data.columns if c != order]
-    # the spans come from a driver-side list
-    j = check_columns(data, order).join(F.broadcast(spans), (F.col(order) >= F.col("_a")) & (F.col(order) < F.col("_b")))
+    rows = check_columns(data, order).withColumn("_bucket", F.expr(f"{order} div {width}L"))
+    j = rows.join(hint(listed), "_bucket").where((F.col(order) >= F.col("_a")) & (F.col(order) < F.col("_b")))
     return j.select(*LIST, (F.col(order) - F.col("_a")).alias("row_idx"), *rest)
 
 
@@ -72,15 +79,13 @@ def filled(shape: DataFrame, how: str = "zeros", seed: int = 0) -> DataFrame:
 
 def joffsets(shape: DataFrame) -> DataFrame:
     """Where each list's rows begin and end when all lists stand one after the other."""
-    w = Window.orderBy(*LIST).rowsBetween(Window.unboundedPreceding, 0)  # one row a list
-    s = shape.withColumn("end", F.sum("n").over(w))
-    return s.select(*LIST, (F.col("end") - F.col("n")).alias("begin"), "end")
+    s = running_sums(shape, "outer_idx", LIST, "n", "begin")
+    return s.select(*LIST, "begin", (F.col("begin") + F.col("n")).alias("end"))
 
 
 def jidx(jt: DataFrame, shape: DataFrame) -> DataFrame:
     """Each row with the number of its list among all lists, and its number among all rows."""
-    w = Window.orderBy(*LIST)  # one row a list
-    lists = joffsets(shape).withColumn("jidx", (F.row_number().over(w) - 1).cast("int")).drop("end")
+    lists = running_sums(shape, "outer_idx", LIST, "n", "begin", "jidx").withColumn("jidx", F.col("jidx").cast("int")).drop("n")
     return jt.join(lists, LIST).withColumn("pos", F.col("begin") + F.col("row_idx")).drop("begin")
 
 
@@ -89,14 +94,51 @@ def jflatten(jt: DataFrame, dim: int = 0) -> DataFrame:
     if dim not in (0, 1):
         raise ValueError("dim must be 0 or 1")
     shape = structure(jt)
-    w = Window.orderBy(*LIST) if dim == 0 else Window.partitionBy("outer_idx").orderBy("inner_idx")
-    begin = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lists = shape.select(*LIST, begin.alias("_b"))
+    if dim == 0:
+        lists = running_sums(shape, "outer_idx", LIST, "n", "_b").drop("n")
+    else:
+        w = Window.partitionBy("outer_idx").orderBy("inner_idx").rowsBetween(Window.unboundedPreceding, -1)
+        lists = shape.select(*LIST, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_b"))
     outer = F.lit(0) if dim == 0 else F.col("outer_idx")
     rest = [c for c in jt.columns if c not in ROW]
     return jt.join(lists, LIST).select(outer.alias("outer_idx"), F.lit(0).alias("inner_idx"), (F.col("_b") + F.col("row_idx")).alias("row_idx"), *rest)
 
 
+def sizes(jt_shape: DataFrame) -> DataFrame:
+    """One row: ``num_lists`` (outer lists), ``num_tensors`` (all lists), ``num_rows``, and whether lists are nested (``ldim`` 1 or 2)."""
+    nested = F.coalesce(F.max("inner_idx") > 0, F.lit(False))
+    return jt_shape.agg(
+        F.count_distinct("outer_idx").alias("num_lists"), F.count("*").alias("num_tensors"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("num_rows"), F.when(nested, 2).otherwise(1).alias("ldim"),
+    )
+
+
+def lshape(shape: DataFrame) -> DataFrame:
+    """The lengths of each outer list's lists, in order, as an array."""
+    items = F.sort_array(F.collect_list(F.struct("inner_idx", "n")))
+    return shape.groupBy("outer_idx").agg(F.transform(items, lambda s: s["n"]).alias("lshape"))
+
+
+def eshape(jt: DataFrame, value: str = "v") -> DataFrame:
+    """One row: the length of the rows' feature arrays (null for plain values); rows that differ raise."""
+    if not dict(jt.dtypes)[value].startswith("array"):
+        return jt.limit(0).agg(F.lit(None).cast("int").alias("eshape"))
+    size = F.size(value)
+    differ = F.raise_error(F.lit("rows of different shapes")).cast("int")
+    return jt.agg(F.when(F.coalesce(F.min(size) == F.max(size), F.lit(True)), F.max(size)).otherwise(differ).alias("eshape"))
+
+
+def rshape(jt: DataFrame, value: str = "v") -> DataFrame:
+    """One row: all rows and the length of their feature arrays, the shape of the data laid end to end."""
+    return eshape(jt, value).crossJoin(F.broadcast(jt.agg(F.count("*").alias("num_rows")))).select("num_rows", "eshape")  # one row each
+
+
+def cast(jt: DataFrame, kind: str, value: str = "v") -> DataFrame:
+    """The values as another type: ``int``, ``long``, ``float``, ``double``, ``boolean``; arrays element by element."""
+    inner = dict(jt.dtypes)[value].startswith("array")
+    return jt.withColumn(value, F.col(value).cast(f"array<{kind}>" if inner else kind))
+
+
 def jreshape(jt: DataFrame, shape: DataFrame) -> DataFrame:
     """The rows in order, in lists of the lengths of ``shape``."""
     flat = jflatten(jt).drop(*LIST)
@@ -133,7 +175,7 @@ def jcat(parts: Sequence[DataFrame], dim: int | None = None, value: str = "v") -
 def jpick(jt: DataFrame, ids: Sequence[int]) -> DataFrame:
     """Outer lists by number, in the order given."""
     order = jt.sparkSession.createDataFrame([(int(x), n) for n, x in enumerate(ids)], "outer_idx int, _new int")
-    j = jt.join(F.broadcast(order), "outer_idx")
+    j = jt.join(F.broadcast(order) if len(ids) <= MAX_LISTED else order, "outer_idx")
     return j.withColumn("outer_idx", F.col("_new")).drop("_new").select(*jt.columns)
 
 
@@ -223,7 +265,9 @@ def attention(q: DataFrame, k: DataFrame, v: DataFrame, scale: float | None = No
     s = j.select(*ROW, "_at", (dot * factor).alias("_s"))
     s = s.withColumn("_e", F.exp(F.col("_s") - F.max("_s").over(Window.partitionBy(*ROW))))
     w = s.join(v.select(*LIST, F.col("row_idx").alias("_at"), F.col("v").alias("_v")), [*LIST, "_at"])
-    parts = w.select(*ROW, "_e", F.posexplode("_v").alias("_c", "_x"))
-    cells = parts.groupBy(*ROW, "_c").agg((F.sum(F.col("_e") * F.col("_x")) / F.sum("_e")).alias("_y"))
-    out = cells.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("_c", "_y"))).alias("_o"))
-    return out.select(*ROW, F.transform("_o", lambda o: o["_y"]).alias("v"))
+    # the weighted sum of the keys' values, channel by channel of the arrays
+    out = w.groupBy(*ROW).agg(F.collect_list(F.struct("_at", "_e", "_v")).alias("_l"))
+    total = "aggregate(_l, 0.0D, (s, x) -> s + x._e)"
+    sums = "aggregate(slice(_l, 2, size(_l)), transform(_l[0]._v, y -> y * _l[0]._e), (s, x) -> zip_with(s, x._v, (a, y) -> a + y * x._e))"
+    out = out.withColumn("_l", F.sort_array("_l"))
+    return out.select(*ROW, F.expr(f"transform({sums}, y -> y / {total})").alias("v"))

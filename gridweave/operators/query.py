@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.spatial import IJK, KEY, nearest, with_box
 
-from .grids import Grids, check_columns
+from .grids import Grids, check_columns, running_sums
 
 
 def _flag(rows: DataFrame, g: Grids, name: str) -> DataFrame:
@@ -69,12 +69,8 @@ def ijk_to_inv_index(ijk: DataFrame, g: Grids, position: str = "pos", cumulative
     """
     q = check_columns(ijk, *KEY, position)
     if cumulative:
-        from pyspark.sql import Window
-
-        n = q.groupBy("grid_id").agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.orderBy("grid_id").rowsBetween(Window.unboundedPreceding, -1))
-        n = n.select("grid_id", F.coalesce(before, F.lit(0)).alias("_before"))
-        q = q.join(n, "grid_id").withColumn(position, F.col(position) + F.col("_before"))
+        n = running_sums(q.groupBy("grid_id").agg(F.count("*").alias("n")), "grid_id", ["grid_id"], "n", "_before")
+        q = q.join(n.drop("n"), "grid_id").withColumn(position, F.col(position) + F.col("_before"))
     best = q.groupBy(*KEY).agg(F.max(position).cast("long").alias("inv"))
     return g.voxels.join(best, KEY, "left").select(*KEY, F.coalesce("inv", F.lit(-1).cast("long")).alias("inv"))
 

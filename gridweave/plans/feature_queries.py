@@ -199,16 +199,19 @@ def inject_default(spark, sf):
 
 
 @query(
-    f"WITH {FEAT_E}, p AS (SELECT grid_id, CAST(floor(x / 0.1::DOUBLE + 0.5) AS INTEGER) AS i, CAST(floor(y / 0.1::DOUBLE + 0.5) AS INTEGER) AS j, CAST(floor(z / 0.1::DOUBLE + 0.5) AS INTEGER) AS k, point_id FROM pts WHERE point_id % 3 = 0) "
-    "SELECT v.grid_id, v.i, v.j, v.k, CAST(coalesce(max(p.point_id), max(v.f)) AS DOUBLE) AS f FROM feat v LEFT JOIN p USING (grid_id, i, j, k) GROUP BY 1, 2, 3, 4"
+    f"WITH {FEAT_E}, p AS (SELECT grid_id, CAST(floor(x / 0.1::DOUBLE + 0.5) AS INTEGER) AS i, CAST(floor(y / 0.1::DOUBLE + 0.5) AS INTEGER) AS j, CAST(floor(z / 0.1::DOUBLE + 0.5) AS INTEGER) AS k, point_id FROM pts), "
+    f"w AS (SELECT *, {feat_sql()} AS f FROM (SELECT * FROM vox UNION SELECT grid_id, i + 1, j, k FROM vox)) "
+    "SELECT v.grid_id, v.i, v.j, v.k, CAST(coalesce(max(p.point_id), max(v.f)) AS DOUBLE) AS f FROM w v LEFT JOIN p USING (grid_id, i, j, k) GROUP BY 1, 2, 3, 4"
 )
 def inject_from_ijk(spark, sf):
+    """Points' values into a grid that also has the next voxel along i, which keeps its own where there is no point."""
     from gridweave.functions.spatial import nearest
 
     g = emb_grid(spark, sf)
-    p = g.world_to_voxel(emb_points(spark, sf).where("point_id % 3 = 0"))
+    p = g.world_to_voxel(emb_points(spark, sf))
     rows = p.select("grid_id", *[nearest(F.col("v" + a)).alias(n) for a, n in zip("xyz", IJK)], F.col("point_id").alias("pos"), F.col("point_id").cast("double").alias("f"))
-    return pool.inject_from_ijk(g, rows, old=feature(g.voxels))
+    wide = g.with_voxels(g.voxels.union(g.voxels.withColumn("i", F.col("i") + 1)).distinct())
+    return pool.inject_from_ijk(wide, rows, old=feature(wide.voxels))
 
 
 @query(

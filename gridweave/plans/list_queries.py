@@ -117,10 +117,34 @@ def jflatten(spark, sf):
 
 
 @query(
-    f"WITH {JAG}, f AS (SELECT row_number() OVER (ORDER BY outer_idx, row_idx) - 1 AS p, v FROM jag) SELECT CAST(p // 10 AS INTEGER) AS outer_idx, 0 AS inner_idx, p % 10 AS row_idx, v FROM f WHERE p < 1000"
+    f"WITH {JAG}, f AS (SELECT row_number() OVER (ORDER BY outer_idx, row_idx) - 1 AS p, v FROM jag), n AS (SELECT l_suppkey AS o, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT o, n, sum(n) OVER (ORDER BY o) - n AS b FROM n) "
+    "SELECT CAST(s.o AS INTEGER) AS outer_idx, 0 AS inner_idx, CAST(f.p - s.b AS BIGINT) AS row_idx, f.v FROM f JOIN s ON f.p >= s.b AND f.p < s.b + s.n"
 )
 def jreshape(spark, sf):
-    return jagged.jreshape(jag(spark, sf), jagged.structure_of(spark, [10] * 100))
+    """All line items, in lists as long as the suppliers' own."""
+    lists = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").cast("int").alias("outer_idx")).agg(F.count("*").alias("n"))
+    return jagged.jreshape(jag(spark, sf), lists.select("outer_idx", F.lit(0).alias("inner_idx"), "n"))
+
+
+@query(f"WITH {ORD} SELECT count(*) AS num_tensors, count(*) AS num_lists, CAST(sum(n) AS BIGINT) AS num_rows, 1 AS ldim FROM shape")
+def jagged_sizes(spark, sf):
+    return jagged.sizes(shape(spark, sf))
+
+
+@query("WITH n AS (SELECT o_custkey, o_orderkey, count(l_orderkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) SELECT CAST(o_custkey AS INTEGER) AS outer_idx, CAST(len(list(n)) AS INTEGER) AS lists, CAST(sum(r * n) AS BIGINT) AS told FROM n GROUP BY 1")
+def jagged_lshape(spark, sf):
+    """Orders as lists within customers: their lengths in order, told by a weighted sum."""
+    items = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    o = table(spark, sf, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    inner = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("inner_idx")
+    nested = o.select(F.col("o_custkey").cast("int").alias("outer_idx"), inner, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    out = jagged.lshape(nested)
+    return out.selectExpr("outer_idx", "size(lshape) AS lists", "aggregate(zip_with(lshape, sequence(1, size(lshape)), (n, r) -> n * r), 0L, (s, x) -> s + x) AS told")
+
+
+@query(f"WITH {JAG} SELECT outer_idx, inner_idx, row_idx, CAST(trunc(v) AS BIGINT) AS v FROM jag")
+def jagged_cast(spark, sf):
+    return jagged.cast(jag(spark, sf), "long")
 
 
 @query(f"WITH {JAG} SELECT outer_idx, inner_idx, CAST(count(*) AS INTEGER) AS n, first(v ORDER BY row_idx) AS first, last(v ORDER BY row_idx) AS last FROM jag GROUP BY 1, 2")
@@ -149,19 +173,24 @@ def jagged_from_indices(spark, sf):
     return j.groupBy(F.col("outer_idx").cast("long").alias("outer_idx")).agg(F.count("*").alias("n"), F.sum("v").alias("chars"))
 
 
-@query("SELECT CAST(p // 100 AS INTEGER) AS outer_idx, 0 AS inner_idx, p % 100 AS row_idx, v FROM (SELECT vec_id AS p, label AS v FROM embeddings) WHERE p < 400")
+@query(
+    "WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS p, label AS v, count(*) OVER () AS n FROM embeddings), o AS (SELECT CAST(unnest(range(7)) AS INTEGER) AS o) "
+    "SELECT o AS outer_idx, 0 AS inner_idx, CAST(p - n * o // 7 AS BIGINT) AS row_idx, v FROM e JOIN o ON p >= n * o // 7 AND p < n * (o + 1) // 7"
+)
 def jagged_from_offsets(spark, sf):
+    """All vectors' labels, cut at sevenths of their number."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), F.col("label").alias("v"))
-    return jagged.from_offsets(e, [0, 100, 200, 300, 400])
+    n = e.count()
+    return jagged.from_offsets(e, [n * k // 7 for k in range(8)])
 
 
 @query(
-    f"WITH {JAG}, small AS (SELECT * FROM jag WHERE outer_idx < 500), s AS (SELECT q.outer_idx, q.inner_idx, q.row_idx, k.row_idx AS at, (q.v * k.v + (1 - q.v) * k.v) / sqrt(2.0::DOUBLE) AS s, k.v FROM small q JOIN small k ON k.outer_idx = q.outer_idx), "
+    f"WITH {JAG}, s AS (SELECT q.outer_idx, q.inner_idx, q.row_idx, k.row_idx AS at, (q.v * k.v + (1 - q.v) * k.v) / sqrt(2.0::DOUBLE) AS s, k.v FROM jag q JOIN jag k ON k.outer_idx = q.outer_idx), "
     "e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY outer_idx, row_idx)) AS e FROM s) "
     f"SELECT outer_idx, inner_idx, row_idx, {settled('sum(e * v) / sum(e)')} AS y FROM e GROUP BY 1, 2, 3"
 )
 def attention(spark, sf):
-    j = jag(spark, sf).where("outer_idx < 500")
+    j = jag(spark, sf)
     q = j.withColumn("v", F.array(F.col("v"), 1 - F.col("v")))
     k = j.withColumn("v", F.array(F.col("v"), F.col("v")))
     out = jagged.attention(q, k, j.withColumn("v", F.array("v")))
@@ -221,12 +250,7 @@ def feature_reductions(spark, sf):
 # -- rays -------------------------------------------------------------------------------------------
 
 #: Rays from left of the points through them, slightly tilted.
-RAYS = "rays AS (SELECT grid_id, point_id AS ray_id, -6.0::DOUBLE AS ox, y AS oy, z AS oz, 1.0::DOUBLE AS dx, 0.01::DOUBLE AS dy, -0.02::DOUBLE AS dz FROM pts WHERE point_id < 64)"
-
-
-def some_rays(spark, sf):
-    """The rays that the SQL casts."""
-    return every_ray(spark, sf).where("ray_id < 64")
+RAYS = "rays AS (SELECT grid_id, point_id AS ray_id, -6.0::DOUBLE AS ox, y AS oy, z AS oz, 1.0::DOUBLE AS dx, 0.01::DOUBLE AS dy, -0.02::DOUBLE AS dz FROM pts)"
 
 
 def every_ray(spark, sf):
@@ -250,13 +274,13 @@ HITS = f"{VOX_E}, {slab_sql()}"
 
 @query(f"WITH {HITS}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY grid_id, ray_id ORDER BY t0, i, j, k) - 1 AS INTEGER) AS n FROM hits) SELECT grid_id, ray_id, i, j, k, n, {settled('t0')} AS t0, {settled('t1')} AS t1 FROM n WHERE n < 5")
 def voxels_along_rays(spark, sf):
-    v = rays.voxels_along_rays(some_rays(spark, sf), emb_grid(spark, sf), 5)
+    v = rays.voxels_along_rays(every_ray(spark, sf), emb_grid(spark, sf), 5)
     return v.withColumns({"t0": settle(F.col("t0")), "t1": settle(F.col("t1"))})
 
 
 @query(f"WITH {HITS} SELECT r.grid_id, r.ray_id, count(h.i) > 0 AS hit FROM rays r LEFT JOIN hits h USING (grid_id, ray_id) GROUP BY 1, 2")
 def rays_intersect_voxels(spark, sf):
-    return rays.rays_intersect_voxels(some_rays(spark, sf), emb_grid(spark, sf))
+    return rays.rays_intersect_voxels(every_ray(spark, sf), emb_grid(spark, sf))
 
 
 SEGS = (
@@ -267,7 +291,7 @@ SEGS = (
 
 @query(f"WITH {SEGS} SELECT grid_id, ray_id, CAST(row_number() OVER (PARTITION BY grid_id, ray_id ORDER BY t0) - 1 AS INTEGER) AS n, {settled('t0')} AS t0, {settled('t1')} AS t1 FROM segs")
 def segments_along_rays(spark, sf):
-    s = rays.segments_along_rays(some_rays(spark, sf), emb_grid(spark, sf))
+    s = rays.segments_along_rays(every_ray(spark, sf), emb_grid(spark, sf))
     return s.withColumns({"t0": settle(F.col("t0")), "t1": settle(F.col("t1"))})
 
 
@@ -275,7 +299,7 @@ def segments_along_rays(spark, sf):
     f"WITH {SEGS}, c AS (SELECT *, unnest(range(CAST(ceil(t0 / 0.03::DOUBLE - 0.5) AS BIGINT), CAST(ceil(t1 / 0.03::DOUBLE - 0.5) AS BIGINT))) AS q FROM segs) SELECT grid_id, ray_id, {settled('(q * 0.03::DOUBLE + (q + 1) * 0.03::DOUBLE) / 2')} AS t FROM c"
 )
 def uniform_ray_samples(spark, sf):
-    s = rays.uniform_ray_samples(some_rays(spark, sf), emb_grid(spark, sf), 0.03, include_end_segments=False, midpoints=True)
+    s = rays.uniform_ray_samples(every_ray(spark, sf), emb_grid(spark, sf), 0.03, include_end_segments=False, midpoints=True)
     return s.withColumn("t", settle(F.col("t")))
 
 
@@ -285,7 +309,7 @@ def uniform_ray_samples(spark, sf):
     f"SELECT grid_id, ray_id, {settled('a')} AS t0, {settled('b')} AS t1 FROM p WHERE b - a > 1e-9"
 )
 def uniform_ray_samples_ends(spark, sf):
-    s = rays.uniform_ray_samples(some_rays(spark, sf), emb_grid(spark, sf), 0.03)
+    s = rays.uniform_ray_samples(every_ray(spark, sf), emb_grid(spark, sf), 0.03)
     return s.withColumns({"t0": settle(F.col("t0")), "t1": settle(F.col("t1"))})
 
 
@@ -306,7 +330,7 @@ SIGNED = f"signed AS (SELECT *, {'((((i * 7 + j * 13 + k * 29) % 17) + 17) % 17)
 def implicit_hit(spark, sf):
     g = emb_grid(spark, sf)
     f = feature(g.voxels).withColumn("f", F.col("f") - 2)
-    return rays.ray_implicit_intersection(some_rays(spark, sf), g, f).withColumn("t", settle(F.col("t")))
+    return rays.ray_implicit_intersection(every_ray(spark, sf), g, f).withColumn("t", settle(F.col("t")))
 
 
 SAMPLES = (
@@ -445,11 +469,6 @@ SIZE = (64, 48)
 
 
 def gaussians(spark, sf):
-    """The Gaussians that the SQL makes."""
-    return every_gaussian(spark, sf).where("id < 300")
-
-
-def every_gaussian(spark, sf):
     """Gaussians in front of a camera, one from each vector."""
     e = table(spark, sf, "embeddings")
     x = lambda i: F.col("embedding")[i].cast("double")
@@ -466,14 +485,14 @@ def _rounded(df, *names, digits=5):
     return df.withColumns({n: settle(F.col(n), digits) for n in names})
 
 
-def gauss_sql(limit: int = 300) -> str:
+def gauss_sql() -> str:
     """The Gaussians and the parts of their rotation times scale, step by step."""
     x = lambda n: f"CAST(embedding[{n + 1}] AS DOUBLE)"
     rot = splats.rotation("q0", "q1", "q2", "q3")
     cells = ", ".join(f"({rot[r][c]}) * e{c} AS s{r}{c}" for r in range(3) for c in range(3))
     return (
         f"ga AS (SELECT vec_id AS id, {x(0)} * 3 AS m0, {x(1)} * 3 AS m1, {x(2)} + 2.5 AS m2, {x(3)} + 1 AS w0, {x(4)} AS w1, {x(5)} AS w2, {x(6)} AS w3, {x(7)} - 2 AS l0, {x(8)} - 2 AS l1, {x(9)} - 2 AS l2, "
-        f"{x(10)} * 4 AS logit, 0.5 + {x(10)} AS opacity, vec_id % 5 + 1 AS ratio FROM embeddings WHERE vec_id < {limit}), "
+        f"{x(10)} * 4 AS logit, 0.5 + {x(10)} AS opacity, vec_id % 5 + 1 AS ratio FROM embeddings), "
         "gb AS (SELECT *, sqrt(w0 * w0 + w1 * w1 + w2 * w2 + w3 * w3) AS wn, exp(l0) AS e0, exp(l1) AS e1, exp(l2) AS e2 FROM ga), gc AS (SELECT *, w0 / wn AS q0, w1 / wn AS q1, w2 / wn AS q2, w3 / wn AS q3 FROM gb), "
         f"gd AS (SELECT *, {cells} FROM gc)"
     )
@@ -511,18 +530,18 @@ def project_gaussians(spark, sf):
 
 @query()
 def project_gaussians_unscented(spark, sf):
-    return _rounded(splats.project_unscented(every_gaussian(spark, sf).select("id", "mean", "quat", "log_scale"), CAMS, SIZE), "mx", "my", "depth", "ca", "cb", "cc", digits=3)
+    return _rounded(splats.project_unscented(gaussians(spark, sf).select("id", "mean", "quat", "log_scale"), CAMS, SIZE), "mx", "my", "depth", "ca", "cb", "cc", digits=3)
 
 
 #: Footprints with exact values, for what comes after projection: SQL makes the same ones.
 FOOT = (
     "foot AS (SELECT 0 AS cam, vec_id AS id, CAST(vec_id * 7 % 64 AS DOUBLE) AS mx, CAST(vec_id * 11 % 48 AS DOUBLE) AS my, CAST(vec_id * 13 % 101 AS DOUBLE) AS depth, 0.125::DOUBLE AS ca, 0.0::DOUBLE AS cb, 0.0625::DOUBLE AS cc, CAST(3 + vec_id % 6 AS INTEGER) AS radius_x, "
-    "CAST(4 + vec_id % 5 AS INTEGER) AS radius_y, 0.25::DOUBLE + (vec_id % 4) / 8.0::DOUBLE AS opacity, CAST(vec_id % 3 AS DOUBLE) AS red FROM embeddings WHERE vec_id < 400)"
+    "CAST(4 + vec_id % 5 AS INTEGER) AS radius_y, 0.25::DOUBLE + (vec_id % 4) / 8.0::DOUBLE AS opacity, CAST(vec_id % 3 AS DOUBLE) AS red FROM embeddings)"
 )
 
 
 def footprints(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id < 400")
+    e = table(spark, sf, "embeddings")
     return e.selectExpr(
         "0 AS cam", "vec_id AS id", "cast(vec_id * 7 % 64 AS double) AS mx", "cast(vec_id * 11 % 48 AS double) AS my", "cast(vec_id * 13 % 101 AS double) AS depth", "0.125D AS ca", "0.0D AS cb", "0.0625D AS cc",
         "cast(3 + vec_id % 6 AS int) AS radius_x", "cast(4 + vec_id % 5 AS int) AS radius_y", "0.25D + (vec_id % 4) / 8.0D AS opacity", "cast(vec_id % 3 AS double) AS red",
@@ -602,7 +621,7 @@ def spherical_harmonics(spark, sf):
     return splats.evaluate_harmonics(e, 2).select("vec_id", settle(F.col("color")[0], 5).alias("c"))
 
 
-@query("SELECT vec_id AS id, vec_id % 10 <> 3 AS finite FROM embeddings WHERE vec_id < 300")
+@query("SELECT vec_id AS id, vec_id % 10 <> 3 AS finite FROM embeddings")
 def gaussian_nan_mask(spark, sf):
     g = gaussians(spark, sf).withColumn("logit_opacity", F.when(F.col("id") % 10 == 3, F.lit(float("nan"))).otherwise(F.col("logit_opacity")))
     return splats.finite_mask(g)
@@ -611,7 +630,7 @@ def gaussian_nan_mask(spark, sf):
 @query()
 def project_gaussians_by_scene(spark, sf):
     """Each camera sees the Gaussians of its own scene."""
-    g = every_gaussian(spark, sf).select("id", "mean", "quat", "log_scale", (F.col("id") % 2).cast("int").alias("scene"))
+    g = gaussians(spark, sf).select("id", "mean", "quat", "log_scale", (F.col("id") % 2).cast("int").alias("scene"))
     return _rounded(splats.project(g, CAMS, SIZE, scene="scene", orthographic=True), "mx", "my", "depth", "ca", "cb", "cc", "compensation")
 
 

@@ -208,16 +208,17 @@ def ijk_to_index(spark, sf):
 
 
 @query(
-    f"WITH {VOX_E}, p AS (SELECT grid_id, point_id, {', '.join(f'CAST(floor({a} / 0.1::DOUBLE + 0.5) AS INTEGER) AS {n}' for a, n in zip('xyz', IJK))} FROM pts WHERE point_id % 2 = 0) "
-    "SELECT v.*, CAST(coalesce(max(p.point_id), -1) AS BIGINT) AS inv FROM vox v LEFT JOIN p USING (grid_id, i, j, k) GROUP BY ALL"
+    f"WITH {VOX_E}, p AS (SELECT grid_id, point_id, {', '.join(f'CAST(floor({a} / 0.1::DOUBLE + 0.5) AS INTEGER) AS {n}' for a, n in zip('xyz', IJK))} FROM pts), w AS (SELECT * FROM vox UNION SELECT grid_id, i + 1, j, k FROM vox) "
+    "SELECT w.*, CAST(coalesce(max(p.point_id), -1) AS BIGINT) AS inv FROM w LEFT JOIN p USING (grid_id, i, j, k) GROUP BY ALL"
 )
 def ijk_to_inv_index(spark, sf):
+    """The last point in each voxel, of a grid that also has the next voxel along i, where there may be none."""
     from gridweave.functions.spatial import nearest
 
     g = emb_grid(spark, sf)
-    p = g.world_to_voxel(emb_points(spark, sf).where("point_id % 2 = 0"))
+    p = g.world_to_voxel(emb_points(spark, sf))
     rows = p.select("grid_id", *[nearest(F.col("v" + a)).alias(n) for a, n in zip("xyz", IJK)], F.col("point_id").alias("pos"))
-    return q.ijk_to_inv_index(rows, g)
+    return q.ijk_to_inv_index(rows, g.with_voxels(g.voxels.union(g.voxels.withColumn("i", F.col("i") + 1)).distinct()))
 
 
 @query(
