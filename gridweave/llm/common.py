@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Keys with more than a share of one in HOT_KEYS of the rows are joined by broadcast: fewer than HOT_KEYS rows.
+HOT_KEYS = 1000
+#: Null ids count as the largest long where ids are compared.
+LAST_ID = (1 << 63) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,23 +54,44 @@ def rows_of(docs: DataFrame, keep: DataFrame, digest, once: bool = False) -> Dat
 def _checkpoint_dir(spark: SparkSession) -> str:
     """The folder for cuts of lineage, shared by all executors: what the session names in ``spark.checkpoint.dir``.
 
-    One is set here only where the context has none, as in tests.
+    One is set here only where there is none and all tasks run in this process, as in
+    tests; on a cluster without one this fails.
     """
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    """A path's file system and the path, as Hadoop has them."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder; for many rows, smaller than a checkpoint.
 
-    The table lies in the context's own checkpoint folder and goes with it.
+    The table goes when the driver's JVM ends, if not before (``drop_written``).
     """
     path = f"{_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
+    files, p = _at(df.sparkSession, path)
+    files.deleteOnExit(p)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Delete a table that ``written`` made and nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        files, p = _at(df.sparkSession, path)
+        files.delete(p, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete what finished jobs shuffled.
 
@@ -84,32 +110,61 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def learn(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` with what ``facts`` says of their ``keys``: null where it says nothing.
+
+    ``facts`` has one row a key, and in ``n`` how many of the ``total`` rows have it.  A key
+    of more than ``total / HOT_KEYS`` rows would meet in one task.  There are fewer than
+    ``HOT_KEYS`` of these, whatever the input, so their facts are broadcast, and their
+    rows go through the join under keys of their own, spread over all tasks.
+    """
+    names = [c for c in facts.columns if c not in keys and c != "n"]
+    hot = facts.where(F.col("n") > max(1, total) / HOT_KEYS).select(*[F.col(k).alias("_h" + k) for k in keys], F.struct(*names).alias("_hot"))
+    r = rows.join(F.broadcast(hot), [rows[k] == hot["_h" + k] for k in keys], "left").drop(*["_h" + k for k in keys])
+    own = F.shiftleft(F.xxhash64(*rows.columns), 1) + 1  # odd; the same whenever a lost task runs again
+    r = r.withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(own))
+    f = facts.select(*[F.col(k).alias("_f" + k) for k in keys], F.lit(0).cast("long").alias("_zero"), F.struct(*names).alias("_cold"))
+    j = r.join(f, [*[r[k] == f["_f" + k] for k in keys], r["_spread"] == f["_zero"]], "left")
+    said = F.coalesce("_hot", "_cold")
+    return j.select(*rows.columns, *[said[c].alias(c) for c in names])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable vertex of each vertex that has an edge.
 
-    ``edges`` has two long columns ``a`` and ``b``; direction, repeats and self
-    loops don't matter.  Alternates large-star and small-star rounds: each is a
-    grouped minimum (combined before the shuffle, so a hub costs one row per
-    task) and an equi-join whose skewed side adaptive execution may split.
+    ``edges`` has two columns ``a`` and ``b`` of one type that has an order;
+    direction, repeats and self loops don't matter.  Alternates large-star and
+    small-star rounds: each is a grouped minimum (combined before the shuffle, so a
+    hub costs one row per task) and an equi-join in which a hub's rows are spread
+    (``learn``).  Each round's edges are a table that goes when the next is written.
     Returns ``id``, ``component``; vertices without edges are not in it.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = cut(e)
-    seen = None
+
+    def stars(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+    def sign(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    seen = sign(e)
     for _ in range(max_rounds):
+        if not seen[0]:
+            break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = hung.union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        low = stars(both).select("u", F.least("u", "m").alias("m"), "n")
+        large = learn(both.where("v > u"), low, ["u"], 2 * seen[0])
+        large = large.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = stars(large)
+        hung = learn(large, low, ["u"], seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = written(hung.union(low.select("u", F.col("m").alias("v"))).distinct())
+        now = sign(small)
+        drop_written(e)
+        e = small
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError(f"no convergence in {max_rounds} rounds")
-    stars = e.groupBy("u").agg(F.min("v").alias("v"))
-    return stars.select(F.col("u").alias("id"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
+    out = e.groupBy("u").agg(F.min("v").alias("v"))
+    return out.select(F.col("u").alias("id"), F.col("v").alias("component")).union(out.select("v", "v").distinct())

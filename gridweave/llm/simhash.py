@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, id_text, rows_of, text_digest
+from .common import LAST_ID, connected_components, cut, id_text, learn, rows_of, text_digest, written
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 #: Shingles hashed at once, and fingerprints joined at once.
@@ -158,11 +158,12 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def solve(t: pa.Table) -> pa.RecordBatch:
         key, turned = t.column("bucket").to_numpy(), t.column("turned").to_numpy().view(np.uint64)
         turned = turned ^ np.uint64(1 << 63)  # sorted as signed
-        fp = t.column("fp").to_numpy()
+        fp, low = t.column("fp").to_numpy(), t.column("low").to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, int)
         labels = trie_links(turned, starts, 12, MAX_BITS)
         moved = np.flatnonzero(labels != np.arange(len(labels)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[labels[moved]])], ["a", "b"])
+        cols = [pa.array(x[i]) for i in (moved, labels[moved]) for x in (low, fp)]
+        return pa.RecordBatch.from_arrays(cols, ["a_low", "a", "b_low", "b"])
 
     for b in batches:
         held.append(b)
@@ -181,6 +182,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def near_links(prints: DataFrame) -> DataFrame:
     """Pairs ``a``, ``b`` of the distinct fingerprints in column ``fp`` that connect all within four bits.
 
+    Each comes with its ``low`` as ``a_low`` and ``b_low``.
     Each print goes to five buckets, one per block of its bits (13 bits each, the
     last 12, so no bit is in two blocks); prints within four bits share a bucket.
     The 36,864 possible buckets are counted, and in those of
@@ -195,8 +197,8 @@ def near_links(prints: DataFrame) -> DataFrame:
         for i, b in enumerate(BLOCKS)
     )
     last = len(BLOCKS) - 1
-    keyed = prints.select("fp", F.expr(f"inline(array({turn}))")).selectExpr(
-        "fp", "turned", f"block * 8192 + cast(shiftrightunsigned(turned, IF(block = {last}, 52, 51)) AS int) AS main"
+    keyed = prints.select("fp", "low", F.expr(f"inline(array({turn}))")).selectExpr(
+        "fp", "low", "turned", f"block * 8192 + cast(shiftrightunsigned(turned, IF(block = {last}, 52, 51)) AS int) AS main"
     )
     large = keyed.groupBy("main").count().where(F.col("count") > SPLIT_ABOVE).select("main", F.lit(True).alias("big"))
 
@@ -210,11 +212,11 @@ def near_links(prints: DataFrame) -> DataFrame:
     again = f"IF(main >= {last * 8192}, {subs(LAST_SUB_BLOCKS)}, {subs(SUB_BLOCKS)})"
     # at most 36,864 rows, whatever the input: the number of main buckets
     dealt = keyed.join(F.broadcast(large), "main", "left").selectExpr(
-        "fp", "turned", "main", f"explode(IF(big, {again}, array(0L))) AS sub"
+        "fp", "low", "turned", "main", f"explode(IF(big, {again}, array(0L))) AS sub"
     )
-    buckets = dealt.selectExpr("main * 16384L + sub AS bucket", f"turned ^ {flip} AS turned", "fp")
+    buckets = dealt.selectExpr("main * 16384L + sub AS bucket", f"turned ^ {flip} AS turned", "fp", "low")
     ordered = buckets.repartition("bucket").sortWithinPartitions("bucket", "turned")
-    return ordered.mapInArrow(_bucket_links, "a long, b long")
+    return ordered.mapInArrow(_bucket_links, "a_low long, a long, b_low long, b long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -224,23 +226,34 @@ def near_groups(docs: DataFrame) -> DataFrame:
     row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest
     ``doc_id`` reachable over links of at most four differing bits).  Null and
     wordless texts have fingerprint zero and link like any other; repeated rows
-    each get their row; an empty table gives none; other columns are ignored.
+    each get their row; null ids come after all others, so ``component_id`` is null
+    only where a group has no other; an empty table gives none; other columns are
+    ignored.
     """
-    rows, leaf = _grouped(id_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long"))
-    out = rows.join(leaf, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, total, leaf = _grouped(id_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long"))
+    out = learn(rows, leaf, ["fp"], total)
+    low = F.col("component.low")
+    return out.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.when(low != LAST_ID, low).alias("component_id"),
+    )
+
 
+def _grouped(rows: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """The rows of fingerprints ``fp``, materialised; their number; and each distinct print's ``n`` and ``component``.
 
-def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of fingerprints ``fp``, materialised, and each distinct one's ``component`` and ``component_id``."""
+    A component is named by its least ``low`` (id) and then ``fp``, so its name tells
+    its smallest id and no group has to meet to find it.
+    """
     rows = cut(rows)
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    groups = connected_components(near_links(distinct))
-    named = distinct.join(groups, distinct["fp"] == groups["id"], "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("component")
-    )
-    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    return rows, named.select("fp", "component").join(least, "component").select("fp", "component", "component_id")
+    distinct = written(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("low"), F.count("*").alias("n")))
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    node = lambda side: F.struct(F.col(f"{side}_low").alias("low"), F.col(side).alias("fp")).alias(side)
+    groups = connected_components(near_links(distinct).select(node("a"), node("b")))
+    groups = groups.select(F.col("id.fp").alias("id"), "component")
+    leaf = distinct.join(groups, distinct["fp"] == groups["id"], "left")
+    return rows, total, leaf.select("fp", "n", F.coalesce("component", F.struct("low", "fp")).alias("component"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -249,7 +262,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     A null id comes last; of different texts under the smallest id, that of the least digest stays.
     """
     texts = id_text(docs).withColumn("digest", text_digest(F.col("text")))
-    rows, leaf = _grouped(texts.mapInArrow(_fingerprints, "doc_id long, fp long, digest string"))
+    rows, total, leaf = _grouped(texts.mapInArrow(_fingerprints, "doc_id long, fp long, digest string"))
     first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "digest")).alias("first")
-    keep = rows.join(leaf, "fp").groupBy("component").agg(first).select("first.doc_id", "first.digest")
+    # combined before the shuffle, so a large group costs one row a task
+    keep = learn(rows, leaf, ["fp"], total).groupBy("component").agg(first).select("first.doc_id", "first.digest")
     return rows_of(docs, keep, text_digest(docs["text"]))

@@ -4,9 +4,11 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
+
 from .odd import TEXTS, documents
 
-from gridweave.llm import bwt, embeddings, exact, simhash, substrings, windows
+from gridweave.llm import bwt, common, embeddings, exact, simhash, substrings, windows
 
 
 def low(t):
@@ -112,7 +114,8 @@ def test_near_links_across_buckets(spark, monkeypatch, split):
             prints.add(q)
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    edges = simhash.near_links(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()
+    edges = simhash.near_links(spark.createDataFrame([(s, -s) for s in signed], "fp long, low long")).collect()
+    assert all((e.a_low, e.b_low) == (-e.a, -e.b) for e in edges)
     at = {s: i for i, s in enumerate(signed)}
     got = components(len(prints), [(at[e.a], at[e.b]) for e in edges])
     want = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
@@ -134,7 +137,7 @@ def test_one_bit_of_each_block_but_one(spark, monkeypatch, split):
         p = rng.getrandbits(64)
         pairs.append((p, p ^ sum(1 << (63 - b) for b in bits)))
     signed = lambda p: p - (1 << 64) if p >> 63 else p
-    df = spark.createDataFrame([(signed(p),) for pair in pairs for p in pair], "fp long")
+    df = spark.createDataFrame([(signed(p), 0) for pair in pairs for p in pair], "fp long, low long")
     got = {frozenset((e.a, e.b)) for e in simhash.near_links(df).collect()}
     assert got == {frozenset(map(signed, pair)) for pair in pairs}
 
@@ -152,6 +155,36 @@ def test_near_groups(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(df).collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_null_and_repeated_ids_in_near_groups(spark, monkeypatch, hot):
+    """Ids that are null come last; a repeated id names the groups of all its texts; hot prints join by broadcast."""
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    said = ["the cat sat on the mat", "green hills lie beyond the old river town"]
+    rows = [(None, said[0])] * 3 + [(9, said[0]), (4, said[0]), (None, said[1]), (None, None), (4, "snow fell all night"), (7, "")] + [(i, "word") for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x"))
+    got = sorted(str((r.doc_id, r.fingerprint, r.component_id)) for r in simhash.near_groups(df).collect())
+    prints = [slow_simhash(t) for _, t in rows]
+    want = []
+    for (i, _), p in zip(rows, prints):
+        same = [j for (j, _), q in zip(rows, prints) if p == q and j is not None]
+        want.append(str((i, f"{p:016x}", min(same, default=None))))
+    assert all((p ^ q).bit_count() > 4 for p in prints for q in prints if p != q)
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("hot", [1000, 4])
+def test_connected_components(spark, monkeypatch, hot):
+    """Stars, paths and random edges, with structs as vertices."""
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    rng = random.Random(hot)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(299, i) for i in range(260, 299)]
+    df = spark.createDataFrame([((-a, "v"), (-b, "v")) for a, b in edges], "a struct<x:long,y:string>, b struct<x:long,y:string>")
+    got = {r.id.x: r.component.x for r in common.connected_components(df).collect()}
+    part = components(300, [(299 - a, 299 - b) for a, b in edges])
+    assert got == {-v: part[299 - v] - 299 for e in edges if e[0] != e[1] for v in e}
+    assert common.connected_components(df.limit(0)).count() == 0
+
+
 # -- repeated strings ------------------------------------------------------------------
 
 
