@@ -59,13 +59,17 @@ def case_triangles() -> list[list[tuple[tuple[int, int], ...]]]:
     return cases
 
 
-def marching_cubes(g: Grids, features: DataFrame, level: float = 0.0, value: str = "f", world: bool = True) -> tuple[DataFrame, DataFrame]:
+def marching_cubes(
+    g: Grids, features: DataFrame, level: float = 0.0, value: str = "f", world: bool = True, edge_keys: bool = False
+) -> tuple[DataFrame, ...]:
     """The surface where values cross ``level``: vertices ``grid_id, v_id, x, y, z`` and faces ``grid_id, f_id, v0, v1, v2``.
 
     Only cubes with all eight corners active are used.  Each voxel is dealt to the
     eight cubes it is a corner of and cubes gather their values in one grouped
     aggregate.  A vertex lies on an edge between two voxels and is shared by all
-    cubes there; vertices are numbered in order of their edge.
+    cubes there; vertices are numbered in order of their edge.  With ``edge_keys``,
+    a third table tells each vertex's edge: ``grid_id``, ``v_id`` and the numbers, in the
+    whole batch, of the edge's two voxels, ``voxel_a >= voxel_b``.
     """
     f = check_columns(features, *KEY, value).select(*KEY, (F.col(value) - level).alias("_v"))
     corner = with_box(f, (0, 0, 0), (1, 1, 1), tap="c").select("grid_id", *[(F.col(a) - F.col("d" + a)).alias(a) for a in IJK], "c", "_v")
@@ -104,5 +108,16 @@ def marching_cubes(g: Grids, features: DataFrame, level: float = 0.0, value: str
         faces = faces.withColumns({f"k{e}{s}{a}": F.col(f"e{e}.{s}.{a}") for s in "pq" for a in IJK}).join(own, ["grid_id", *[f"k{e}{n}" for n in key]])
     faces = numbered(faces.select(*KEY, "t", "u0", "u1", "u2"), "i", ["j", "k", "t"], "f_id")
     faces = faces.select("grid_id", "f_id", *[F.col(f"u{e}").alias(f"v{e}") for e in range(3)])
-    vert = vert.select("grid_id", "v_id", "x", "y", "z")
-    return (g.voxel_to_world(vert, ("x", "y", "z")) if world else vert), faces
+    out = vert.select("grid_id", "v_id", "x", "y", "z")
+    out = g.voxel_to_world(out, ("x", "y", "z")) if world else out
+    return (out, faces, _edge_keys(g, ids)) if edge_keys else (out, faces)
+
+
+def _edge_keys(g: Grids, ids: DataFrame) -> DataFrame:
+    """For each vertex the batch-wide numbers of the two voxels its edge joins, the larger first."""
+    number = g.indexed().join(g.offsets().select("grid_id", "joffset"), "grid_id")
+    number = number.select(*KEY, (F.col("idx") + F.col("joffset")).alias("n"))
+    for s in "pq":
+        own = number.select("grid_id", *[F.col(a).alias(s + a) for a in IJK], F.col("n").alias("n" + s))
+        ids = ids.join(own, ["grid_id", *[s + a for a in IJK]])
+    return ids.select("grid_id", "v_id", F.greatest("np", "nq").alias("voxel_a"), F.least("np", "nq").alias("voxel_b"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from .grids import Grids, check_columns
 RAY = ["grid_id", "ray_id"]
 #: Side of the blocks that are looked up before voxels, and the shortest piece of a sample that counts.
 BLOCK, DELTA = 8, 1e-9
+#: Fixed value: the longest step of a cone's samples.
+LONGEST = 1e10
 AXES = ("x", "y", "z")
 
 
@@ -115,8 +118,9 @@ def uniform_ray_samples(
 
     With end segments, pieces between a segment's ends and the lattice count as
     samples; without, whole steps whose middle lies in the segment.  A cone angle
-    makes steps grow with time (``t * cone_angle``, ``step`` at least); then each
-    step depends on the one before, and rays go through an Arrow function.
+    makes steps grow with time (``t * cone_angle``, ``step`` at least); then a
+    segment's steps depend on where those before it ended, and rays go through an
+    Arrow function that takes the segments of all its rays in turn.
     """
     if step <= 0 or cone_angle < 0:
         raise ValueError("the step must be positive and the cone angle not negative")
@@ -138,44 +142,97 @@ def uniform_ray_samples(
     return out.select(*RAY, ((F.col("t0") + F.col("t1")) / 2).alias("t")) if midpoints else out
 
 
-def _cone(step: float, t_min: float, angle: float, ends: bool):
-    """Samples of growing length over each ray's segments."""
-    import math
-
-    def length(t: float) -> float:
-        return min(max(t * angle, step), 1e10)
-
-    def walk(segments: list[dict]) -> Iterator[tuple[float, float]]:
-        t, size = t_min, length(t_min)
-        for s in segments:
-            a, b = s["t0"], s["t1"]
-            if ends:
-                t += math.ceil((a - t) / size) * size
-                if t > b:
-                    yield a, b
-                    continue
-                if t - a > DELTA:
-                    yield a, t
-                while t + size < b:
-                    yield t, t + size
-                    t += size
-                    size = length(t)
-                if b - t > DELTA:
-                    yield t, b
+class GrowingLattice:
+    """Times that follow each other at the length a cone has there: ``t * angle``, from ``step`` to ``LONGEST``.
+
+    Where lengths are at a bound times are evenly spaced, in between they grow by a
+    factor, so all times up to a limit come from a count and a formula, for many
+    rays at once.
+    """
+
+    def __init__(self, step: float, angle: float):
+        self.step, self.angle = step, angle
+        self.stretches = [(step, 0.0, step / angle), (None, step / angle, LONGEST / angle), (LONGEST, LONGEST / angle, np.inf)]
+
+    def length(self, t: np.ndarray) -> np.ndarray:
+        return np.clip(t * self.angle, self.step, LONGEST)
+
+    def after(self, t: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Times after ``t`` and under ``limit``: whose they are and what they are, in order; and the last of each or ``t``."""
+        last, owners, times = t.astype(float), [], []
+        for size, begin, end in self.stretches:
+            here = (last >= begin) & (last < end) & (last < limit)
+            if size is None:
+                growth = np.log1p(self.angle)
+                count = lambda to: np.log(to / np.where(here, last, 1.0)) / growth
             else:
-                t += math.floor((a - t) / size + 0.5) * size
-                size = length(t)
-                while a <= t + size / 2 < b:
-                    yield t, t + size
-                    t += size
-                    size = length(t)
+                count = lambda to, size=size: (to - last) / size
+            inside = np.maximum(np.ceil(count(limit)) - 1, 0)
+            n = np.where(here, np.minimum(np.ceil(count(end)) if np.isfinite(end) else inside, inside), 0).astype(np.int64)
+            own = np.repeat(np.arange(len(t)), n)
+            nth = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + 1
+            at = last[own] * (1 + self.angle) ** nth if size is None else last[own] + nth * size
+            owners.append(own)
+            times.append(at)
+            ends = np.cumsum(n)[n > 0] - 1
+            last[n > 0] = at[ends]
+        own, at = np.concatenate(owners), np.concatenate(times)
+        order = np.argsort(own, kind="stable")
+        return own[order], at[order], last
+
+
+def _cone(step: float, t_min: float, angle: float, ends: bool):
+    """Samples of growing length over each ray's segments: the first segments of all rays, then the second ones, and so on."""
+    lattice = GrowingLattice(step, angle)
+
+    def with_ends(a, b, t, size):
+        """The pieces between a segment's ends and the lattice times in it; the first step has the length found before."""
+        first = t + np.ceil((a - t) / size) * size
+        inside = first <= b
+        moved = inside & (first + size < b)
+        rows = np.flatnonzero(moved)
+        own, at, last = lattice.after((first + size)[rows], b[rows])
+        whole = np.arange(len(a))
+        owner = np.concatenate([whole, whole[inside], rows, rows[own], whole])
+        marks = np.concatenate([a, first[inside], (first + size)[rows], at, b])
+        t = first.copy()
+        t[rows] = last
+        size = size.copy()
+        size[rows] = lattice.length(last)
+        order = np.lexsort((marks, owner))
+        owner, marks = owner[order], marks[order]
+        same = (owner[1:] == owner[:-1]) & ((marks[1:] - marks[:-1] > DELTA) | ~inside[owner[1:]])
+        return owner[:-1][same], marks[:-1][same], marks[1:][same], t, size
+
+    def whole_steps(a, b, t, size):
+        """Lattice steps whose middle lies in the segment."""
+        first = t + np.floor((a - t) / size + 0.5) * size
+        own, at, _ = lattice.after(first, b)
+        owner, begin = np.concatenate([np.arange(len(a)), own]), np.concatenate([first, at])
+        starts = (first + lattice.length(first) / 2 >= a)[owner]
+        kept = starts & (begin + lattice.length(begin) / 2 < b[owner])
+        owner, begin = owner[kept], begin[kept]
+        end = begin + lattice.length(begin)
+        t = first.copy()
+        np.maximum.at(t, owner, end)
+        return owner, begin, end, t, lattice.length(t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(g, r, a, b) for g, r, segs in zip(*(c.to_pylist() for c in batch.columns)) for a, b in walk(segs)]
-            kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64())
-            cols = zip(*rows) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["grid_id", "ray_id", "t0", "t1"])
+            lists = batch.column("segs")
+            flat, n = lists.flatten(), lists.value_lengths().to_numpy()
+            a, b = (flat.field(c).to_numpy() for c in range(2))
+            begin = np.cumsum(n) - n
+            t, out = np.full(len(n), float(t_min)), []
+            size = lattice.length(t)
+            for nth in range(int(n.max(initial=0))):
+                rays = np.flatnonzero(n > nth)
+                at = begin[rays] + nth
+                own, t0, t1, t[rays], size[rays] = (with_ends if ends else whole_steps)(a[at], b[at], t[rays], size[rays])
+                out.append((rays[own], t0, t1))
+            ray, t0, t1 = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0), np.empty(0))
+            ids = [batch.column(c).take(pa.array(ray)) for c in RAY]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(t0), pa.array(t1)], [*RAY, "t0", "t1"])
 
     return run
 

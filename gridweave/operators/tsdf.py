@@ -20,16 +20,28 @@ MAX_PAD = 16
 Camera = tuple[Sequence[Sequence[float]], Sequence[Sequence[float]]]
 
 
-def _cameras(spark, cameras: Mapping[int, Camera]) -> DataFrame:
-    """Matrices by grid, from a driver-side mapping of grid to (3x3 projection, 4x4 camera to world)."""
+def _cameras(spark, cameras: Mapping[int, Camera] | DataFrame) -> DataFrame:
+    """Matrices by grid.
+
+    From a driver-side mapping of grid to (3x3 projection, 4x4 camera to world), which
+    is bounded and broadcast; or, for any number of grids, from a table ``grid_id``,
+    ``fx, fy, cx, cy`` and ``pose`` (a rigid camera to world, row by row), which is joined.
+    """
+    if isinstance(cameras, DataFrame):
+        c = check_columns(cameras, "grid_id", "fx", "fy", "cx", "cy", "pose")
+        turned = ", ".join(", ".join([*(f"pose[{4 * n + r}]" for n in range(3)), "-(" + " + ".join(f"pose[{4 * n + r}] * pose[{4 * n + 3}]" for n in range(3)) + ")"]) for r in range(3))
+        return c.selectExpr(
+            "grid_id", "array(1 / fx, 0D, -cx / fx, 0D, 1 / fy, -cy / fy, 0D, 0D, 1D) AS kinv", "slice(pose, 1, 12) AS pose",
+            "array(fx, 0D, cx, 0D, fy, cy, 0D, 0D, 1D) AS kmat", f"array({turned}) AS view",
+        )
     if len(cameras) > MAX_LISTED:
-        raise ValueError(f"at most {MAX_LISTED} cameras")
+        raise ValueError(f"at most {MAX_LISTED} cameras; give a table of them")
     rows = []
     for g, (k, pose) in cameras.items():
         k, pose = np.asarray(k, float), np.asarray(pose, float)
         mats = [np.linalg.inv(k), pose[:3], k, np.linalg.inv(pose)[:3]]
         rows.append((int(g), *[m.ravel().tolist() for m in mats]))
-    return spark.createDataFrame(rows, "grid_id int, kinv array<double>, pose array<double>, kmat array<double>, view array<double>")
+    return F.broadcast(spark.createDataFrame(rows, "grid_id int, kinv array<double>, pose array<double>, kmat array<double>, view array<double>"))
 
 
 def _times(m: str, cols: int, row: int, v: Sequence[str]) -> str:
@@ -38,15 +50,15 @@ def _times(m: str, cols: int, row: int, v: Sequence[str]) -> str:
     return " + ".join(terms + ([f"{m}[{row * cols + 3}]"] if cols == 4 else []))
 
 
-def unproject(pixels: DataFrame, cameras: Mapping[int, Camera]) -> DataFrame:
+def unproject(pixels: DataFrame, cameras: Mapping[int, Camera] | DataFrame) -> DataFrame:
     """World points of depth pixels ``grid_id, u, v, depth``."""
-    p = check_columns(pixels, "grid_id", "u", "v", "depth").join(F.broadcast(_cameras(pixels.sparkSession, cameras)), "grid_id")
+    p = check_columns(pixels, "grid_id", "u", "v", "depth").join(_cameras(pixels.sparkSession, cameras), "grid_id")
     p = p.withColumns({f"c{a}": F.expr(f"depth * ({_times('kinv', 3, n, ('u', 'v', '1.0D'))})") for n, a in enumerate("xyz")})
     return p.select("grid_id", *[F.expr(_times("pose", 4, n, ("cx", "cy", "cz"))).alias(a) for n, a in enumerate("xyz")])
 
 
 def integrate_tsdf(
-    g: Grids, state: DataFrame, pixels: DataFrame, cameras: Mapping[int, Camera], size: tuple[int, int], truncation: float,
+    g: Grids, state: DataFrame, pixels: DataFrame, cameras: Mapping[int, Camera] | DataFrame, size: tuple[int, int], truncation: float,
     channels: Sequence[str] = (), min_voxel: float | None = None,
 ) -> tuple[Grids, DataFrame]:
     """Merge one depth image per grid into distances.
@@ -68,7 +80,7 @@ def integrate_tsdf(
     seen = dilated_grid(from_points(unproject(pixels, cameras), like=g), pad)
     out = merged_grid(g, seen)
 
-    v = out.voxel_to_world(out.voxels).join(F.broadcast(_cameras(pixels.sparkSession, cameras)), "grid_id", "left")
+    v = out.voxel_to_world(out.voxels).join(_cameras(pixels.sparkSession, cameras), "grid_id", "left")
     v = v.withColumns({f"c{a}": F.expr(_times("view", 4, n, "xyz")) for n, a in enumerate("xyz")})
     v = v.withColumns({f"s{a}": F.expr(_times("kmat", 3, n, ("cx", "cy", "cz"))) for n, a in enumerate("xyz")})
     # pixels by truncation towards zero

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import elementwise as el
-from gridweave.functions.spatial import IJK, KEY, settle
-from gridweave.operators import build, jagged, mesh, metrics, rays, sdf, splats, tsdf
-from gridweave.operators.grids import Grids
+from gridweave.functions.spatial import IJK, KEY, settle, with_box
+from gridweave.operators import jagged, mesh, metrics, rays, sdf, splats, tsdf
+from gridweave.operators.grids import Grids, shared_grids
 
 from .base import FEAT_E, VOX_E, box_sql, emb_grid, feature, query, settled, table
 
@@ -369,30 +369,45 @@ def volume_render_adjoint(spark, sf):
 # -- surfaces and distances ------------------------------------------------------------------------------
 
 
-def ball(spark, n: int = 10, radius: float = 3.3) -> tuple[Grids, object]:
-    """A dense box around a ball and each voxel's distance to its surface."""
-    g = build.from_dense(spark, 1, (2 * n + 1,) * 3, (-n,) * 3)
-    f = g.voxels.withColumn("f", F.sqrt(F.expr("cast(i * i + j * j + k * k AS double)")) - radius)
-    return g, f
+#: Half the side of a ball's box.
+HALF = 4
+RADIUS = "1.25 + (s_suppkey % 5) * 0.5"
+BALLS = (
+    f"ball AS (SELECT CAST(s_suppkey AS INTEGER) AS grid_id, i, j, k, sqrt(CAST(i * i + j * j + k * k AS DOUBLE)) - ({RADIUS.replace('1.25', '1.25::DOUBLE')}) AS f FROM supplier, {box_sql(-HALF, HALF, ('i', 'j', 'k'))} b)"
+)
+
+
+def balls(spark, sf) -> tuple[Grids, object]:
+    """A grid for each supplier: a dense box around a ball, and each voxel's distance to its surface."""
+    rows = table(spark, sf, "supplier").selectExpr("cast(s_suppkey AS int) AS grid_id", f"cast({RADIUS} AS double) AS r")
+    box = with_box(rows, (-HALF,) * 3, (HALF,) * 3, tuple(IJK))
+    f = box.select(*KEY, (F.sqrt(F.expr("cast(i * i + j * j + k * k AS double)")) - F.col("r")).alias("f"))
+    return shared_grids(rows, f.select(*KEY)), f
+
+
+@query(f"WITH {BALLS}, s AS (SELECT unnest([[1,0,0],[0,1,0],[0,0,1]]) AS s) SELECT a.grid_id, count(*) AS n_vertices FROM ball a CROSS JOIN s JOIN ball b ON b.grid_id = a.grid_id AND b.i = a.i + s[1] AND b.j = a.j + s[2] AND b.k = a.k + s[3] WHERE (a.f < 0) <> (b.f < 0) GROUP BY 1")
+def marching_cubes_vertices(spark, sf):
+    g, f = balls(spark, sf)
+    return mesh.marching_cubes(g, f)[0].groupBy("grid_id").agg(F.count("*").alias("n_vertices"))
 
 
 @query(
-    "SELECT CAST(count(*) AS BIGINT) AS n_vertices FROM (SELECT a.*, b.d AS e FROM (SELECT i, j, k, sqrt(CAST(i * i + j * j + k * k AS DOUBLE)) - 3.3::DOUBLE AS d, unnest([[1,0,0],[0,1,0],[0,0,1]]) AS s "
-    f"FROM {box_sql(-10, 10, ('i', 'j', 'k'))} q) a JOIN (SELECT i, j, k, sqrt(CAST(i * i + j * j + k * k AS DOUBLE)) - 3.3::DOUBLE AS d FROM {box_sql(-10, 10, ('i', 'j', 'k'))} q) b "
-    "ON b.i = a.i + a.s[1] AND b.j = a.j + a.s[2] AND b.k = a.k + a.s[3]) WHERE (d < 0) <> (e < 0)"
+    f"WITH {BALLS}, s AS (SELECT unnest([[1,0,0],[0,1,0],[0,0,1]]) AS s), n AS (SELECT grid_id, i, j, k, f, row_number() OVER (ORDER BY grid_id, i, j, k) - 1 AS n FROM ball) "
+    "SELECT a.grid_id, b.n AS voxel_a, a.n AS voxel_b FROM n a CROSS JOIN s JOIN n b ON b.grid_id = a.grid_id AND b.i = a.i + s[1] AND b.j = a.j + s[2] AND b.k = a.k + s[3] WHERE (a.f < 0) <> (b.f < 0)"
 )
-def marching_cubes_vertices(spark, sf):
-    g, f = ball(spark)
-    return mesh.marching_cubes(g, f)[0].agg(F.count("*").alias("n_vertices"))
+def vertex_edge_keys(spark, sf):
+    g, f = balls(spark, sf)
+    return mesh.marching_cubes(g, f, edge_keys=True)[2].select("grid_id", "voxel_a", "voxel_b")
 
 
-@query("SELECT 2::BIGINT AS euler, true AS closed")
+@query("SELECT CAST(s_suppkey AS INTEGER) AS grid_id, 2::BIGINT AS euler, true AS closed FROM supplier")
 def marching_cubes_euler(spark, sf):
     """Vertices minus edges plus faces of a ball's surface is 2, and every edge has two faces."""
-    v, f = mesh.marching_cubes(*ball(spark))
-    e = f.select(F.explode(F.array(*[F.array_sort(F.array(f"v{a}", f"v{b}")) for a, b in ((0, 1), (1, 2), (2, 0))])).alias("e")).groupBy("e").agg(F.count("*").alias("n"))
-    counts = v.agg(F.count("*").alias("v")).crossJoin(e.agg(F.count("*").alias("e"), F.bool_and(F.col("n") == 2).alias("closed"))).crossJoin(f.agg(F.count("*").alias("f")))
-    return counts.select((F.col("v") - F.col("e") + F.col("f")).alias("euler"), "closed")
+    v, f = mesh.marching_cubes(*balls(spark, sf))
+    e = f.select("grid_id", F.explode(F.array(*[F.array_sort(F.array(f"v{a}", f"v{b}")) for a, b in ((0, 1), (1, 2), (2, 0))])).alias("e")).groupBy("grid_id", "e").agg(F.count("*").alias("n"))
+    v, f = (x.groupBy("grid_id").agg(F.count("*").alias(n)) for x, n in ((v, "v"), (f, "f")))
+    e = e.groupBy("grid_id").agg(F.count("*").alias("e"), F.bool_and(F.col("n") == 2).alias("closed"))
+    return v.join(e, "grid_id").join(f, "grid_id").select("grid_id", (F.col("v") - F.col("e") + F.col("f")).alias("euler"), "closed")
 
 
 @query()
@@ -404,20 +419,18 @@ def marching_cubes(spark, sf):
     return faces.join(corner, ["grid_id", "v0"])
 
 
-DEPTH_SQL = "(2.0::DOUBLE + ((u * 3 + v * 5) % 7) / 16.0::DOUBLE)"
-
-
-def depth_images(spark):
-    """Two small depth images of exact binary fractions."""
-    p = spark.range(2 * 16 * 12).selectExpr("cast(id div 192 AS int) AS grid_id", "cast(id % 16 AS int) AS u", "cast(id div 16 % 12 AS int) AS v")
-    p = p.selectExpr("*", "2.0D + ((u * 3 + v * 5) % 7) / 16.0D AS depth", "cast((u + v) % 3 AS double) AS weight", "cast(u AS double) AS red")
-    k = [[16.0, 0, 8], [0, 16, 6], [0, 0, 1]]
-    eye = [[1.0, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
-    return p, {0: (k, eye), 1: (k, eye)}
+def depth_images(spark, sf):
+    """A small depth image of exact binary fractions for each supplier, and its camera."""
+    ids = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("grid_id"))
+    p = ids.select("grid_id", F.explode(F.sequence(F.lit(0), F.lit(16 * 12 - 1))).alias("id")).selectExpr("grid_id", "id % 16 AS u", "id div 16 AS v")
+    p = p.selectExpr("grid_id", "u", "cast(v AS int) AS v", "2.0D + ((u * 3 + v * 5 + grid_id) % 7) / 16.0D AS depth", "cast((u + v) % 3 AS double) AS weight", "cast(u AS double) AS red")
+    pose = F.array(*[F.lit(float(n % 5 == 0)) for n in range(16)])
+    cams = ids.selectExpr("grid_id", "16D AS fx", "16D AS fy", "8D AS cx", "6D AS cy").withColumn("pose", pose)
+    return p, cams, ids
 
 
 FUSED = (
-    f"px AS (SELECT CAST(g AS INTEGER) AS grid_id, CAST(u AS INTEGER) AS u, CAST(v AS INTEGER) AS v, {DEPTH_SQL} AS depth, CAST((u + v) % 3 AS DOUBLE) AS weight FROM (SELECT unnest(range(2)) AS g), (SELECT unnest(range(16)) AS u), (SELECT unnest(range(12)) AS v)), "
+    "px AS (SELECT CAST(s_suppkey AS INTEGER) AS grid_id, CAST(u AS INTEGER) AS u, CAST(v AS INTEGER) AS v, 2.0::DOUBLE + ((u * 3 + v * 5 + s_suppkey) % 7) / 16.0::DOUBLE AS depth, CAST((u + v) % 3 AS DOUBLE) AS weight FROM supplier, (SELECT unnest(range(16)) AS u), (SELECT unnest(range(12)) AS v)), "
     "p AS (SELECT grid_id, depth * (u - 8) / 16 AS x, depth * (v - 6) / 16 AS y, depth AS z FROM px), "
     f"b AS (SELECT DISTINCT grid_id, CAST(floor(x / 0.125::DOUBLE + 0.5) AS INTEGER) + di AS i, CAST(floor(y / 0.125::DOUBLE + 0.5) AS INTEGER) + dj AS j, CAST(floor(z / 0.125::DOUBLE + 0.5) AS INTEGER) + dk AS k FROM p, {box_sql(-2, 2)} o), "
     "c AS (SELECT *, i * 0.125::DOUBLE AS x, j * 0.125::DOUBLE AS y, k * 0.125::DOUBLE AS z FROM b), s AS (SELECT *, CAST(trunc((16 * x + 8 * z) / z) AS INTEGER) AS pu, CAST(trunc((16 * y + 6 * z) / z) AS INTEGER) AS pv FROM c), "
@@ -430,8 +443,8 @@ FUSED = (
     f"SELECT grid_id, i, j, k, {settled('CASE WHEN gap > -0.25 AND weight > 0 THEN least(1.0::DOUBLE, gap / 0.25::DOUBLE) ELSE 0 END')} AS tsdf, CAST(CASE WHEN gap > -0.25 AND weight > 0 THEN weight ELSE 0 END AS DOUBLE) AS weight FROM m"
 )
 def integrate_tsdf(spark, sf):
-    p, cams = depth_images(spark)
-    g = Grids(build.shared_meta(spark.range(2).selectExpr("cast(id AS int) AS grid_id"), 0.125, 0.0), spark.createDataFrame([], "grid_id int, i int, j int, k int"), ((0.125,) * 3, (0.0,) * 3))
+    p, cams, ids = depth_images(spark, sf)
+    g = shared_grids(ids, spark.createDataFrame([], "grid_id int, i int, j int, k int"), 0.125)
     state = spark.createDataFrame([], "grid_id int, i int, j int, k int, tsdf double, weight double")
     out = tsdf.integrate_tsdf(g, state, p.drop("red"), cams, (16, 12), 0.25)[1]
     return out.withColumn("tsdf", settle(F.col("tsdf")))
@@ -443,8 +456,8 @@ def integrate_tsdf(spark, sf):
 )
 def integrate_tsdf_with_features(spark, sf):
     """The same images twice: values stay, weights double."""
-    p, cams = depth_images(spark)
-    g = Grids(build.shared_meta(spark.range(2).selectExpr("cast(id AS int) AS grid_id"), 0.125, 0.0), spark.createDataFrame([], "grid_id int, i int, j int, k int"), ((0.125,) * 3, (0.0,) * 3))
+    p, cams, ids = depth_images(spark, sf)
+    g = shared_grids(ids, spark.createDataFrame([], "grid_id int, i int, j int, k int"), 0.125)
     state = spark.createDataFrame([], "grid_id int, i int, j int, k int, tsdf double, weight double, red double")
     g, state = tsdf.integrate_tsdf(g, state, p, cams, (16, 12), 0.25, ("red",))
     out = tsdf.integrate_tsdf(g, state, p, cams, (16, 12), 0.25, ("red",))[1]
@@ -453,13 +466,13 @@ def integrate_tsdf_with_features(spark, sf):
 
 @query()
 def reinitialize_sdf(spark, sf):
-    g, f = ball(spark, 8, 4.0)
+    g, f = balls(spark, sf)
     return sdf.reinitialize_sdf(g, f.withColumn("f", F.col("f") * 2)).withColumn("f", settle(F.col("f"), 5))
 
 
 @query()
 def retopologize_sdf(spark, sf):
-    g, f = ball(spark, 6, 3.0)
+    g, f = balls(spark, sf)
     return sdf.retopologize_sdf(g, f, smooth=1, taubin=True, order=2)[1].withColumn("f", settle(F.col("f"), 5))
 
 
@@ -658,20 +671,22 @@ def noisy_gaussian_means(spark, sf):
 # -- metrics ----------------------------------------------------------------------------------------------------
 
 
-def images(spark):
-    p = spark.range(3 * 20 * 24).selectExpr("cast(id div 480 AS int) AS image", "0 AS c", "cast(id div 24 % 20 AS int) AS y", "cast(id % 24 AS int) AS x")
-    return p.selectExpr("*", "(x * 3 + y * 5 + image) % 16 / 16.0D AS a", "(x * 3 + y * 5 + image + (x * y) % 3) % 16 / 16.0D AS b")
+def images(spark, sf):
+    """Each vector's elements as an image of 8 by 8 pixels, in steps of 1/64 and, to compare with, of 1/8."""
+    p = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("n", "e"))
+    step = lambda n: f"floor(cast(e AS double) * {n}) / {float(n)}D"
+    return p.selectExpr("image", "0 AS c", "cast(n div 8 AS int) AS y", "cast(n % 8 AS int) AS x", f"{step(64)} AS a", f"{step(8)} AS b")
 
 
 IMG = (
-    "img AS (SELECT CAST(m AS INTEGER) AS image, 0 AS c, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, (x * 3 + y * 5 + m) % 16 / 16.0::DOUBLE AS a, (x * 3 + y * 5 + m + (x * y) % 3) % 16 / 16.0::DOUBLE AS b "
-    "FROM (SELECT unnest(range(3)) AS m), (SELECT unnest(range(20)) AS y), (SELECT unnest(range(24)) AS x))"
+    "flat AS (SELECT vec_id AS image, CAST(unnest(range(64)) AS INTEGER) AS n, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings), "
+    "img AS (SELECT image, 0 AS c, n // 8 AS y, n % 8 AS x, floor(e * 64) / 64.0::DOUBLE AS a, floor(e * 8) / 8.0::DOUBLE AS b FROM flat)"
 )
 
 
 @query(f"WITH {IMG} SELECT image, {settled('-10 * log10(avg((a - b) * (a - b)))')} AS psnr FROM img GROUP BY 1")
 def psnr(spark, sf):
-    return _rounded(metrics.psnr(images(spark)), "psnr", digits=6)
+    return _rounded(metrics.psnr(images(spark, sf)), "psnr", digits=6)
 
 
 GW = "exp(-d * d / 4.5::DOUBLE)"
@@ -684,7 +699,7 @@ GW = "exp(-d * d / 4.5::DOUBLE)"
     f"SELECT {settled('avg((2 * a * b + 0.0001::DOUBLE) * (2 * (ab - a * b) + 0.0009::DOUBLE) / ((a * a + b * b + 0.0001::DOUBLE) * (aa - a * a + bb - b * b + 0.0009::DOUBLE)))')} AS ssim FROM m"
 )
 def ssim(spark, sf):
-    return _rounded(metrics.ssim(images(spark)), "ssim", digits=6)
+    return _rounded(metrics.ssim(images(spark, sf)), "ssim", digits=6)
 
 
 __all__ = ["FEAT_E", "KEY"]

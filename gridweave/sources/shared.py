@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -10,9 +11,16 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session names in ``spark.checkpoint.dir``.
 
-    One is set only where the context has none, as in tests.
+    One is set only where there is none and all tasks run in this process, as in tests;
+    on a cluster without one this fails.  What lies there goes when the driver's JVM ends.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    folder = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
