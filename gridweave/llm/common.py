@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -13,6 +12,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Keys with more than a share of one in HOT_KEYS of the rows are joined by broadcast: fewer than HOT_KEYS rows.
 HOT_KEYS = 1000
+#: Spark's setting by which shuffle files go at the end of a query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Null ids count as the largest long where ids are compared.
 LAST_ID = (1 << 63) - 1
 
@@ -76,10 +77,17 @@ def _at(spark: SparkSession, path: str) -> tuple:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder; for many rows, smaller than a checkpoint.
 
-    The table goes when the driver's JVM ends, if not before (``drop_written``).
+    What its job shuffled is deleted once it is written.  The table goes when the
+    driver's JVM ends, if not before (``drop_written``).
     """
-    path = f"{_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = f"{_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     files, p = _at(df.sparkSession, path)
     files.deleteOnExit(p)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -92,18 +100,6 @@ def drop_written(df: DataFrame) -> None:
         files.delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete what finished jobs shuffled.
-
-    Shuffle files go when the driver's JVM collects the plans they belong to, which a
-    driver with memory to spare does late.  Plans are still held by listeners for a
-    moment after a job, so events are waited for first.
-    """
-    gc.collect()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    spark.sparkContext._jvm.System.gc()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a checkpoint in the shared folder."""
     _checkpoint_dir(df.sparkSession)
@@ -123,7 +119,9 @@ def learn(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> Dat
     r = rows.join(F.broadcast(hot), [rows[k] == hot["_h" + k] for k in keys], "left").drop(*["_h" + k for k in keys])
     own = F.shiftleft(F.xxhash64(*rows.columns), 1) + 1  # odd; the same whenever a lost task runs again
     r = r.withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(own))
-    f = facts.select(*[F.col(k).alias("_f" + k) for k in keys], F.lit(0).cast("long").alias("_zero"), F.struct(*names).alias("_cold"))
+    # zero, but not to the optimizer, which would take a constant out of the join's keys
+    zero = F.when(F.col("n") < 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    f = facts.select(*[F.col(k).alias("_f" + k) for k in keys], zero.alias("_zero"), F.struct(*names).alias("_cold"))
     j = r.join(f, [*[r[k] == f["_f" + k] for k in keys], r["_spread"] == f["_zero"]], "left")
     said = F.coalesce("_hot", "_cold")
     return j.select(*rows.columns, *[said[c].alias(c) for c in names])
