@@ -40,7 +40,7 @@ def segments(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: in
     runs of windows with one anchor form a segment.  Every window is in exactly
     one segment, and equal windows have equal anchors at equal offsets.  Returns
     arrays: the document's index, the segment's first byte in ``data``, its size,
-    the anchor's hash, and a hash of the whole segment.
+    and the anchor's hash.
     """
     span = length - GRAM + 1
     hashes = gram_hashes(data)
@@ -66,34 +66,27 @@ def segments(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: in
     inside = np.cumsum(ok[:-1], dtype=np.int8) > 0
     begin = np.flatnonzero(new[:-1] & inside)
     if not len(begin):
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     of = doc[np.searchsorted(starts[doc], begin, side="right") - 1]
     limit = starts[of] + sizes[of] - length + 1
     end = np.minimum(np.append(begin[1:], len(place)), limit)
     size = end - begin + length - 1
     at = place[begin].astype(np.int64)
-    whole = size.astype(np.uint64)
-    for j in range(0, int(size.max()), GRAM):
-        whole = (whole ^ hashes[np.minimum(begin + j, begin + size - GRAM)]) * np.uint64(0x9E3779B97F4A7C15)
-        whole ^= whole >> np.uint64(32)
-    return of, begin, size, hashes[at], whole
+    return of, begin, size, hashes[at]
 
 
 #: Classes of windows by where the anchor stands in them.
 CLASSES = 6
 
 
-def shared_runs(segs: list[bytes], anchors: np.ndarray, length: int) -> np.ndarray:
-    """Runs of windows that may occur in two segments of one anchor.
+def core_runs(segs: list[bytes], anchors: np.ndarray, length: int, classes: int):
+    """Runs of windows by where the anchor stands in them, and the hash of what all such windows share.
 
     All windows in which the anchor stands ``lo`` to ``hi`` bytes from the start hold
-    the same core around it.  Equal windows have equal cores, so a window whose
-    core (by its hash) no other segment of the anchor has occurs nowhere else.
-    Returns rows of segment, first byte and end: what is left, each run by itself.
+    the same core around it, so equal windows have equal cores.  Yields, class by
+    class, arrays: the segment, the first window, the last, and the core's hash.
     """
     sizes = np.fromiter(map(len, segs), np.int64, len(segs))
-    if not len(segs):
-        return np.empty((0, 3), np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     data = np.frombuffer(b"".join([*segs, bytes(32)]), np.uint8)
     hashes = gram_hashes(data)
@@ -106,22 +99,35 @@ def shared_runs(segs: list[bytes], anchors: np.ndarray, length: int) -> np.ndarr
     anchor[of[hits]] = hits
     local, last = anchor - starts, sizes - length
     span = length - GRAM + 1
-    found = []
-    for q in range(CLASSES):
-        lo, hi = span * q // CLASSES, span * (q + 1) // CLASSES - 1
+    for q in range(classes):
+        lo, hi = span * q // classes, span * (q + 1) // classes - 1
         a, z = np.maximum(0, local - hi), np.minimum(last, local - lo)
         own = np.flatnonzero(a <= z)
         core, end = anchor[own] - lo, anchor[own] + length - hi - GRAM
-        key = anchors[own] + np.uint64(q)
+        key = anchors[own] + np.uint64((q + 1) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1)
         for step in range(0, length - hi + lo, GRAM):
             key = (key ^ hashes[np.minimum(core + step, end)]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(32)
+        yield own, a[own], z[own], key
+
+
+def shared_runs(segs: list[bytes], anchors: np.ndarray, length: int) -> np.ndarray:
+    """Runs of windows that may occur in two segments of one anchor.
+
+    A window whose core (by its hash) no other segment of the anchor has occurs
+    nowhere else.  Returns rows of segment, first byte and end: what is left, each
+    run by itself.
+    """
+    if not len(segs):
+        return np.empty((0, 3), np.int64)
+    found = []
+    for own, a, z, key in core_runs(segs, anchors, length, CLASSES):
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         many = np.zeros(len(own), bool)
         many[order[1:]] |= same
         many[order[:-1]] |= same
-        found.append(np.stack([own[many], a[own[many]], z[own[many]]], 1))
+        found.append(np.stack([own[many], a[many], z[many]], 1))
     rows = np.concatenate(found)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     if not len(rows):
