@@ -139,9 +139,20 @@ class GridBatch:
     def world_to_voxel_matrices(self) -> DataFrame:
         return self.grids.matrices().select("grid_id", "world_to_voxel")
 
+    @property
+    def num_bytes(self) -> DataFrame:
+        return self.grids.num_bytes()
+
     def emptiness(self) -> DataFrame:
         return self.grids.emptiness()
 
+    def serialize(self) -> DataFrame:
+        return grid_io.serialize(self.grids)
+
+    @classmethod
+    def deserialize(cls, data: DataFrame) -> GridBatch:
+        return cls(grid_io.deserialize(data))
+
     def num_voxels_at(self, grid: int) -> DataFrame:
         return self.num_voxels.where(F.col("grid_id") == grid)
 
@@ -250,8 +261,8 @@ class GridBatch:
     def inject_to_dense(self, features: DataFrame, num_grids: int, low, size, values=("f",)) -> DataFrame:
         return pool.inject_to_dense(self.grids.meta.sparkSession, features, num_grids, low, size, values)
 
-    def conv_plan(self, kernel, stride=1, target: GridBatch | None = None, transposed: bool = False) -> ConvPlan:
-        return ConvPlan.build(self.grids, kernel, stride, target.grids if target else None, transposed)
+    def conv_plan(self, kernel, stride=1, target: GridBatch | None = None, transposed: bool = False, **options) -> ConvPlan:
+        return ConvPlan.build(self.grids, kernel, stride, target.grids if target else None, transposed, **options)
 
     # -- rays and surfaces
     voxels_along_rays = _bound(rays.voxels_along_rays, 1)
@@ -265,8 +276,32 @@ class GridBatch:
     retopologize_sdf = _bound(sdf.retopologize_sdf, 0)
 
 
+def _numbered(x):
+    """Rows of a single grid as rows of grid 0."""
+    if isinstance(x, DataFrame) and "grid_id" not in x.columns:
+        return x.withColumn("grid_id", F.lit(0))
+    return x
+
+
+def _plain(x):
+    """Rows of grid 0 without its number."""
+    if isinstance(x, tuple):
+        return tuple(map(_plain, x))
+    return x.drop("grid_id") if isinstance(x, DataFrame) else x
+
+
+def _single(function):
+    """A method of a batch for a single grid: rows go in and come out without ``grid_id``."""
+
+    def method(self, *args, **named):
+        return _plain(function(self, *map(_numbered, args), **{k: _numbered(v) for k, v in named.items()}))
+
+    method.__doc__, method.__name__ = function.__doc__, function.__name__
+    return method
+
+
 class Grid(GridBatch):
-    """One grid, number 0 of its batch."""
+    """One grid, number 0 of its batch.  Its methods and properties take and give rows without ``grid_id``."""
 
     @classmethod
     def of(cls, batch: GridBatch, grid: int = 0) -> Grid:
@@ -276,6 +311,22 @@ class Grid(GridBatch):
         return GridBatch(self.grids)
 
 
+def _twins() -> None:
+    batch_only = {"of", "to_gridbatch", "from_cat", "load", "save", "pick", "__getitem__", "from_zero_grids", "serialize", "deserialize"}
+    for name, member in vars(GridBatch).items():
+        if name.startswith("_") or name in batch_only:
+            continue
+        if isinstance(member, property):
+            setattr(Grid, name, property(_single(member.fget), doc=member.__doc__))
+        elif isinstance(member, classmethod):
+            setattr(Grid, name, classmethod(_single(member.__func__)))
+        elif callable(member):
+            setattr(Grid, name, _single(member))
+
+
+_twins()
+
+
 @dataclass(frozen=True)
 class JaggedFrame:
     """Jagged lists: rows ``outer_idx, inner_idx, row_idx, v`` and, where empty lists matter, their ``shape``."""
@@ -307,11 +358,26 @@ class JaggedFrame:
     def jargsort(self, descending: bool = False) -> DataFrame:
         return jagged.jargsort(self.rows, descending=descending)
 
+    def _shape(self) -> DataFrame:
+        return self.shape if self.shape is not None else jagged.structure(self.rows)
+
     def joffsets(self) -> DataFrame:
-        return jagged.joffsets(self.shape if self.shape is not None else jagged.structure(self.rows))
+        return jagged.joffsets(self._shape())
 
     def jidx(self) -> DataFrame:
-        return jagged.jidx(self.rows, self.shape if self.shape is not None else jagged.structure(self.rows))
+        return jagged.jidx(self.rows, self._shape())
+
+    def sizes(self) -> DataFrame:
+        return jagged.sizes(self._shape())
+
+    def lshape(self) -> DataFrame:
+        return jagged.lshape(self._shape())
+
+    def rshape(self) -> DataFrame:
+        return jagged.rshape(self.rows)
+
+    def eshape(self) -> DataFrame:
+        return jagged.eshape(self.rows)
 
     def jflatten(self, dim: int = 0) -> JaggedFrame:
         return JaggedFrame(jagged.jflatten(self.rows, dim))
@@ -338,7 +404,22 @@ class JaggedFrame:
         return self._like(self.rows.withColumn("v", elementwise.unary(name, F.col("v"))))
 
     def cast(self, kind: str) -> JaggedFrame:
-        return self._like(self.rows.withColumn("v", F.col("v").cast(kind)))
+        return self._like(jagged.cast(self.rows, kind))
+
+    def int(self) -> JaggedFrame:
+        return self.cast("int")
+
+    def long(self) -> JaggedFrame:
+        return self.cast("long")
+
+    def float(self) -> JaggedFrame:
+        return self.cast("float")
+
+    def double(self) -> JaggedFrame:
+        return self.cast("double")
+
+    def bool(self) -> JaggedFrame:
+        return self.cast("boolean")
 
     def round(self, decimals: int = 0) -> JaggedFrame:
         return self._like(self.rows.withColumn("v", elementwise.round_to(F.col("v"), decimals)))

@@ -11,7 +11,8 @@ from gridweave.functions.spatial import IJK, KEY, Triple, nearest, triple, with_
 
 from .grids import META_SCHEMA, VOXEL_SCHEMA, Grids, check_columns, listed_meta, shared_grids, shared_meta
 
-#: Spacing in voxels of the samples taken on triangles.
+#: Fixed value: spacing in voxels of the samples taken on triangles.  With it go the rules, fixed too, that an edge of
+#: length l has ceil(l / spacing + 1) samples and that those on and beyond the third edge are mirrored back.
 MESH_SPACING = 3.0**0.5 / 3.0
 
 

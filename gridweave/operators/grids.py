@@ -145,6 +145,10 @@ class Grids:
         blocks = self.voxels.select("grid_id", *[F.shiftright(a, 3).alias(a) for a in IJK]).distinct()
         return blocks.groupBy("grid_id").agg(F.count("*").alias("num_leaf_nodes"))
 
+    def num_bytes(self) -> DataFrame:
+        """Bytes of each grid's rows: four ints a voxel, and an int and six doubles of the grid itself."""
+        return self.num_voxels().select("grid_id", (F.col("num_voxels") * 16 + 52).alias("num_bytes"))
+
     def emptiness(self) -> DataFrame:
         """One row: whether there is no grid, every grid is empty, some grid is."""
         n = self.num_voxels()

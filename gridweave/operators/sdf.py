@@ -17,7 +17,10 @@ from .topology import dilated_grid, pruned_grid
 
 #: Side of the blocks that are solved by themselves, and sweeps taken between exchanges of their borders.
 BLOCK, SWEEPS = 32, 3
-STEP = 0.4
+#: The step in time, what keeps the sign's root from zero, the smoothing factors (Taubin's pair, mean
+#: curvature), sweeps for each voxel of the band and besides, sweeps after smoothing at least, and the share of the
+#: band within which voxels are kept.
+STEP, ROOT, TAUBIN, MEAN, PER_BAND, BESIDES, LEAST, KEPT = 0.4, 1e-12, (0.5, -0.53), 1.0, 2.5, 2, 4, 0.999
 STATE = "grid_id int, i int, j int, k int, phi double, sgn double"
 
 
@@ -56,7 +59,7 @@ def frozen_sign(phi, near, w, outside):
     """A smooth sign of a field from its value and central differences."""
     f = _faces(phi, near, outside)
     grad = sum(((f[2 * a + 1] - f[2 * a]) / (2 * w)) ** 2 for a in range(3))
-    return phi / np.sqrt(phi * phi + grad * w * w + 1e-12)
+    return phi / np.sqrt(phi * phi + grad * w * w + ROOT)
 
 
 def sweep(phi, sgn, near, w, band, order):
@@ -138,9 +141,9 @@ def reinitialize_sdf(
     x = F.greatest(F.least(F.col(value).cast("double"), F.lit(width)), F.lit(-width))
     state = check_columns(features, *KEY, value).join(g.voxels, KEY, "left_semi")
     state = state.select(*KEY, x.alias("phi"), F.lit(0.0).alias("sgn"))
-    state = _redistance(state, w, width, order, sweeps if sweeps > 0 else max(6, int(2.5 * band + 0.5) + 2))
+    state = _redistance(state, w, width, order, sweeps if sweeps > 0 else max(6, int(PER_BAND * band + 0.5) + BESIDES))
     if smooth:
-        passes = [0.5, -0.53] * smooth if taubin else [1.0] * smooth
+        passes = list(TAUBIN) * smooth if taubin else [MEAN] * smooth
         for at in range(0, len(passes), BLOCK // 4):
             part = passes[at : at + BLOCK // 4]
 
@@ -150,7 +153,7 @@ def reinitialize_sdf(
                 return phi, sgn
 
             state = _cut(_by_blocks(state, len(part), average))
-        state = _redistance(state, w, width, order, max(4, smooth))
+        state = _redistance(state, w, width, order, max(LEAST, smooth))
     return state.select(*KEY, F.col("phi").alias(value))
 
 
@@ -166,5 +169,5 @@ def retopologize_sdf(
     phi = reinitialize_sdf(g, features, value, band, smooth, order, taubin, sweeps)
     if not prune:
         return g, phi
-    kept = phi.where(F.abs(value) < width * 0.999)
+    kept = phi.where(F.abs(value) < width * KEPT)
     return pruned_grid(g, kept.withColumn("keep", F.lit(True))), kept

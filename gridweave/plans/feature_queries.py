@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridweave.functions.spatial import IJK, KEY, settle
@@ -275,6 +276,46 @@ def conv3_channels(spark, sf):
     return layer(g, x, ("f", "g"), ("y0", "y1"), g)[1]
 
 
+WIDE = 32
+WIDE_X = f"x AS (SELECT grid_id, i, j, k, c, ((((i * 7 + j * 13 + k * 29 + c) % 17) + 17) % 17) / 4.0::DOUBLE AS x FROM vox, (SELECT CAST(unnest(range({WIDE})) AS INTEGER) AS c))"
+WIDE_E = (
+    f"e AS (SELECT v.grid_id, (di + 1) * 9 + (dj + 1) * 3 + dk + 1 AS tap, v.i, v.j, v.k, v.i + di AS si, v.j + dj AS sj, v.k + dk AS sk FROM vox v CROSS JOIN {box_sql(-1, 1)} b)"
+)
+WIDE_W = "(((e.tap * 5 + x.c * 3 + o * 7) % 11) - 5) / 8.0::DOUBLE"
+
+
+def wide_features(g):
+    """``WIDE`` channels of each voxel, multiples of 1/4."""
+    return g.voxels.selectExpr(*KEY, f"transform(sequence(0, {WIDE - 1}), c -> pmod(i * 7 + j * 13 + k * 29 + c, 17) / 4.0D) AS x")
+
+
+def wide_weights():
+    tap, ci, co = np.indices((27, WIDE, WIDE))
+    return ((tap * 5 + ci * 3 + co * 7) % 11 - 5) / 8.0
+
+
+@query(
+    f"WITH {VOX_E}, {WIDE_X}, {WIDE_E} SELECT e.grid_id, e.i, e.j, e.k, o AS co, CAST(sum(x.x * {WIDE_W}) AS DOUBLE) AS y "
+    f"FROM e JOIN x ON x.grid_id = e.grid_id AND x.i = e.si AND x.j = e.sj AND x.k = e.sk CROSS JOIN (SELECT CAST(unnest(range({WIDE})) AS INTEGER) AS o) GROUP BY ALL"
+)
+def conv3_wide(spark, sf):
+    """32 to 32 channels, as arrays."""
+    g = emb_grid(spark, sf)
+    plan = conv.ConvPlan.build(g, 3, 1, target=g, keep=False)
+    y = plan.execute_arrays(wide_features(g), wide_weights())
+    return y.select(*KEY, F.posexplode("y").alias("co", "y"))
+
+
+@query(
+    f"WITH {VOX_E}, {WIDE_X}, {WIDE_E} SELECT CAST(e.tap AS INTEGER) AS tap, x.c AS ci, z.c AS co, CAST(sum(x.x * z.x) AS DOUBLE) AS w FROM e JOIN x ON x.grid_id = e.grid_id AND x.i = e.si AND x.j = e.sj AND x.k = e.sk "
+    "JOIN x z ON z.grid_id = e.grid_id AND z.i = e.i AND z.j = e.j AND z.k = e.k GROUP BY ALL"
+)
+def conv3_wide_weight_gradient(spark, sf):
+    g = emb_grid(spark, sf)
+    plan = conv.ConvPlan.build(g, 3, 1, target=g, keep=False)
+    return plan.weight_gradient_arrays(wide_features(g), wide_features(g).withColumnRenamed("x", "y"))
+
+
 @query(
     f"WITH {FEAT_E}, c AS (SELECT grid_id, i - di + 1 AS i, j - dj + 1 AS j, k - dk + 1 AS k, {TAP} AS tap, f FROM feat, {box_sql(0, 2)} b) SELECT grid_id, CAST(i // 2 AS INTEGER) AS i, CAST(j // 2 AS INTEGER) AS j, CAST(k // 2 AS INTEGER) AS k, "
     f"CAST(sum({w_sql('tap', 0, 0)} * f) AS DOUBLE) AS f FROM c WHERE i % 2 = 0 AND j % 2 = 0 AND k % 2 = 0 GROUP BY 1, 2, 3, 4"

@@ -77,3 +77,22 @@ def rasterize_world_space(spark, sf):
     eye = px.selectExpr("cam", "u", "v", "0.0D AS ox", "0.0D AS oy", "0.0D AS oz", "(u + 0.5D - 32) / 50 AS dx", "(v + 0.5D - 24) / 50 AS dy", "1.0D AS dz")
     out = splats.rasterize_world(g.select("id", "mean", "quat", "log_scale"), foot, eye, SIZE, ("red",))
     return out.withColumns({"red": settle(F.col("red"), 4), "opacity": settle(F.col("opacity"), 4)})
+
+
+@query(f"WITH {FEAT_E} SELECT grid_id, i, j, k, 0.1::DOUBLE AS sx FROM feat")
+def serialized_grids(spark, sf):
+    """A batch as rows of bytes, and back."""
+    g = grid_io.deserialize(grid_io.serialize(emb_grid(spark, sf)))
+    return g.attach(g.voxels).select(*KEY, "sx")
+
+
+@query(f"WITH {FEAT_E}, n AS (SELECT grid_id, count(*) AS n FROM feat GROUP BY 1) SELECT grid_id, CAST(n * 16 + 52 AS BIGINT) AS num_bytes FROM n")
+def grid_bytes(spark, sf):
+    return emb_grid(spark, sf).num_bytes()
+
+
+@query(f"WITH {FEAT_E} SELECT grid_id, 'grid' || grid_id AS name FROM feat GROUP BY grid_id")
+def saved_names(spark, sf):
+    g, path = emb_grid(spark, sf), shared_folder(spark, "grids")
+    grid_io.save_grids(g, path, None, [f"grid{n}" for n in range(10)])
+    return grid_io.grid_names(spark, path)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions.spatial import KEY, morton
-from gridweave.operators.grids import Grids, check_columns
+from gridweave.operators.grids import META_SCHEMA, VOXEL_SCHEMA, Grids, check_columns
 
 #: Characters a grid's name may have.
 MAX_NAME = 255
@@ -162,3 +162,39 @@ def save_gaussian_ply(gaussians: DataFrame, path: str, metadata: dict[str, str]
 
 
 __all__ = ["KEY", "grid_names", "load_grids", "parse_ply", "ply_bytes", "read_gaussian_ply", "read_metadata", "save_gaussian_ply", "save_grids"]
+
+
+# -- batches as bytes ---------------------------------------------------------------------
+
+
+def serialize(g: Grids) -> DataFrame:
+    """A batch as rows of bytes, ``kind`` and ``payload``: each an Arrow stream of some of its rows.
+
+    No task holds more than one batch of rows, however large the grids.
+    """
+
+    def pack(kind: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as out:
+                    out.write_batch(b)
+                yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["kind", "payload"])
+
+        return run
+
+    schema = "kind string, payload binary"
+    meta = g.meta.select(*META_SCHEMA.replace(",", " ").split()[::2])
+    return meta.mapInArrow(pack("meta"), schema).union(g.voxels.select(*KEY).mapInArrow(pack("voxels"), schema))
+
+
+def deserialize(data: DataFrame) -> Grids:
+    """The batch whose rows ``serialize`` gave, in any order."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for payload in b.column("payload"):
+                yield from pa.ipc.open_stream(payload.as_buffer())
+
+    part = lambda kind, schema: data.where(F.col("kind") == kind).select("payload").mapInArrow(unpack, schema)
+    return Grids(part("meta", META_SCHEMA), part("voxels", VOXEL_SCHEMA))

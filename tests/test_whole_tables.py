@@ -1,12 +1,20 @@
 """Queries without SQL, over all rows of a table, held against plain code."""
 
+import datetime
 import math
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from gridweave.api import Grid, GridBatch, JaggedFrame
+from gridweave.operators import conv, jagged
+from gridweave.operators.grids import shared_grids
 from gridweave.plans import catalog
+from gridweave.plans.base import line_grid
+from gridweave.streaming import merge
 
 SF = "/root/testdata/sf0.001"
 
@@ -139,3 +147,132 @@ def test_every_gaussian_in_world_space(spark, vectors):
     rows = catalog.QUERIES["rasterize_world_space"](spark, SF).collect()
     assert len(rows) == 64 * 48
     assert all(abs(r.opacity - opacity[r.v, r.u]) < 2e-4 and abs(r.red - red[r.v, r.u]) < 2e-4 for r in rows)
+
+
+# -- convolution ---------------------------------------------------------------------------
+
+
+def test_wide_gradients_are_adjoint(spark):
+    """<conv x, y> equals <x, conv' y> and <w, gradient by w>, for a strided plan with arrays of 6 and 4 channels."""
+    rng = np.random.default_rng(3)
+    cells = {tuple(c) for c in rng.integers(-4, 4, (80, 3)).tolist()}
+    g = shared_grids(spark.createDataFrame([(0,)], "grid_id int"), spark.createDataFrame([(0, *c) for c in cells], "grid_id int, i int, j int, k int"))
+    w = rng.normal(size=(27, 6, 4))
+    with conv.ConvPlan.build(g, 3, 2) as plan:
+        x = {c: rng.normal(size=6) for c in cells}
+        fx = spark.createDataFrame([(0, *c, v.tolist()) for c, v in x.items()], "grid_id int, i int, j int, k int, x array<double>")
+        out = {(r.i, r.j, r.k): np.array(r.y) for r in plan.execute_arrays(fx, w).collect()}
+        want = {}
+        for d in out:
+            taps = [((a, b, c), (d[0] * 2 + a - 1, d[1] * 2 + b - 1, d[2] * 2 + c - 1)) for a in range(3) for b in range(3) for c in range(3)]
+            want[d] = sum((x[s] @ w[t[0] * 9 + t[1] * 3 + t[2]] for t, s in taps if s in x), np.zeros(4))
+        assert all(np.allclose(out[d], want[d]) for d in out)
+        y = {d: rng.normal(size=4) for d in out}
+        fy = spark.createDataFrame([(0, *d, v.tolist()) for d, v in y.items()], "grid_id int, i int, j int, k int, y array<double>")
+        forward = sum(float(out[d] @ y[d]) for d in out)
+        back = {(r.i, r.j, r.k): np.array(r.x) for r in plan.input_gradient_arrays(fy, w).collect()}
+        assert sum(float(back[c] @ x[c]) for c in cells) == pytest.approx(forward)
+        grad = plan.weight_gradient_arrays(fx, fy).collect()
+        assert sum(r.w * w[r.tap, r.ci, r.co] for r in grad) == pytest.approx(forward)
+        rows = spark.createDataFrame([(int(t), int(a), int(b), float(w[t, a, b])) for t, a, b in np.ndindex(w.shape)], "tap int, ci int, co int, w double")
+        again = plan.execute_arrays(fx, rows, bias=[1.0, 0, 0, 0]).collect()
+        assert all(np.allclose(np.array(r.y) - [1, 0, 0, 0], out[r.i, r.j, r.k]) for r in again)
+
+
+def test_many_channels_in_time(spark):
+    """64 to 64 channels, 4,096 weights a tap, over the voxels of the line items."""
+    began = time.perf_counter()
+    g = line_grid(spark, SF)
+    x = g.voxels.selectExpr("*", "transform(sequence(0, 63), c -> pmod(i + j * 3 + k * 7 + c, 5) / 4.0D) AS x")
+    w = np.random.default_rng(0).normal(size=(27, 64, 64))
+    out = conv.ConvPlan.build(g, 3, 1, target=g, keep=False).execute_arrays(x, w).collect()
+    assert len(out) == g.voxels.count() and all(len(r.y) == 64 for r in out)
+    assert time.perf_counter() - began < 60
+
+
+def test_plan_policies(spark, monkeypatch):
+    g = shared_grids(spark.createDataFrame([(0,)], "grid_id int"), spark.createDataFrame([(0, 0, 0, 0), (0, 5, 0, 0)], "grid_id int, i int, j int, k int"))
+    far = g.with_voxels(spark.createDataFrame([(0, 0, 0, 0), (0, 100, 0, 0)], "grid_id int, i int, j int, k int"))
+    for kwargs in ({"policy": "restricted"}, {"target": g, "policy": "complete"}, {"policy": "other"}, {"channel_pairs": [(0, 1)]}, {"target": far, "strict": True}):
+        with pytest.raises(ValueError):
+            conv.ConvPlan.build(g, 3, 1, **kwargs)
+    with pytest.warns(UserWarning, match="remainders"):
+        conv.ConvPlan.build(g, 1, 2, keep=False)
+    plan = conv.ConvPlan.build(g, (3, 3, 1), (1, 1, 1), target=g, policy="restricted", strict=True, channel_pairs=[(2, 5)])
+    assert plan.valid_usage(2, 5, (3, 3, 1), 1, False) and not plan.valid_usage(5, 2, (3, 3, 1), 1, False) and not plan.valid_usage(2, 5, 3, 1, False)
+    back = plan.reverse()
+    assert back.valid_usage(5, 2, (3, 3, 1), 1, True) and back.policy == "restricted"
+    with pytest.raises(ValueError, match="not for"):
+        plan.execute_arrays(g.voxels.selectExpr("*", "array(1D) AS x"), np.ones((9, 1, 1)))
+    monkeypatch.setattr(conv, "BROADCAST_WEIGHTS", 8)
+    with pytest.raises(ValueError, match="at most"):
+        plan.execute_arrays(g.voxels.selectExpr("*", "array(1D, 2D) AS x"), np.ones((9, 2, 5)))
+    plan.release()
+    assert not plan.edges.is_cached
+
+
+# -- single grids, shapes, bytes, late rows ------------------------------------------------
+
+
+def test_single_grids_take_and_give_rows_without_a_number(spark):
+    points = spark.createDataFrame([(n, float(n % 3), float(n % 2), 0.0) for n in range(12)], "point_id long, x double, y double, z double")
+    one, batch = Grid.from_points(points, 0.5), GridBatch.from_points(points.withColumn("grid_id", F.lit(0)), 0.5)
+    bare = lambda df: sorted(tuple(r) for r in df.drop("grid_id").collect())
+    assert "grid_id" not in one.ijk.columns and bare(one.ijk) == bare(batch.ijk)
+    assert isinstance(one.dilated_grid(1), Grid) and bare(one.dilated_grid(1).ijk) == bare(batch.dilated_grid(1).ijk)
+    f = points.withColumn("f", F.col("point_id").cast("double"))
+    fo, fb = one.splat_trilinear(f), batch.splat_trilinear(f.withColumn("grid_id", F.lit(0)))
+    assert fo.columns == ["i", "j", "k", "f"] and bare(fo) == bare(fb)
+    assert bare(one.sample_trilinear(points, fo)) == bare(batch.sample_trilinear(points.withColumn("grid_id", F.lit(0)), fb))
+    coarse, pooled = one.max_pool(fo, 2)
+    assert isinstance(coarse, Grid) and "grid_id" not in pooled.columns and bare(pooled) == bare(batch.max_pool(fb, 2)[1])
+    assert bare(one.num_voxels) == [(6,)] and one.bboxes.columns == batch.bboxes.drop("grid_id").columns
+    back = GridBatch.deserialize(one.to_gridbatch().serialize())
+    assert back.is_same(batch).first()[0]
+
+
+def test_shapes_and_casts(spark):
+    j = JaggedFrame.from_lists(spark, [[[1.5, -2.5], []], [[3.0]]], depth=2)
+    assert tuple(j.sizes().first()) == (2, 3, 3, 2)
+    assert {r.outer_idx: r.lshape for r in j.lshape().collect()} == {0: [2, 0], 1: [1]}
+    assert j.eshape().first()[0] is None and tuple(j.rshape().first()) == (3, None)
+    arrays = JaggedFrame(j.rows.withColumn("v", F.array("v", "v")))
+    assert arrays.eshape().first()[0] == 2 and tuple(arrays.rshape().first()) == (3, 2)
+    with pytest.raises(Exception, match="different shapes"):
+        JaggedFrame(j.rows.withColumn("v", F.when(F.col("row_idx") == 0, F.array("v")).otherwise(F.array("v", "v")))).eshape().collect()
+    for cast, kind, want in (("int", int, [1, -2, 3]), ("long", int, [1, -2, 3]), ("float", float, [1.5, -2.5, 3.0]), ("double", float, [1.5, -2.5, 3.0]), ("bool", bool, [True] * 3)):
+        got = [r.v for r in getattr(j, cast)().rows.orderBy("outer_idx", "row_idx").collect()]
+        assert got == want and all(type(v) is kind for v in got)
+    assert [r.v for r in arrays.int().rows.orderBy("outer_idx", "row_idx").collect()] == [[1, 1], [-2, -2], [3, 3]]
+
+
+def test_offsets_of_uneven_lists(spark):
+    rng = np.random.default_rng(6)
+    offsets = [0, 0, 1, 2, 2, 3, 700, 701, 701, 1000]
+    data = spark.range(1000).select(F.col("id").alias("pos"), (F.col("id") * 2).alias("v"))
+    ids = [(n // 3, n % 3) for n in range(9)]
+    got = sorted(tuple(r) for r in jagged.from_offsets(data, offsets, list_ids=ids).collect())
+    assert got == sorted((*ids[n], p - a, p * 2) for n, (a, b) in enumerate(zip(offsets, offsets[1:])) for p in range(a, b))
+    n = [(int(o), int(i), int(x)) for (o, i), x in zip({(int(a) * 5000, int(b)) for a, b in rng.integers(-20, 20, (60, 2))}, rng.integers(0, 9, 60))]
+    shape = spark.createDataFrame(n, "outer_idx int, inner_idx int, n long")
+    begin, want = 0, []
+    for o, i, x in sorted(n):
+        want.append((o, i, begin, begin + x))
+        begin += x
+    assert sorted(tuple(r) for r in jagged.joffsets(shape).collect()) == want
+
+
+def test_rows_that_come_too_late_are_dropped(spark, tmp_path):
+    """A stream in four files: the watermark passes a window's end two files before one of its rows arrives."""
+    hour = lambda h, n: (0, float(n), 0.0, 0.0, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h), 1.0)
+    files = [[hour(0.5, 0), hour(1.5, 0)], [hour(9, 0), hour(1.6, 0)], [hour(8.9, 0)], [hour(0.7, 0), hour(30, 0)]]
+    schema = "grid_id int, x double, y double, z double, ts timestamp, value double"
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/part={n}"))
+    stream = spark.readStream.schema(schema + ", part int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).drop("part")
+    out = merge.windowed_moments(stream, ("value",), "ts", "1 hour", "2 hours")
+    q = out.writeStream.format("memory").queryName("late_rows").outputMode("append").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.window.start.hour: r.n for r in spark.table("late_rows").collect() if r.window.start.day == 1}
+    # 00:42 came after the watermark had passed 07:00; 01:36 and 08:54 were in time
+    assert got == {0: 1, 1: 2, 8: 1, 9: 1}
