@@ -12,6 +12,7 @@ from .common import LOWER, UPPER
 
 #: ASCII characters that are no part of a word.
 GAPS = "".join(chr(c) for c in range(128) if not re.match("[0-9A-Za-z]", chr(c)))
+GAP_REGEX = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 BASE_REGEX = "(?<= )(?:" + "|".join(p.replace(" ", " +") for p in BASE) + ")(?= )"
@@ -176,7 +177,7 @@ TEXTS = [
     (2, 0.9, "psf", "psf", r"psf licen[cs]e"),
     (2, 0.9, "ncsa", "ncsa", r"(?:university of illinois )?ncsa open source licen[cs]e"),
     (2, 0.9, "openldap", "openldap", r"openldap public licen[cs]e"),
-    (2, 0.9, "qpl", "q", r"q public licen[cs]e"),
+    (2, 0.9, "qpl", "public", r"q public licen[cs]e"),
     (2, 0.9, "zpl", "zope", r"zope public licen[cs]e"),
     (2, 0.9, "sleepycat", "sleepycat", r"sleepycat (?:public )?licen[cs]e"),
     (2, 0.9, "vim", "vim", r"vim licen[cs]e"),
@@ -245,9 +246,20 @@ def rules() -> list[tuple[int, int, float, str, str, str, str]]:
     sure = lambda regex: "licen" if "licen" in re.sub(r"\((?:[^()]|\([^()]*\))*\)\??", "", regex) else ""
     texts = [(p, s, label, word, sure(regex), regex) for p, s, label, word, regex in TEXTS]
     ordered = sorted([*texts, *named], key=lambda r: r[0])
+    # of keywords that begin another the shortest does for both, so at most one stands at a place
+    words = {r[3] for r in ordered}
+    ordered = [(*r[:3], min((w for w in words if r[3].startswith(w)), key=len), *r[4:]) for r in ordered]
     return [(i, p, s, label, word, more, f"(?<= ){regex}(?= )") for i, (p, s, label, word, more, regex) in enumerate(ordered)]
 
 
+def keyword_regex(table: list[tuple]) -> str:
+    """All keywords at the start of a word, by their first letters, in one expression."""
+    by_first: dict[str, list[str]] = {}
+    for word in sorted({r[4] for r in table}):
+        by_first.setdefault(word[0], []).append(word[1:])
+    return "(?<= )(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")"
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
     schema = "rule int, priority int, weight double, label string, keyword string, more string, regex string"
     return spark.createDataFrame(rules(), schema)
@@ -301,14 +313,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     )
 
     table = rules()
-    held = lambda words: F.array(*[F.lit(k) for k in sorted(words)])
-    first = F.filter(held({r[4] for r in table}), lambda k: F.contains(F.col("w"), F.concat(F.lit(" "), k)))
-    second = F.filter(held({r[5] for r in table}), lambda k: F.contains(F.col("w"), k))
+    seconds = [F.when(F.contains("w", F.lit(k)), F.lit(k)) for k in sorted({r[5] for r in table} - {""})]
+    even = F.concat(F.lit(" "), F.regexp_replace(F.translate(text, UPPER, LOWER), GAP_REGEX, " "), F.lit(" "))
     tried = (
-        rows.withColumn("keywords", first)
-        .where(F.size("keywords") > 0)
-        .select("doc_id", "h", "keywords", second.alias("mores"), F.regexp_replace("w", " +", " ").alias("w"))
-        .withColumn("keyword", F.explode("keywords"))
+        docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), even.alias("w"))
+        .select("doc_id", "h", "w", F.explode(F.array_distinct(F.regexp_extract_all("w", F.lit(keyword_regex(table)), F.lit(0)))).alias("keyword"))
+        .withColumn("mores", F.array_compact(F.array(F.lit(""), *seconds)))
         .join(F.broadcast(rule_table(docs.sparkSession)), "keyword")
         .where(F.expr("array_contains(mores, more)"))
     )
