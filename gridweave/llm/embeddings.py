@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import LAST_ID, connected_components, cut, learn, written
 
 COSINE = 0.95
 #: Trees, vectors aimed at per leaf, half width of the zone around a split that goes to both sides.
@@ -19,6 +19,8 @@ TREES, LEAF, SPILL = 5, 400, 0.02
 FIT_VECTORS, FIT_LEAST = 4096, 8
 #: Vectors of a leaf compared in one piece; larger leaves are compared block against block.
 BLOCK = 4000
+#: Rows of a leaf compared with all others at once, and leaves whose members are compared at once.
+ROWS, NAMES = 512, 1024
 
 
 @dataclass
@@ -86,37 +88,59 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def compare_leaf(leaf: int, ids, mult, block, x: np.ndarray, leaves: list[list[int]], least: float):
+def compare_leaf(leaf: int, mult, block, x: np.ndarray, leaves: list[list[int]], least: float):
     """Links within one leaf, or between two blocks of it.
 
     A pair that also shares a leaf of a smaller number is counted there.  Returns
-    for each vector with links the number of vectors it newly links to (each as
-    often as it occurs) and the label of its group here: as many rows as
-    vectors, however many pairs link.
+    for each vector with links its index, the number of vectors it newly links to
+    (each as often as it occurs) and the index that names its group here: as many
+    rows as vectors, however many pairs link.
     """
-    n = len(ids)
+    n = len(mult)
     norms = np.linalg.norm(x, axis=1)
-    # leaves of smaller numbers that some vector here is in too, as rows of ones
-    own = [[v for v in some if v < leaf] for some in leaves]
-    names = {v: c for c, v in enumerate(sorted({v for some in own for v in some}))}
-    member = np.zeros((n, len(names)), np.float32)
-    for i, some in enumerate(own):
-        member[i, [names[v] for v in some]] = 1
     two = len(set(block.tolist())) > 1
     linked = np.zeros((n, n), bool)
-    counts = np.zeros(n, np.int64)
-    for a in range(0, n, 512):
-        part = slice(a, a + 512)
+    for a in range(0, n, ROWS):
+        part = slice(a, a + ROWS)
         near = (x[part] @ x.T) / (norms[part, None] * norms[None]) >= least
         if two:
             near &= block[part, None] != block[None]
         near[np.arange(len(near)), np.arange(a, a + len(near))] = False
         linked[part] = near
-        if near.any():
-            counts[part] = (near & (member[part] @ member.T == 0)) @ mult
     labels = _least_reached(linked)
+    rows = np.flatnonzero(linked.any(1))
+    fresh = linked[np.ix_(rows, rows)]
+    del linked
+    _drop_shared(fresh, [[v for v in leaves[i] if v < leaf] for i in rows])
+    counts = np.zeros(n, np.int64)
+    for a in range(0, len(rows), ROWS):
+        counts[rows[a : a + ROWS]] = fresh[a : a + ROWS] @ mult[rows]
     told = np.flatnonzero((counts > 0) | (labels != np.arange(n)))
-    return ids[told], counts[told], ids[labels[told]]
+    return told, counts[told], labels[told]
+
+
+def _drop_shared(pairs: np.ndarray, own: list[list[int]]) -> None:
+    """Clear the pairs that have a leaf in common, in place; ``own`` lists each one's leaves.
+
+    Leaves are taken ``NAMES`` at a time, as columns of ones whose products count what
+    two vectors share, so memory doesn't grow with the number of leaves.
+    """
+    if not len(own):
+        return
+    of = np.repeat(np.arange(len(own)), [len(some) for some in own])
+    names, col, seen = np.unique(np.fromiter((v for some in own for v in some), np.int64, len(of)), return_inverse=True, return_counts=True)
+    wide = np.flatnonzero(seen > 1)  # a leaf that one vector alone is in is not shared
+    place = np.full(len(names), -1)
+    place[wide] = np.arange(len(wide))
+    col = place[col]
+    for a in range(0, len(wide), NAMES):
+        here = (col >= a) & (col < a + NAMES)
+        member = np.zeros((len(own), min(NAMES, len(wide) - a)), np.float32)
+        member[of[here], col[here] - a] = 1
+        for r in range(0, len(own), ROWS):
+            part = slice(r, r + ROWS)
+            if pairs[part].any():
+                pairs[part] &= member[part] @ member.T == 0
 
 
 def _least_reached(linked: np.ndarray) -> np.ndarray:
@@ -129,8 +153,8 @@ def _least_reached(linked: np.ndarray) -> np.ndarray:
     own = np.arange(len(rows))
     while True:
         new = own.copy()
-        for a in range(0, len(rows), 512):
-            part = slice(a, a + 512)
+        for a in range(0, len(rows), ROWS):
+            part = slice(a, a + ROWS)
             new[part] = np.minimum(own[part], np.where(inner[part], own[None], len(rows)).min(1))
         while (up := new[new]).tobytes() != new.tobytes():
             new = up
@@ -154,8 +178,9 @@ def vector_links(vectors: DataFrame, least: float = COSINE, trees: int = TREES,
     Returns ``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row.  Null and
     zero vectors and those with null or non-finite parts link with nothing.
     Shorter vectors count as padded with zeros.  Repeated rows are vectors of their
-    own that link with each other; rows with one ``vec_id`` share a component.
-    Other columns are ignored; an empty table gives no rows.
+    own that link with each other; so do equal vectors under several ids.  Null ids
+    come after all others: ``component_id`` is null only where a group has no other id,
+    and its rows are ``kept``.  Other columns are ignored; an empty table gives no rows.
     """
     # single precision stays as it is on the way, and widens without loss where it is used
     kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
@@ -163,49 +188,52 @@ def vector_links(vectors: DataFrame, least: float = COSINE, trees: int = TREES,
     fine = F.expr("v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(v, x -> x <> 0)")
     fine = F.coalesce(fine, F.lit(False))
     good = rows.where(fine)
-    distinct = good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
-    known = distinct.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    # a vector is told by its smallest id and a hash, since one id may stand for several vectors
+    distinct = good.groupBy("v").agg(F.min(F.coalesce("vec_id", F.lit(LAST_ID))).alias("rep"), F.count("*").alias("mult")).withColumn("h", F.xxhash64("v"))
+    known = distinct.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.sum("mult").alias("total")).first()
     dim = known.dim or 1
     depth = max(0, int(np.ceil(np.log2(max(1, known.n) / LEAF))))
-    sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(FIT_VECTORS).select("v").toArrow()["v"].combine_chunks()
+    sample = distinct.orderBy("h", "rep").limit(FIT_VECTORS).select("v").toArrow()["v"].combine_chunks()
     forest = Forest.fit(_unit(_matrix(sample, dim)) if len(sample) else np.zeros((0, dim)), depth, trees)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             leaves = forest.leaves(_unit(_matrix(b.column("v"), dim)), spill) if b.num_rows else []
-            cols = [b.column("rep"), b.column("mult"), b.column("v"), pa.array(leaves, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["rep", "mult", "v", "leaves"])
+            cols = [*(b.column(c) for c in ("rep", "h", "mult", "v")), pa.array(leaves, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["rep", "h", "mult", "v", "leaves"])
 
-    routed = cut(distinct.select("rep", "mult", "v").mapInArrow(route, f"rep long, mult long, v array<{kind}>, leaves array<long>"))
-    placed = routed.select("rep", "mult", "v", "leaves", F.explode("leaves").alias("leaf"))
+    routed = cut(distinct.select("rep", "h", "mult", "v").mapInArrow(route, f"rep long, h long, mult long, v array<{kind}>, leaves array<long>"))
+    placed = routed.select("rep", "h", "mult", "v", "leaves", F.explode("leaves").alias("leaf"))
     large = placed.groupBy("leaf").count().where(F.col("count") > BLOCK)
     large = large.select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = (
         placed.join(large, "leaf", "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) AS int)"))
+        .withColumn("block", F.expr("cast(pmod(h, blocks) AS int)"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
-        .select("leaf", "b1", "b2", "rep", "mult", "block", "v", "leaves")
+        .select("leaf", "b1", "b2", "rep", "h", "mult", "block", "v", "leaves")
     )
-    ordered = dealt.repartition("leaf", "b1", "b2").sortWithinPartitions("leaf", "b1", "b2", "rep")
+    ordered = dealt.repartition("leaf", "b1", "b2").sortWithinPartitions("leaf", "b1", "b2", "rep", "h")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_leaf(batches):
-            leaf, ids, mult, block = (t.column(c).to_numpy() for c in ("leaf", "rep", "mult", "block"))
+            leaf, rep, h, mult, block = (t.column(c).to_numpy() for c in ("leaf", "rep", "h", "mult", "block"))
             x = _matrix(t.column("v").combine_chunks(), dim)
-            out = compare_leaf(int(leaf[0]), ids, mult, block, x, t.column("leaves").to_pylist(), least)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["rep", "n", "peer"])
-
-    found = cut(ordered.mapInArrow(compare, "rep long, n long, peer long"))
-    sums = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    groups = connected_components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")))
-    per = routed.select("rep", "mult", "v").join(sums, "rep", "left")
-    per = per.join(groups, per["rep"] == groups["id"], "left")
-    per = per.select("v", F.expr("mult - 1 + coalesce(n, 0)").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.join(per, "v").select("vec_id", "n_links", "component_id")
+            at, n, to = compare_leaf(int(leaf[0]), mult, block, x, t.column("leaves").to_pylist(), least)
+            out = (rep[at], h[at], n, rep[to], h[to])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["rep", "h", "n", "to_rep", "to_h"])
+
+    found = cut(ordered.mapInArrow(compare, "rep long, h long, n long, to_rep long, to_h long"))
+    sums = found.groupBy("rep", "h").agg(F.sum("n").alias("links"))
+    node = F.struct("rep", "h")
+    groups = connected_components(found.select(node.alias("a"), F.struct(F.col("to_rep").alias("rep"), F.col("to_h").alias("h")).alias("b")))
+    groups = groups.select("id.rep", "id.h", F.col("component.rep").alias("component_id"))
+    per = routed.select("rep", "h", "mult", "v").join(sums, ["rep", "h"], "left").join(groups, ["rep", "h"], "left")
+    per = per.select("v", F.col("mult").alias("n"), F.expr("mult - 1 + coalesce(links, 0)").alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    linked = learn(good, written(per), ["v"], known.total or 0).select("vec_id", "n_links", F.when(F.col("component_id") != LAST_ID, F.col("component_id")).alias("component_id"))
     alone = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).select("*", F.expr("vec_id = component_id").alias("kept"))
+    return linked.union(alone).select("*", F.expr("vec_id <=> component_id").alias("kept"))
 
 
 def _by_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
