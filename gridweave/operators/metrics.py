@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,35 +25,72 @@ def psnr(pixels: DataFrame, top: float = 1.0, reduction: str = "none") -> DataFr
     return out.agg({"mean": F.avg, "sum": F.sum}[reduction]("psnr").alias("psnr"))
 
 
-def ssim_map(pixels: DataFrame, padding: str = "same") -> DataFrame:
-    """Structural similarity at each pixel with an 11 by 11 Gaussian window; outside counts as 0.
+PIXEL = ["image", "c", "y", "x"]
+
+
+def _blurred(p: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Columns smoothed by an 11 by 11 Gaussian window, at every pixel one of its taps falls on; outside counts as 0.
 
     The window separates: each of two passes sends a value to 11 places and sums.
-    ``valid`` keeps windows that lie in the image.
     """
     half = WINDOW // 2
     taps = [math.exp(-((n - half) ** 2) / (2 * SPREAD * SPREAD)) for n in range(WINDOW)]
-    taps = [t / sum(taps) for t in taps]
-    p = check_columns(pixels, "image", "c", "y", "x", "a", "b")
-    p = p.select("image", "c", "y", "x", "a", "b", (F.col("a") * F.col("a")).alias("aa"), (F.col("b") * F.col("b")).alias("bb"), (F.col("a") * F.col("b")).alias("ab"))
-    sums = ["a", "b", "aa", "bb", "ab"]
-    weight = F.array(*[F.struct(F.lit(n - half).alias("d"), F.lit(t).alias("w")) for n, t in enumerate(taps)])
-    edges = p.groupBy("image", "c").agg(F.max("y").alias("h"), F.max("x").alias("w"))
-    place = p.select("image", "c", "y", "x")
+    weight = F.array(*[F.struct(F.lit(n - half).alias("d"), F.lit(t / sum(taps)).alias("w")) for n, t in enumerate(taps)])
     for axis in ("x", "y"):
         s = p.withColumn("_t", F.explode(weight)).withColumn(axis, F.col(axis) + F.col("_t.d"))
-        p = s.groupBy("image", "c", "y", "x").agg(*[F.sum(F.col(n) * F.col("_t.w")).alias(n) for n in sums])
-    p = place.join(p, ["image", "c", "y", "x"])
-    va, vb = F.col("aa") - F.col("a") * F.col("a"), F.col("bb") - F.col("b") * F.col("b")
-    cov = F.col("ab") - F.col("a") * F.col("b")
-    value = ((2 * F.col("a") * F.col("b") + C1) * (2 * cov + C2)) / ((F.col("a") * F.col("a") + F.col("b") * F.col("b") + C1) * (va + vb + C2))
-    if padding == "valid":
-        p = p.join(F.broadcast(edges), ["image", "c"]).where(
-            F.col("y").between(half, F.col("h") - half) & F.col("x").between(half, F.col("w") - half)
-        )
-    elif padding != "same":
+        p = s.groupBy(*PIXEL).agg(*[F.sum(F.col(n) * F.col("_t.w")).alias(n) for n in names])
+    return p
+
+
+def _moments(pixels: DataFrame, padding: str) -> DataFrame:
+    """Smoothed ``a, b`` and their products at each pixel; ``valid`` keeps windows that lie in the image."""
+    if padding not in ("same", "valid"):
         raise ValueError("padding must be same or valid")
-    return p.select("image", "c", "y", "x", value.alias("ssim"))
+    p = check_columns(pixels, *PIXEL, "a", "b")
+    p = p.select(*PIXEL, "a", "b", (F.col("a") * F.col("a")).alias("aa"), (F.col("b") * F.col("b")).alias("bb"), (F.col("a") * F.col("b")).alias("ab"))
+    out = p.select(*PIXEL).join(_blurred(p, ["a", "b", "aa", "bb", "ab"]), PIXEL)
+    if padding == "valid":
+        half = WINDOW // 2
+        # one row an image and channel, which grow with the images: joined, not broadcast
+        edges = p.groupBy("image", "c").agg(F.max("y").alias("h"), F.max("x").alias("w"))
+        out = out.join(edges, ["image", "c"]).where(F.col("y").between(half, F.col("h") - half) & F.col("x").between(half, F.col("w") - half)).drop("h", "w")
+    return out
+
+
+#: The similarity of smoothed moments is a product of two terms, each a fraction: numerators and denominators.
+TERMS = {"n1": f"2 * a * b + {C1!r}D", "n2": f"2 * (ab - a * b) + {C2!r}D", "d1": f"a * a + b * b + {C1!r}D", "d2": f"(aa - a * a) + (bb - b * b) + {C2!r}D"}
+
+
+def ssim_map(pixels: DataFrame, padding: str = "same") -> DataFrame:
+    """Structural similarity at each pixel with an 11 by 11 Gaussian window; outside counts as 0.
+
+    ``valid`` keeps windows that lie in the image.
+    """
+    p = _moments(pixels, padding).selectExpr(*PIXEL, *[f"{e} AS {n}" for n, e in TERMS.items()])
+    return p.select(*PIXEL, F.expr("(n1 * n2) / (d1 * d2)").alias("ssim"))
+
+
+def ssim_backward(pixels: DataFrame, padding: str = "same", grad: str | None = None) -> DataFrame:
+    """Gradient of the mean similarity by each pixel of ``a``, as ``g_a``; or from gradients ``grad`` of the map.
+
+    The map's derivatives by the smoothed ``a``, ``aa`` and ``ab`` go back through the
+    same window, which is its own mirror image.
+    """
+    p = _moments(pixels, padding).selectExpr(*PIXEL, "a", "b", *[f"{e} AS {n}" for n, e in TERMS.items()])
+    if grad is None:
+        p = p.crossJoin(F.broadcast(p.agg(F.count("*").alias("_n")))).withColumn("_g", 1 / F.col("_n"))  # one row
+    else:
+        p = p.join(pixels.select(*PIXEL, F.col(grad).alias("_g")), PIXEL)
+    p = p.withColumn("_s", F.expr("(n1 * n2) / (d1 * d2)"))
+    p = p.selectExpr(
+        *PIXEL,
+        "_g * (2 * b * (n2 - n1) / (d1 * d2) - _s * 2 * a * (1 / d1 - 1 / d2)) AS ga",
+        "_g * (-_s / d2) AS gaa",
+        "_g * (2 * n1 / (d1 * d2)) AS gab",
+    )
+    back = _blurred(p, ["ga", "gaa", "gab"])
+    own = pixels.select(*PIXEL, F.col("a").alias("_a"), F.col("b").alias("_b")).join(back, PIXEL, "left")
+    return own.select(*PIXEL, F.expr("coalesce(ga, 0D) + 2 * _a * coalesce(gaa, 0D) + _b * coalesce(gab, 0D)").alias("g_a"))
 
 
 def ssim(pixels: DataFrame, padding: str = "same") -> DataFrame:

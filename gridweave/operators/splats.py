@@ -174,25 +174,26 @@ def _settled(df: DataFrame) -> DataFrame:
 def harmonics(x: Column, y: Column, z: Column, degree: int) -> list[Column]:
     """Real spherical harmonics up to a degree (4 at most), by order, of a unit direction; odd orders are negative.
 
-    From the recurrences of the Legendre functions and of powers of x + iy.
+    From the recurrences of the Legendre functions and of powers of x + iy, by sums
+    and products alone; what doesn't depend on the direction is a number.
     """
     if not 0 <= degree <= 4:
         raise ValueError("degrees 0 to 4 are known")
-    cos, sin = [F.lit(1.0)], [F.lit(0.0)]
+    cos, sin = [1.0], [0.0]
     for _ in range(degree):
         cos, sin = [*cos, x * cos[-1] - y * sin[-1]], [*sin, x * sin[-1] + y * cos[-1]]
     legendre = {}
     for m in range(degree + 1):
-        legendre[m, m] = F.lit(float(math.prod(range(1, 2 * m, 2))))
+        legendre[m, m] = float(math.prod(range(1, 2 * m, 2)))
         for n in range(m + 1, degree + 1):
-            two = legendre.get((n - 2, m), F.lit(0.0))
-            legendre[n, m] = ((2 * n - 1) * z * legendre[n - 1, m] - (n + m - 1) * two) / (n - m)
+            two = legendre.get((n - 2, m), 0.0)
+            legendre[n, m] = (z * legendre[n - 1, m] * float(2 * n - 1) - two * float(n + m - 1)) / float(n - m)
     out = []
     for n in range(degree + 1):
         for m in range(-n, n + 1):
             a = abs(m)
             norm = math.sqrt((2 * n + 1) / (4 * math.pi) * math.factorial(n - a) / math.factorial(n + a)) * (math.sqrt(2) if m else 1) * (-1) ** a
-            out.append(norm * legendre[n, a] * (sin[a] if m < 0 else cos[a]))
+            out.append(legendre[n, a] * (sin[a] if m < 0 else cos[a]) * norm)
     return out
 
 
@@ -204,7 +205,7 @@ def evaluate_harmonics(rows: DataFrame, degree: int, coefficients: str = "sh", o
     check_columns(rows, "vx", "vy", "vz", coefficients)
     n = F.sqrt(F.expr("vx * vx + vy * vy + vz * vz"))
     r = rows.withColumns({f"_{a}": F.col("v" + a) / n for a in "xyz"})
-    basis = F.array(*harmonics(F.col("_x"), F.col("_y"), F.col("_z"), degree))
+    basis = F.array(*[F.lit(b) if isinstance(b, float) else b for b in harmonics(F.col("_x"), F.col("_y"), F.col("_z"), degree)])
     r = r.withColumn("_b", basis)
     dot = lambda c: F.aggregate(F.zip_with(c, F.col("_b"), lambda a, b: a * b), F.lit(0.5), lambda s, x: s + x)
     seen = F.lit(True)
@@ -292,14 +293,13 @@ def top_contributors(footprints: DataFrame, pixels: DataFrame, size, k: int, til
     return c.withColumn("n", n).where(F.col("n") <= k).select("cam", "u", "v", "n", "id", "weight")
 
 
-def rasterize_world(
+def world_contributions(
     gaussians: DataFrame, footprints: DataFrame, rays: DataFrame, size: tuple[int, int], channels: Sequence[str], tile: int = 16
 ) -> DataFrame:
-    """Blending by each pixel's own ray ``cam, u, v, ox, oy, oz, dx, dy, dz`` instead of a projected ellipse.
+    """Gaussians that are blended at each pixel's own ray, front to back, with ``alpha`` and ``weight``.
 
     The ray is taken into the space where the Gaussian is a unit ball; its
-    response is that of the ray's point nearest to the centre.  ``footprints``
-    (projected, with ``opacity``) only say which tiles a Gaussian may touch.
+    response is that of the ray's point nearest to the centre.
     """
     rest = ["id"]
     g = _parts(gaussians, rest)
@@ -317,8 +317,18 @@ def rasterize_world(
     w = Window.partitionBy("cam", "u", "v").orderBy("depth", "id")
     j = j.withColumn("_l", F.log1p(-F.col("alpha")))
     j = j.withColumn("_a", F.sum("_l").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.exp("_a") > DONE)
-    j = j.withColumn("_w", F.col("alpha") * F.exp(F.col("_a") - F.col("_l")))
-    got = j.groupBy("cam", "u", "v").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in channels], F.sum("_w").alias("opacity"))
+    return j.select("cam", "u", "v", "id", "depth", "opacity", *channels, "alpha", (F.col("alpha") * F.exp(F.col("_a") - F.col("_l"))).alias("weight"))
+
+
+def rasterize_world(
+    gaussians: DataFrame, footprints: DataFrame, rays: DataFrame, size: tuple[int, int], channels: Sequence[str], tile: int = 16
+) -> DataFrame:
+    """Blending by each pixel's own ray ``cam, u, v, ox, oy, oz, dx, dy, dz`` instead of a projected ellipse.
+
+    ``footprints`` (projected, with ``opacity``) only say which tiles a Gaussian may touch.
+    """
+    j = world_contributions(gaussians, footprints, rays, size, channels, tile)
+    got = j.groupBy("cam", "u", "v").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in channels], F.sum("weight").alias("opacity"))
     out = rays.select("cam", "u", "v").join(got, ["cam", "u", "v"], "left")
     return out.select("cam", "u", "v", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in (*channels, "opacity")])
 

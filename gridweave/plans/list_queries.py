@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import elementwise as el
 from gridweave.functions.spatial import IJK, KEY, settle, with_box
-from gridweave.operators import jagged, mesh, metrics, rays, sdf, splats, tsdf
+from gridweave.operators import jagged, mesh, metrics, rays, sdf, splat_grads, splats, tsdf
 from gridweave.operators.grids import Grids, shared_grids
 
 from .base import FEAT_E, VOX_E, box_sql, emb_grid, feature, query, settled, table
@@ -606,6 +606,38 @@ def rasterize_sparse(spark, sf):
     return _rounded(splats.rasterize(footprints(spark, sf), px, SIZE, ("red",)), "red", "opacity").select("cam", "u", "v", "red", "opacity")
 
 
+def pixel_gradients(spark):
+    return splats.all_pixels(spark, [0], SIZE).selectExpr("cam", "u", "v", "(u % 5 - 2) / 4.0D AS g_red", "(v % 3) / 2.0D AS g_opacity")
+
+
+GRAD = (
+    f"{BLEND}, gr AS (SELECT bl.*, (u % 5 - 2) / 4.0::DOUBLE AS g, (v % 3) / 2.0::DOUBLE - 0.5::DOUBLE * (u % 5 - 2) / 4.0::DOUBLE AS go, mx - u - 0.5 AS dx, my - v - 0.5 AS dy FROM bl), "
+    "sg AS (SELECT *, red * g + go AS s FROM gr), "
+    "ga AS (SELECT *, CASE WHEN alpha < 0.99 THEN weight / alpha * s - coalesce(sum(weight * s) OVER (PARTITION BY u, v ORDER BY depth, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) / (1 - alpha) ELSE 0 END AS f FROM sg)"
+)
+
+
+@query(
+    f"WITH {GRAD} SELECT cam, id, "
+    + ", ".join(f"{settled(f'sum({e})', 5)} AS {n}" for n, e in {"g_mx": "-f * alpha * (ca * dx + cb * dy)", "g_my": "-f * alpha * (cc * dy + cb * dx)", "g_ca": "-f * alpha * 0.5 * dx * dx", "g_cb": "-f * alpha * dx * dy", "g_cc": "-f * alpha * 0.5 * dy * dy", "g_opacity": "f * alpha / opacity", "g_red": "weight * g"}.items())
+    + " FROM ga GROUP BY 1, 2"
+)
+def rasterize_backward(spark, sf):
+    out = splat_grads.rasterize_backward(footprints(spark, sf), splats.all_pixels(spark, [0], SIZE), pixel_gradients(spark), SIZE, ("red",), background=(0.5,))
+    return _rounded(out, "g_mx", "g_my", "g_ca", "g_cb", "g_cc", "g_opacity", "g_red")
+
+
+@query()
+def project_gaussians_backward(spark, sf):
+    """From gradients of all parts of the footprints, whole multiples of 1/4."""
+    g = gaussians(spark, sf).select("id", "mean", "quat", "log_scale")
+    foot = splats.project(g.select("id", "mean", "quat", "log_scale"), CAMS, SIZE)
+    grads = foot.selectExpr("cam", "id", *[f"(id % {n + 3} - 1) / 4.0D AS g_{c}" for n, c in enumerate(splat_grads.FOOT)])
+    out = splat_grads.project_backward(g, grads, CAMS, SIZE)
+    flat = [settle(F.col(c)[n], 4).alias(f"{c}_{n}") for c, w in (("g_mean", 3), ("g_quat", 4), ("g_log_scale", 3)) for n in range(w)]
+    return out.select("id", *flat)
+
+
 @query(f"WITH {BLEND} SELECT p.cam, p.u, p.v, count(b.id) AS n, {settled('coalesce(sum(b.weight), 0)', 5)} AS opacity FROM px p LEFT JOIN bl b USING (u, v) GROUP BY 1, 2, 3")
 def count_contributing_gaussians(spark, sf):
     return _rounded(splats.count_contributing(footprints(spark, sf), splats.all_pixels(spark, [0], SIZE), SIZE), "opacity")
@@ -634,6 +666,20 @@ def spherical_harmonics(spark, sf):
     return splats.evaluate_harmonics(e, 2).select("vec_id", settle(F.col("color")[0], 5).alias("c"))
 
 
+@query(
+    "WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), r AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM e), "
+    "u AS (SELECT vec_id, r, x / r AS x, y / r AS y, z / r AS z, sqrt(3 / (4 * pi())) AS n, vec_id % 4 - 1.5 AS g FROM r), "
+    "d AS (SELECT *, -n * 4 * g AS dx, -n * 2 * g AS dy, n * 3 * g AS dz FROM u) "
+    f"SELECT vec_id, {settled('-n * y * g', 5)} AS g1, {settled('n * z * g', 5)} AS g2, {settled('-n * x * g', 5)} AS g3, "
+    + ", ".join(f"{settled(f'(d{a} - (dx * x + dy * y + dz * z) * {a}) / r', 4)} AS g_v{a}" for a in "xyz") + " FROM d"
+)
+def spherical_harmonics_backward(spark, sf):
+    e = table(spark, sf, "embeddings")
+    e = e.select("vec_id", *[F.col("embedding")[n].cast("double").alias("v" + a) for n, a in enumerate("xyz")], F.array(F.array(*[F.lit(float(n)) for n in range(1, 5)])).alias("sh"), F.array(F.expr("vec_id % 4 - 1.5D")).alias("g_color"))
+    out = splat_grads.harmonics_backward(e, 1)
+    return out.select("vec_id", *[settle(F.col("g_sh")[0][n], 5).alias(f"g{n}") for n in (1, 2, 3)], *[settle(F.col(f"g_v{a}"), 4).alias(f"g_v{a}") for a in "xyz"])
+
+
 @query("SELECT vec_id AS id, vec_id % 10 <> 3 AS finite FROM embeddings")
 def gaussian_nan_mask(spark, sf):
     g = gaussians(spark, sf).withColumn("logit_opacity", F.when(F.col("id") % 10 == 3, F.lit(float("nan"))).otherwise(F.col("logit_opacity")))
@@ -702,4 +748,18 @@ def ssim(spark, sf):
     return _rounded(metrics.ssim(images(spark, sf)), "ssim", digits=6)
 
 
+@query(
+    f"WITH {IMG}, r AS (SELECT CAST(unnest(range(-5, 6)) AS INTEGER) AS d), g AS (SELECT d, {GW} / (SELECT sum({GW}) FROM r) AS w FROM r), k AS (SELECT gx.d AS dx, gy.d AS dy, gx.w * gy.w AS w FROM g gx, g gy), "
+    "m AS (SELECT p.image, p.y, p.x, sum(w * q.a) AS a, sum(w * q.b) AS b, sum(w * q.a * q.a) AS aa, sum(w * q.b * q.b) AS bb, sum(w * q.a * q.b) AS ab "
+    "FROM (img p CROSS JOIN k) JOIN img q ON q.image = p.image AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3), "
+    "t AS (SELECT *, 2 * a * b + 0.0001::DOUBLE AS n1, 2 * (ab - a * b) + 0.0009::DOUBLE AS n2, a * a + b * b + 0.0001::DOUBLE AS d1, aa - a * a + bb - b * b + 0.0009::DOUBLE AS d2 FROM m), "
+    "v AS (SELECT image, y, x, 2 * b * (n2 - n1) / (d1 * d2) - n1 * n2 / (d1 * d2) * 2 * a * (1 / d1 - 1 / d2) AS ga, -n1 * n2 / (d1 * d2 * d2) AS gaa, 2 * n1 / (d1 * d2) AS gab FROM t) "
+    f"SELECT p.image, p.y, p.x, {settled('sum(w * (ga + 2 * p.a * gaa + p.b * gab))', 4)} AS g_a FROM (img p CROSS JOIN k) JOIN v ON v.image = p.image AND v.y = p.y + dy AND v.x = p.x + dx GROUP BY 1, 2, 3"
+)
+def ssim_backward(spark, sf):
+    """The gradient of the sum of all pixels' similarities."""
+    out = metrics.ssim_backward(images(spark, sf).withColumn("g", F.lit(1.0)), grad="g")
+    return out.select("image", "y", "x", settle(F.col("g_a"), 4).alias("g_a"))
+
+
 __all__ = ["FEAT_E", "KEY"]

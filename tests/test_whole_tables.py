@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweave.api import Grid, GridBatch, JaggedFrame
-from gridweave.operators import conv, jagged
+from gridweave.operators import conv, jagged, metrics, splat_grads, splats
 from gridweave.operators.grids import shared_grids
 from gridweave.plans import catalog
 from gridweave.plans.base import line_grid
+from gridweave.plans.list_queries import CAMS
 from gridweave.streaming import merge
 
 SF = "/root/testdata/sf0.001"
@@ -276,3 +277,111 @@ def test_rows_that_come_too_late_are_dropped(spark, tmp_path):
     got = {r.window.start.hour: r.n for r in spark.table("late_rows").collect() if r.window.start.day == 1}
     # 00:42 came after the watermark had passed 07:00; 01:36 and 08:54 were in time
     assert got == {0: 1, 1: 2, 8: 1, 9: 1}
+
+
+# -- gradients of splats --------------------------------------------------------------------
+
+
+def scene_of(vectors, n):
+    """A few Gaussians in front of the cameras, as flat parameters: mean, quaternion, log scale."""
+    return {i: np.concatenate([[v[0] * 3, v[1] * 3, v[2] + 2.5], [v[3] + 1, *v[4:7]], v[7:10] - 2]) for i, (_, v) in list(vectors.items())[:n]}
+
+
+def as_frame(spark, rows):
+    return spark.createDataFrame([(int(i), p[:3].tolist(), p[3:7].tolist(), p[7:].tolist()) for i, p in rows], "id long, mean array<double>, quat array<double>, log_scale array<double>")
+
+
+@pytest.mark.parametrize("flat", [False, True])
+def test_projection_gradients_by_differences(spark, vectors, flat):
+    """Every parameter of some Gaussians is moved a little; all moved copies are projected at once."""
+    step, scene = 1e-5, scene_of(vectors, 12)
+    scene[900] = np.array([3.0, 0.2, 2.0, 1, 0.2, -0.1, 0.3, -1, -2, -1.5])  # beyond the field of view, where the slope is held
+    moved = [(i * 100 + n * 2 + (s > 0), p + s * step * (np.arange(10) == n)) for i, p in scene.items() for n in range(10) for s in (-1, 1)]
+    weights = {c: 0.3 + 0.2 * k for k, c in enumerate(splat_grads.FOOT)}
+    foot = splats.project(as_frame(spark, moved), CAMS, (64, 48), keep_culled=True, orthographic=flat)
+    loss = {}
+    for r in foot.collect():
+        loss[r.id] = loss.get(r.id, 0.0) + sum(w * r[c] for c, w in weights.items())
+    grads = spark.createDataFrame([(c, int(i)) for c in CAMS for i in scene], "cam int, id long").withColumns({"g_" + c: F.lit(w) for c, w in weights.items()})
+    got = {r.id: [*r.g_mean, *r.g_quat, *r.g_log_scale] for r in splat_grads.project_backward(as_frame(spark, scene.items()), grads, CAMS, (64, 48), orthographic=flat).collect()}
+    assert set(got) == set(scene)
+    for i in scene:
+        want = [(loss[i * 100 + n * 2 + 1] - loss[i * 100 + n * 2]) / (2 * step) for n in range(10)]
+        assert np.allclose(got[i], want, rtol=1e-4, atol=1e-4), (i, got[i], want)
+
+
+def world_image(params, opacity, red, order, reach, d):
+    """Red and opacity of each pixel by blending along its ray; what a Gaussian may touch and the order are given."""
+    through, total, shade = np.ones(d.shape[:2]), np.zeros(d.shape[:2]), np.zeros(d.shape[:2])
+    for i in order:
+        w, x, y, z = (q := params[i][3:7]) / np.linalg.norm(q)
+        rot = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]])
+        into = np.linalg.inv(rot @ np.diag(np.exp(params[i][7:])))
+        o, e = into @ -params[i][:3], d @ into.T
+        alpha = np.where(reach[i], np.minimum(0.99, opacity[i] * np.exp(-0.5 * (o @ o - (e @ o) ** 2 / (e * e).sum(-1)))), 0)
+        shade, total = shade + through * alpha * red[i], total + through * alpha
+        through = through * (1 - alpha)
+    return shade, total
+
+
+def test_world_gradients_by_differences(spark, vectors):
+    params, size = scene_of(vectors, 6), (32, 16)
+    opacity, red = {i: 0.2 + 0.05 * n for n, i in enumerate(params)}, {i: 0.3 * n - 0.5 for n, i in enumerate(params)}
+    u, v = np.meshgrid(np.arange(32), np.arange(16))
+    d = np.stack([(u + 0.5 - 16) / 25, (v + 0.5 - 8) / 25, np.ones_like(u, float)], -1)
+    rays = spark.createDataFrame([(0, int(a), int(b), 0.0, 0.0, 0.0, *map(float, d[b, a])) for a in range(32) for b in range(16)], "cam int, u int, v int, ox double, oy double, oz double, dx double, dy double, dz double")
+    order = sorted(params, key=lambda i: params[i][2])
+    foot = spark.createDataFrame([(0, int(i), 16.0, 8.0, float(n), 99, 99, opacity[i], red[i]) for n, i in enumerate(order)], "cam int, id long, mx double, my double, depth double, radius_x int, radius_y int, opacity double, red double")
+    g = as_frame(spark, params.items())
+    told = splats.world_contributions(g, foot, rays, size, ("red",)).select("id", "u", "v").collect()
+    reach = {i: np.zeros((16, 32), bool) for i in params}
+    for r in told:
+        reach[r.id][r.v, r.u] = True
+    gr, go = (u % 5 - 2) / 4.0, (v % 3) / 2.0
+    grads = spark.createDataFrame([(0, int(a), int(b), float(gr[b, a]), float(go[b, a])) for a in range(32) for b in range(16)], "cam int, u int, v int, g_red double, g_opacity double")
+    out = {r.id: r for r in splat_grads.rasterize_world_backward(g, foot, rays, grads, size, ("red",)).collect()}
+
+    def loss(p, o=opacity, c=red):
+        shade, total = world_image(p, o, c, order, reach, d)
+        return float((shade * gr + total * go).sum())
+
+    assert len(out) == len(params)
+    for i in params:
+        want = []
+        for n in range(10):
+            up, down = ({**params, i: params[i] + s * 1e-6 * (np.arange(10) == n)} for s in (1, -1))
+            want.append((loss(up) - loss(down)) / 2e-6)
+        assert np.allclose([*out[i].g_mean, *out[i].g_quat, *out[i].g_log_scale], want, rtol=1e-3, atol=1e-4)
+        for name, values in (("g_opacity", "o"), ("g_red", "c")):
+            base = opacity if values == "o" else red
+            up, down = ({**base, i: base[i] + s * 1e-6} for s in (1, -1))
+            assert out[i][name] == pytest.approx((loss(params, **{values: up}) - loss(params, **{values: down})) / 2e-6, rel=1e-3, abs=1e-5)
+
+
+def test_harmonics_gradient_by_differences(spark):
+    rng = np.random.default_rng(2)
+    v, sh, g, step = rng.normal(size=(4, 3)), rng.normal(size=(2, 25)), [0.7, -0.4], 1e-5
+    rows = [(n * 10 + m * 2 + (s > 0), *(v[n] + s * step * (np.arange(3) == m)).tolist()) for n in range(4) for m in range(3) for s in (-1, 1)]
+    frame = lambda r: spark.createDataFrame(r, "id long, vx double, vy double, vz double").withColumns({"sh": F.array(*[F.array(*map(F.lit, c.tolist())) for c in sh]), "g_color": F.array(*map(F.lit, g))})
+    loss = {r.id: sum(a * b for a, b in zip(g, r.color)) for r in splats.evaluate_harmonics(frame(rows), 4).collect()}
+    for r in splat_grads.harmonics_backward(frame([(n, *v[n].tolist()) for n in range(4)]), 4).collect():
+        want = [(loss[r.id * 10 + m * 2 + 1] - loss[r.id * 10 + m * 2]) / (2 * step) for m in range(3)]
+        assert np.allclose([r.g_vx, r.g_vy, r.g_vz], want, atol=1e-5)
+        assert np.allclose(np.array(r.g_sh[0]) * g[1], np.array(r.g_sh[1]) * g[0])
+
+
+def test_similarity_gradient_by_differences(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.random((13, 14)), rng.random((13, 14))
+    at = [(0, 0), (6, 7), (12, 13), (5, 3)]
+    rows = [(0, 0, y, x, float(a[y, x]), float(b[y, x])) for y in range(13) for x in range(14)]
+    for n, (p, q) in enumerate(at):
+        for s in (0, 1):
+            rows += [(1 + n * 2 + s, 0, y, x, float(a[y, x]) + (1e-5 if s else -1e-5) * ((y, x) == (p, q)), float(b[y, x])) for y in range(13) for x in range(14)]
+    px = spark.createDataFrame(rows, "image int, c int, y int, x int, a double, b double")
+    for padding in ("same", "valid"):
+        mean = {r.image: r.m for r in metrics.ssim_map(px, padding).groupBy("image").agg(F.avg("ssim").alias("m")).collect()}
+        got = {(r.y, r.x): r.g_a for r in metrics.ssim_backward(px.where("image = 0"), padding).collect()}
+        assert len(got) == 13 * 14
+        for n, p in enumerate(at):
+            assert got[p] == pytest.approx((mean[2 + n * 2] - mean[1 + n * 2]) / 2e-5, abs=1e-6)
