@@ -29,13 +29,27 @@ LATIN_WORDS = re.compile(
     rf"{SUFFIXES}|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ɏ0-9²³¹¼-¾]+"
 )
 BEYOND_LATIN = re.compile("[^\x00-\x7fß-öø-ɏ\x80-\xbf×÷]")
-BREAK = re.compile(rf"[{SPACE}]")
+#: Where a text may be cut between words: before white space, and behind a digit, which is a word of its own.
+BREAK = re.compile(rf"[{SPACE}]|(?<=[0-9])(?=[A-Za-z])")
+#: Letters and numbers of Unicode 16, by which the library splits, that Python's tables may lack.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+#: Capitals of Unicode 16 and 17 and their small letters, which the library knows.
+NEW_CAPITALS = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+NEW_CAPITAL = re.compile("[" + "".join(map(chr, NEW_CAPITALS)) + "]")
 
 
 @functools.cache
 def any_words() -> regex.Pattern:
-    """The words of any script: letters and numbers as Python's Unicode tables have them, which are the library's."""
-    ranges = {"L": [], "N": []}
+    """The words of any script: letters and numbers as Python's Unicode tables have them and those newer than these."""
+    ranges = {"L": list(map(list, NEW_LETTERS)), "N": list(map(list, NEW_NUMBERS))}
     for c in range(sys.maxunicode + 1):
         kind = ranges.get(unicodedata.category(chr(c))[0])
         if kind is not None:
@@ -89,6 +103,8 @@ class WordBpe:
             else:
                 # lower-case letter by letter: a final sigma has no form of its own here
                 low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                if NEW_CAPITAL.search(low):
+                    low = low.translate(NEW_CAPITALS)
                 out += (any_words() if BEYOND_LATIN.search(low) else LATIN_WORDS).findall(low)
         return out
 
@@ -158,7 +174,10 @@ class WordBpe:
         return out
 
     def pieces(self, text: str) -> Iterator[str]:
-        """A text in pieces of about PIECE characters that end before white space."""
+        """A text in pieces of about PIECE characters that end where a word does.
+
+        A single word is taken as a whole: memory grows with its length.
+        """
         at = 0
         while len(text) - at > PIECE:
             m = BREAK.search(text, at + PIECE)
@@ -223,8 +242,8 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Returns one row per input row: ``doc_id``, ``n_tokens``, ``ids_sha256`` (decimal
     ids joined by one space), ``decoded_sha256``.  Null and empty texts have no
-    tokens.  An empty table gives no rows; other columns are ignored.  ``path`` is
-    read on the executors, where the tokenizer files are installed.
+    tokens; rows with null or repeated ids each get theirs.  An empty table gives no
+    rows; other columns are ignored.  ``path`` is read on the executors, where the tokenizer files are installed.
     """
     name = path
 
