@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import id_text, rows_of, text_digest
 
-#: Bounds of the fitting sample, the only rows a model is learned from: documents, and bytes of each.
-FIT_ROWS, FIT_BYTES = 1500, 32_768
+#: Bounds of the fitting sample, the only rows a model is learned from: documents, and bytes of each; a longer text
+#: gives this many pieces, spread over all of it.
+FIT_ROWS, FIT_BYTES, FIT_PIECES = 1500, 32_768, 16
 #: Every doc whose crc32(doc_id as text) leaves this remainder by FOLDS is held out from learning.
 FOLDS, HELD_OUT = 3, 1
 #: Positions convolved at once.
@@ -162,16 +163,21 @@ def held_out(doc_id) -> F.Column:
 def fitting_sample(docs: DataFrame, labels: DataFrame, rows: int, most: int) -> list[tuple[bytes, object]]:
     """At most ``rows`` pairs of text and label of documents not held out, drawn by a hash of the id.
 
-    ``labels`` has ``doc_id`` and ``y``.  The labels are drawn first, so the driver
-    sees ``rows`` texts of at most ``most`` bytes, whatever the size of the corpus.
+    ``labels`` has ``doc_id`` and ``y``; of several labels of one document the smallest
+    counts, of several texts the first in order.  The labels are drawn first, so the
+    driver sees ``rows`` texts of at most ``most`` bytes, whatever the size of the corpus:
+    of a longer text, ``FIT_PIECES`` pieces at even distances.
     """
     pick = labels.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     pick = pick.groupBy(F.col("doc_id").alias("_id")).agg(F.min("y").alias("y"))
     pick = pick.orderBy(F.xxhash64(F.col("_id"), F.lit(11)), "_id").limit(rows)
-    texts = id_text(docs).where(F.octet_length("text") <= most)
-    got = texts.join(F.broadcast(pick), texts["doc_id"] == pick["_id"]).select("doc_id", "text", "y")
-    got = got.limit(2 * rows).collect()  # ids may repeat
-    return [(r.text.encode(), r.y) for r in sorted(got, key=lambda r: (r.doc_id, r.text))]
+    size = max(1, most // FIT_PIECES // 4)  # a character has at most four bytes
+    piece = f"substring(text, cast(1 + n * (length(text) - {size}) div {FIT_PIECES - 1} AS int), {size})"
+    spread = f"array_join(transform(sequence(0L, {FIT_PIECES - 1}L), n -> {piece}), '')"
+    texts = id_text(docs).select("doc_id", F.expr(f"IF(octet_length(text) <= {most}, text, {spread})").alias("text"))
+    got = texts.join(F.broadcast(pick), texts["doc_id"] == pick["_id"]).where("text IS NOT NULL")
+    got = got.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect()
+    return [(r.text.encode(), r.y) for r in sorted(got, key=lambda r: r.doc_id)]
 
 
 def _chunks(model: ByteConv, sample: list[tuple[bytes, object]], y: list[int]) -> tuple[np.ndarray, np.ndarray]:
