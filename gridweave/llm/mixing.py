@@ -48,8 +48,9 @@ def mix_sources(
     queues that still have blocks add up to; within a period blocks get Pfair
     windows and run earliest deadline first, so while a set of queues lasts every
     prefix holds each queue's share to within less than one block.  When a queue
-    runs out, the others go on with their own shares from the next period on.
-    No row is dropped or repeated.
+    runs out, the others go on with their own shares from the next period on; the
+    slots that it leaves empty in its last period stay empty, so ``mix_slot`` may skip
+    numbers there.  No row is dropped or repeated.
 
     Rows are numbered in two levels (counts by queue and hash part, then within a
     part), so a source with a third of all rows is spread over 16 ** ``digits`` groups.
@@ -57,8 +58,8 @@ def mix_sources(
     sum(weights) rows, whatever the input, and are broadcast for that reason.
 
     Adds ``mix_queue``, ``mix_block`` (in its queue, from 0), ``mix_slot`` (global)
-    and ``mix_pos`` (in the block).  Rows with one ``doc_id`` are ordered
-    arbitrarily among each other.  Empty tables give empty results; columns of
+    and ``mix_pos`` (in the block).  Rows with one ``doc_id`` go by a hash of the whole
+    row, and rows without an id are drawn by that hash alone.  Empty tables give empty results; columns of
     ``docs`` that are named like the added ones are replaced.
     """
     shares = {OTHER: 1} | {str(k): int(v) for k, v in weights.items()}
@@ -68,11 +69,13 @@ def mix_sources(
     kept = [c for c in docs.columns if c.lower() not in ADDED]
     src = docs["source"].cast("string")
     queue = F.when(src.isin(*[k for k in shares if k != OTHER]), src).otherwise(F.lit(OTHER))
-    draw = F.coalesce(F.md5(docs["doc_id"].cast("string")), F.lit(""))
+    tie = F.xxhash64(*[docs[c] for c, kind in docs.dtypes if not kind.startswith("map")])
+    draw = F.coalesce(F.md5(docs["doc_id"].cast("string")), F.md5(tie.cast("string")))
     rows = docs.select(
         F.struct(*[docs[c] for c in kept]).alias("_row"),
         docs["doc_id"].alias("_id"),
         draw.alias("_draw"),
+        tie.alias("_tie"),
         queue.alias("mix_queue"),
         F.substring(draw, 1, digits).alias("_part"),
     )
@@ -121,7 +124,7 @@ def mix_sources(
     )
     queue_table = queues.select("mix_queue", "w").crossJoin(all_queues.select(F.expr(bounds).alias("_bounds")))
 
-    order = Window.partitionBy("mix_queue", "_part").orderBy("_draw", "_id")
+    order = Window.partitionBy("mix_queue", "_part").orderBy("_draw", "_id", "_tie")
     ranked = (
         rows.withColumn("_rn", F.row_number().over(order))
         .join(starts, ["mix_queue", "_part"])

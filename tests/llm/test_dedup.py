@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -18,7 +20,10 @@ def low(t):
 # -- exact -------------------------------------------------------------------------
 
 
-def test_exact_groups(spark):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_exact_groups(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    monkeypatch.setattr(exact, "HOT_KEYS", hot)
     df = documents(spark).union(documents(spark).where("doc_id IN (5, 9)"))
     got = sorted(tuple(r) for r in exact.exact_groups(df, salts=3).collect())
     texts = [*enumerate(TEXTS), (5, TEXTS[5]), (9, TEXTS[9])]
@@ -29,6 +34,33 @@ def test_exact_groups(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_exact_groups_of_null_ids(spark, monkeypatch, hot):
+    """A null id wins only where there is no other, and a third of all rows may be one group."""
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    monkeypatch.setattr(exact, "HOT_KEYS", hot)
+    rows = [(None, "a"), (None, "A"), (3, "a"), (None, "b"), (None, "B"), (None, None), (1, "")] + [(i, "Same") for i in range(10, 40)] + [(i, f"w{i}") for i in range(50, 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("keep_id", F.lit("x"))
+    want = []
+    for i, t in rows:
+        same = [j for j, u in rows if low(u) == low(t)]
+        best = max((j for j in same if j is not None), default=None)
+        want.append(str((i, best, len(same), i == best)))
+    assert sorted(str(tuple(r)[:4]) for r in exact.exact_groups(df).collect()) == sorted(want)
+
+
+def test_a_clash_of_digests_fails(spark, monkeypatch):
+    """Were two contents to share both digests, the job would fail rather than drop one."""
+    monkeypatch.setattr(exact, "HOT_KEYS", 2)
+    monkeypatch.setattr(exact.F, "sha2", lambda c, n: F.lit("same"))
+    monkeypatch.setattr(exact.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    for hot in (1000, 1):
+        monkeypatch.setattr(exact, "HOT_KEYS", hot)
+        df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+        with pytest.raises(Exception, match="two contents"):
+            exact.exact_groups(df).collect()
+
+
 def test_exact_keeps_columns_and_empty_table(spark):
     df = documents(spark)
     kept = exact.drop_exact_copies(df.union(df))
@@ -219,7 +251,7 @@ def test_every_window_is_in_one_segment():
     sizes = np.array(list(map(len, texts)))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     data = np.frombuffer(b"".join(texts) + bytes(32), np.uint8)
-    of, begin, size, anchor, _ = windows.segments(data, starts, sizes, 100)
+    of, begin, size, anchor = windows.segments(data, starts, sizes, 100)
     got = sorted((o, b + i) for o, b, s in zip(of, begin, size) for i in range(s - 99))
     assert got == [(o, starts[o] + i) for o in range(len(texts)) for i in range(max(0, sizes[o] - 99))]
     by_window = {}
@@ -248,24 +280,58 @@ def brute_removed(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot,piece,rows", [(20_000, 1 << 23, 1 << 18), (1, 1 << 23, 1 << 18), (20_000, 500, 1 << 18), (20_000, 1 << 23, 5), (3, 800, 2)])
-def test_repeated_spans(spark, monkeypatch, hot, piece, rows):
-    monkeypatch.setattr(substrings, "COMPARE_ROWS", rows)
-    monkeypatch.setattr(substrings, "HOT_CONTENTS", hot)
-    monkeypatch.setattr(substrings, "PIECE", piece)
+def repeating_documents(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("abc é") for _ in range(400)) for _ in range(4)]
     texts = ["".join(b[rng.randrange(200) :][: rng.randrange(400)] for b in rng.sample(base, 3)) for _ in range(40)]
     texts[5:10] = [None, "", "a" * 1500, "a" * 1500, "xy" * 300]
     df = documents(spark, texts)
     df = df.union(df.where("doc_id = 3")).union(df.where("doc_id = 4").withColumn("text", df["lang"]))
-    want = brute_removed([(r.doc_id, r.text) for r in df.collect()], 100)
+    # rows without an id come last and don't precede each other
+    none = df.where("doc_id IN (11, 12, 13)").union(df.where("doc_id = 11")).withColumn("doc_id", F.lit(None).cast("long"))
+    return df.union(none)
+
+
+@pytest.mark.parametrize(
+    "contents,piece,rows,known",
+    [(20_000, 1 << 23, 1 << 18, 1 << 17), (1, 1 << 23, 1 << 18, 1 << 17), (20_000, 500, 1 << 18, 3), (20_000, 1 << 23, 5, 1 << 17), (3, 800, 2, 20)],
+)
+def test_repeated_spans(spark, monkeypatch, contents, piece, rows, known):
+    monkeypatch.setattr(substrings, "COMPARE_ROWS", rows)
+    monkeypatch.setattr(substrings, "ANCHOR_CONTENTS", contents)
+    monkeypatch.setattr(substrings, "PIECE", piece)
+    monkeypatch.setattr(substrings, "KNOWN", known)
+    df = repeating_documents(spark)
+    want = brute_removed([(common.LAST_ID if r.doc_id is None else r.doc_id, r.text) for r in df.collect()], 100)
     got = substrings.repeated_spans(df).collect()
-    assert sorted(tuple(r)[:5] for r in got) == want
+    assert sorted((common.LAST_ID if r.doc_id is None else r.doc_id, *tuple(r)[1:5]) for r in got) == want
     assert all(sum(r.spans[1::2]) - sum(r.spans[::2]) == r.n_removed for r in got)
+    assert sum(r.doc_id is None for r in got) == 4
     assert substrings.repeated_spans(df.limit(0)).count() == 0
 
 
+def test_claims_of_known_contents():
+    """Only the earliest of equal contents asks, over all batches of a task, in any order of documents."""
+    rng = random.Random(2)
+    claims, rows = substrings.Claims(), []
+    for _ in range(30):
+        batch = [(rng.randrange(50), rng.randrange(5), rng.choice([b"a", b"b", b"c", bytes([rng.randrange(200)])])) for _ in range(20)]
+        doc, start, text = zip(*batch)
+        n = len(batch)
+        out = claims.rows(np.full(n, 7, np.uint64), list(text), np.array(doc), np.zeros(n, np.int64), np.array(start), np.full(n, 100)).to_pydict()
+        digest = {hashlib.blake2b(t, digest_size=12).digest(): t for t in text}
+        for c, c2, i, at in zip(out["c"], out["c2"], out["id"], out["at"]):
+            key = np.array([(c, c2)], np.dtype([("c", "<i8"), ("c2", "<i4")])).tobytes()
+            rows.append((digest[key], i, at >> 9, at & 1))
+    first = {}
+    for t, i, s, _ in rows:
+        first[t] = min(first.get(t, (i, s)), (i, s))
+    assert all((i, s) > first[t] for t, i, s, later in rows if later)
+    asked = [r for r in rows if not r[3]]
+    assert set(first.items()) <= {(t, (i, s)) for t, i, s, _ in asked}
+    assert len(asked) < len(rows) / 2
+
+
 # -- embeddings ------------------------------------------------------------------------------
 
 
@@ -295,6 +361,53 @@ def test_vector_links(spark, monkeypatch, block):
     assert embeddings.vector_links(df.limit(0)).count() == 0
 
 
+def test_ids_that_are_null_or_repeated(spark):
+    """Different vectors under one id keep links of their own; a null id names a group that has no other."""
+    e = np.eye(64)
+    rows = [(1, e[0]), (1, e[1]), (2, e[0]), (3, e[1]), (4, e[1]), (None, e[2]), (None, e[2] * 3), (None, e[0]), (5, e[3]), (5, e[3]), (6, None)]
+    df = spark.createDataFrame([(i, None if v is None else v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").withColumn("h", F.lit(1))
+    got = sorted(str(tuple(r)) for r in embeddings.vector_links(df).collect())
+    want = [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 2, 1, False), (5, 1, 5, True), (5, 1, 5, True), (6, 0, 6, True)]
+    assert got == sorted(map(str, want))
+
+
+def test_recall_in_a_deep_forest(spark, capsys, tmp_path):
+    """50,000 vectors, 2,000 planted clusters of near copies at a cosine about the threshold, depth 7."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(50_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for c in range(2000):
+        at = rng.choice(50_000, rng.integers(2, 8), replace=False)
+        x[at] = x[at[0]] + rng.normal(size=(len(at), 64)) * rng.choice([0.01, 0.02, 0.025]) / 1.0
+    big = rng.choice(50_000, 3000, replace=False)
+    x[big] = x[big[0]] + rng.normal(size=(3000, 64)) * 0.02
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    depth = int(np.ceil(np.log2(len(x) / embeddings.LEAF)))
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = np.zeros(len(x), np.int64)
+    for a in range(0, len(x), 2000):
+        want[a : a + 2000] = (u[a : a + 2000] @ u.T >= 0.95).sum(1) - 1
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), tmp_path / "x.parquet", row_group_size=5000)
+    rows = embeddings.vector_links(spark.read.parquet(str(tmp_path / "x.parquet"))).toPandas().set_index("vec_id").sort_index()
+    have = rows.n_links.to_numpy()
+    with capsys.disabled():
+        print(f"\ndepth {depth}: {have.sum()} of {want.sum()} link ends found, recall {have.sum() / want.sum():.4f}")
+    assert depth >= 7 and want.sum() > 1_000_000
+    assert (have <= want).all() and have.sum() >= 0.9 * want.sum()
+
+
+@pytest.mark.parametrize("names", [1024, 3])
+def test_pairs_counted_in_their_first_leaf(monkeypatch, names):
+    monkeypatch.setattr(embeddings, "NAMES", names)
+    rng = np.random.default_rng(4)
+    own = [sorted(set(rng.integers(0, 30, rng.integers(0, 6)).tolist())) for _ in range(50)]
+    pairs = rng.random((50, 50)) < 0.5
+    want = [[bool(pairs[i, j]) and not set(own[i]) & set(own[j]) for j in range(50)] for i in range(50)]
+    embeddings._drop_shared(pairs, own)
+    assert pairs.tolist() == want
+
+
 def test_shared_runs_lose_no_shared_window():
     rng = random.Random(5)
     gram = bytes(rng.choice(b"abcd") for _ in range(windows.GRAM))
@@ -317,18 +430,18 @@ def test_shared_runs_lose_no_shared_window():
 
 def test_an_anchor_compared_in_pieces(monkeypatch):
     """However rows are dealt into batches, the same rows are later and each other content is asked for once."""
-    import pyarrow as pa
-
     rng = random.Random(8)
     rows = sorted((rng.choice([1, 2, 2, 2, 2, 3]), rng.randrange(4), rng.randrange(6), rng.randrange(5) * 512 + 240 + rng.choice([0, 0, 1])) for _ in range(200))
+    long, short = pa.int64(), pa.int32()
     def told(size, limit):
         monkeypatch.setattr(substrings, "COMPARE_ROWS", limit)
-        names = ["h", "c", "doc_id", "tag", "at"]
+        names = ["h", "c", "c2", "id", "tag", "at"]
         cut = [rows[a : a + size] for a in range(0, len(rows), size)]
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in x]), pa.array([r[1] for r in x]), pa.array([r[2] for r in x]), pa.array([0] * len(x), pa.int32()), pa.array([r[3] for r in x])], names) for x in cut]
+        columns = lambda x: [pa.array([f(r) for r in x], k) for f, k in ((lambda r: r[0], long), (lambda r: r[1] // 2, long), (lambda r: r[1] % 2, short), (lambda r: r[2], long), (lambda r: 0, long), (lambda r: r[3], long))]
+        batches = [pa.RecordBatch.from_arrays(columns(x), names) for x in cut]
         out = pa.Table.from_batches(substrings._compare(False)(iter(batches))).to_pylist()
-        marks = sorted((r["h"], r["doc_id"], r["start"]) for r in out if r["kind"] == substrings.MARK)
-        return marks, sorted((r["h"], r["doc_id"], r["start"]) for r in out if r["kind"] != substrings.MARK)
+        marks = sorted((r["h"], r["id"], r["start"]) for r in out if r["kind"] == substrings.MARK)
+        return marks, sorted((r["h"], r["id"], r["start"]) for r in out if r["kind"] != substrings.MARK)
 
     want = told(1000, 1000)
     assert want[0] and want[1]

@@ -3,7 +3,7 @@ import hashlib
 import corpus_pipeline
 from tokenizers import Tokenizer
 
-from gridweave.llm import bpe, bytecnn, exact, simhash
+from gridweave.llm import bpe, bytecnn, exact, mixing, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +33,35 @@ def test_stages_against_plain_code(spark):
         want.add((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()))
     got = corpus_pipeline.run(spark, SF).collect()
     assert {tuple(r)[:3] for r in got} == want and len(got) == len(want)
+    # the mixing stage puts rows in the order of its schedule, and the last keeps it
+    sources = {r.doc_id: r.source for r in docs.collect()}
+    assert [r.doc_id for r in got] == scheduled([(i, sources[i]) for i in set(part.values())])
+
+
+def scheduled(rows):
+    """Ids in the order of the schedule, slot by slot, with the production weights."""
+    weights, queues = mixing.WEIGHTS, {}
+    for i, source in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+        queues.setdefault(source if source in weights and source != mixing.OTHER else mixing.OTHER, []).append(i)
+    blocks = {q: [ids[a : a + mixing.BLOCK] for a in range(0, len(ids), mixing.BLOCK)] for q, ids in sorted(queues.items())}
+    out = []
+    while any(blocks.values()):
+        live = [q for q, b in blocks.items() if b]
+        total, done = sum(weights[q] for q in live), dict.fromkeys(live, 0)
+        for t in range(total):
+            q = min((-(-(done[q] + 1) * total // weights[q]), n, q) for n, q in enumerate(live) if done[q] < weights[q] and done[q] * total // weights[q] <= t)[2]
+            done[q] += 1
+            if blocks[q]:
+                out += blocks[q].pop(0)
+    return out
+
+
+def test_the_order_outlives_the_table_between_stages(spark, tmp_path):
+    """Stage four's output, written and read again, is still in the schedule's order."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.mixed_sources(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    got = [r.doc_id for f in sorted((tmp_path / "mixed").glob("part-*")) for r in spark.read.parquet(str(f)).select("doc_id").collect()]
+    assert got == scheduled([(r.doc_id, r.source) for r in docs.collect()]) and got != sorted(got)
 
 
 def test_stage_columns(spark):

@@ -3,6 +3,7 @@ import itertools
 import json
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -114,6 +115,32 @@ def test_token_digests(spark, library, monkeypatch, piece):
     assert bpe.token_digests(df.limit(0)).count() == 0
 
 
+def test_every_code_point_as_the_library_has_it(library):
+    ours = bpe.WordBpe(bpe.vocabulary_path())
+    points = [c for c in [*range(0x20000), *range(0x20000, sys.maxunicode + 1, 41)] if not 0xD800 <= c <= 0xDFFF]
+    for a in range(0, len(points), 4000):
+        t = "".join(f"a{chr(c)}b{chr(c)}1" for c in points[a : a + 4000])
+        assert ours.encode(t) == library.encode(t, add_special_tokens=False).ids, hex(points[a])
+
+
+def test_pieces_end_where_words_do(library, monkeypatch):
+    """Texts without white space are cut too; null and repeated ids have rows of their own."""
+    rng = random.Random(13)
+    ours = bpe.WordBpe(bpe.vocabulary_path())
+    for size in (1, 7, 40):
+        monkeypatch.setattr(bpe, "PIECE", size)
+        for _ in range(60):
+            t = "".join(rng.choice(["a", "B7", "9", "'s", "!", "é", "<|endoftext|>", "1́", "don't", "3", "x" * 30]) for _ in range(40))
+            assert ours.encode(t) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_tokens_of_rows_without_an_id(spark, library):
+    rows = [(None, "one 1"), (None, "two"), (None, None), (3, "one 1"), (3, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", chat.F.lit("x"))
+    got = sorted(str((r.doc_id, r.n_tokens)) for r in bpe.token_digests(df).collect())
+    assert got == sorted(str((i, len(library.encode(t or "", add_special_tokens=False).ids))) for i, t in rows)
+
+
 # -- networks ---------------------------------------------------------------------------------
 
 
@@ -164,6 +191,80 @@ def test_chunks_cover_every_byte():
             assert own.max() == 7 and logits[:, 1].sum() == own.sum()
 
 
+def plain_logits(net, text):
+    """Every chunk's logits, filter by filter and place by place."""
+    out = []
+    for a, z in zip(*net.windows(len(text))):
+        tops = []
+        for w, weight in zip(net.widths, net.weights):
+            for f in range(net.filters):
+                at = [sum(float(weight[j, text[p + j] if p + j < len(text) else 0, f]) for j in range(w)) for p in range(a, z)]
+                tops.append(max(at) + float(net.bias[len(tops)]))
+        out.append([sum(max(0, t) * float(net.out[i, c]) for i, t in enumerate(tops)) + float(net.out_bias[c]) for c in range(net.classes)])
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 16, 60])
+def test_chunk_logits_against_plain_loops(monkeypatch, block):
+    monkeypatch.setattr(bytecnn, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    net = bytecnn.ByteConv((2, 4, 6), 3, 50, 40, 3)
+    net.start(rng)
+    net.bias = rng.normal(size=9).astype(np.float32)
+    net.prepare()
+    texts = [b"", b"a", bytes(rng.integers(0, 256, 49)), bytes(rng.integers(0, 256, 51)), b"", bytes(rng.integers(0, 256, 333)), "é ü".encode() * 20]
+    logits, counts = net.chunk_logits(texts)
+    want = [plain_logits(net, t) for t in texts]
+    assert counts.tolist() == list(map(len, want))
+    assert np.allclose(logits, np.concatenate(want), atol=1e-4)
+
+
+def test_scores_against_plain_loops(spark):
+    """What the queries say of whole tables, computed by itself from the same models."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).cache()
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    y = labels.select("doc_id", chat.F.col("quality").alias("y"))
+    model = bytecnn.fit_quality(bytecnn.fitting_sample(docs, y, bytecnn.FIT_ROWS, bytecnn.FIT_BYTES))
+    net, langs = bytecnn.fit_language(bytecnn.fitting_sample(docs, docs.select("doc_id", chat.F.col("lang").alias("y")), bytecnn.FIT_ROWS, bytecnn.FIT_BYTES))
+    texts = {r.doc_id: r.text for r in docs.collect() if len(r.text or "") < 1500}
+    assert len(texts) > 20
+    for r in bytecnn.quality_scores(docs, labels).where(chat.F.col("doc_id").isin(list(texts))).collect():
+        z = np.clip([b - a for a, b in plain_logits(model.net, (texts[r.doc_id] or "").encode())], -12, 12)
+        want = 1 / (1 + np.exp(-(np.array([z.mean(), z.min(), z.max(), 1]) @ model.mix)))
+        assert abs(r.score - want) < 1e-3
+    for r in bytecnn.language_ids(docs).where(chat.F.col("doc_id").isin(list(texts))).collect():
+        if r.lang_pred != "und":
+            z = np.mean(plain_logits(net, texts[r.doc_id].encode()), 0)
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            assert r.lang_pred == langs[p.argmax()] and abs(r.score - p.max()) < 1e-3
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    q = bytecnn.quality_scores(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    assert len(q) > 100 and np.mean([r.predicted == r.quality for r in q]) > 0.97
+    lang = bytecnn.language_ids(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(lang) > 200 and np.mean([r.lang_pred == r.lang for r in lang]) > 0.97
+
+
+def test_sample_of_long_and_repeated_texts(spark):
+    """A long text is learned from too, by pieces from all of it; an id gives one text."""
+    long = "".join(f"{n:07d}" for n in range(30_000))
+    rows = [(0, long), (2, "short"), (2, "other"), (3, None), (None, "x"), (5, "é" * 40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    y = spark.createDataFrame([(i, 1) for i in (0, 2, 3, 5, None)] + [(2, 0)], "doc_id long, y int")
+    kept = [i for i in (0, 2, 5) if __import__("zlib").crc32(str(i).encode()) % 3 != 1]
+    got = bytecnn.fitting_sample(df, y, 100, 4096)
+    assert len(got) == len(kept) > 0 and all(len(t) <= 4096 for t, _ in got)
+    by = dict(zip(kept, got))
+    if 0 in by:
+        t = by[0][0].decode()
+        assert t[:64] == long[:64] and t[-64:] == long[-64:] and len(t) == 16 * 64 and long[105_000 // 15 * 7 :][:40]
+    if 2 in by:
+        assert by[2] == (b"other", 0)
+
+
 def test_quality_and_language(spark):
     rng = random.Random(4)
     texts, langs, good = [], [], []
@@ -176,6 +277,7 @@ def test_quality_and_language(spark):
         good.append(int(ok))
     rows = [(i, t, a, None) for i, (t, a) in enumerate(zip(texts, langs))]
     rows += [(500, None, "x", "s"), (501, "", None, "s"), (502, "123 ...", "y", "s"), (503, "é", None, "s"), (None, "abc", "x", "s"), (7, texts[7], "x", "s")]
+    rows += [(504, prose(rng, "abcdef", 60_000), "x", "s"), (506, prose(rng, "uvwxyz", 60_000).replace(" ", " %%% "), "y", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     labels = spark.createDataFrame([*enumerate(good), (None, 1), (3, None)], "doc_id long, quality int")
     got = bytecnn.quality_scores(df, labels).collect()
@@ -183,6 +285,7 @@ def test_quality_and_language(spark):
     held = [r for r in got if r.held_out and r.doc_id < 500]
     assert all((__import__("zlib").crc32(str(r.doc_id).encode()) % 3 == 1) == r.held_out for r in got if r.doc_id is not None)
     assert np.mean([r.predicted == good[r.doc_id] for r in held]) > 0.95
+    assert [r.predicted for r in got if r.doc_id in (504, 506)] == [1, 0]  # very long ones
     kept = bytecnn.keep_good(df, labels)
     assert kept.columns == df.columns
     assert bytecnn.quality_scores(df.limit(0), labels).count() == 0
@@ -193,7 +296,7 @@ def test_quality_and_language(spark):
     by = {r.doc_id: r for r in told}
     assert np.mean([by[i].lang_pred == langs[i] for i in range(500) if by[i].held_out]) > 0.95
     assert [(by[i].lang_pred, by[i].score) for i in (500, 501, 502)] == [("und", 0.0)] * 3
-    assert by[503].lang_pred in "xy"
+    assert by[503].lang_pred in "xy" and (by[504].lang_pred, by[506].lang_pred) == ("x", "y")
     assert bytecnn.language_ids(df.limit(0)).count() == 0
 
 
@@ -354,6 +457,16 @@ def test_mixing_twice_the_same_row(spark):
     assert mixing.mix_sources(df.union(df)).count() == 2 * len(TEXTS)
 
 
+def test_mixing_rows_without_an_id(spark):
+    """They are spread like any other, and places don't depend on how rows are dealt."""
+    rows = [(None if i % 3 else i, "a" if i % 2 else None, f"t{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    places = lambda d: sorted((r.mix_queue, r.mix_slot, r.mix_pos, r.text) for r in mixing.mix_sources(d, {"a": 2, "*": 1}, block=4, digits=1).collect())
+    got = places(df)
+    assert got == places(df.repartition(5)) and len({r[:3] for r in got}) == 900
+    assert sorted(r[3] for r in got) == sorted(r[2] for r in rows)
+
+
 def test_vocabulary_is_read_in_place():
     with open(bpe.vocabulary_path(), encoding="utf-8") as f:
         assert json.load(f)["model"]["type"] == "BPE"
