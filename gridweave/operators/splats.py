@@ -121,14 +121,43 @@ def project(
     )
 
 
+#: Models of lens distortion: whether the radial part is a fraction, and whether there is a thin prism.
+MODELS = {"pinhole": None, "radtan_5": (False, False), "rational_8": (True, False), "radtan_thin_prism_9": (False, True), "thin_prism_12": (True, True)}
+#: Depth in front of the camera at least, and refinements of the time at which a shutter passes a pixel.
+FRONT, REFINEMENTS = 1e-6, 6
+
+
+def distorted(x, y, k, model: str):
+    """Normalised image coordinates after the lens; ``k`` has k1 to k6, p1, p2, s1 to s4.  Columns or arrays."""
+    if MODELS[model] is None:
+        return x, y
+    fraction, prism = MODELS[model]
+    r2 = x * x + y * y
+    radial = 1 + r2 * (k[0] + r2 * (k[1] + r2 * k[2]))
+    if fraction:
+        radial = radial / (1 + r2 * (k[3] + r2 * (k[4] + r2 * k[5])))
+    u = x * radial + 2 * k[6] * x * y + k[7] * (r2 + 2 * x * x)
+    v = y * radial + k[6] * (r2 + 2 * y * y) + 2 * k[7] * x * y
+    return (u + r2 * (k[8] + r2 * k[9]), v + r2 * (k[10] + r2 * k[11])) if prism else (u, v)
+
+
 def project_unscented(
     gaussians: DataFrame, cameras: Mapping[int, Camera], size: tuple[int, int], near: float = 0.01, far: float = 1e10, blur: float = 0.3,
-    alpha: float = 0.1, beta: float = 2.0, kappa: float = 0.0, margin: float = 0.1,
+    alpha: float = 0.1, beta: float = 2.0, kappa: float = 0.0, margin: float = 0.1, model: str = "pinhole",
+    distortion: Mapping[int, Sequence[float]] | None = None, shutter: str = "none", last_views: Mapping[int, Sequence] | None = None,
+    require_all: bool = True, radius_clip: float = 0.0,
 ) -> DataFrame:
-    """The same from seven sigma points through the pinhole camera and their weighted moments.
-
-    All sigma points must lie in front of the camera and in the image widened by ``margin``.
+    """The same from seven sigma points through the camera and their weighted moments.
+
+    The camera may have a lens (``model`` and twelve coefficients for each in
+    ``distortion``).  With a rolling ``shutter``, ``vertical`` or ``horizontal``, it moves from
+    its view to that in ``last_views`` while rows or columns are read, and a point is seen
+    at the time its pixel is.  The mean must lie between ``near`` and ``far``, no sigma point
+    behind the camera, and all of them (or one, unless ``require_all``) in the image
+    widened by ``margin``.
     """
+    if model not in MODELS or shutter not in ("none", "vertical", "horizontal"):
+        raise ValueError("unknown lens or shutter")
     lam = alpha * alpha * (3 + kappa) - 3
     spread = math.sqrt(3 + lam)
     rest = [c for c in gaussians.columns if c not in ("mean", "quat", "log_scale")]
@@ -140,26 +169,95 @@ def project_unscented(
         wc = wm + (1 - alpha * alpha + beta if not sign else 0.0)
         points.append(f"named_struct('x', {xyz[0]}, 'y', {xyz[1]}, 'z', {xyz[2]}, 'wm', {wm!r}D, 'wc', {wc!r}D)")
     s = g.select(*rest, F.expr(f"inline(array({', '.join(points)}))"))
-    s = s.crossJoin(F.broadcast(cameras_frame(gaussians.sparkSession, cameras)))
-    s = s.withColumns({f"t{r}": F.expr(f"v{r}0 * x + v{r}1 * y + v{r}2 * z + v{r}3") for r in range(3)})
-    s = s.withColumns({"u": F.expr("IF(t2 > 0, fx * t0 / t2 + cx, NULL)"), "v": F.expr("IF(t2 > 0, fy * t1 / t2 + cy, NULL)")})
-    ok = F.coalesce(
-        F.col("t2").between(near, far) & F.col("u").between(-margin * size[0], size[0] * (1 + margin)) & F.col("v").between(-margin * size[1], size[1] * (1 + margin)),
-        F.lit(False),
-    )
+    spark = gaussians.sparkSession
+    cams = cameras_frame(spark, cameras)
+    lens = [(int(c), [float(k) for k in (distortion or {}).get(c, [0.0] * 12)], np.asarray((last_views or {}).get(c, view), float)[:3].ravel().tolist()) for c, (_, view) in cameras.items()]
+    cams = cams.join(spark.createDataFrame(lens, "cam int, lens array<double>, last array<double>"), "cam")
+    s = s.crossJoin(F.broadcast(cams))  # a bounded list
+    if shutter == "none":
+        s = s.withColumns({f"t{r}": F.expr(f"v{r}0 * x + v{r}1 * y + v{r}2 * z + v{r}3") for r in range(3)})
+        s = s.withColumns({"_x": F.expr(f"IF(t2 > {FRONT!r}D, t0 / t2, NULL)"), "_y": F.expr(f"IF(t2 > {FRONT!r}D, t1 / t2, NULL)")})
+        u, v = distorted(F.col("_x"), F.col("_y"), [F.col("lens")[n] for n in range(12)], model)
+        s = s.withColumns({"u": F.col("fx") * u + F.col("cx"), "v": F.col("fy") * v + F.col("cy")})
+    else:
+        schema = [f"{f.name} {f.dataType.simpleString()}" for f in s.select(*rest, "cam", "wm", "wc").schema]
+        s = s.mapInArrow(_rolling(rest, model, shutter, size, margin), ", ".join([*schema, "u double", "v double", "t2 double"]))
+    seen = F.col("u").isNotNull()
+    inside = F.coalesce((F.col("u") >= -margin * size[0]) & (F.col("u") < size[0] * (1 + margin)) & (F.col("v") >= -margin * size[1]) & (F.col("v") < size[1] * (1 + margin)), F.lit(False))
     m = s.groupBy(*rest, "cam").agg(
-        F.bool_and(ok).alias("ok"), F.sum(F.expr("wm * u")).alias("mx"), F.sum(F.expr("wm * v")).alias("my"), F.sum(F.expr("wm * t2")).alias("depth"),
+        (F.bool_and(seen) & (F.bool_and(inside) if require_all else F.bool_or(inside))).alias("ok"), F.sum(F.expr("wm * u")).alias("mx"), F.sum(F.expr("wm * v")).alias("my"), F.sum(F.expr("wm * t2")).alias("depth"),
         *[F.sum(F.expr(e)).alias(n) for n, e in (("sc", "wc"), ("su", "wc * u"), ("sv", "wc * v"), ("uu", "wc * u * u"), ("uv", "wc * u * v"), ("vv", "wc * v * v"))],
-    ).where("ok")
+    ).where(F.col("ok") & F.col("depth").between(near, far))
     m = m.withColumns({
         "p": F.expr("uu - 2 * mx * su + sc * mx * mx") + blur,
         "q": F.expr("uv - mx * sv - my * su + sc * mx * my"),
         "r": F.expr("vv - 2 * my * sv + sc * my * my") + blur,
     }).withColumn("det", F.expr("p * r - q * q")).where("det > 0")
-    return m.select(
-        *rest, "cam", "mx", "my", "depth", F.expr("r / det AS ca"), F.expr("-q / det AS cb"), F.expr("p / det AS cc"),
-        F.ceil(EXTENT * F.sqrt("p")).cast("int").alias("radius_x"), F.ceil(EXTENT * F.sqrt("r")).cast("int").alias("radius_y"),
-    )
+    m = m.withColumns({n: F.ceil(EXTENT * F.sqrt(c)).cast("int") for n, c in (("radius_x", "p"), ("radius_y", "r"))})
+    m = m.where(~((F.col("radius_x") <= radius_clip) & (F.col("radius_y") <= radius_clip)))
+    return m.select(*rest, "cam", "mx", "my", "depth", F.expr("r / det AS ca"), F.expr("-q / det AS cb"), F.expr("p / det AS cc"), "radius_x", "radius_y")
+
+
+def _rolling(rest: Sequence[str], model: str, shutter: str, size: tuple[int, int], margin: float):
+    """Points seen by cameras that move while the image is read: pixels (null: behind the camera) and depth half way."""
+    import pyarrow as pa
+
+    def quaternions(m: np.ndarray) -> np.ndarray:
+        """Unit quaternions of rotation matrices: the eigenvector of the largest eigenvalue of a symmetric form of each."""
+        a = lambda r, c: m[:, r, c]
+        k = np.zeros((len(m), 4, 4))
+        k[:, 0, 0], k[:, 1, 1] = a(0, 0) + a(1, 1) + a(2, 2), a(0, 0) - a(1, 1) - a(2, 2)
+        k[:, 2, 2], k[:, 3, 3] = a(1, 1) - a(0, 0) - a(2, 2), a(2, 2) - a(0, 0) - a(1, 1)
+        off = {(0, 1): a(2, 1) - a(1, 2), (0, 2): a(0, 2) - a(2, 0), (0, 3): a(1, 0) - a(0, 1), (1, 2): a(0, 1) + a(1, 0), (1, 3): a(0, 2) + a(2, 0), (2, 3): a(1, 2) + a(2, 1)}
+        for (r, c), v in off.items():
+            k[:, r, c] = k[:, c, r] = v
+        return np.linalg.eigh(k)[1][:, :, 3]
+
+    def turned(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Points turned by unit quaternions."""
+        w, axis = q[:, :1], q[:, 1:]
+        t = 2 * np.cross(axis, p)
+        return p + w * t + np.cross(axis, t)
+
+    def run(batches):
+        wide, high = size
+        for b in batches:
+            col = lambda n: b.column(n).to_numpy(zero_copy_only=False).astype(float)
+            point = np.stack([col(n) for n in "xyz"], 1)
+            first = np.stack([col(f"v{r}{c}") for r in range(3) for c in range(4)], 1).reshape(-1, 3, 4)
+            last = b.column("last").flatten().to_numpy().reshape(-1, 3, 4)
+            k = b.column("lens").flatten().to_numpy().reshape(-1, 12).T
+            f, centre = np.stack([col("fx"), col("fy")], 1), np.stack([col("cx"), col("cy")], 1)
+            q0, q1 = quaternions(first[:, :, :3]), quaternions(last[:, :, :3])
+            q1 = np.where((q0 * q1).sum(1, keepdims=True) < 0, -q1, q1)  # the shorter way round
+
+            def camera(at: np.ndarray) -> np.ndarray:
+                q = q0 + at[:, None] * (q1 - q0)
+                shift = first[:, :, 3] + at[:, None] * (last[:, :, 3] - first[:, :, 3])
+                return turned(q / np.linalg.norm(q, axis=1, keepdims=True), point) + shift
+
+            def image(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """Pixels at a time, whether the point is in front, and in the widened image."""
+                t = camera(at)
+                front = t[:, 2] > FRONT
+                z = np.where(front, t[:, 2], 1.0)
+                px = f * np.stack(distorted(t[:, 0] / z, t[:, 1] / z, k, model), 1) + centre
+                inside = front & (px >= [-margin * wide, -margin * high]).all(1) & (px < [wide * (1 + margin), high * (1 + margin)]).all(1)
+                return px, front, inside
+
+            n = len(point)
+            (p0, f0, i0), (p1, f1, i1) = image(np.zeros(n)), image(np.ones(n))
+            px, front, live = np.where((i0 | ~f1)[:, None], p0, p1), f0 | f1, i0 | i1
+            for _ in range(REFINEMENTS):
+                row = np.floor(px[:, 1]) / max(1, high - 1) if shutter == "vertical" else np.floor(px[:, 0]) / max(1, wide - 1)
+                p, fr, ins = image(np.clip(row, 0, 1))
+                px, front = np.where(live[:, None], p, px), np.where(live, fr, front)
+                live &= ins
+            uv = [pa.array(px[:, a], mask=~front) for a in range(2)]
+            depth = camera(np.full(n, 0.5))[:, 2]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*rest, "cam", "wm", "wc")), *uv, pa.array(depth)], [*rest, "cam", "wm", "wc", "u", "v", "t2"])
+
+    return run
 
 
 def _settled(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from gridweave.sources.shared import shared_folder
 from gridweave.streaming import merge
 
 from .base import FEAT_E, emb_grid, feature, query, settled, table
-from .list_queries import CAMS, SIZE, gaussians
+from .list_queries import CAMS, SIZE, gaussians, world_sql
 
 
 @query(f"WITH {FEAT_E} SELECT CASE grid_id WHEN 4 THEN 0 ELSE 1 END AS grid_id, i, j, k, CAST(f AS DOUBLE) AS f FROM feat WHERE grid_id IN (4, 1)")
@@ -69,7 +69,7 @@ def windowed_voxel_moments(spark, sf):
     return m.groupBy(F.unix_timestamp("window.start").alias("start"), "grid_id").agg(F.sum("n").alias("n"), settle(F.sum("value"), 4).alias("value"))
 
 
-@query()
+@query(f"WITH {world_sql()} SELECT 0 AS cam, px.pu AS u, px.pv AS v, {settled('coalesce(s.red, 0)', 4)} AS red, {settled('coalesce(s.o, 0)', 4)} AS opacity FROM px LEFT JOIN s USING (pu, pv)")
 def rasterize_world_space(spark, sf):
     g = gaussians(spark, sf).drop("ratio", "logit_opacity")
     foot = splats.project(g, {0: CAMS[0]}, SIZE).select("cam", "id", "mx", "my", "depth", "radius_x", "radius_y", "opacity", "red")

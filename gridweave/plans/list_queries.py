@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -505,7 +507,7 @@ def gauss_sql() -> str:
     cells = ", ".join(f"({rot[r][c]}) * e{c} AS s{r}{c}" for r in range(3) for c in range(3))
     return (
         f"ga AS (SELECT vec_id AS id, {x(0)} * 3 AS m0, {x(1)} * 3 AS m1, {x(2)} + 2.5 AS m2, {x(3)} + 1 AS w0, {x(4)} AS w1, {x(5)} AS w2, {x(6)} AS w3, {x(7)} - 2 AS l0, {x(8)} - 2 AS l1, {x(9)} - 2 AS l2, "
-        f"{x(10)} * 4 AS logit, 0.5 + {x(10)} AS opacity, vec_id % 5 + 1 AS ratio FROM embeddings), "
+        f"{x(10)} * 4 AS logit, 0.5 + {x(10)} AS opacity, {x(11)} AS red, vec_id % 5 + 1 AS ratio FROM embeddings), "
         "gb AS (SELECT *, sqrt(w0 * w0 + w1 * w1 + w2 * w2 + w3 * w3) AS wn, exp(l0) AS e0, exp(l1) AS e1, exp(l2) AS e2 FROM ga), gc AS (SELECT *, w0 / wn AS q0, w1 / wn AS q1, w2 / wn AS q2, w3 / wn AS q3 FROM gb), "
         f"gd AS (SELECT *, {cells} FROM gc)"
     )
@@ -520,32 +522,95 @@ def cams_sql() -> str:
     return f"cams(cam, fx, fy, cx, cy, {names}) AS (VALUES {', '.join(rows)})"
 
 
-PROJECTED = (
-    f"{gauss_sql()}, {cams_sql()}, t AS (SELECT *, " + ", ".join(f"v{r}0 * m0 + v{r}1 * m1 + v{r}2 * m2 + v{r}3 AS t{r}" for r in range(3)) + " FROM gd, cams), "
-    "l AS (SELECT *, t2 * least((64 - cx) / fx + 0.15 * 64 / fx, greatest(-(cx / fx + 0.15 * 64 / fx), t0 / t2)) AS c0, t2 * least((48 - cy) / fy + 0.15 * 48 / fy, greatest(-(cy / fy + 0.15 * 48 / fy), t1 / t2)) AS c1 FROM t WHERE t2 BETWEEN 0.01 AND 1e10), "
-    "j AS (SELECT *, fx / t2 AS a0, -fx * c0 / (t2 * t2) AS a2, fy / t2 AS b1, -fy * c1 / (t2 * t2) AS b2, fx * t0 / t2 + cx AS mx, fy * t1 / t2 + cy AS my FROM l), "
-    "v AS (SELECT *, " + ", ".join(f"a0 * v0{c} + a2 * v2{c} AS x{c}, b1 * v1{c} + b2 * v2{c} AS y{c}" for c in range(3)) + " FROM j), "
-    "u AS (SELECT *, " + ", ".join(f"x0 * s0{c} + x1 * s1{c} + x2 * s2{c} AS g{c}, y0 * s0{c} + y1 * s1{c} + y2 * s2{c} AS h{c}" for c in range(3)) + " FROM v), "
-    "k AS (SELECT *, g0 * g0 + g1 * g1 + g2 * g2 AS p0, g0 * h0 + g1 * h1 + g2 * h2 AS q, h0 * h0 + h1 * h1 + h2 * h2 AS r0 FROM u), "
-    "d AS (SELECT *, p0 + 0.3 AS p, r0 + 0.3 AS r, (p0 + 0.3) * (r0 + 0.3) - q * q AS det, CAST(ceil(3.33 * sqrt(p0 + 0.3)) AS INTEGER) AS radius_x, CAST(ceil(3.33 * sqrt(r0 + 0.3)) AS INTEGER) AS radius_y FROM k), "
-    "shown AS (SELECT * FROM d WHERE det > 0 AND mx + radius_x > 0 AND mx - radius_x < 64 AND my + radius_y > 0 AND my - radius_y < 48)"
-)
+def projected_sql(flat: bool = False, pairs: str = "gd, cams") -> str:
+    """Footprints step by step; ``flat`` cameras are orthographic, ``pairs`` joins Gaussians and cameras."""
+    if flat:
+        jac = "l AS (SELECT * FROM t WHERE t2 BETWEEN 0.01 AND 1e10), j AS (SELECT *, fx AS a0, 0.0::DOUBLE AS a2, fy AS b1, 0.0::DOUBLE AS b2, fx * t0 + cx AS mx, fy * t1 + cy AS my FROM l), "
+    else:
+        jac = (
+            "l AS (SELECT *, t2 * least((64 - cx) / fx + 0.15 * 64 / fx, greatest(-(cx / fx + 0.15 * 64 / fx), t0 / t2)) AS c0, t2 * least((48 - cy) / fy + 0.15 * 48 / fy, greatest(-(cy / fy + 0.15 * 48 / fy), t1 / t2)) AS c1 FROM t WHERE t2 BETWEEN 0.01 AND 1e10), "
+            "j AS (SELECT *, fx / t2 AS a0, -fx * c0 / (t2 * t2) AS a2, fy / t2 AS b1, -fy * c1 / (t2 * t2) AS b2, fx * t0 / t2 + cx AS mx, fy * t1 / t2 + cy AS my FROM l), "
+        )
+    return (
+        f"{gauss_sql()}, {cams_sql()}, t AS (SELECT *, " + ", ".join(f"v{r}0 * m0 + v{r}1 * m1 + v{r}2 * m2 + v{r}3 AS t{r}" for r in range(3)) + f" FROM {pairs}), {jac}"
+        "v AS (SELECT *, " + ", ".join(f"a0 * v0{c} + a2 * v2{c} AS x{c}, b1 * v1{c} + b2 * v2{c} AS y{c}" for c in range(3)) + " FROM j), "
+        "u AS (SELECT *, " + ", ".join(f"x0 * s0{c} + x1 * s1{c} + x2 * s2{c} AS g{c}, y0 * s0{c} + y1 * s1{c} + y2 * s2{c} AS h{c}" for c in range(3)) + " FROM v), "
+        "k AS (SELECT *, g0 * g0 + g1 * g1 + g2 * g2 AS p0, g0 * h0 + g1 * h1 + g2 * h2 AS q, h0 * h0 + h1 * h1 + h2 * h2 AS r0 FROM u), "
+        "d AS (SELECT *, p0 + 0.3 AS p, r0 + 0.3 AS r, (p0 + 0.3) * (r0 + 0.3) - q * q AS det, CAST(ceil(3.33 * sqrt(p0 + 0.3)) AS INTEGER) AS radius_x, CAST(ceil(3.33 * sqrt(r0 + 0.3)) AS INTEGER) AS radius_y FROM k), "
+        "shown AS (SELECT * FROM d WHERE det > 0 AND mx + radius_x > 0 AND mx - radius_x < 64 AND my + radius_y > 0 AND my - radius_y < 48)"
+    )
+
+
+PROJECTED = projected_sql()
+FOOT_COLUMNS = {"mx": "mx", "my": "my", "depth": "t2", "ca": "r / det", "cb": "-q / det", "cc": "p / det", "compensation": "sqrt(greatest(0.0::DOUBLE, (p0 * r0 - q * q) / det))"}
 
 
 @query(
     f"WITH {PROJECTED} SELECT id, cam, radius_x, radius_y, "
-    + ", ".join(f"{settled(f'({e})', 5)} AS {n}" for n, e in {"mx": "mx", "my": "my", "depth": "t2", "ca": "r / det", "cb": "-q / det", "cc": "p / det", "compensation": "sqrt(greatest(0.0::DOUBLE, (p0 * r0 - q * q) / det))", "opacity": "opacity", "logit_opacity": "logit"}.items())
+    + ", ".join(f"{settled(f'({e})', 5)} AS {n}" for n, e in {**FOOT_COLUMNS, "opacity": "opacity", "logit_opacity": "logit"}.items())
     + " FROM shown"
 )
 def project_gaussians(spark, sf):
     return _rounded(splats.project(gaussians(spark, sf).drop("ratio", "red"), CAMS, SIZE), "mx", "my", "depth", "ca", "cb", "cc", "compensation", "opacity", "logit_opacity")
 
 
-@query()
+#: Lens coefficients of the query of distorted cameras.
+LENS = {0: [0.1, -0.02, 0.003, 0.05, 0.01, 0.002, 0.004, -0.003, 0.002, 0.001, -0.001, 0.002], 1: [-0.05, 0.01, 0.0, 0.02, 0.0, 0.0, -0.002, 0.001, 0.0, 0.0, 0.001, 0.0]}
+
+
+def lens_sql() -> str:
+    """The thin-prism model with a fractional radial part, from normalised x, y to u, v."""
+    rows = ", ".join(f"({c}, {', '.join(f'{k!r}::DOUBLE' for k in ks)})" for c, ks in LENS.items())
+    return (
+        f"lens(lc, k1, k2, k3, k4, k5, k6, p1, p2, s1, s2, s3, s4) AS (VALUES {rows}), n AS (SELECT *, CASE WHEN t2 > 1e-6 THEN t0 / t2 END AS nx, CASE WHEN t2 > 1e-6 THEN t1 / t2 END AS ny FROM t JOIN lens ON lc = cam), "
+        "rr AS (SELECT *, nx * nx + ny * ny AS r2 FROM n), ra AS (SELECT *, (1 + k1 * r2 + k2 * r2 * r2 + k3 * r2 * r2 * r2) / (1 + k4 * r2 + k5 * r2 * r2 + k6 * r2 * r2 * r2) AS g FROM rr), "
+        "w AS (SELECT *, fx * (nx * g + 2 * p1 * nx * ny + p2 * (r2 + 2 * nx * nx) + s1 * r2 + s2 * r2 * r2) + cx AS u, fy * (ny * g + p1 * (r2 + 2 * ny * ny) + 2 * p2 * nx * ny + s3 * r2 + s4 * r2 * r2) + cy AS v FROM ra), "
+    )
+
+
+def sigma_sql() -> str:
+    """The seven sigma points of each Gaussian: x, y, z and the weights of mean and covariance."""
+    lam = 0.01 * 3 - 3
+    spread, points = math.sqrt(3 + lam), []
+    for axis, sign in [(None, 0), *[(n, w) for n in range(3) for w in (1, -1)]]:
+        at = [f"m{r}" + (f" + {sign * spread!r}::DOUBLE * s{r}{axis}" if sign else "") for r in range(3)]
+        wm = lam / (3 + lam) if not sign else 0.5 / (3 + lam)
+        wc = wm + (1 - 0.01 + 2.0 if not sign else 0.0)
+        points.append(f"SELECT id, {', '.join(f'{e} AS {c}' for e, c in zip(at, 'xyz'))}, {wm!r}::DOUBLE AS wm, {wc!r}::DOUBLE AS wc FROM gd")
+    return f"sigma AS ({' UNION ALL '.join(points)})"
+
+
+def unscented_sql(pixels: str) -> str:
+    return (
+        f"WITH {gauss_sql()}, {cams_sql()}, {sigma_sql()}, t AS (SELECT *, " + ", ".join(f"v{r}0 * x + v{r}1 * y + v{r}2 * z + v{r}3 AS t{r}" for r in range(3)) + f" FROM sigma, cams), {pixels}"
+        "m AS (SELECT id, cam, bool_and(coalesce(u >= -6.4 AND u < 64 * 1.1 AND v >= -4.8 AND v < 48 * 1.1, false)) AS ok, sum(wm * u) AS mx, sum(wm * v) AS my, sum(wm * t2) AS depth, sum(wc) AS sc, sum(wc * u) AS su, sum(wc * v) AS sv, "
+        "sum(wc * u * u) AS uu, sum(wc * u * v) AS uv, sum(wc * v * v) AS vv FROM w GROUP BY 1, 2), "
+        "c AS (SELECT *, uu - 2 * mx * su + sc * mx * mx + 0.3 AS p, uv - mx * sv - my * su + sc * mx * my AS q, vv - 2 * my * sv + sc * my * my + 0.3 AS r FROM m WHERE ok AND depth BETWEEN 0.01 AND 1e10), d AS (SELECT *, p * r - q * q AS det FROM c) "
+        "SELECT id, cam, CAST(ceil(3.33 * sqrt(p)) AS INTEGER) AS radius_x, CAST(ceil(3.33 * sqrt(r)) AS INTEGER) AS radius_y, "
+        + ", ".join(f"{settled(f'({e})', 3)} AS {n}" for n, e in {"mx": "mx", "my": "my", "depth": "depth", "ca": "r / det", "cb": "-q / det", "cc": "p / det"}.items()) + " FROM d WHERE det > 0"
+    )
+
+
+@query(unscented_sql("w AS (SELECT *, CASE WHEN t2 > 1e-6 THEN fx * t0 / t2 + cx END AS u, CASE WHEN t2 > 1e-6 THEN fy * t1 / t2 + cy END AS v FROM t), "))
 def project_gaussians_unscented(spark, sf):
     return _rounded(splats.project_unscented(gaussians(spark, sf).select("id", "mean", "quat", "log_scale"), CAMS, SIZE), "mx", "my", "depth", "ca", "cb", "cc", digits=3)
 
 
+@query(unscented_sql(lens_sql()))
+def project_gaussians_through_lens(spark, sf):
+    """Cameras with twelve lens coefficients each."""
+    out = splats.project_unscented(gaussians(spark, sf).select("id", "mean", "quat", "log_scale"), CAMS, SIZE, model="thin_prism_12", distortion=LENS)
+    return _rounded(out, "mx", "my", "depth", "ca", "cb", "cc", digits=3)
+
+
+@query()
+def project_gaussians_rolling(spark, sf):
+    """Cameras that move to each other's place while rows are read."""
+    ends = {c: CAMS[1 - c][1] for c in CAMS}
+    out = splats.project_unscented(gaussians(spark, sf).select("id", "mean", "quat", "log_scale"), CAMS, SIZE, shutter="vertical", last_views=ends)
+    return _rounded(out, "mx", "my", "depth", digits=3).select("id", "cam", "mx", "my", "depth")
+
+
 #: Footprints with exact values, for what comes after projection: SQL makes the same ones.
 FOOT = (
     "foot AS (SELECT 0 AS cam, vec_id AS id, CAST(vec_id * 7 % 64 AS DOUBLE) AS mx, CAST(vec_id * 11 % 48 AS DOUBLE) AS my, CAST(vec_id * 13 % 101 AS DOUBLE) AS depth, 0.125::DOUBLE AS ca, 0.0::DOUBLE AS cb, 0.0625::DOUBLE AS cc, CAST(3 + vec_id % 6 AS INTEGER) AS radius_x, "
@@ -561,6 +626,24 @@ def footprints(spark, sf):
     )
 
 
+def world_sql() -> str:
+    """Blending by rays from the origin: footprints say which tiles a Gaussian may touch."""
+    span = ", ".join(
+        f"CAST(greatest(0, least({n}, floor((m{a} - radius_{a}) / 16))) AS INTEGER) AS lo_{a}, CAST(greatest(0, least({n}, ceil((m{a} + radius_{a}) / 16))) AS INTEGER) AS hi_{a}" for a, n in (("x", 4), ("y", 3))
+    )
+    ball = ", ".join(f"-(s0{c} * m0 + s1{c} * m1 + s2{c} * m2) / n{c} AS o{c}, (s0{c} * dx + s1{c} * dy + s2{c} * dz) / n{c} AS d{c}" for c in range(3))
+    length = ", ".join(f"s0{c} * s0{c} + s1{c} * s1{c} + s2{c} * s2{c} AS n{c}" for c in range(3))
+    return (
+        f"{PROJECTED}, span AS (SELECT *, {length}, {span} FROM shown WHERE cam = 0), tx AS (SELECT *, CAST(unnest(range(lo_x, hi_x)) AS INTEGER) AS tile_x FROM span), ty AS (SELECT *, CAST(unnest(range(lo_y, hi_y)) AS INTEGER) AS tile_y FROM tx), "
+        "px AS (SELECT CAST(pu AS INTEGER) AS pu, CAST(pv AS INTEGER) AS pv, (pu + 0.5::DOUBLE - 32) / 50 AS dx, (pv + 0.5::DOUBLE - 24) / 50 AS dy, 1.0::DOUBLE AS dz FROM (SELECT unnest(range(64)) AS pu), (SELECT unnest(range(48)) AS pv)), "
+        f"b AS (SELECT pu, pv, id, t2 AS depth, opacity, red, {ball} FROM ty JOIN px ON px.pu // 16 = tile_x AND px.pv // 16 = tile_y), "
+        "f AS (SELECT *, o0 * o0 + o1 * o1 + o2 * o2 AS oo, o0 * d0 + o1 * d1 + o2 * d2 AS od, d0 * d0 + d1 * d1 + d2 * d2 AS dd FROM b), "
+        "al AS (SELECT *, least(0.99::DOUBLE, opacity * exp(-0.5 * greatest(0.0::DOUBLE, oo - od * od / dd))) AS alpha FROM f), "
+        "ac AS (SELECT *, sum(ln(1 - alpha)) OVER (PARTITION BY pu, pv ORDER BY depth, id ROWS UNBOUNDED PRECEDING) AS a FROM al WHERE alpha >= 1 / 255.0::DOUBLE), "
+        "w AS (SELECT *, alpha * exp(a - ln(1 - alpha)) AS w FROM ac WHERE exp(a) > 1e-4), s AS (SELECT pu, pv, sum(w * red) AS red, sum(w) AS o FROM w GROUP BY 1, 2)"
+    )
+
+
 TILES = (
     "span AS (SELECT *, " + ", ".join(
         f"CAST(greatest(0, least({n}, floor((m{a} - radius_{a}) / 16))) AS INTEGER) AS lo_{a}, CAST(greatest(0, least({n}, ceil((m{a} + radius_{a}) / 16))) AS INTEGER) AS hi_{a}" for a, n in (("x", 4), ("y", 3))
@@ -686,7 +769,10 @@ def gaussian_nan_mask(spark, sf):
     return splats.finite_mask(g)
 
 
-@query()
+@query(
+    f"WITH {projected_sql(True, 'gd JOIN cams ON cams.cam = gd.id % 2')} SELECT id, CAST(id % 2 AS INTEGER) AS scene, cam, radius_x, radius_y, "
+    + ", ".join(f"{settled(f'({e})', 5)} AS {n}" for n, e in FOOT_COLUMNS.items()) + " FROM shown"
+)
 def project_gaussians_by_scene(spark, sf):
     """Each camera sees the Gaussians of its own scene."""
     g = gaussians(spark, sf).select("id", "mean", "quat", "log_scale", (F.col("id") % 2).cast("int").alias("scene"))

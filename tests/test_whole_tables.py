@@ -385,3 +385,65 @@ def test_similarity_gradient_by_differences(spark):
         assert len(got) == 13 * 14
         for n, p in enumerate(at):
             assert got[p] == pytest.approx((mean[2 + n * 2] - mean[1 + n * 2]) / 2e-5, abs=1e-6)
+
+
+# -- lenses and shutters ------------------------------------------------------------------------
+
+
+def seen_at(point, start, end, share):
+    """A point in the camera's space, with the rotation between two views taken along the shorter way."""
+    def quat(r):
+        w = math.sqrt(max(0, 1 + np.trace(r))) / 2
+        return np.array([w, (r[2, 1] - r[1, 2]) / (4 * w), (r[0, 2] - r[2, 0]) / (4 * w), (r[1, 0] - r[0, 1]) / (4 * w)])
+
+    a, b = quat(start[:3, :3]), quat(end[:3, :3])
+    q = a + share * ((b if a @ b >= 0 else -b) - a)
+    w, x, y, z = q / np.linalg.norm(q)
+    r = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]])
+    return r @ point + start[:3, 3] + share * (end[:3, 3] - start[:3, 3])
+
+
+@pytest.mark.parametrize("shutter,lens", [("vertical", False), ("horizontal", True)])
+def test_rolling_shutter_against_loops(spark, vectors, shutter, lens):
+    k = [0.1, -0.02, 0.003, 0, 0, 0, 0.004, -0.003, 0.002, 0.001, -0.001, 0.002]
+    start, end = np.eye(4), np.eye(4)
+    end[:3, :3] = [[math.cos(0.2), 0, math.sin(0.2)], [0, 1, 0], [-math.sin(0.2), 0, math.cos(0.2)]]
+    end[:3, 3] = [0.1, -0.05, 0.2]
+    lam, want = 0.01 * 3 - 3, {}
+
+    def pixel(p, share):
+        x, y, z = seen_at(p, start, end, share)
+        if z <= 1e-6:
+            return None
+        x, y = x / z, y / z
+        if lens:
+            r2 = x * x + y * y
+            radial = 1 + k[0] * r2 + k[1] * r2**2 + k[2] * r2**3
+            x, y = x * radial + 2 * k[6] * x * y + k[7] * (r2 + 2 * x * x) + k[8] * r2 + k[9] * r2**2, y * radial + k[6] * (r2 + 2 * y * y) + 2 * k[7] * x * y + k[10] * r2 + k[11] * r2**2
+        return np.array([50 * x + 32, 50 * y + 24])
+
+    inside = lambda px: px is not None and -6.4 <= px[0] < 64 * 1.1 and -4.8 <= px[1] < 48 * 1.1
+
+    def rolled(p):
+        a, b = pixel(p, 0.0), pixel(p, 1.0)
+        if not inside(a) and not inside(b):
+            return None
+        at = a if inside(a) else b
+        for _ in range(6):
+            at = pixel(p, min(1, max(0, math.floor(at[1]) / 47 if shutter == "vertical" else math.floor(at[0]) / 63)))
+            if not inside(at):
+                return None
+        return at
+
+    for i, (_, v) in vectors.items():
+        mean, m = shaped(v)
+        points = [mean, *[mean + s * math.sqrt(3 + lam) * m[:, n] for n in range(3) for s in (1, -1)]]
+        px = [rolled(p) for p in points]
+        depth = seen_at(mean, start, end, 0.5)[2]
+        if all(p is not None for p in px) and depth >= 0.01:
+            want[i] = (*(np.array([lam / (3 + lam), *[0.5 / (3 + lam)] * 6]) @ np.array(px)), depth)
+    g = as_frame(spark, scene_of(vectors, len(vectors)).items())
+    out = splats.project_unscented(g, {0: ([[50, 0, 32], [0, 50, 24], [0, 0, 1]], start)}, (64, 48), shutter=shutter, last_views={0: end}, model="radtan_thin_prism_9" if lens else "pinhole", distortion={0: k} if lens else None)
+    got = {r.id: (r.mx, r.my, r.depth) for r in out.collect()}
+    assert len(want) > 300 and set(want) ^ set(got) == set()
+    assert all(np.allclose(got[i], want[i], atol=1e-6) for i in want)
