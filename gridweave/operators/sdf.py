@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.spatial import IJK, KEY
 
-from gridweave.sources.shared import shared_folder
+from gridweave.sources.shared import written
 
 from .grids import Grids, check_columns
 from .pool import inject
@@ -99,13 +99,8 @@ def _by_blocks(state: DataFrame, halo: int, solve) -> DataFrame:
     return state.groupBy(*names).applyInArrow(run, STATE)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession, "")  # sets a checkpoint folder where there is none
-    return df.checkpoint()
-
-
 def _redistance(state: DataFrame, w: float, band: float, order: int, sweeps: int) -> DataFrame:
-    left, start = sweeps, True
+    left, start, mine = sweeps, True, None
     while left > 0:
         n, fresh = min(SWEEPS, left), start
 
@@ -116,7 +111,7 @@ def _redistance(state: DataFrame, w: float, band: float, order: int, sweeps: int
                 phi = sweep(phi, sgn, near, w, band, order)
             return phi, sgn
 
-        state = _cut(_by_blocks(state, n * order + fresh, solve))
+        state = mine = written(_by_blocks(state, n * order + fresh, solve), mine)
         left, start = left - n, False
     return state
 
@@ -152,7 +147,7 @@ def reinitialize_sdf(
                     phi = phi + c * (_faces(phi, near, width).mean(0) - phi)
                 return phi, sgn
 
-            state = _cut(_by_blocks(state, len(part), average))
+            state = written(_by_blocks(state, len(part), average), state)
         state = _redistance(state, w, width, order, max(LEAST, smooth))
     return state.select(*KEY, F.col("phi").alias(value))
 
