@@ -100,12 +100,6 @@ def drop_written(df: DataFrame) -> None:
         files.delete(p, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as a checkpoint in the shared folder."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def learn(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
     """``rows`` with what ``facts`` says of their ``keys``: null where it says nothing.
 

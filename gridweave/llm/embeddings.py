@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, connected_components, cut, learn, written
+from .common import LAST_ID, connected_components, learn, written
 
 COSINE = 0.95
 #: Trees, vectors aimed at per leaf, half width of the zone around a split that goes to both sides.
@@ -202,7 +202,7 @@ def vector_links(vectors: DataFrame, least: float = COSINE, trees: int = TREES,
             cols = [*(b.column(c) for c in ("rep", "h", "mult", "v")), pa.array(leaves, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["rep", "h", "mult", "v", "leaves"])
 
-    routed = cut(distinct.select("rep", "h", "mult", "v").mapInArrow(route, f"rep long, h long, mult long, v array<{kind}>, leaves array<long>"))
+    routed = written(distinct.select("rep", "h", "mult", "v").mapInArrow(route, f"rep long, h long, mult long, v array<{kind}>, leaves array<long>"))
     placed = routed.select("rep", "h", "mult", "v", "leaves", F.explode("leaves").alias("leaf"))
     large = placed.groupBy("leaf").count().where(F.col("count") > BLOCK)
     large = large.select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
@@ -224,7 +224,7 @@ def vector_links(vectors: DataFrame, least: float = COSINE, trees: int = TREES,
             out = (rep[at], h[at], n, rep[to], h[to])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["rep", "h", "n", "to_rep", "to_h"])
 
-    found = cut(ordered.mapInArrow(compare, "rep long, h long, n long, to_rep long, to_h long"))
+    found = written(ordered.mapInArrow(compare, "rep long, h long, n long, to_rep long, to_h long"))
     sums = found.groupBy("rep", "h").agg(F.sum("n").alias("links"))
     node = F.struct("rep", "h")
     groups = connected_components(found.select(node.alias("a"), F.struct(F.col("to_rep").alias("rep"), F.col("to_h").alias("h")).alias("b")))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, connected_components, cut, id_text, learn, rows_of, text_digest, written
+from .common import LAST_ID, connected_components, id_text, learn, rows_of, text_digest, written
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 #: Shingles hashed at once, and fingerprints joined at once.
@@ -246,7 +246,7 @@ def _grouped(rows: DataFrame) -> tuple[DataFrame, int, DataFrame]:
     A component is named by its least ``low`` (id) and then ``fp``, so its name tells
     its smallest id and no group has to meet to find it.
     """
-    rows = cut(rows)
+    rows = written(rows)
     distinct = written(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("low"), F.count("*").alias("n")))
     total = distinct.agg(F.sum("n")).first()[0] or 0
     node = lambda side: F.struct(F.col(f"{side}_low").alias("low"), F.col(side).alias("fp")).alias(side)
