@@ -7,12 +7,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions.spatial import KEY, morton
 from gridweave.operators.grids import META_SCHEMA, VOXEL_SCHEMA, Grids, check_columns
 
+from .shared import written
+
 #: Characters a grid's name may have.
 MAX_NAME = 255
 
@@ -154,15 +157,47 @@ def ply_bytes(rows: Sequence, metadata: dict[str, str] | None = None) -> bytes:
     return "\n".join(head).encode("ascii") + np.array(body, "<f4").reshape(len(rows), len(names)).tobytes()
 
 
-def save_gaussian_ply(gaussians: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
-    """One local PLY file; the format is one file, so the rows are gathered and must fit the driver."""
+def save_gaussian_ply(gaussians: DataFrame, folder: str, metadata: dict[str, str] | None = None, rows_per_file: int = 1 << 20) -> DataFrame:
+    """PLY files of at most ``rows_per_file`` Gaussians each, in order of ``id``, under a folder that all executors reach.
+
+    Every task writes its own files, through Arrow's file systems; a task that runs
+    again replaces them.  Returns ``path`` and ``n`` of each file.
+    """
+    rows = check_columns(gaussians, "id", "mean", "quat", "log_scale", "logit_opacity", "sh").select("id", "mean", "quat", "log_scale", "logit_opacity", "sh")
+    ordered = rows.orderBy("id").withColumn("part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        files.create_dir(base)
+        held: list[Row] = []
+        part = nth = 0
+
+        def put(own: list[Row]) -> pa.RecordBatch:
+            name = f"{base}/part-{part:05d}-{nth:05d}.ply"
+            with files.open_output_stream(name) as f:
+                f.write(ply_bytes(own, metadata))
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(own)], pa.int64())], ["path", "n"])
+
+        for b in batches:
+            for r in b.to_pylist():
+                part = r["part"]
+                held.append(Row(**r))
+                if len(held) == rows_per_file:
+                    yield put(held)
+                    held, nth = [], nth + 1
+        if held:
+            yield put(held)
+
+    return written(ordered.mapInArrow(run, "path string, n long"))
+
+
+def save_one_gaussian_ply(gaussians: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
+    """One local PLY file; the rows are gathered and must fit the driver."""
     rows = check_columns(gaussians, "id", "mean", "quat", "log_scale", "logit_opacity", "sh").orderBy("id").collect()
     with open(path, "wb") as f:
         f.write(ply_bytes(rows, metadata))
 
 
-__all__ = ["KEY", "grid_names", "load_grids", "parse_ply", "ply_bytes", "read_gaussian_ply", "read_metadata", "save_gaussian_ply", "save_grids"]
-
 
 # -- batches as bytes ---------------------------------------------------------------------
 
@@ -198,3 +233,6 @@ def deserialize(data: DataFrame) -> Grids:
 
     part = lambda kind, schema: data.where(F.col("kind") == kind).select("payload").mapInArrow(unpack, schema)
     return Grids(part("meta", META_SCHEMA), part("voxels", VOXEL_SCHEMA))
+
+
+__all__ = ["KEY", "deserialize", "grid_names", "load_grids", "parse_ply", "ply_bytes", "read_gaussian_ply", "read_metadata", "save_gaussian_ply", "save_grids", "save_one_gaussian_ply", "serialize"]
