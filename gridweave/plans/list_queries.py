@@ -412,11 +412,31 @@ def marching_cubes_euler(spark, sf):
     return v.join(e, "grid_id").join(f, "grid_id").select("grid_id", (F.col("v") - F.col("e") + F.col("f")).alias("euler"), "closed")
 
 
-@query()
+def cubes_sql() -> str:
+    """Faces and vertices of the balls' surfaces, with the same triangles of each case."""
+    triangles = ", ".join(f"({case}, {n}, {', '.join(str(x) for e in t for x in e)})" for case, ts in enumerate(mesh.case_triangles()) for n, t in enumerate(ts))
+    at = lambda s, c: ", ".join(f"{a} + ({c} // {d}) % 2 AS {s}{a}" for a, d in zip(IJK, (4, 2, 1)))
+    edges = " UNION ALL ".join(f"SELECT grid_id, i, j, k, t, {e} AS e, {at('p', f'a{e}')}, {at('q', f'b{e}')}, vals[a{e} + 1] AS pv, vals[b{e} + 1] AS qv FROM tri" for e in range(3))
+    key = ", ".join(s + a for s in "pq" for a in IJK)
+    snap = f"{mesh.SNAP!r}::DOUBLE"
+    return (
+        f"{BALLS}, o AS (SELECT CAST(unnest(range(8)) AS INTEGER) AS c), cu AS (SELECT grid_id, i - c // 4 AS i, j - (c // 2) % 2 AS j, k - c % 2 AS k, list(f ORDER BY c) AS vals, sum(CASE WHEN f < 0 THEN 1 << c ELSE 0 END) AS kase FROM ball, o GROUP BY 1, 2, 3, 4 HAVING count(*) = 8), "
+        f"tr(kase, t, a0, b0, a1, b1, a2, b2) AS (VALUES {triangles}), tri AS (SELECT * FROM cu JOIN tr USING (kase)), e AS ({edges}), "
+        f"w AS (SELECT DISTINCT grid_id, {key}, CASE WHEN abs(pv) < {snap} THEN 0 WHEN abs(qv) < {snap} THEN 1 WHEN abs(pv - qv) < {snap} THEN 0 ELSE -pv / (qv - pv) END AS w FROM e), "
+        f"v AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY {key}) - 1 AS v_id FROM w), "
+        f"n AS (SELECT e.grid_id, e.i, e.j, e.k, e.t, e.e, v.v_id FROM e JOIN v USING (grid_id, {key})), "
+        "f AS (SELECT grid_id, i, j, k, t, " + ", ".join(f"max(CASE WHEN e = {e} THEN v_id END) AS v{e}" for e in range(3)) + " FROM n GROUP BY 1, 2, 3, 4, 5), "
+        "faces AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY i, j, k, t) - 1 AS f_id FROM f)"
+    )
+
+
+@query(
+    f"WITH {cubes_sql()} SELECT f.grid_id, f.f_id, f.v0, f.v1, f.v2, "
+    + ", ".join(f"{settled(f'(v.p{i} * (1 - v.w) + v.q{i} * v.w)')} AS {a}" for a, i in zip("xyz", IJK)) + " FROM faces f JOIN v ON v.grid_id = f.grid_id AND v.v_id = f.v0"
+)
 def marching_cubes(spark, sf):
-    g = emb_grid(spark, sf)
-    f = feature(g.voxels).withColumn("f", F.col("f") - 2)
-    v, faces = mesh.marching_cubes(g, f)
+    """All faces, each with the place of its first vertex."""
+    v, faces = mesh.marching_cubes(*balls(spark, sf))
     corner = v.select("grid_id", F.col("v_id").alias("v0"), *[settle(F.col(a)).alias(a) for a in "xyz"])
     return faces.join(corner, ["grid_id", "v0"])
 
@@ -466,13 +486,77 @@ def integrate_tsdf_with_features(spark, sf):
     return _rounded(out, "tsdf", "red", digits=6)
 
 
-@query()
+class Sweeps:
+    """SQL of redistancing on dense boxes, stage by stage: a voxel's neighbours are the rows before and after it."""
+
+    def __init__(self, first: str, band: int = 3):
+        self.band, self.parts, self.n = float(band), [f"s0 AS MATERIALIZED ({first})"], 0
+
+    def stage(self, columns: str) -> None:
+        """A stage over the last one; ``columns`` may use ``phi``, ``sgn`` and the neighbours ``l0, h0`` to ``l2, h2`` of ``x``."""
+        near = []
+        for n, a in enumerate(IJK):
+            others = ", ".join(c for c in IJK if c != a)
+            for side, f in (("l", "lag"), ("h", "lead")):
+                near.append(f"{f}(x, 1, {self.band}::DOUBLE) OVER (PARTITION BY grid_id, {others} ORDER BY {a}) AS {side}{n}")
+        self.parts.append(f"n{self.n + 1} AS (SELECT *, {', '.join(near)} FROM s{self.n})")
+        self.n += 1
+        self.parts.append(f"s{self.n} AS MATERIALIZED (SELECT {', '.join(KEY)}, {columns} FROM n{self.n})")
+
+    def sign(self) -> None:
+        grad = " + ".join(f"power((h{n} - l{n}) / 2, 2)" for n in range(3))
+        self.stage(f"phi, phi / sqrt(phi * phi + ({grad}) + {sdf.ROOT!r}::DOUBLE) AS sgn, phi AS x, phi AS y")
+
+    def sweep(self, order: int) -> None:
+        """One step; ``x`` is the stage's field and ``y`` the one before."""
+        up = " + ".join(f"power(greatest(greatest(x - l{n}, 0), -least(h{n} - x, 0)), 2)" for n in range(3))
+        down = " + ".join(f"power(greatest(-least(x - l{n}, 0), greatest(h{n} - x, 0)), 2)" for n in range(3))
+        rate = f"{sdf.STEP!r}::DOUBLE * sgn * (1 - sqrt(CASE WHEN sgn > 0 THEN {up} ELSE {down} END))"
+        hold = lambda e: f"greatest(-{self.band}::DOUBLE, least({self.band}::DOUBLE, {e}))"
+        if order == 2:  # y keeps half of the first rate
+            self.stage(f"phi, sgn, {hold(f'x + {rate}')} AS x, phi + 0.5 * {rate} AS y")
+            last = hold(f"y + 0.5 * {rate}")
+        else:
+            self.stage(f"phi, sgn, {hold(f'x + {rate}')} AS x, phi AS y")
+            self.stage(f"phi, sgn, {hold(f'0.75 * phi + 0.25 * x + 0.25 * {rate}')} AS x, phi AS y")
+            last = hold(f"phi / 3 + 2.0::DOUBLE / 3 * x + 2.0::DOUBLE / 3 * {rate}")
+        self.stage(f"{last} AS phi, sgn, {last} AS x, {last} AS y")
+
+    def average(self, share: float) -> None:
+        mean = "(" + " + ".join(f"l{n} + h{n}" for n in range(3)) + ") / 6"
+        new = f"x + {share!r}::DOUBLE * ({mean} - x)"
+        self.stage(f"{new} AS phi, sgn, {new} AS x, {new} AS y")
+
+    def redistance(self, order: int, sweeps: int) -> None:
+        self.sign()
+        for _ in range(sweeps):
+            self.sweep(order)
+
+
+def reinitialized_sql() -> str:
+    s = Sweeps(f"WITH {BALLS} SELECT grid_id, i, j, k, greatest(-3.0::DOUBLE, least(3.0::DOUBLE, 2 * f)) AS phi, 0.0::DOUBLE AS sgn, greatest(-3.0::DOUBLE, least(3.0::DOUBLE, 2 * f)) AS x, 0.0::DOUBLE AS y FROM ball")
+    s.redistance(3, 10)
+    return f"WITH {', '.join(s.parts)} SELECT grid_id, i, j, k, {settled('phi', 5)} AS f FROM s{s.n}"
+
+
+@query(reinitialized_sql())
 def reinitialize_sdf(spark, sf):
     g, f = balls(spark, sf)
     return sdf.reinitialize_sdf(g, f.withColumn("f", F.col("f") * 2)).withColumn("f", settle(F.col("f"), 5))
 
 
-@query()
+def retopologized_sql() -> str:
+    wide = f"(SELECT CAST(s_suppkey AS INTEGER) AS grid_id, i, j, k FROM supplier, {box_sql(-HALF - 3, HALF + 3, ('i', 'j', 'k'))} b)"
+    held = "greatest(-3.0::DOUBLE, least(3.0::DOUBLE, coalesce(f, 3.0::DOUBLE)))"
+    s = Sweeps(f"WITH {BALLS} SELECT w.grid_id, w.i, w.j, w.k, {held} AS phi, 0.0::DOUBLE AS sgn, {held} AS x, 0.0::DOUBLE AS y FROM {wide} w LEFT JOIN ball USING (grid_id, i, j, k)")
+    s.redistance(2, 10)
+    for share in sdf.TAUBIN:
+        s.average(share)
+    s.redistance(2, 4)
+    return f"WITH {', '.join(s.parts)} SELECT grid_id, i, j, k, {settled('phi', 5)} AS f FROM s{s.n} WHERE abs(phi) < 3 * {sdf.KEPT!r}::DOUBLE"
+
+
+@query(retopologized_sql())
 def retopologize_sdf(spark, sf):
     g, f = balls(spark, sf)
     return sdf.retopologize_sdf(g, f, smooth=1, taubin=True, order=2)[1].withColumn("f", settle(F.col("f"), 5))
