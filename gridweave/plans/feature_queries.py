@@ -385,7 +385,38 @@ def batch_norm(spark, sf):
     return _settled(nn.batch_norm(feature(line_grid(spark, sf).voxels), ("f",)), "f")
 
 
-@query()
+def unet_sql(width: int = 4) -> str:
+    """The small network step by step: every layer sums over the 27 taps of each voxel."""
+    names = [f"h{c}" for c in range(width)]
+    cells = ", ".join(names)
+
+    def layer(name: str, source: str, grid: str, ins: list[str], outs: list[str]) -> str:
+        sums = ", ".join(f"coalesce(sum({' + '.join(f'{w_sql(TAP, a, b)} * s.{x}' for a, x in enumerate(ins))}), 0) AS {o}" for b, o in enumerate(outs))
+        return (
+            f"{name} AS MATERIALIZED (SELECT v.grid_id, v.i, v.j, v.k, {sums} FROM ({grid} v CROSS JOIN {box_sql(0, 2)} b) "
+            f"LEFT JOIN {source} s ON s.grid_id = v.grid_id AND s.i = v.i + di - 1 AND s.j = v.j + dj - 1 AND s.k = v.k + dk - 1 GROUP BY 1, 2, 3, 4)"
+        )
+
+    def relu(name: str, source: str, form: str = "{}") -> str:
+        return f"{name} AS MATERIALIZED (SELECT grid_id, i, j, k, {', '.join(f'greatest({form.format(n)}, 0) AS {n}' for n in names)} FROM {source})"
+
+    norm = "({0} - avg({0}) OVER ()) / sqrt(var_pop({0}) OVER () + 1e-5)"
+    low = ", ".join(f"CAST(floor({i} / 2.0) AS INTEGER) AS {i}" for i in IJK)
+    steps = [
+        FEAT_E,
+        f"wide AS MATERIALIZED (SELECT DISTINCT grid_id, i + di AS i, j + dj AS j, k + dk AS k FROM vox, {box_sql(-1, 1)} b)",
+        "x0 AS (SELECT w.*, coalesce(f.f, 0) AS f FROM wide w LEFT JOIN feat f USING (grid_id, i, j, k))",
+        layer("c1", "x0", "wide", ["f"], names), relu("r1", "c1", norm), layer("c2", "r1", "wide", names, names), relu("skip", "c2"),
+        f"low AS MATERIALIZED (SELECT grid_id, i, j, k, {', '.join(f'max({n}) AS {n}' for n in names)} FROM (SELECT grid_id, {low}, {cells} FROM skip) GROUP BY 1, 2, 3, 4)",
+        "half AS (SELECT grid_id, i, j, k FROM low)", layer("c3", "low", "half", names, names), relu("r3", "c3"),
+        f"both_ AS MATERIALIZED (SELECT s.grid_id, s.i, s.j, s.k, {', '.join(f's.{n} + coalesce(r.{n}, 0) AS {n}' for n in names)} FROM skip s LEFT JOIN r3 r ON r.grid_id = s.grid_id AND "
+        + " AND ".join(f"r.{i} = CAST(floor(s.{i} / 2.0) AS INTEGER)" for i in IJK) + ")",
+        layer("c4", "both_", "wide", names, names), relu("r4", "c4"), layer("c5", "r4", "wide", names, ["y"]),
+    ]
+    return f"WITH {', '.join(steps)} SELECT c5.grid_id, c5.i, c5.j, c5.k, {settled('c5.y', 4)} AS y FROM c5 JOIN vox USING (grid_id, i, j, k)"
+
+
+@query(unet_sql())
 def simple_unet(spark, sf):
     w = 4
     k = (3, 3, 3)
