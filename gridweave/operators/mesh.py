@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.functions.spatial import IJK, KEY, with_box
+from gridweave.functions.spatial import IJK, KEY
 
 from .grids import Grids, check_columns, numbered
 
@@ -64,18 +64,22 @@ def marching_cubes(
 ) -> tuple[DataFrame, ...]:
     """The surface where values cross ``level``: vertices ``grid_id, v_id, x, y, z`` and faces ``grid_id, f_id, v0, v1, v2``.
 
-    Only cubes with all eight corners active are used.  Each voxel is dealt to the
-    eight cubes it is a corner of and cubes gather their values in one grouped
-    aggregate.  A vertex lies on an edge between two voxels and is shared by all
+    Only cubes with all eight corners active are used.  They are put together axis
+    by axis: voxels pair with the next one of their line, pairs with pairs, squares
+    with squares, so every voxel crosses the network three times.  A vertex lies on an edge between two voxels and is shared by all
     cubes there; vertices are numbered in order of their edge.  With ``edge_keys``,
     a third table tells each vertex's edge: ``grid_id``, ``v_id`` and the numbers, in the
     whole batch, of the edge's two voxels, ``voxel_a >= voxel_b``.
     """
     f = check_columns(features, *KEY, value).select(*KEY, (F.col(value) - level).alias("_v"))
-    corner = with_box(f, (0, 0, 0), (1, 1, 1), tap="c").select("grid_id", *[(F.col(a) - F.col("d" + a)).alias(a) for a in IJK], "c", "_v")
-    cubes = corner.groupBy(*KEY).agg(F.count("*").alias("_n"), *[F.max(F.when(F.col("c") == c, F.col("_v"))).alias(f"v{c}") for c in range(8)])
-    cubes = cubes.where("_n = 8").withColumn("case", sum(F.when(F.col(f"v{c}") < 0, 1 << c).otherwise(0) for c in range(8)))
-    cubes = cubes.where(F.col("case").between(1, 254)).withColumn("vals", F.array(*[f"v{c}" for c in range(8)]))
+    cubes = f.withColumn("vals", F.array("_v")).drop("_v")
+    for a in reversed(IJK):
+        # with the next voxel along the axis, if it is active: 1, 2, 4, then 8 corners, in order of their numbers
+        line = Window.partitionBy("grid_id", *[c for c in IJK if c != a]).orderBy(a)
+        cubes = cubes.withColumns({"_at": F.lead(a).over(line), "_next": F.lead("vals").over(line)})
+        cubes = cubes.where(F.col("_at") == F.col(a) + 1).select(*KEY, F.concat("vals", "_next").alias("vals"))
+    cubes = cubes.withColumn("case", sum(F.when(F.col("vals")[c] < 0, 1 << c).otherwise(0) for c in range(8)))
+    cubes = cubes.where(F.col("case").between(1, 254))
     spark = features.sparkSession
     rows = [(case, n, *[x for e in t for x in e]) for case, ts in enumerate(case_triangles()) for n, t in enumerate(ts)]
     table = spark.createDataFrame(rows, "case int, t int, " + ", ".join(f"{s}{e} int" for e in range(3) for s in "ab"))
@@ -91,26 +95,26 @@ def marching_cubes(
         return F.struct(out[0].alias("p"), out[1].alias("q")).alias(f"e{e}")
 
     tri = tri.select(*KEY, "t", *[ends(e) for e in range(3)])
-    edge = tri.select("grid_id", F.explode(F.array("e0", "e1", "e2")).alias("e"))
-    cols = [F.col(f"e.{s}.{a}").alias(s + a) for s in "pq" for a in IJK]
-    edge = edge.select("grid_id", *cols, F.col("e.p.v").alias("pv"), F.col("e.q.v").alias("qv")).distinct()
+    key = ["pi", "pj", "pk", "qi", "qj", "qk"]
+    cols = [F.col(f"x.{s}.{a}").alias(s + a) for s in "pq" for a in IJK]
+    corner = tri.select(*KEY, "t", F.posexplode(F.array("e0", "e1", "e2")).alias("e", "x")).select(*KEY, "t", "e", *cols, F.col("x.p.v").alias("pv"), F.col("x.q.v").alias("qv"))
+    # vertices are numbered where triangles name them, slab by slab
+    corner = corner.withColumn("_r", F.dense_rank().over(Window.partitionBy("grid_id", "pi").orderBy(*key[1:])))
+    slabs = corner.groupBy("grid_id", "pi").agg(F.max("_r").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("grid_id").orderBy("pi").rowsBetween(Window.unboundedPreceding, -1))
+    slabs = slabs.select("grid_id", "pi", F.coalesce(before, F.lit(0)).alias("_before"))
+    corner = corner.join(slabs, ["grid_id", "pi"]).withColumn("v_id", (F.col("_before") + F.col("_r") - 1).cast("long"))
+    vert = corner.groupBy("grid_id", "v_id").agg(*[F.first(c).alias(c) for c in (*key, "pv", "qv")])
     w2 = (
         F.when(F.abs("pv") < SNAP, 0.0).when(F.abs("qv") < SNAP, 1.0).when(F.abs(F.col("pv") - F.col("qv")) < SNAP, 0.0)
         .otherwise(-F.col("pv") / F.when(F.col("pv") != F.col("qv"), F.col("qv") - F.col("pv")))
     )
-    key = ["pi", "pj", "pk", "qi", "qj", "qk"]
-    vert = numbered(edge.withColumn("w", w2), "pi", key[1:], "v_id")
-    vert = vert.withColumns({n: F.col("p" + a) * (1 - F.col("w")) + F.col("q" + a) * F.col("w") for n, a in zip("xyz", IJK)})
-    ids = vert.select("grid_id", *key, "v_id")
-    faces = tri
-    for e in range(3):
-        own = ids.select("grid_id", *[F.col(n).alias(f"k{e}{n}") for n in key], F.col("v_id").alias(f"u{e}"))
-        faces = faces.withColumns({f"k{e}{s}{a}": F.col(f"e{e}.{s}.{a}") for s in "pq" for a in IJK}).join(own, ["grid_id", *[f"k{e}{n}" for n in key]])
-    faces = numbered(faces.select(*KEY, "t", "u0", "u1", "u2"), "i", ["j", "k", "t"], "f_id")
-    faces = faces.select("grid_id", "f_id", *[F.col(f"u{e}").alias(f"v{e}") for e in range(3)])
+    vert = vert.withColumn("w", w2).withColumns({n: F.col("p" + a) * (1 - F.col("w")) + F.col("q" + a) * F.col("w") for n, a in zip("xyz", IJK)})
+    faces = corner.groupBy(*KEY, "t").agg(*[F.max(F.when(F.col("e") == e, F.col("v_id"))).alias(f"v{e}") for e in range(3)])
+    faces = numbered(faces, "i", ["j", "k", "t"], "f_id").select("grid_id", "f_id", "v0", "v1", "v2")
     out = vert.select("grid_id", "v_id", "x", "y", "z")
     out = g.voxel_to_world(out, ("x", "y", "z")) if world else out
-    return (out, faces, _edge_keys(g, ids)) if edge_keys else (out, faces)
+    return (out, faces, _edge_keys(g, vert.select("grid_id", "v_id", *key))) if edge_keys else (out, faces)
 
 
 def _edge_keys(g: Grids, ids: DataFrame) -> DataFrame:

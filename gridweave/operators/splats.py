@@ -292,7 +292,7 @@ def harmonics(x: Column, y: Column, z: Column, degree: int) -> list[Column]:
             a = abs(m)
             norm = math.sqrt((2 * n + 1) / (4 * math.pi) * math.factorial(n - a) / math.factorial(n + a)) * (math.sqrt(2) if m else 1) * (-1) ** a
             out.append(legendre[n, a] * (sin[a] if m < 0 else cos[a]) * norm)
-    return out
+    return [F.lit(b) if isinstance(b, float) and isinstance(x, Column) else b for b in out]
 
 
 def evaluate_harmonics(rows: DataFrame, degree: int, coefficients: str = "sh", out: str = "color") -> DataFrame:
@@ -303,7 +303,7 @@ def evaluate_harmonics(rows: DataFrame, degree: int, coefficients: str = "sh", o
     check_columns(rows, "vx", "vy", "vz", coefficients)
     n = F.sqrt(F.expr("vx * vx + vy * vy + vz * vz"))
     r = rows.withColumns({f"_{a}": F.col("v" + a) / n for a in "xyz"})
-    basis = F.array(*[F.lit(b) if isinstance(b, float) else b for b in harmonics(F.col("_x"), F.col("_y"), F.col("_z"), degree)])
+    basis = F.array(*harmonics(F.col("_x"), F.col("_y"), F.col("_z"), degree))
     r = r.withColumn("_b", basis)
     dot = lambda c: F.aggregate(F.zip_with(c, F.col("_b"), lambda a, b: a * b), F.lit(0.5), lambda s, x: s + x)
     seen = F.lit(True)
