@@ -315,10 +315,20 @@ def uniform_ray_samples_ends(spark, sf):
     return s.withColumns({"t0": settle(F.col("t0")), "t1": settle(F.col("t1"))})
 
 
-@query()
+#: A step at a time: ``on`` tells whether the walk is inside segment ``n``, at time ``t`` with the next step's length.
+CONE = (
+    f"{SEGS}, w(grid_id, ray_id, n, t, size, \"on\", x0, x1) AS (SELECT grid_id, ray_id, 1, 0.0::DOUBLE, 0.01::DOUBLE, false, NULL::DOUBLE, NULL::DOUBLE FROM segs WHERE s = 1 UNION ALL "
+    "SELECT grid_id, ray_id, CASE WHEN (\"on\" AND t + size >= b) OR (NOT \"on\" AND first > b) THEN n + 1 ELSE n END, CASE WHEN NOT \"on\" THEN first WHEN t + size < b THEN t + size ELSE t END, "
+    "CASE WHEN \"on\" AND t + size < b THEN greatest((t + size) * 0.005::DOUBLE, 0.01::DOUBLE) ELSE size END, CASE WHEN \"on\" THEN t + size < b ELSE first <= b END, "
+    "CASE WHEN NOT \"on\" THEN a ELSE t END, CASE WHEN NOT \"on\" THEN least(first, b) ELSE least(t + size, b) END "
+    "FROM (SELECT w.*, g.t0 AS a, g.t1 AS b, w.t + ceil((g.t0 - w.t) / w.size) * w.size AS first FROM w JOIN segs g ON g.grid_id = w.grid_id AND g.ray_id = w.ray_id AND g.s = w.n))"
+)
+
+
+@query(f"WITH RECURSIVE {CONE} SELECT grid_id, ray_id, {settled('x0', 5)} AS t0, {settled('x1', 5)} AS t1 FROM w WHERE x1 - x0 > 1e-9")
 def cone_ray_samples(spark, sf):
     s = rays.uniform_ray_samples(every_ray(spark, sf), emb_grid(spark, sf), 0.01, cone_angle=0.005)
-    return s.withColumns({"t0": settle(F.col("t0")), "t1": settle(F.col("t1"))})
+    return s.withColumns({"t0": settle(F.col("t0"), 5), "t1": settle(F.col("t1"), 5)})
 
 
 SIGNED = f"signed AS (SELECT *, {'((((i * 7 + j * 13 + k * 29) % 17) + 17) % 17) / 4.0::DOUBLE'} - 2 AS f FROM vox)"
