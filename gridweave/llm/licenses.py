@@ -354,3 +354,34 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         join(F.array_union("base", F.coalesce("more", none))).alias("labels"),
         F.greatest(F.coalesce("weight", F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)).alias("score"),
     )
+
+
+def scan_sql() -> str:
+    """The definition, every rule tried on every text: words stand between two spaces, so neighbouring matches don't meet."""
+
+    def spaced(regex: str) -> str:
+        inner = regex.removeprefix("(?<= )").removesuffix("(?= )")
+        return " " + inner.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?") + " "
+
+    table = ", ".join(f"({i}, {p}, {s}::DOUBLE, '{label}', '{spaced(regex)}')" for i, p, s, label, _, _, regex in rules())
+    phrase = lambda p: " AND ".join(f"words[n + {k}] = '{w}'" for k, w in enumerate(p.split(), 1))
+    base = " ".join(f"WHEN {phrase(p)} THEN '{label}'" for p, label in BASE.items())
+    return f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{GAP_REGEX}'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT doc_id, words, ' ' || array_to_string(words, '  ') || ' ' AS w FROM d),
+rules(rule, priority, weight, label, regex) AS (VALUES {table}),
+b AS (SELECT doc_id, n, CASE {base} END AS label FROM (SELECT doc_id, words, unnest(range(len(words))) AS n FROM d)),
+places AS (SELECT doc_id, count(*) AS n_base, min(n) AS first_word, max(n) AS last_word, list(DISTINCT label) AS base FROM b WHERE label IS NOT NULL GROUP BY 1),
+m AS (SELECT doc_id, rule, priority, weight, label, regexp_extract_all(w, regex) AS found, string_split_regex(w, regex) AS gaps FROM w, rules WHERE regexp_matches(w, regex)),
+s AS (SELECT *, unnest(range(1, len(found) + 1)) AS nth FROM m),
+spans AS (SELECT doc_id, rule, priority, weight, label, CAST(list_sum(list_transform(gaps[1:nth], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:nth - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(found[nth]) AS size FROM s),
+e AS (SELECT *, a + size AS z FROM spans),
+kept AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.doc_id = e.doc_id AND o.a <= e.a AND o.z >= e.z AND o.priority <= e.priority AND (o.a, -o.z, o.priority, o.rule) < (e.a, -e.z, e.priority, e.rule))),
+told AS (SELECT doc_id, list(DISTINCT label) AS more, max(weight) AS weight FROM kept GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(p.n_base, 0) AS n_base, p.first_word, p.last_word, coalesce(array_to_string(list_sort(p.base), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(p.base, t.more))), ','), '') AS labels, greatest(coalesce(t.weight, 0), CASE WHEN p.n_base > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
+FROM d LEFT JOIN places p USING (doc_id) LEFT JOIN told t USING (doc_id)
+"""
+
+
+SQL = scan_sql()

@@ -53,6 +53,7 @@ QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_chat_format, op3_qualit
 ORACLES = {
     "op1_suffix_array": substrings.SQL,
     "op2_chat_format": chat.SQL,
+    "op6_licenses": licenses.SQL,
     "op7_exact_dedup": exact.SQL,
     "op8_embeddings": embeddings.SQL,
     "op10_mix_sources": mixing.SQL,
