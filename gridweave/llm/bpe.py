@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import few_rows, id_text
 
 #: The vocabulary used by the query, by its name among the public tokenizer files.
 VOCABULARY = "word_bpe_49k.json"
@@ -249,7 +249,7 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(name or vocabulary_path())
-        for b in batches:
+        for b in few_rows(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             n, ids, out = zip(*_digests(bpe, texts)) if texts else ((), (), ())
             yield pa.RecordBatch.from_arrays(

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, rows_of, text_digest
+from .common import few_rows, id_text, rows_of, text_digest
 
 #: Bounds of the fitting sample, the only rows a model is learned from: documents, and bytes of each; a longer text
 #: gives this many pieces, spread over all of it.
@@ -264,7 +264,7 @@ def _quality(docs: DataFrame, labels: DataFrame, texts: DataFrame, schema: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net.prepare()
         m = QualityModel(net, mix)
-        for b in batches:
+        for b in few_rows(batches):
             texts, score = _bytes(b.column(1)), [np.empty(0)]
             for a, z in _batches(texts):
                 score.append(m.scores(texts[a:z]))
@@ -321,7 +321,7 @@ def language_ids(docs: DataFrame, rows: int = FIT_ROWS, most: int = FIT_BYTES) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net.prepare()
         names = np.array(langs, object)
-        for b in batches:
+        for b in few_rows(batches):
             texts = _bytes(b.column(1))
             lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             lettered = np.array([has_letter(t.decode()) for t in texts], bool)

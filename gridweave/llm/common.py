@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,13 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts at a time are Python objects."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), rows):
+            yield b.slice(at, rows)
+
+
 def _at(spark: SparkSession, path: str) -> tuple:
     """A path's file system and the path, as Hadoop has them."""
     sc = spark.sparkContext

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, connected_components, id_text, learn, rows_of, text_digest, written
+from .common import LAST_ID, connected_components, few_rows, id_text, learn, rows_of, text_digest, written
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 #: Shingles hashed at once, and fingerprints joined at once.
@@ -49,7 +49,7 @@ def simhash(text: str | None, size: int = SHINGLE_WORDS) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in few_rows(batches):
         prints = np.fromiter((simhash(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
         rest = b.schema.names[2:]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *rest])
