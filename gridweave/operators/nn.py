@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +88,21 @@ class SparseConv3d:
         return plan.target, plan.execute(x, self.weights, values, out, self.bias)
 
 
+@dataclass(frozen=True)
+class WideConv3d:
+    """A convolution layer over array channels: ``weights`` by tap, input and output channel."""
+
+    weights: np.ndarray
+    kernel: tuple
+    stride: tuple = (1, 1, 1)
+    bias: tuple | None = None
+    transposed: bool = False
+
+    def __call__(self, g: Grids, x: DataFrame, value: str = "x", out: str = "y", target: Grids | None = None) -> tuple[Grids, DataFrame]:
+        plan = ConvPlan.build(g, self.kernel, self.stride, target, self.transposed, keep=False)
+        return plan.target, plan.execute_arrays(x, self.weights, value, out, self.bias)
+
+
 @dataclass(frozen=True)
 class SimpleUNet:
     """Pad, convolve, pool, convolve, upsample, join the skipped features, convolve, drop the padding.
@@ -121,4 +137,4 @@ class SimpleUNet:
         return y.join(g.voxels, KEY, "left_semi")
 
 
-__all__ = ["SimpleUNet", "SparseConv3d", "avg_pool", "batch_norm", "group_norm", "max_pool", "refine", "relu"]
+__all__ = ["SimpleUNet", "SparseConv3d", "WideConv3d", "avg_pool", "batch_norm", "group_norm", "max_pool", "refine", "relu"]

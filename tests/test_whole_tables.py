@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweave.api import Grid, GridBatch, JaggedFrame
-from gridweave.operators import conv, jagged, metrics, splat_grads, splats
+from gridweave.operators import conv, jagged, metrics, nn, splat_grads, splats
 from gridweave.operators.grids import shared_grids
 from gridweave.plans import catalog
 from gridweave.plans.base import line_grid
@@ -191,6 +191,23 @@ def test_many_channels_in_time(spark):
     assert time.perf_counter() - began < 60
 
 
+@pytest.mark.parametrize("transposed", [False, True])
+def test_layers_over_columns_and_arrays_agree(spark, transposed):
+    """The same layer with its channels as columns and as arrays, forward and transposed."""
+    rng = np.random.default_rng(5)
+    cells = {tuple(c) for c in rng.integers(-3, 4, (40, 3)).tolist()}
+    g = shared_grids(spark.createDataFrame([(0,)], "grid_id int"), spark.createDataFrame([(0, *c) for c in cells], "grid_id int, i int, j int, k int"))
+    w, bias = rng.normal(size=(27, 2, 3)), (0.5, -1.0, 0.0)
+    x = spark.createDataFrame([(0, *c, *rng.normal(size=2).tolist()) for c in cells], "grid_id int, i int, j int, k int, a double, b double")
+    rows = spark.createDataFrame([(int(t), int(a), int(b), float(w[t, a, b])) for t, a, b in np.ndindex(w.shape)], "tap int, ci int, co int, w double")
+    to, y = nn.SparseConv3d(rows, (3, 3, 3), (2, 2, 2), bias, transposed)(g, x, ("a", "b"), ("p", "q", "r"))
+    wide, z = nn.WideConv3d(w, (3, 3, 3), (2, 2, 2), bias, transposed)(g, x.withColumn("x", F.array("a", "b")))
+    want = {tuple(r)[:4]: tuple(r)[4:] for r in y.collect()}
+    got = {tuple(r)[:4]: r.y for r in z.collect()}
+    assert set(got) == set(want) and len(got) == to.voxels.count() == wide.voxels.count()
+    assert all(np.allclose(got[k], want[k]) for k in want)
+
+
 def test_plan_policies(spark, monkeypatch):
     g = shared_grids(spark.createDataFrame([(0,)], "grid_id int"), spark.createDataFrame([(0, 0, 0, 0), (0, 5, 0, 0)], "grid_id int, i int, j int, k int"))
     far = g.with_voxels(spark.createDataFrame([(0, 0, 0, 0), (0, 100, 0, 0)], "grid_id int, i int, j int, k int"))
