@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ VOXEL_SCHEMA = "grid_id int, i int, j int, k int"
 MAX_LISTED = 1024
 #: Neighbouring ids that are summed together in running sums.
 SLAB_BITS = 12
+#: Rows that a task sorts or holds, where their number is known.
+ROWS_A_TASK = 1 << 20
 
 
 def check_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -26,6 +29,20 @@ def check_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def meet(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join of two tables that grow with the input, by a shuffle.
+
+    Spark takes a table for about as large as the file it was made from, however many
+    voxels or pixels were made of each row, so left to itself it would broadcast them.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
+def tasks_for(df: DataFrame, rows: float) -> int:
+    """As many tasks as leave about ``ROWS_A_TASK`` rows to each, and no fewer than the session's own number."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_A_TASK))
+
+
 def numbered(df: DataFrame, slab: str, order: Sequence[str], name: str) -> DataFrame:
     """Rows numbered from 0 within their grid, in order of ``slab`` and then ``order``.
 
@@ -36,7 +53,7 @@ def numbered(df: DataFrame, slab: str, order: Sequence[str], name: str) -> DataF
     before = Window.partitionBy("grid_id").orderBy(slab).rowsBetween(Window.unboundedPreceding, -1)
     n = n.select("grid_id", slab, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("grid_id", slab).orderBy(*order))
-    out = df.withColumn("_rank", rank).join(n, ["grid_id", slab])
+    out = meet(df.withColumn("_rank", rank), n, ["grid_id", slab])
     return out.withColumn(name, (F.col("_before") + F.col("_rank") - 1).cast("long")).select(*df.columns, name)
 
 

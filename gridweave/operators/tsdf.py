@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridweave.functions.spatial import IJK, KEY
 
 from .build import from_points
-from .grids import MAX_LISTED, Grids, check_columns
+from .grids import MAX_LISTED, Grids, check_columns, meet
 from .topology import dilated_grid, merged_grid
 
 #: The most voxels that new points are padded by.
@@ -92,9 +92,9 @@ def integrate_tsdf(
     px = pixels.where(F.col("u").between(0, size[0] - 1) & F.col("v").between(0, size[1] - 1)).select(
         "grid_id", F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("depth").alias("pd"), weight.alias("pw"), *[F.col(c).alias("p_" + c) for c in channels]
     )
-    v = v.join(px, ["grid_id", "pu", "pv"], "left")
+    v = meet(v, px, ["grid_id", "pu", "pv"], "left")
     old = check_columns(state, *KEY, "tsdf", "weight", *channels).select(*KEY, F.col("tsdf").alias("_t"), F.col("weight").alias("_w"), *[F.col(c).alias("o_" + c) for c in channels])
-    v = v.join(old, KEY, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("_t", "_w", *["o_" + c for c in channels])})
+    v = meet(v, old, KEY, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("_t", "_w", *["o_" + c for c in channels])})
     gap = F.col("pd") - F.col("cz")
     update = F.coalesce((gap > -truncation) & (F.col("pw") > 0), F.lit(False))
     total = F.col("_w") + F.col("pw")
