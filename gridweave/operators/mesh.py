@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.spatial import IJK, KEY
 
-from .grids import Grids, check_columns, numbered
+from .grids import Grids, check_columns, meet, numbered
 
 #: Values closer than this to the level, or to each other, snap to a corner.
 SNAP = 1e-5
@@ -103,7 +103,7 @@ def marching_cubes(
     slabs = corner.groupBy("grid_id", "pi").agg(F.max("_r").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("grid_id").orderBy("pi").rowsBetween(Window.unboundedPreceding, -1))
     slabs = slabs.select("grid_id", "pi", F.coalesce(before, F.lit(0)).alias("_before"))
-    corner = corner.join(slabs, ["grid_id", "pi"]).withColumn("v_id", (F.col("_before") + F.col("_r") - 1).cast("long"))
+    corner = meet(corner, slabs, ["grid_id", "pi"]).withColumn("v_id", (F.col("_before") + F.col("_r") - 1).cast("long"))
     vert = corner.groupBy("grid_id", "v_id").agg(*[F.first(c).alias(c) for c in (*key, "pv", "qv")])
     w2 = (
         F.when(F.abs("pv") < SNAP, 0.0).when(F.abs("qv") < SNAP, 1.0).when(F.abs(F.col("pv") - F.col("qv")) < SNAP, 0.0)
@@ -119,9 +119,9 @@ def marching_cubes(
 
 def _edge_keys(g: Grids, ids: DataFrame) -> DataFrame:
     """For each vertex the batch-wide numbers of the two voxels its edge joins, the larger first."""
-    number = g.indexed().join(g.offsets().select("grid_id", "joffset"), "grid_id")
+    number = meet(g.indexed(), g.offsets().select("grid_id", "joffset"), ["grid_id"])
     number = number.select(*KEY, (F.col("idx") + F.col("joffset")).alias("n"))
     for s in "pq":
         own = number.select("grid_id", *[F.col(a).alias(s + a) for a in IJK], F.col("n").alias("n" + s))
-        ids = ids.join(own, ["grid_id", *[s + a for a in IJK]])
+        ids = meet(ids, own, ["grid_id", *[s + a for a in IJK]])
     return ids.select("grid_id", "v_id", F.greatest("np", "nq").alias("voxel_a"), F.least("np", "nq").alias("voxel_b"))
