@@ -1,4 +1,4 @@
-"""Signed distances from signed fields: upwind redistancing on blocks with halos."""
+"""Signed distances from signed fields: upwind redistancing of whole grids, or on blocks with halos."""
 
 from __future__ import annotations
 
@@ -11,12 +11,14 @@ from gridweave.functions.spatial import IJK, KEY
 
 from gridweave.sources.shared import written
 
-from .grids import Grids, check_columns
+from .grids import Grids, check_columns, meet, tasks_for
 from .pool import inject
 from .topology import dilated_grid, pruned_grid
 
 #: Side of the blocks that are solved by themselves, and sweeps taken between exchanges of their borders.
 BLOCK, SWEEPS = 32, 3
+#: Grids of at most so many voxels are solved whole, and about so many voxels at a time.
+WHOLE, GATHERED = 1 << 17, 1 << 16
 #: The step in time, what keeps the sign's root from zero, the smoothing factors (Taubin's pair, mean
 #: curvature), sweeps for each voxel of the band and besides, sweeps after smoothing at least, and the share of the
 #: band within which voxels are kept.
@@ -99,6 +101,53 @@ def _by_blocks(state: DataFrame, halo: int, solve) -> DataFrame:
     return state.groupBy(*names).applyInArrow(run, STATE)
 
 
+def _steps(x: np.ndarray, grid: np.ndarray | None = None) -> np.ndarray:
+    """Coordinates numbered closely: neighbours stay one apart, gaps shrink to two, and so do steps between grids."""
+    order = np.argsort(x, kind="stable") if grid is None else np.lexsort((x, grid))
+    step = np.minimum(np.diff(x[order].astype(np.int64), prepend=x[order[:1]]), 2)
+    if grid is not None:
+        step[1:][np.diff(grid[order]) != 0] = 2
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(step)
+    return out
+
+
+def _by_grids(state: DataFrame, rows: float, solve) -> DataFrame:
+    """Run ``solve(phi, near)`` on whole grids of at most ``WHOLE`` voxels, many at a time: one shuffle whatever it does."""
+
+    def solved(t: pa.Table):
+        t = t.combine_chunks()
+        grid, i, j, k = (t.column(c).to_numpy() for c in KEY)
+        phi = solve(t.column("phi").to_numpy().copy(), _neighbours(_steps(i, grid), _steps(j), _steps(k)))
+        return pa.table([*(t.column(c) for c in KEY), pa.array(phi)], names=[*KEY, "phi"]).to_batches()
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, b], n + b.num_rows
+            if n < GATHERED:
+                continue
+            t = pa.Table.from_batches(held)
+            ids = t.column("grid_id").to_numpy()
+            whole = int(np.searchsorted(ids, ids[-1]))  # the last grid may go on
+            if whole:
+                yield from solved(t.slice(0, whole))
+            held = t.slice(whole).to_batches()
+            n = t.num_rows - whole
+        if n:
+            yield from solved(pa.Table.from_batches(held))
+
+    dealt = state.select(*KEY, "phi").repartition(tasks_for(state, rows), "grid_id").sortWithinPartitions("grid_id")
+    return dealt.mapInArrow(run, "grid_id int, i int, j int, k int, phi double")
+
+
+def _sizes(g: Grids, pad: int) -> DataFrame:
+    """At least as many voxels as each grid has when padded: those of its box, or a cube for each voxel."""
+    cells = [F.max(a).cast("double") - F.min(a) + float(1 + 2 * pad) for a in IJK]
+    n = F.count("*") * float((2 * pad + 1) ** 3)
+    return g.voxels.groupBy("grid_id").agg(F.least(n, cells[0] * cells[1] * cells[2]).alias("size"))
+
+
 def _redistance(state: DataFrame, w: float, band: float, order: int, sweeps: int) -> DataFrame:
     left, start, mine = sweeps, True, None
     while left > 0:
@@ -123,33 +172,55 @@ def reinitialize_sdf(
 
     All grids share one cubic voxel size.  Voxels outside count as the band's full
     width.  ``smooth`` passes of averaging (by mean curvature, or Taubin's pairs
-    that keep volume) are followed by more sweeps.  Blocks are solved in Arrow
-    functions for a few sweeps at a time, with halos as wide as information moves
-    meanwhile, so results don't depend on the blocks.
+    that keep volume) are followed by more sweeps.  Grids of at most ``WHOLE`` voxels
+    are solved whole in Arrow functions, many at a time.  Larger ones are cut into blocks, which
+    are solved for a few sweeps at a time, with halos as wide as information moves
+    meanwhile, so results depend on neither.
     """
     if g.shared is None or len(set(g.shared[0])) != 1:
         raise ValueError("one cubic voxel size is needed")
     if order not in (1, 2, 3) or band < 1:
         raise ValueError("order must be 1, 2 or 3 and the band at least 1")
+    state = meet(check_columns(features, *KEY, value), g.voxels, KEY, "left_semi")
+    return _distances(g, state, _sizes(g, 0), value, band, smooth, order, taubin, sweeps)
+
+
+def _distances(g: Grids, state: DataFrame, sizes: DataFrame, value: str, band: int, smooth: int, order: int, taubin: bool, sweeps: int) -> DataFrame:
     w = float(g.shared[0][0])
     width = band * w
     x = F.greatest(F.least(F.col(value).cast("double"), F.lit(width)), F.lit(-width))
-    state = check_columns(features, *KEY, value).join(g.voxels, KEY, "left_semi")
     state = state.select(*KEY, x.alias("phi"), F.lit(0.0).alias("sgn"))
-    state = _redistance(state, w, width, order, sweeps if sweeps > 0 else max(6, int(PER_BAND * band + 0.5) + BESIDES))
-    if smooth:
-        passes = list(TAUBIN) * smooth if taubin else [MEAN] * smooth
-        for at in range(0, len(passes), BLOCK // 4):
-            part = passes[at : at + BLOCK // 4]
+    sweeps = sweeps if sweeps > 0 else max(6, int(PER_BAND * band + 0.5) + BESIDES)
+    passes = (list(TAUBIN) * smooth if taubin else [MEAN] * smooth) if smooth else []
+    again = max(LEAST, smooth)
 
-            def average(phi, sgn, near, part=part):
-                for c in part:
-                    phi = phi + c * (_faces(phi, near, width).mean(0) - phi)
-                return phi, sgn
+    def whole(phi, near):
+        for n, smoothed in ((sweeps, passes), (again, ())) if passes else ((sweeps, ()),):
+            sgn = frozen_sign(phi, near, w, width)
+            for _ in range(n):
+                phi = sweep(phi, sgn, near, w, width, order)
+            for c in smoothed:
+                phi = phi + c * (_faces(phi, near, width).mean(0) - phi)
+        return phi
+
+    rows, most = sizes.agg(F.sum("size"), F.max("size")).first()
+    if (most or 0) <= WHOLE:
+        return _by_grids(state, rows or 0, whole).select(*KEY, F.col("phi").alias(value))
+    large = sizes.where(F.col("size") > WHOLE).select("grid_id")
+    small = _by_grids(meet(state, large, ["grid_id"], "left_anti"), rows, whole)
+    state = _redistance(meet(state, large, ["grid_id"], "left_semi"), w, width, order, sweeps)
+    for at in range(0, len(passes), BLOCK // 4):
+        part = passes[at : at + BLOCK // 4]
+
+        def average(phi, sgn, near, part=part):
+            for c in part:
+                phi = phi + c * (_faces(phi, near, width).mean(0) - phi)
+            return phi, sgn
 
-            state = written(_by_blocks(state, len(part), average), state)
-        state = _redistance(state, w, width, order, max(LEAST, smooth))
-    return state.select(*KEY, F.col("phi").alias(value))
+        state = written(_by_blocks(state, len(part), average), state)
+    if passes:
+        state = _redistance(state, w, width, order, again)
+    return state.select(*KEY, "phi").unionByName(small).withColumnRenamed("phi", value)
 
 
 def retopologize_sdf(
@@ -159,9 +230,11 @@ def retopologize_sdf(
     """A clean narrow band: pad by the band, redistance, and keep voxels strictly within it."""
     width = band * float(g.shared[0][0])
     if pad:
-        wide = dilated_grid(g, band)
-        features, g = inject(wide, features, default=width, values=(value,)), wide
-    phi = reinitialize_sdf(g, features, value, band, smooth, order, taubin, sweeps)
+        sizes, wide = _sizes(g, band), dilated_grid(g, band)
+        state, g = inject(wide, features, default=width, values=(value,)), wide
+        phi = _distances(g, state, sizes, value, band, smooth, order, taubin, sweeps)
+    else:
+        phi = reinitialize_sdf(g, features, value, band, smooth, order, taubin, sweeps)
     if not prune:
         return g, phi
     kept = phi.where(F.abs(value) < width * KEPT)

@@ -1,5 +1,6 @@
 import itertools
 import math
+import re
 import subprocess
 import sys
 
@@ -311,6 +312,32 @@ def test_sdf_of_a_plane_and_blocks(spark, monkeypatch):
     assert all(abs(r.f) < 1.5 * 0.999 for r in phi.collect()) and band.voxels.count() == phi.count()
 
 
+def test_sdf_of_whole_grids_equals_blocks(spark, monkeypatch):
+    cells = [(g, i + 3 * g, j, k - g) for g in (0, 1, 4) for i, j, k in itertools.product(range(-4, 6), range(-3, 4), range(-3, 4)) if (i + j * k) % 5 or g == 1]
+    cells += [(7, 2**31 - 1, -(2**31), 5), (7, -(2**31), 2**31 - 1, 5)]
+    f = spark.createDataFrame([(*c, ((c[1] * 7 + c[2] * 5 + c[3] * 3) % 11 - 5) / 3.0) for c in cells], "grid_id int, i int, j int, k int, f double")
+    g = build.from_ijk(f, 0.5)
+    monkeypatch.setattr(sdf, "written", lambda *a: pytest.fail("grids of this size need no blocks"))
+    whole = {tuple(r)[:4]: r.f for r in sdf.reinitialize_sdf(g, f, smooth=2, taubin=True, sweeps=4).collect()}
+    assert len(whole) == len(cells)
+    monkeypatch.undo()
+    g, f, small = g.with_voxels(g.voxels.where("grid_id < 7")), f.where("grid_id < 7"), 400
+    monkeypatch.setattr(sdf, "BLOCK", 4)
+    monkeypatch.setattr(sdf, "WHOLE", small)  # one grid has more
+    assert sorted(r["count"] > small for r in f.groupBy("grid_id").count().collect()) == [False, False, True]
+    blocks = {tuple(r)[:4]: r.f for r in sdf.reinitialize_sdf(g, f, smooth=2, taubin=True, sweeps=4).collect()}
+    assert len(blocks) == len(cells) - 2 and all(whole[c] == pytest.approx(v, abs=1e-12) for c, v in blocks.items())
+
+
+def test_tables_made_of_few_rows_are_not_broadcast(spark):
+    from gridweave.plans import catalog
+
+    for name in ("integrate_tsdf", "integrate_tsdf_with_features", "vertex_edge_keys", "reinitialize_sdf", "retopologize_sdf"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        wide = [r for r in plan.splitlines() if "BroadcastHashJoin" in r and re.search(r"\[(grid_id|pi|pj|i)#\d+, ", r)]
+        assert not wide, (name, wide)
+
+
 def test_tsdf_weighted_mean(spark):
     g = grid(spark, [(0, 0, 2)])
     state = spark.createDataFrame([(0, 0, 0, 2, 0.0, 1.0)], "grid_id int, i int, j int, k int, tsdf double, weight double")
