@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.spatial import IJK, KEY, floor_div, triple, with_box
 
-from .grids import Grids, check_columns
+from .grids import Grids, check_columns, meet
 from .topology import coarsened_grid, refined_grid
 
 
@@ -97,9 +97,9 @@ def refine_adjoint(g: Grids, grads: DataFrame, factor, grad: str = "g") -> DataF
 def inject(dst: Grids, src: DataFrame, old: DataFrame | None = None, default: float = 0.0, values=("f",)) -> DataFrame:
     """Values of ``src`` where keys match, else those of ``old``, else the default, for every voxel of ``dst``."""
     s = check_columns(src, *KEY, *values).select(*KEY, *[F.col(v).alias("_n" + v) for v in values], F.lit(True).alias("_hit"))
-    out = dst.voxels.join(s, KEY, "left")
+    out = meet(dst.voxels, s, KEY, "left")
     if old is not None:
-        out = out.join(old.select(*KEY, *[F.col(v).alias("_o" + v) for v in values]), KEY, "left")
+        out = meet(out, old.select(*KEY, *[F.col(v).alias("_o" + v) for v in values]), KEY, "left")
     rest = lambda v: F.coalesce("_o" + v, F.lit(default)) if old is not None else F.lit(default)
     return out.select(*KEY, *[F.when(F.col("_hit"), F.col("_n" + v)).otherwise(rest(v)).alias(v) for v in values])
 
