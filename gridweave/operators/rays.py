@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.spatial import IJK, KEY, TRANSFORM
 
-from .grids import Grids, check_columns
+from .grids import Grids, check_columns, meet, tasks_for
 
 RAY = ["grid_id", "ray_id"]
 #: Side of the blocks that are looked up before voxels, and the shortest piece of a sample that counts.
@@ -285,7 +285,9 @@ def volume_render(samples: DataFrame, channels: Sequence[str], threshold: float
 
 def volume_render_adjoint(samples: DataFrame, grads: DataFrame, channels: Sequence[str], threshold: float = 0.0, group: Sequence[str] = RAY, order: str = "s") -> DataFrame:
     """Gradients of ``sigma`` (``g_sigma``) and of the channels from those of the rendered channels (``g_`` + name)."""
-    w = _weighted(samples, threshold, group, order).join(grads, list(group))
+    # both sides are dealt by ray, over tasks in proportion to the samples: neither the windows nor the join shuffle again
+    n = tasks_for(samples, samples.count())
+    w = meet(_weighted(samples.repartition(n, *group), threshold, group, order), grads.repartition(n, *group), list(group))
     dot = sum((F.col("g_" + c) * F.col(c) for c in channels), F.lit(0.0))
     w = w.withColumn("_d", dot)
     after = Window.partitionBy(*group).orderBy(order).rowsBetween(1, Window.unboundedFollowing)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridweave.functions import elementwise as el
 from gridweave.functions.spatial import IJK, KEY, settle, with_box
 from gridweave.operators import jagged, mesh, metrics, rays, sdf, splat_grads, splats, tsdf
-from gridweave.operators.grids import Grids, shared_grids
+from gridweave.operators.grids import Grids, shared_grids, tasks_for
 
 from .base import FEAT_E, VOX_E, box_sql, emb_grid, feature, query, settled, table
 
@@ -354,6 +354,7 @@ SAMPLES = (
 
 def samples(spark, sf):
     n = table(spark, sf, "lineitem")
+    n = n.repartition(tasks_for(n, n.count()), "l_orderkey")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     return n.select(
         F.lit(0).alias("grid_id"), F.col("l_orderkey").alias("ray_id"), F.row_number().over(w).alias("s"), (F.col("l_quantity") / 20).alias("sigma"), F.lit(0.5).alias("dt"),

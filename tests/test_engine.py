@@ -276,6 +276,14 @@ def test_compositing(spark):
         assert (rays.volume_render(up, ("c",)).first().c - out.c) / h == pytest.approx(got[n], abs=1e-4)
 
 
+def test_tasks_grow_with_the_samples(spark, monkeypatch):
+    monkeypatch.setattr("gridweave.operators.grids.ROWS_A_TASK", 10)
+    s = spark.range(300).selectExpr("0 AS grid_id", "id div 6 AS ray_id", "id % 6 AS s", "1D AS sigma", "0.5D AS dt", "1D AS t", "1D AS c")
+    grads = s.select("grid_id", "ray_id").distinct().withColumn("g_c", F.lit(1.0))
+    out = rays.volume_render_adjoint(s, grads, ("c",))
+    assert "30), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString() and out.count() == 300
+
+
 # -- surfaces ---------------------------------------------------------------------------------
 
 
