@@ -11,14 +11,12 @@ from gridweave.functions.spatial import IJK, KEY
 
 from gridweave.sources.shared import written
 
-from .grids import Grids, check_columns, meet, tasks_for
+from .grids import WHOLE, Grids, by_grids, check_columns, meet
 from .pool import inject
 from .topology import dilated_grid, pruned_grid
 
 #: Side of the blocks that are solved by themselves, and sweeps taken between exchanges of their borders.
 BLOCK, SWEEPS = 32, 3
-#: Grids of at most so many voxels are solved whole, and about so many voxels at a time.
-WHOLE, GATHERED = 1 << 17, 1 << 16
 #: The step in time, what keeps the sign's root from zero, the smoothing factors (Taubin's pair, mean
 #: curvature), sweeps for each voxel of the band and besides, sweeps after smoothing at least, and the share of the
 #: band within which voxels are kept.
@@ -116,29 +114,11 @@ def _by_grids(state: DataFrame, rows: float, solve) -> DataFrame:
     """Run ``solve(phi, near)`` on whole grids of at most ``WHOLE`` voxels, many at a time: one shuffle whatever it does."""
 
     def solved(t: pa.Table):
-        t = t.combine_chunks()
         grid, i, j, k = (t.column(c).to_numpy() for c in KEY)
         phi = solve(t.column("phi").to_numpy().copy(), _neighbours(_steps(i, grid), _steps(j), _steps(k)))
         return pa.table([*(t.column(c) for c in KEY), pa.array(phi)], names=[*KEY, "phi"]).to_batches()
 
-    def run(batches):
-        held, n = [], 0
-        for b in batches:
-            held, n = [*held, b], n + b.num_rows
-            if n < GATHERED:
-                continue
-            t = pa.Table.from_batches(held)
-            ids = t.column("grid_id").to_numpy()
-            whole = int(np.searchsorted(ids, ids[-1]))  # the last grid may go on
-            if whole:
-                yield from solved(t.slice(0, whole))
-            held = t.slice(whole).to_batches()
-            n = t.num_rows - whole
-        if n:
-            yield from solved(pa.Table.from_batches(held))
-
-    dealt = state.select(*KEY, "phi").repartition(tasks_for(state, rows), "grid_id").sortWithinPartitions("grid_id")
-    return dealt.mapInArrow(run, "grid_id int, i int, j int, k int, phi double")
+    return by_grids(state.select(*KEY, "phi"), rows, solved, "grid_id int, i int, j int, k int, phi double")
 
 
 def _sizes(g: Grids, pad: int) -> DataFrame:
