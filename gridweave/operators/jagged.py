@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .grids import MAX_LISTED, check_columns, running_sums
+from .grids import MAX_LISTED, check_columns, running_sums, tasks_for
 
 #: Outer list, list in it, position in that list.
 LIST = ["outer_idx", "inner_idx"]
 ROW = [*LIST, "row_idx"]
+#: Keys of a list that a query meets at once.
+PIECE = 256
 STRUCTURE_SCHEMA = "outer_idx int, inner_idx int, n long"
 
 
@@ -255,19 +257,30 @@ def combine(a: DataFrame, b: DataFrame, op, value: str = "v", strict: bool = Fal
 def attention(q: DataFrame, k: DataFrame, v: DataFrame, scale: float | None = None) -> DataFrame:
     """Scaled dot-product attention within each list: arrays ``v`` of queries, keys and values.
 
-    Weights are softmaxed with the largest score taken off.  Work and rows are
-    the product of a list's lengths, by the operation's nature; a list's rows meet
-    by an equi-join on the list.
+    Weights are softmaxed with the largest score taken off.  Keys and values meet in
+    pieces of ``PIECE`` neighbouring rows of a list.  A query meets each piece of its list as one
+    row and keeps the largest score, the sum of weights and the weighted sums; these are put together
+    over the pieces.  Lists are dealt over tasks in proportion to the queries and keys.
     """
-    dot = F.expr("aggregate(zip_with(_q, _k, (a, b) -> a * b), 0.0D, (s, x) -> s + x)")
-    j = q.select(*ROW, F.col("v").alias("_q")).join(k.select(*LIST, F.col("row_idx").alias("_at"), F.col("v").alias("_k")), LIST)
+    n = tasks_for(q, max(q.count(), k.count()))
+    kv = k.select(*ROW, F.col("v").alias("_k")).repartition(n, *ROW).join(v.select(*ROW, F.col("v").alias("_v")).repartition(n, *ROW).hint("merge"), ROW)
+    piece = F.floor(F.col("row_idx") / PIECE).alias("_p")
+    kv = kv.repartition(n, *LIST).groupBy(*LIST, piece).agg(F.sort_array(F.collect_list(F.struct("row_idx", "_k", "_v"))).alias("_l"))
+    own = q.select(*ROW, F.col("v").alias("_q")).repartition(n, *LIST)
+    j = own.join(kv.hint("merge"), LIST)
+    dot = "aggregate(zip_with(_q, x._k, (a, b) -> a * b), 0.0D, (s, y) -> s + y)"
     factor = F.lit(scale) if scale is not None else 1 / F.sqrt(F.size("_q").cast("double"))
-    s = j.select(*ROW, "_at", (dot * factor).alias("_s"))
-    s = s.withColumn("_e", F.exp(F.col("_s") - F.max("_s").over(Window.partitionBy(*ROW))))
-    w = s.join(v.select(*LIST, F.col("row_idx").alias("_at"), F.col("v").alias("_v")), [*LIST, "_at"])
-    # the weighted sum of the keys' values, channel by channel of the arrays
-    out = w.groupBy(*ROW).agg(F.collect_list(F.struct("_at", "_e", "_v")).alias("_l"))
-    total = "aggregate(_l, 0.0D, (s, x) -> s + x._e)"
-    sums = "aggregate(slice(_l, 2, size(_l)), transform(_l[0]._v, y -> y * _l[0]._e), (s, x) -> zip_with(s, x._v, (a, y) -> a + y * x._e))"
-    out = out.withColumn("_l", F.sort_array("_l"))
-    return out.select(*ROW, F.expr(f"transform({sums}, y -> y / {total})").alias("v"))
+    s = j.withColumn("_f", factor).withColumn("_s", F.expr(f"transform(_l, x -> {dot} * _f)")).withColumn("_m", F.array_max("_s"))
+    s = s.withColumn("_e", F.expr("transform(_s, x -> exp(x - _m))"))
+    one = "zip_with(_l, _e, (x, e) -> transform(x._v, y -> y * e))"
+    s = s.withColumn("_o", F.expr(one)).select(*ROW, "_p", "_m", F.expr("aggregate(_e, 0.0D, (s, x) -> s + x)").alias("_t"), _sums("_o", "x", "x").alias("_w"))
+    out = s.groupBy(*ROW).agg(F.max("_m").alias("_m"), F.sort_array(F.collect_list(F.struct("_p", F.col("_m").alias("m"), "_t", "_w"))).alias("_l"))
+    total = "aggregate(_l, 0.0D, (s, x) -> s + x._t * exp(x.m - _m))"
+    sums = _sums("_l", "transform(x._w, y -> y * exp(x.m - _m))", "transform(_l[0]._w, y -> y * exp(_l[0].m - _m))")
+    return out.withColumn("_w", sums).withColumn("_t", F.expr(total)).select(*ROW, F.expr("transform(_w, y -> y / _t)").alias("v"))
+
+
+def _sums(rows: str, each: str, first: str) -> Column:
+    """Sums, channel by channel, of an array of arrays, in order."""
+    first = f"{rows}[0]" if first == "x" else first
+    return F.expr(f"aggregate(slice({rows}, 2, size({rows})), {first}, (s, x) -> zip_with(s, {each}, (a, y) -> a + y))")

@@ -284,6 +284,25 @@ def test_tasks_grow_with_the_samples(spark, monkeypatch):
     assert "30), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString() and out.count() == 300
 
 
+def test_attention_in_pieces(spark, monkeypatch):
+    """Long lists are met piece by piece, and tasks grow with the rows."""
+    rng = np.random.default_rng(5)
+    n = {0: 9, 3: 1, 4: 6}
+    make = lambda d, n=n: {(g, r): rng.normal(size=d) * 4 for g, m in n.items() for r in range(m)}
+    q, k, v = make(3, n | {7: 2}), make(3), make(2)
+    df = lambda x: spark.createDataFrame([(g, 0, r, [float(y) for y in a]) for (g, r), a in x.items()], "outer_idx int, inner_idx int, row_idx long, v array<double>")
+    monkeypatch.setattr(jagged, "PIECE", 4)
+    monkeypatch.setattr("gridweave.operators.grids.ROWS_A_TASK", 2)
+    out = jagged.attention(df(q), df(k), df(v))
+    assert "9), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.outer_idx, r.row_idx): r.v for r in out.collect()}
+    assert len(got) == 16
+    for (g, r), y in got.items():
+        s = np.array([q[g, r] @ k[g, x] for x in range(n[g])]) / math.sqrt(3)
+        e = np.exp(s - s.max())
+        assert y == pytest.approx(list(e @ np.array([v[g, x] for x in range(n[g])]) / e.sum()), abs=1e-12)
+
+
 # -- surfaces ---------------------------------------------------------------------------------
 
 
@@ -358,6 +377,33 @@ def test_tsdf_weighted_mean(spark):
         tsdf.integrate_tsdf(g, state, px, cam, (1, 1), 40.0)
 
 
+def test_tsdf_of_whole_grids_equals_joins(spark, monkeypatch):
+    """Three grids of random images with holes, twice; of each grid's voxels some are far from what is seen, and one grid has no camera."""
+    rng = np.random.default_rng(3)
+    px = [(g, u, v, float(rng.uniform(1, 2)) if rng.random() > 0.1 else None, float(rng.integers(0, 3)), float(u) if v else None) for g in (0, 1, 2, 5) for u in range(-1, 5) for v in range(4) if g != 1 or u % 2]
+    px = spark.createDataFrame(px, "grid_id int, u int, v int, depth double, weight double, red double")
+    px = px.withColumn("depth", F.when((F.col("grid_id") == 2) & (F.col("u") == 3), F.lit(float("nan"))).otherwise(F.col("depth")))
+    turn = [[0.0, -1.0, 0.0, 0.3], [1.0, 0.0, 0.0, -0.2], [0.0, 0.0, 1.0, 0.1], [0.0, 0.0, 0.0, 1.0]]
+    cams = spark.createDataFrame([(g, 3.0, 3.0, 2.0, 1.5, [x for r in turn for x in r]) for g in (0, 1, 2)], "grid_id int, fx double, fy double, cx double, cy double, pose array<double>")
+    own = [(g, i, j, 5 + g) for g in (0, 2, 5, 9) for i in (-1, 0, 2**31 - 5) for j in (0, -(2**31) + 5)]
+    state = spark.createDataFrame([(*c, 0.25, 1.5, 7.0) for c in own[1:]], "grid_id int, i int, j int, k int, tsdf double, weight double, red double")
+
+    def twice():
+        g = build.from_ijk(ijk(spark, own), (0.25, 0.25, 0.5), 0.125)
+        g, s = tsdf.integrate_tsdf(g, state, px, cams, (4, 4), 0.5, ("red",))
+        g, s = tsdf.integrate_tsdf(g, s, px, cams, (4, 4), 0.5, ("red",))
+        return sorted(map(repr, g.voxels.collect())), {tuple(r)[:4]: tuple(r)[4:] for r in s.collect()}, s.count()
+
+    with monkeypatch.context() as m:
+        m.setattr(tsdf, "_large", lambda *a: pytest.fail("grids of this size need no joins"))
+        whole = twice()
+    assert len(whole[0]) == len(whole[1]) == whole[2] > 500
+    monkeypatch.setattr(tsdf, "WHOLE", 600)  # some grids have more
+    again = twice()
+    assert again[0] == whole[0] and again[2] == whole[2]
+    assert all(repr(x) == repr(y) or x == pytest.approx(y, abs=1e-12) for c, v in whole[1].items() for x, y in zip(v, again[1][c]))
+
+
 # -- lists ------------------------------------------------------------------------------------------
 
 
