@@ -72,6 +72,17 @@ def by_grids(df: DataFrame, rows: float, solve: Callable[[pa.Table], Iterable[pa
     return df.repartition(tasks_for(df, rows), "grid_id").sortWithinPartitions("grid_id").mapInArrow(run, schema)
 
 
+def close_steps(x: np.ndarray, grid: np.ndarray | None = None) -> np.ndarray:
+    """Coordinates numbered closely: neighbours stay one apart, gaps shrink to two, and so do steps between grids."""
+    order = np.argsort(x, kind="stable") if grid is None else np.lexsort((x, grid))
+    step = np.minimum(np.diff(x[order].astype(np.int64), prepend=x[order[:1]]), 2)
+    if grid is not None:
+        step[1:][np.diff(grid[order]) != 0] = 2
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(step)
+    return out
+
+
 def distinct_rows(cols: Sequence[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of columns of whole numbers, in order, and where each given row is among them."""
     low = [int(c.min()) for c in cols]

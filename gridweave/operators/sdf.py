@@ -11,7 +11,7 @@ from gridweave.functions.spatial import IJK, KEY
 
 from gridweave.sources.shared import written
 
-from .grids import WHOLE, Grids, by_grids, check_columns, meet
+from .grids import WHOLE, Grids, by_grids, check_columns, close_steps, meet
 from .pool import inject
 from .topology import dilated_grid, pruned_grid
 
@@ -99,23 +99,12 @@ def _by_blocks(state: DataFrame, halo: int, solve) -> DataFrame:
     return state.groupBy(*names).applyInArrow(run, STATE)
 
 
-def _steps(x: np.ndarray, grid: np.ndarray | None = None) -> np.ndarray:
-    """Coordinates numbered closely: neighbours stay one apart, gaps shrink to two, and so do steps between grids."""
-    order = np.argsort(x, kind="stable") if grid is None else np.lexsort((x, grid))
-    step = np.minimum(np.diff(x[order].astype(np.int64), prepend=x[order[:1]]), 2)
-    if grid is not None:
-        step[1:][np.diff(grid[order]) != 0] = 2
-    out = np.empty(len(x), np.int64)
-    out[order] = np.cumsum(step)
-    return out
-
-
 def _by_grids(state: DataFrame, rows: float, solve) -> DataFrame:
     """Run ``solve(phi, near)`` on whole grids of at most ``WHOLE`` voxels, many at a time: one shuffle whatever it does."""
 
     def solved(t: pa.Table):
         grid, i, j, k = (t.column(c).to_numpy() for c in KEY)
-        phi = solve(t.column("phi").to_numpy().copy(), _neighbours(_steps(i, grid), _steps(j), _steps(k)))
+        phi = solve(t.column("phi").to_numpy().copy(), _neighbours(close_steps(i, grid), close_steps(j), close_steps(k)))
         return pa.table([*(t.column(c) for c in KEY), pa.array(phi)], names=[*KEY, "phi"]).to_batches()
 
     return by_grids(state.select(*KEY, "phi"), rows, solved, "grid_id int, i int, j int, k int, phi double")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridweave.functions import elementwise as el
 from gridweave.functions.spatial import IJK, KEY, settle, with_box
 from gridweave.operators import jagged, mesh, metrics, rays, sdf, splat_grads, splats, tsdf
-from gridweave.operators.grids import Grids, shared_grids, tasks_for
+from gridweave.operators.grids import Grids, meet, shared_grids, tasks_for
 
 from .base import FEAT_E, VOX_E, box_sql, emb_grid, feature, query, settled, table
 
@@ -418,10 +418,12 @@ def vertex_edge_keys(spark, sf):
 def marching_cubes_euler(spark, sf):
     """Vertices minus edges plus faces of a ball's surface is 2, and every edge has two faces."""
     v, f = mesh.marching_cubes(*balls(spark, sf))
-    e = f.select("grid_id", F.explode(F.array(*[F.array_sort(F.array(f"v{a}", f"v{b}")) for a, b in ((0, 1), (1, 2), (2, 0))])).alias("e")).groupBy("grid_id", "e").agg(F.count("*").alias("n"))
-    v, f = (x.groupBy("grid_id").agg(F.count("*").alias(n)) for x, n in ((v, "v"), (f, "f")))
-    e = e.groupBy("grid_id").agg(F.count("*").alias("e"), F.bool_and(F.col("n") == 2).alias("closed"))
-    return v.join(e, "grid_id").join(f, "grid_id").select("grid_id", (F.col("v") - F.col("e") + F.col("f")).alias("euler"), "closed")
+    sides = [F.struct(F.least(f"v{a}", f"v{b}").alias("a"), F.greatest(f"v{a}", f"v{b}").alias("b")) for a, b in ((0, 1), (1, 2), (2, 0))]
+    e = f.select("grid_id", F.inline(F.array(*sides))).groupBy("grid_id", "a", "b").agg(F.count("*").alias("n"))
+    v = v.groupBy("grid_id").agg(F.count("*").alias("v"))
+    # a face has three sides
+    e = e.groupBy("grid_id").agg(F.count("*").alias("e"), F.bool_and(F.col("n") == 2).alias("closed"), F.expr("sum(n) div 3").alias("f"))
+    return meet(v, e, ["grid_id"]).select("grid_id", (F.col("v") - F.col("e") + F.col("f")).alias("euler"), "closed")
 
 
 def cubes_sql() -> str:

@@ -12,7 +12,7 @@ from gridweave.api import Grid, GridBatch, JaggedFrame, gcat, jcat
 from gridweave.functions import elementwise as el
 from gridweave.functions.spatial import KEY, nearest
 from gridweave.operators import build, conv, jagged, mesh, metrics, nn, pool, query, rays, sample, sdf, splats, topology, tsdf
-from gridweave.operators.grids import Grids, check_columns
+from gridweave.operators.grids import Grids, by_grids, check_columns
 from gridweave.sources import grid_io
 from gridweave.streaming import merge
 
@@ -322,6 +322,40 @@ def test_flat_surface_is_level(spark):
     assert f.count() == 2 * 9 and v.count() == 16
 
 
+def test_surfaces_of_whole_grids_equal_joins(spark, monkeypatch):
+    """Grids with holes and gaps, far apart, of several sizes; values of every kind."""
+    rng = np.random.default_rng(5)
+    odd = [None, float("nan"), float("inf"), -float("inf"), 0.25, 0.25 + 1e-6, 0.25 - 1e-6, -0.0]
+    boxes = [(0, 0, 0, 5), (0, 9, 2, 3), (1, -2, 0, 4), (4, -(2**31), 2**31 - 5, 4), (5, 0, 0, 1), (-3, 0, 0, 3)]
+    cells = [(g, i + x, j + y, i + z) for g, i, j, n in boxes for x, y, z in itertools.product(range(n), repeat=3)]
+    cells = [c for c in dict.fromkeys(cells) if rng.random() > 0.05]
+    f = [(*c, odd[rng.integers(0, len(odd))] if rng.random() < 0.2 else float(rng.normal())) for c in cells]
+    f = spark.createDataFrame(f, "grid_id int, i int, j int, k int, f double")
+    g = build.from_ijk(f, (0.25, 0.5, 1.0), 0.125)
+
+    def surface():
+        return [sorted(map(repr, x.collect())) for x in mesh.marching_cubes(g, f, 0.25, edge_keys=True)]
+
+    with monkeypatch.context() as m:
+        m.setattr(mesh, "_large", lambda *a: pytest.fail("grids of this size need no joins"))
+        m.setattr("gridweave.operators.grids.ROWS_A_TASK", 40)
+        whole = surface()
+        m.setattr(mesh, "by_grids", lambda *a: by_grids(*a, gathered=1))
+        assert surface() == whole
+    assert all(len(x) > 100 for x in whole) and any("None" in r for r in whole[0]) and any("nan" in r for r in whole[0])
+    for most in (60, 0):  # some grids have more, all have
+        monkeypatch.setattr(mesh, "WHOLE", most)
+        assert surface() == whole
+
+
+def test_surfaces_meet_in_one_shuffle_and_are_not_broadcast(spark):
+    from gridweave.plans import catalog
+
+    for name in ("marching_cubes_euler",):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Window" not in plan and "BroadcastHashJoin" not in plan, (name, plan)
+
+
 def test_sdf_of_a_plane_and_blocks(spark, monkeypatch):
     cells = list(itertools.product(range(-8, 9), range(-8, 9), range(-6, 7)))
     g = grid(spark, cells, 0.5)
