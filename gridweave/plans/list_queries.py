@@ -452,7 +452,7 @@ def marching_cubes(spark, sf):
     """All faces, each with the place of its first vertex."""
     v, faces = mesh.marching_cubes(*balls(spark, sf))
     corner = v.select("grid_id", F.col("v_id").alias("v0"), *[settle(F.col(a)).alias(a) for a in "xyz"])
-    return faces.join(corner, ["grid_id", "v0"])
+    return meet(faces, corner, ["grid_id", "v0"])
 
 
 def depth_images(spark, sf):

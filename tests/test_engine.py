@@ -351,7 +351,7 @@ def test_surfaces_of_whole_grids_equal_joins(spark, monkeypatch):
 def test_surfaces_meet_in_one_shuffle_and_are_not_broadcast(spark):
     from gridweave.plans import catalog
 
-    for name in ("marching_cubes_euler",):
+    for name in ("marching_cubes_euler", "marching_cubes"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "Window" not in plan and "BroadcastHashJoin" not in plan, (name, plan)
 
