@@ -394,6 +394,8 @@ BALLS = (
 def balls(spark, sf) -> tuple[Grids, object]:
     """A grid for each supplier: a dense box around a ball, and each voxel's distance to its surface."""
     rows = table(spark, sf, "supplier").selectExpr("cast(s_suppkey AS int) AS grid_id", f"cast({RADIUS} AS double) AS r")
+    # the file of so few rows is read by one task, which would make all boxes
+    rows = rows.repartition(tasks_for(rows, rows.count() * (2 * HALF + 1) ** 3), "grid_id")
     box = with_box(rows, (-HALF,) * 3, (HALF,) * 3, tuple(IJK))
     f = box.select(*KEY, (F.sqrt(F.expr("cast(i * i + j * j + k * k AS double)")) - F.col("r")).alias("f"))
     return shared_grids(rows, f.select(*KEY)), f

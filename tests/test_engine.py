@@ -351,11 +351,21 @@ def test_surfaces_of_whole_grids_equal_joins(spark, monkeypatch):
 def test_surfaces_meet_in_one_shuffle_and_are_not_broadcast(spark):
     from gridweave.plans import catalog
 
-    for name in ("marching_cubes_euler", "marching_cubes"):
+    for name in ("marching_cubes_euler", "marching_cubes", "marching_cubes_vertices"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "Window" not in plan and "BroadcastHashJoin" not in plan, (name, plan)
 
 
+def test_boxes_of_a_small_file_are_made_in_many_tasks(spark, monkeypatch):
+    from gridweave.plans import list_queries
+
+    monkeypatch.setattr("gridweave.operators.grids.ROWS_A_TASK", 1000)
+    _, f = list_queries.balls(spark, "/root/testdata/sf0.001")
+    per = [r["count"] for r in f.groupBy(F.spark_partition_id()).count().collect()]
+    suppliers = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+    assert sum(per) == suppliers * 9**3 and len(per) > 3
+
+
 def test_sdf_of_a_plane_and_blocks(spark, monkeypatch):
     cells = list(itertools.product(range(-8, 9), range(-8, 9), range(-6, 7)))
     g = grid(spark, cells, 0.5)
