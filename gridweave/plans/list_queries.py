@@ -391,11 +391,17 @@ BALLS = (
 )
 
 
+def ball_tasks(spark, sf) -> int:
+    """As many tasks as the voxels of all boxes need."""
+    rows = table(spark, sf, "supplier")
+    return tasks_for(rows, rows.count() * (2 * HALF + 1) ** 3)
+
+
 def balls(spark, sf) -> tuple[Grids, object]:
     """A grid for each supplier: a dense box around a ball, and each voxel's distance to its surface."""
     rows = table(spark, sf, "supplier").selectExpr("cast(s_suppkey AS int) AS grid_id", f"cast({RADIUS} AS double) AS r")
     # the file of so few rows is read by one task, which would make all boxes
-    rows = rows.repartition(tasks_for(rows, rows.count() * (2 * HALF + 1) ** 3), "grid_id")
+    rows = rows.repartition(ball_tasks(spark, sf), "grid_id")
     box = with_box(rows, (-HALF,) * 3, (HALF,) * 3, tuple(IJK))
     f = box.select(*KEY, (F.sqrt(F.expr("cast(i * i + j * j + k * k AS double)")) - F.col("r")).alias("f"))
     return shared_grids(rows, f.select(*KEY)), f
@@ -421,6 +427,7 @@ def marching_cubes_euler(spark, sf):
     """Vertices minus edges plus faces of a ball's surface is 2, and every edge has two faces."""
     v, f = mesh.marching_cubes(*balls(spark, sf))
     sides = [F.struct(F.least(f"v{a}", f"v{b}").alias("a"), F.greatest(f"v{a}", f"v{b}").alias("b")) for a, b in ((0, 1), (1, 2), (2, 0))]
+    f = f.repartition(ball_tasks(spark, sf), "grid_id")
     e = f.select("grid_id", F.inline(F.array(*sides))).groupBy("grid_id", "a", "b").agg(F.count("*").alias("n"))
     v = v.groupBy("grid_id").agg(F.count("*").alias("v"))
     # a face has three sides
@@ -454,6 +461,8 @@ def marching_cubes(spark, sf):
     """All faces, each with the place of its first vertex."""
     v, faces = mesh.marching_cubes(*balls(spark, sf))
     corner = v.select("grid_id", F.col("v_id").alias("v0"), *[settle(F.col(a)).alias(a) for a in "xyz"])
+    n = ball_tasks(spark, sf)
+    faces, corner = (x.repartition(n, "grid_id", "v0") for x in (faces, corner))
     return meet(faces, corner, ["grid_id", "v0"])
 
 
